@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("grids",)
+MODULES = ("grids", "traces")
 
 
 def load_all() -> None:
