@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("grids", "traces")
+MODULES = ("grids", "traces", "resampling")
 
 
 def load_all() -> None:
