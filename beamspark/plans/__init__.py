@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("grids", "traces", "resampling")
+MODULES = ("grids", "traces", "resampling", "catalogue")
 
 
 def load_all() -> None:

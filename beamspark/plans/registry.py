@@ -40,3 +40,8 @@ def rnd(col: Column | str, digits: int = 6) -> Column:
 def big(col: Column | str) -> Column:
     col = F.col(col) if isinstance(col, str) else col
     return col.cast("bigint")
+
+
+def micros(col: str) -> Column:
+    """Microseconds since the epoch of a time column with or without zone."""
+    return F.unix_micros(F.col(col).cast("timestamp"))
