@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("grids", "traces", "resampling", "catalogue")
+MODULES = ("grids", "traces", "resampling", "catalogue", "audits", "models")
 
 
 def load_all() -> None:
