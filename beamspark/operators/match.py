@@ -12,17 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beamspark.operators.ranks import BUCKETS
+from beamspark.operators.ranks import bucketed
 from beamspark.operators.traces import great_circle_deg
 
 
-def bucketed(points: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
-    """Add ``bucket``: the equal-depth slice of each key's ``at`` values."""
-    cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    edges = points.groupBy(*keys).agg(F.percentile_approx(at, cuts, 10 * BUCKETS).alias("edges"))
-    return points.join(edges, list(keys)).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col(at)))).drop("edges")
-
-
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, right_id: str) -> DataFrame:
     """Distinct (keys, left_at) with the closest right row: ``match_at``, ``match_id``, ``delta``.
 

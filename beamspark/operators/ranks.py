@@ -12,7 +12,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beamspark.session import estimated_bytes
+
 BUCKETS = 128
+ONE_LEVEL_BYTES = 32 << 30
+
+
+def _slices(df: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
+    cuts = [i / BUCKETS for i in range(1, BUCKETS)]
+    edges = df.groupBy(*keys).agg(F.percentile_approx(at, cuts, 10 * BUCKETS).alias("edges"))
+    return df.join(edges, keys).withColumn(name, F.size(F.filter("edges", lambda e: e < F.col(at)))).drop("edges")
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """Add ``bucket``: the equal-depth slice of each key's ``at`` values, in order of ``at``.
+
+    Past a size the planner estimates, every slice is sliced again, so a bucket stays one task's work.
+    """
+    keys = list(keys)
+    out = _slices(df, keys, at, "bucket")
+    if estimated_bytes(df) > ONE_LEVEL_BYTES:
+        out = _slices(out, [*keys, "bucket"], at, "finer")
+        out = out.withColumn("bucket", F.col("bucket") * BUCKETS + F.col("finer")).drop("finer")
+    return out
+
+
+def lagged(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str) -> DataFrame:
+    """Add the previous row's ``value`` in ``order``; only bucket ends cross buckets."""
+    keys = list(keys)
+    b = bucketed(df, keys, order)
+    ends = b.groupBy(*keys, "bucket").agg(F.max(F.struct(order, value))[value].alias("end"))
+    ends = ends.withColumn("carry", F.lag("end").over(Window.partitionBy(*keys).orderBy("bucket"))).drop("end")
+    inside = F.lag(value).over(Window.partitionBy(*keys, "bucket").orderBy(order))
+    return b.join(ends, [*keys, "bucket"]).withColumn(name, F.coalesce(inside, "carry")).drop("carry", "bucket")
 
 
 def cumulative(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
@@ -20,9 +52,7 @@ def cumulative(df: DataFrame, keys: Sequence[str], value: str, weight: Column |
     keys = list(keys)
     w = F.count(F.lit(1)) if weight is None else F.sum(weight)
     d = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(w.alias("w"))
-    cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    edges = d.groupBy(*keys).agg(F.percentile_approx(value, cuts, 10 * BUCKETS).alias("edges"))
-    d = d.join(edges, keys).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col(value)))).drop("edges")
+    d = bucketed(d, keys, value)
     totals = d.groupBy(*keys, "bucket").agg(F.sum("w").alias("bw"))
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("prev", F.coalesce(F.sum("bw").over(before), F.lit(0))).drop("bw")
@@ -63,7 +93,7 @@ def smallest(
     taken or left by their totals; only the bucket that straddles the limit is put in order.
     """
     keys = list(keys)
-    width = max(1, -(-span // (8 * BUCKETS)))
+    width = max(1, -(-span // (32 * BUCKETS)))
     d = df.withColumn("bucket", F.floor(F.col(score) / F.lit(width)))
     totals = d.groupBy(*keys, "bucket").agg(F.count("*").alias("bn"), F.first(count).alias("want"))
     upto = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)

@@ -279,47 +279,70 @@ def pick_table(
 
 # ---- leave-one-out ---------------------------------------------------------------------------
 
+GROUP_TRACES = 400
+
 
 def leave_one_out(
     traces: DataFrame, lane: str, slowness: Sequence[float], *, ref: float, sr: float, pre_s: float,
     window: tuple[float, float], power_window_s: float, min_support: int = dims.MIN_STACK_SUPPORT,
-    order: float = dims.NTH_ROOT,
+    order: float = dims.NTH_ROOT, group_traces: int = GROUP_TRACES,
 ) -> DataFrame:
     """Peak of the nth-root stack with each event held out.
 
     The held-out stack is the lane's total less the event's own shifted trace, so the work grows with
-    the number of events and not with its square.
+    the number of events and not with its square. Traces meet the totals in groups of bounded size: a
+    large lane is split over many groups, each with its own copy of the lane's grid.
     """
-    args = {"ref": ref, "sr": sr, "method": "nth_root", "order": order}
-    own = stack.partial_stacks(traces, [lane, "event_id"], slowness, **args).drop("real")
-    total = stack.partial_stacks(traces, [lane], slowness, **args)
-    total = sum_partials(total, [lane, "si"]).select(
-        lane, "si", F.col("acc0").alias("tot_acc"), F.col("cnt").alias("tot_cnt"))
-    j = own.join(total, [lane, "si"])
+    nodes = np.asarray(list(slowness), dtype=np.float64)
     samples = max(1, int(round(power_window_s * sr)))
-    nodes = [float(s) for s in slowness]
-
-    def best(acc, cnt, tacc, tcnt):
-        n = len(tacc)
-        a, c = tacc.astype(float).copy(), tcnt.astype(np.int64).copy()
-        a[: len(acc)] -= acc
-        c[: len(cnt)] -= cnt
-        ok = c >= min_support
-        m = a / np.maximum(c, 1)
-        power, has = stack.tapered_power(np.sign(m) * np.abs(m) ** order, ok, samples)
+    total = stack.partial_stacks(traces, [lane], slowness, ref=ref, sr=sr, method="nth_root", order=order)
+    total = sum_partials(total, [lane, "si"])
+    share = F.ceil(F.count("*") / F.lit(group_traces)).cast("int").alias("groups")
+    size = traces.groupBy(lane).agg(share)
+    left = traces.select(lane, "event_id", "distance", "x", "valid").join(size, lane)
+    left = left.withColumn("grp", F.pmod(F.xxhash64("event_id"), F.col("groups")).cast("int")).drop("groups")
+    right = total.join(size, lane).withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    lane_type = traces.schema[lane].dataType.simpleString()
+    id_type = traces.schema["event_id"].dataType.simpleString()
+
+    def held_out(key: tuple, events: pa.Table, totals: pa.Table) -> pa.Table:
+        by_si = np.argsort(totals.column("si").to_numpy())
+        sums, counts = totals.column("acc0").combine_chunks(), totals.column("cnt").combine_chunks()
+        n = len(sums[0]) if len(by_si) else 0
+        acc, cnt = stack._ragged(sums, n, np.float64)[by_si], stack._ragged(counts, n, np.int64)[by_si]
         t = np.arange(n) / sr - pre_s
-        live = has & (t >= window[0]) & (t <= window[1])
-        if not live.any():
-            return None, None, None, None
-        i = int(np.argmax(np.where(live, power, -np.inf)))
-        return float(power[i]), i, float(t[i]), int(c[i])
-
-    rows = map_arrays(j, [lane, "event_id", "si"], ["acc0", "cnt", "tot_acc", "tot_cnt"],
-                      "power double, ti int, t double, support int", best)
-    s = F.element_at(F.array(*[F.lit(v) for v in nodes]), F.col("si") + 1)
-    rows = rows.where("power IS NOT NULL").withColumn("s", s)
-    out = rows.groupBy(lane, "event_id").agg(F.lit(1).alias("n_window"), F.max(peaks.ordered_cell()).alias("p"))
-    return peaks.peak_columns(out, [lane, "event_id"])
+        inside = (t >= window[0]) & (t <= window[1])
+        found = []
+        for dist, x, ok in zip(events.column("distance").to_pylist(), events.column("x"), events.column("valid")):
+            parts = stack._channels(
+                np.asarray(x.values)[None, :], np.asarray(ok.values.to_numpy(zero_copy_only=False), dtype=bool)[None, :],
+                "nth_root", order)
+            best = (None, -1, -1, 0)
+            for si, s in enumerate(nodes):
+                roll = np.rint(np.array([-s * (dist - ref) * sr])).astype(np.int64)
+                own, one = stack._shift_add(parts, roll, np.ones((1, 1)), 0, n)
+                c = cnt[si] - np.rint(one[0]).astype(np.int64)
+                m = (acc[si] - own[0]) / np.maximum(c, 1)
+                power, has = stack.tapered_power(np.sign(m) * np.abs(m) ** order, c >= min_support, samples)
+                live = has & inside
+                if live.any():
+                    i = int(np.argmax(np.where(live, power, -np.inf)))
+                    if best[0] is None or power[i] > best[0]:
+                        best = (float(power[i]), si, i, int(c[i]))
+            found.append(best)
+        cols = [events.column(lane), events.column("event_id")]
+        for k, typ in enumerate((pa.float64(), pa.int32(), pa.int32(), pa.int32())):
+            cols.append(pa.array([f[k] for f in found], type=typ))
+        return pa.Table.from_arrays(cols, [lane, "event_id", "power", "slow_idx", "time_idx", "support_count"])
+
+    ddl = f"`{lane}` {lane_type}, event_id {id_type}, power double, slow_idx int, time_idx int, support_count int"
+    out = left.groupBy(lane, "grp").cogroup(right.groupBy(lane, "grp")).applyInArrow(held_out, ddl)
+    s = F.get(F.array(*[F.lit(float(v)) for v in nodes]), F.col("slow_idx"))
+    found = F.col("power").isNotNull()
+    return out.select(
+        lane, "event_id", F.when(found, F.col("time_idx") / F.lit(sr) - F.lit(pre_s)).alias("time_s"),
+        F.when(found, s).alias("slowness_sdeg"), "power", "slow_idx", "time_idx", "support_count",
+        F.when(found, "ok").otherwise("blocked_low_support").alias("status"))
 
 
 def sum_partials(partials: DataFrame, keys: Sequence[str]) -> DataFrame:

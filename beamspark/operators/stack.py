@@ -240,6 +240,17 @@ def partial_stacks(
     return source.mapInArrow(run, schema)
 
 
+def gathered(traces: DataFrame, lanes: Sequence[str], per_task: int = 400) -> DataFrame:
+    """Bring traces of a lane together, ``per_task`` at a time, for data with very many lanes.
+
+    Tasks that hold only a trace or two of each lane would shuffle more grid than they saved; one
+    shuffle of the traces avoids that. A large lane is spread over as many groups as it needs.
+    """
+    size = traces.groupBy(*lanes).agg(F.ceil(F.count("*") / F.lit(per_task)).cast("int").alias("groups"))
+    salted = traces.join(size, list(lanes)).withColumn("grp", F.pmod(F.xxhash64("distance", "x"), F.col("groups")))
+    return salted.repartition(*lanes, "grp").drop("groups", "grp")
+
+
 def merge_grids(
     partials: DataFrame,
     lanes: Sequence[str],

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("grids", "traces", "resampling", "catalogue", "audits", "models")
+MODULES = ("grids", "traces", "resampling", "catalogue", "audits", "models", "contracts")
 
 
 def load_all() -> None:

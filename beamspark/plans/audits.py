@@ -12,10 +12,6 @@ from beamspark.plans.registry import big, registered, rnd, table
 PATH_SQL = "source || '/' || lang || '/' || doc_id % 700"
 
 
-def _path():
-    return F.concat_ws("/", "source", "lang", (F.col("doc_id") % 700).cast("string"))
-
-
 def _path_str():
     return F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id") % 700)
 
@@ -382,18 +378,19 @@ def stage_order_dedupe(spark, sf):
         F.min("turn").alias("first_turn"), F.count("*").alias("repeats"))
 
 
-@registered("locked_pick_digest", sql="""WITH r AS (SELECT l_orderkey, l_linenumber // 1000 AS b,
-   sha256(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey) AS h FROM lineitem), m AS (
-  SELECT l_orderkey, b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1, 2), d AS (
-  SELECT l_orderkey, sha256(string_agg(h, '' ORDER BY b)) AS digest FROM m GROUP BY 1)
+@registered("locked_pick_digest", sql="""WITH r AS (SELECT l_orderkey,
+   sha256(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey) AS h FROM lineitem), c AS (
+  SELECT l_orderkey, h AS a, sha256(h || ':' || count(*)) AS h FROM r GROUP BY l_orderkey, r.h), m6 AS (
+  SELECT l_orderkey, substr(a, 1, 6) AS a, sha256(string_agg(h, '' ORDER BY a)) AS h FROM c GROUP BY 1, substr(a, 1, 6)), m3 AS (
+  SELECT l_orderkey, substr(a, 1, 3) AS a, sha256(string_agg(h, '' ORDER BY a)) AS h FROM m6 GROUP BY 1, substr(a, 1, 3)), d AS (
+  SELECT l_orderkey, sha256(string_agg(h, '' ORDER BY a)) AS digest FROM m3 GROUP BY 1)
 SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, digest FROM lineitem JOIN d USING (l_orderkey)""")
 def locked_pick_digest(spark, sf):
     """Digest of an event's sorted picks, written back onto each of its rows."""
     from beamspark.sources.sinks import locked_digest
 
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    d = locked_digest(li, "l_orderkey", F.floor(F.col("l_linenumber") / 1000),
-                      F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    d = locked_digest(li, "l_orderkey", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     return li.join(d, "l_orderkey").select("l_orderkey", big("l_linenumber").alias("l_linenumber"), "l_partkey", "digest")
 
 

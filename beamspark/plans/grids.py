@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beamspark.dims import Box, SlownessAxis
-from beamspark.operators import peaks, stack
+from beamspark.operators import peaks, ranks, stack
 from beamspark.plans.registry import big, registered, rnd, table
 
 SR = 1.0
@@ -324,8 +324,9 @@ def peak_fact_table(spark, sf):
         F.lit(True).alias("local_max_neighbor_check"))
     p = p.join(flags, ["lane", "slow_idx", "time_idx"], "left").fillna({"local_max_neighbor_check": False})
     known = F.when(F.pmod("vec_id", F.lit(11)) != 0, F.lit(1.0) + F.pmod("vec_id", F.lit(5)))
-    err = table(spark, sf, "embeddings").groupBy(F.col("label").alias("lane")).agg(
-        F.median(known).alias("med"), F.max(known).alias("top"))
+    errors = table(spark, sf, "embeddings").select(F.col("label").alias("lane"), known.alias("e"))
+    err = ranks.quantiles(errors, ["lane"], "e", [0.5]).withColumnRenamed("q50", "med").join(
+        errors.groupBy("lane").agg(F.max("e").alias("top")), "lane")
     f = peaks.peak_facts(
         p.join(err, "lane", "left"), PUBLISHED, tolerances=TOLERANCES,
         median_error=F.col("med"), max_error=F.col("top"))

@@ -46,16 +46,16 @@ def layered_model_text(spark, sf):
 
 @registered("cosh_profile", sql="""WITH p AS (SELECT p_partkey, 1500.0::DOUBLE AS d1, 2.5::DOUBLE + p_size / 100.0::DOUBLE AS v1, 2800.0::DOUBLE AS d2,
    CASE WHEN p_size % 10 = 0 THEN 2.5::DOUBLE + p_size / 100.0::DOUBLE ELSE 1.5::DOUBLE + p_retailprice / 2000.0::DOUBLE END AS v2 FROM part), k AS (
-  SELECT *, CASE WHEN v1 <> v2 THEN (d2 - d1) / (cosh(v2) - cosh(v1)) END AS kk FROM p)
-SELECT p_partkey, i::BIGINT AS node, round(d1 + (d2 - d1) * i / 14, 6) AS depth,
-  round(CASE WHEN v1 = v2 THEN v1 ELSE acosh(greatest(1.0, (d1 + (d2 - d1) * i / 14 - (d1 - kk * cosh(v1))) / kk)) END, 6) AS v
-FROM k, range(15) r(i)""")
+  SELECT *, CASE WHEN v1 <> v2 THEN (d2 - d1) / (cosh(v2) - cosh(v1)) END AS kk FROM p), n AS (
+  SELECT p_partkey, i::BIGINT AS node, CASE WHEN v1 = v2 THEN d1 + (d2 - d1) * (i / 14.0::DOUBLE)
+    ELSE kk * cosh(v1 + (v2 - v1) * (i / 14.0::DOUBLE)) + (d1 - kk * cosh(v1)) END AS depth, v1 + (v2 - v1) * (i / 14.0::DOUBLE) AS v FROM k, range(15) r(i))
+SELECT p_partkey, node, round(depth, 5) + 0.0 AS depth, round(v, 6) AS v FROM n""")
 def cosh_profile(spark, sf):
     v1 = F.lit(2.5) + F.col("p_size") / F.lit(100.0)
     v2 = F.when(F.col("p_size") % 10 == 0, v1).otherwise(F.lit(1.5) + F.col("p_retailprice") / F.lit(2000.0))
     n = model.cosh_profile(F.lit(1500.0), v1, F.lit(2800.0), v2, 15)
     p = table(spark, sf, "part").select("p_partkey", F.inline(n))
-    return p.select("p_partkey", big("node").alias("node"), rnd("depth").alias("depth"), rnd("v").alias("v"))
+    return p.select("p_partkey", big("node").alias("node"), rnd("depth", 5).alias("depth"), rnd("v").alias("v"))
 
 
 @registered("profile_interpolation", sql="""WITH t AS (SELECT event_id, value, [0.0, 10.0, 25.0, 60.0, 150.0]::DOUBLE[] AS xs, [8.0, 7.5, 6.25, 5.0, 4.0]::DOUBLE[] AS ys FROM events), i AS (
@@ -110,6 +110,43 @@ def radius_misfit(spark, sf):
     return b.select("o_custkey", "best_radius", rnd("misfit").alias("misfit"), rnd("slope").alias("slope"))
 
 
+# (depth, vp, vs, rho) rows of the base model that the generated cores replace.
+BASE = {
+    "mantle": [(0.0, 5.0, 2.9, 2.9), (50.0, 7.5, 4.2, 3.4), (1000.0, 9.0, 4.9, 3.7), (1700.0, 9.8, 5.3, 4.1)],
+    "outer-core": [(1700.0, 4.9, 0.0, 5.9), (2700.0, 5.6, 0.0, 6.3)],
+    "inner-core": [(2700.0, 7.0, 4.0, 6.5), (3389.5, 7.1, 4.1, 6.5)],
+}
+PARAM_SQL = """prm AS (SELECT p_partkey, 1600.0::DOUBLE + p_size * 6 AS r_oc, 4.0::DOUBLE + p_size / 50.0::DOUBLE AS vp_cmb,
+  CASE WHEN p_partkey % 40 = 7 THEN -1.0::DOUBLE ELSE 4.2::DOUBLE + p_partkey % 30 / 20.0::DOUBLE END AS vp_icb,
+  200.0::DOUBLE + p_partkey % 170 * 10 AS r_ic, p_size / 200.0::DOUBLE AS dvp FROM part), st AS (
+  SELECT *, vp_icb * (1 + dvp) AS v_ic, vp_icb * (1 + dvp) + (vp_icb - vp_cmb) / (r_oc - r_ic) * r_ic AS v_end FROM prm), ok AS (
+  SELECT *, CASE WHEN NOT (r_ic > 0 AND r_ic < r_oc) THEN 'radius_order' WHEN vp_icb <= 0 OR v_end <= 0 THEN 'nonpositive_velocity' ELSE 'valid' END AS status FROM st)"""
+
+
+def parameters(spark, sf):
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select(
+        k, (F.lit(1600.0) + F.col("p_size") * 6).alias("r_oc"), (F.lit(4.0) + F.col("p_size") / F.lit(50.0)).alias("vp_cmb"),
+        F.when(k % 40 == 7, -1.0).otherwise(F.lit(4.2) + k % 30 / F.lit(20.0)).alias("vp_icb"),
+        (F.lit(200.0) + k % 170 * 10).alias("r_ic"), (F.col("p_size") / F.lit(200.0)).alias("dvp_icb"))
+
+
+@registered("generated_models", sql="WITH " + PARAM_SQL + """
+SELECT p_partkey, status, CASE WHEN status = 'valid' THEN 24 ELSE 1 END::BIGINT AS n_rows,
+  CASE WHEN status = 'valid' THEN round(3389.5::DOUBLE - r_oc, 6) END AS cmb_depth,
+  CASE WHEN status = 'valid' THEN round(v_ic, 6) END AS vp_icb_inner, CASE WHEN status = 'valid' THEN round(v_end / sqrt(3.0::DOUBLE), 6) END AS vs_centre,
+  CASE WHEN status = 'valid' THEN round(9.0::DOUBLE + 0.8::DOUBLE * (3389.5::DOUBLE - r_oc - 1000) / 700, 6) END AS vp_above_core FROM ok""")
+def generated_models(spark, sf):
+    g = model.generate(parameters(spark, sf), "p_partkey", BASE)
+    at = lambda c, v: F.max(F.when(c, F.col(v)))
+    outer, inner = F.col("section") == "outer-core", F.col("section") == "inner-core"
+    return g.groupBy("p_partkey", "status").agg(
+        F.count("*").alias("n_rows"), rnd(at(outer & (F.col("node") == 0), "depth")).alias("cmb_depth"),
+        rnd(at(inner & (F.col("node") == 0), "vp")).alias("vp_icb_inner"),
+        rnd(at(inner & (F.col("node") == 4), "vs")).alias("vs_centre"),
+        rnd(F.max(F.when(F.col("section") == "mantle", F.struct("node", "vp")))["vp"]).alias("vp_above_core"))
+
+
 @registered("model_validity", sql="""WITH p AS (SELECT p_partkey, 1600.0::DOUBLE + p_size * 10 AS r_oc, 300.0::DOUBLE + p_retailprice AS r_ic, 4.0::DOUBLE + p_size / 20.0 AS vp, 3.0::DOUBLE + p_partkey % 30 / 6.0 AS vs FROM part)
 SELECT CASE WHEN r_ic <= 0 OR r_oc <= 0 THEN 'nonpositive_radius' WHEN r_ic >= r_oc THEN 'radius_order' WHEN vs >= vp THEN 'vs_exceeds_vp' ELSE 'valid' END AS status,
   count(*) AS n, round(max(vp / sqrt(3)), 6) AS max_solid_vs FROM p GROUP BY 1""")

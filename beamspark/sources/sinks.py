@@ -71,12 +71,20 @@ def markdown_rows(df: DataFrame) -> DataFrame:
     return head.unionByName(df.select(F.lit(2).alias("place"), line.alias("line")))
 
 
-def locked_digest(rows: DataFrame, key: str, bucket: Column, content: Column) -> DataFrame:
-    """Digest per key of its sorted row digests, built over buckets so no key is gathered whole."""
-    r = rows.select(key, bucket.alias("bucket"), F.sha2(content, 256).alias("h"))
-    m = r.groupBy(key, "bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    top = F.array_sort(F.collect_list(F.struct("bucket", "h")))
-    return m.groupBy(key).agg(F.sha2(F.array_join(F.transform(top, lambda s: s["h"]), ""), 256).alias("digest"))
+def locked_digest(rows: DataFrame, key: str, content: Column) -> DataFrame:
+    """Digest per key of its row digests in order, whatever order the rows come in.
+
+    Repeats fold into a count, then digests merge by their leading characters in two steps, so even a
+    key with most of the rows is never gathered whole.
+    """
+    d = rows.groupBy(key, F.sha2(content, 256).alias("h")).agg(F.count("*").alias("n"))
+    d = d.select(key, F.col("h").alias("at"), F.sha2(F.concat_ws(":", "h", "n"), 256).alias("h"))
+    for width in (6, 3, 0):
+        at = F.substring("at", 1, width) if width else F.lit("")
+        parts = F.array_sort(F.collect_list(F.struct("at", "h")))
+        d = d.groupBy(key, at.alias("to")).agg(parts.alias("p")).select(
+            key, F.col("to").alias("at"), F.sha2(F.array_join(F.transform("p", lambda s: s["h"]), ""), 256).alias("h"))
+    return d.select(key, F.col("h").alias("digest"))
 
 
 def refuse_reserved_status(status: Column) -> Column:
