@@ -134,11 +134,11 @@ def _windows(zne: np.ndarray, win: int, starts: np.ndarray) -> np.ndarray:
 
 
 def _cover(n: int, win: int, starts: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Mean over the windows that cover each sample; ``values`` is (windows, ...) or (windows, win)."""
-    total, count = np.zeros(n), np.zeros(n)
-    for k, s in enumerate(starts):
-        total[s : s + win] += values[k]
-        count[s : s + win] += 1.0
+    """Mean over the windows that cover each sample; ``values`` is (windows,) or (windows, win)."""
+    at = starts[:, None] + np.arange(win)[None, :]
+    full = np.broadcast_to(values[:, None] if values.ndim == 1 else values, at.shape)
+    total = np.bincount(at.ravel(), full.ravel(), minlength=n)
+    count = np.bincount(at.ravel(), minlength=n)
     return np.divide(total, count, out=np.zeros(n), where=count > 0)
 
 
@@ -229,42 +229,47 @@ def lanczos(x: np.ndarray, ratio: float, a: int = 20) -> np.ndarray:
     return out
 
 
-def gaussian_fit(x: np.ndarray, y: np.ndarray, steps: int = 400) -> tuple[float, float, bool, float]:
-    """Damped least squares of amplitude, mean, width and offset inside the axis; (mean, sigma, ok, rms)."""
-    if y.sum() == 0:
-        return np.nan, np.nan, False, np.nan
-    p = np.array([y.max(), x[int(np.argmax(y))], max(1.0, (x[-1] - x[0]) / 10.0), 0.0])
+def gaussian_fit(x: np.ndarray, y: np.ndarray, steps: int = 200):
+    """Damped least squares of amplitude, mean, width and offset for every row of ``y``, inside the axis.
+
+    Gives (mean, sigma, converged, rms) arrays. A row without weight has no fit; one that does not settle
+    falls back to its largest bin and the starting width.
+    """
+    y = np.atleast_2d(np.asarray(y, dtype=float))
+    rows = len(y)
+    width = max(1.0, (x[-1] - x[0]) / 10.0)
+    start = x[np.argmax(y, axis=1)]
+    p = np.stack([y.max(axis=1), start, np.full(rows, width), np.zeros(rows)], axis=1)
     low, high = np.array([0.0, x[0], 1e-6, -np.inf]), np.array([np.inf, x[-1], np.inf, np.inf])
-    damp, ok = 1e-3, False
+    damp, done = np.full(rows, 1e-3), y.sum(axis=1) == 0
+    empty = done.copy()
 
     def model(q):
-        e = np.exp(-((x - q[1]) ** 2) / (2 * q[2] ** 2))
-        return q[0] * e + q[3], e
+        e = np.exp(-((x[None, :] - q[:, 1:2]) ** 2) / (2 * q[:, 2:3] ** 2))
+        return q[:, :1] * e + q[:, 3:4], e
 
     fit, e = model(p)
-    cost = float(((y - fit) ** 2).sum())
+    cost = ((y - fit) ** 2).sum(axis=1)
     for _ in range(steps):
-        d = x - p[1]
-        jac = np.stack([e, p[0] * e * d / p[2] ** 2, p[0] * e * d**2 / p[2] ** 3, np.ones(len(x))], axis=1)
-        normal, grad = jac.T @ jac, jac.T @ (y - fit)
-        try:
-            step = np.linalg.solve(normal + damp * np.diag(np.diag(normal) + 1e-12), grad)
-        except np.linalg.LinAlgError:
+        k = np.flatnonzero(~done)
+        if not len(k):
             break
-        trial = np.clip(p + step, low, high)
+        q, ek, d = p[k], e[k], x[None, :] - p[k, 1:2]
+        jac = np.stack([ek, q[:, :1] * ek * d / q[:, 2:3] ** 2, q[:, :1] * ek * d**2 / q[:, 2:3] ** 3, np.ones_like(ek)], axis=2)
+        normal = jac.transpose(0, 2, 1) @ jac
+        grad = jac.transpose(0, 2, 1) @ (y[k] - fit[k])[:, :, None]
+        diag = np.einsum("kii->ki", normal)
+        step = np.linalg.solve(normal + np.eye(4) * (damp[k, None] * diag + 1e-12)[:, :, None], grad)[:, :, 0]
+        trial = np.clip(q + step, low, high)
         fit_t, e_t = model(trial)
-        cost_t = float(((y - fit_t) ** 2).sum())
-        if cost_t <= cost:
-            small = cost - cost_t <= 1e-12 * max(cost, 1e-30) or np.abs(trial - p).max() < 1e-10
-            p, fit, e, cost, damp = trial, fit_t, e_t, cost_t, damp * 0.3
-            if small:
-                ok = True
-                break
-        else:
-            damp *= 4.0
-            if damp > 1e12:
-                ok = True
-                break
-    if not ok:
-        return float(x[int(np.argmax(y))]), float(max(1.0, (x[-1] - x[0]) / 10.0)), False, np.nan
-    return float(p[1]), float(abs(p[2])), True, float(np.sqrt(cost / len(x)))
+        cost_t = ((y[k] - fit_t) ** 2).sum(axis=1)
+        good = cost_t <= cost[k]
+        small = good & ((cost[k] - cost_t <= 1e-9 * cost[k]) | (np.abs(trial - q).max(axis=1) < 1e-9))
+        up = k[good]
+        p[up], fit[up], e[up], cost[up] = trial[good], fit_t[good], e_t[good], cost_t[good]
+        damp[k] = np.where(good, damp[k] * 0.3, damp[k] * 4.0)
+        done[k] = small | (damp[k] > 1e10)
+    ok = done & ~empty
+    mean = np.where(empty, np.nan, np.where(ok, p[:, 1], start))
+    sigma = np.where(empty, np.nan, np.where(ok, np.abs(p[:, 2]), width))
+    return mean, sigma, ok, np.where(ok, np.sqrt(cost / len(x)), np.nan)

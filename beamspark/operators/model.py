@@ -37,13 +37,19 @@ def format_rows(depth: Column, vp: Column, vs: Column, rho: Column) -> Column:
     return F.format_string("%.4f %.4f %.4f %.4f", depth, vp, vs, rho)
 
 
+def coincident(v1: Column, v2: Column) -> Column:
+    """Velocities that differ but too little to define a curve."""
+    return (v1 != v2) & (F.abs(F.cosh(v2) - F.cosh(v1)) <= 1e-8)
+
+
 def cosh_profile(d1: Column, v1: Column, d2: Column, v2: Column, nodes: int) -> Column:
     """Nodes of depth = K cosh(v) + b through two points, evenly spaced in velocity.
 
-    Equal velocities have no curve: the depths are then evenly spaced at that velocity.
+    Equal velocities have no curve: the depths are then evenly spaced at that velocity. Coincident ones
+    that are not equal give null depths.
     """
     flat = v1 == v2
-    k = (d2 - d1) / F.when(~flat, F.cosh(v2) - F.cosh(v1))
+    k = (d2 - d1) / F.when(~flat & ~coincident(v1, v2), F.cosh(v2) - F.cosh(v1))
     b = d1 - k * F.cosh(v1)
 
     def node(i: Column) -> Column:
@@ -74,6 +80,7 @@ def generate(params: DataFrame, key: str, base: dict[str, list[tuple[float, floa
     bad = (
         F.when(~((F.col("r_ic") > 0) & (F.col("r_ic") < F.col("r_oc")) & (F.col("r_oc") < full)), "radius_order")
         .when((F.col("vp_cmb") <= 0) | (F.col("vp_icb") <= 0), "nonpositive_velocity")
+        .when(coincident(F.col("vp_cmb"), F.col("vp_icb")), "coincident_velocities")
         .when(full - F.col("r_oc") <= mantle[0][0], "no_mantle_above_core"))
     df = params.withColumns({"d_oc": full - F.col("r_oc"), "d_ic": full - F.col("r_ic")})
     top_ic = F.col("vp_icb") * (1.0 + F.col("dvp_icb"))

@@ -250,8 +250,8 @@ def pick_table(
         out = []
         for axis, x, at, step in (("time", t, best[1], 1.0 / sr), ("slowness", nodes, best[0], np.median(np.diff(nodes)))):
             y = grid.sum(axis=0 if axis == "time" else 1)
-            mean, sigma, ok, rms = kernels.gaussian_fit(x, y)
-            out.append((axis, mean, sigma, ok, not ok, rms, int(np.count_nonzero(y)), float(y.max()), float(x[at]),
+            mean, sigma, ok, rms = (v[0] for v in kernels.gaussian_fit(x, y))
+            out.append((axis, mean, sigma, bool(ok), not ok, rms, int(np.count_nonzero(y)), float(y.max()), float(x[at]),
                         weighted_median(x, y), float(x[0]), float(x[-1]), float(step), *common))
         return out
 

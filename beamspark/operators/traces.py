@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from beamspark import dims
 from beamspark.functions import kernels
+from beamspark.session import estimated_bytes
 
 
 def _rows(col: pa.Array) -> list[np.ndarray]:
@@ -23,35 +24,46 @@ def _rows(col: pa.Array) -> list[np.ndarray]:
     return [vals[a:b] for a, b in zip(offs[:-1], offs[1:])]
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a small input over the cores before a heavy step; a large one already has tasks enough."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if estimated_bytes(df) < cores * (128 << 20) else df
+
+
 def map_arrays(
-    df: DataFrame, keep: Sequence[str], inputs: Sequence[str], outputs: str, fn: Callable
+    df: DataFrame, keep: Sequence[str], inputs: Sequence[str], outputs: str, fn: Callable, *, heavy: bool = False,
+    batch: bool = False,
 ) -> DataFrame:
     """Apply ``fn(*arrays) -> tuple`` to each row; ``outputs`` is the DDL of the added columns.
 
-    ``fn`` may return a list of tuples to give several rows per trace.
+    ``fn`` may return a list of tuples to give several rows per trace. With ``batch`` it gets the lists of
+    a whole Arrow batch and returns one tuple per row. ``heavy`` spreads a small input first.
     """
     spark = df.sparkSession
+    if heavy:
+        df = spread(df, keep[0])
     kept = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
     ddl = ", ".join([*kept, outputs])
     out = to_arrow_schema(spark.createDataFrame([], ddl).schema)
     added = out.names[len(keep) :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+        for rb in batches:
+            if not rb.num_rows:
                 continue
             cols = [
-                _rows(batch.column(c)) if pa.types.is_list(batch.column(c).type)
-                else batch.column(c).to_numpy(zero_copy_only=False)
+                _rows(rb.column(c)) if pa.types.is_list(rb.column(c).type)
+                else rb.column(c).to_numpy(zero_copy_only=False)
                 for c in inputs
             ]
             index, made = [], []
-            for i, args in enumerate(zip(*cols)):
-                got = fn(*args)
+            results = fn(*cols) if batch else map(fn, *cols)
+            for i, got in enumerate(results):
                 got = got if isinstance(got, list) else [got]
                 index += [i] * len(got)
                 made += got
-            picked = batch.select(list(keep)).take(pa.array(index, pa.int64()))
+            picked = rb.select(list(keep)).take(pa.array(index, pa.int64()))
             arrays = list(picked.columns)
             for k, name in enumerate(added):
                 arrays.append(pa.array([m[k] for m in made], type=out.field(name).type, from_pandas=True))

@@ -97,7 +97,7 @@ def percentile_model_picks(spark, sf):
   SELECT o_custkey, 100.0::DOUBLE + i * 10 AS radius, (100.0::DOUBLE + i * 10) * 0.9::DOUBLE + i * i * 0.05::DOUBLE AS pred, obs, n FROM o, range(21) r(i)), f AS (
   SELECT o_custkey, radius, abs(obs - pred) * sqrt(n) AS misfit,
          (lead(pred) OVER w - lag(pred) OVER w) / (lead(radius) OVER w - lag(radius) OVER w) AS slope FROM g WINDOW w AS (PARTITION BY o_custkey ORDER BY radius))
-SELECT o_custkey, arg_min(radius, (misfit, radius)) AS best_radius, round(min(misfit), 6) AS misfit,
+SELECT o_custkey, arg_min(radius, (misfit, radius)) AS best_radius, round(min(misfit) * 1.0001234567::DOUBLE, 6) AS misfit,
   round(max(slope) FILTER (slope IS NOT NULL AND radius = b), 6) AS slope
 FROM f JOIN (SELECT o_custkey, arg_min(radius, (misfit, radius)) AS b FROM f GROUP BY 1) USING (o_custkey) GROUP BY 1""")
 def radius_misfit(spark, sf):
@@ -107,7 +107,7 @@ def radius_misfit(spark, sf):
     g = g.withColumn("pred", F.col("radius") * 0.9 + F.col("i") * F.col("i") * F.lit(0.05))
     g = g.withColumn("misfit", F.abs(F.col("obs") - F.col("pred")) * F.sqrt("n"))
     b = model.best_radius(g, ["o_custkey"], "radius", "misfit")
-    return b.select("o_custkey", "best_radius", rnd("misfit").alias("misfit"), rnd("slope").alias("slope"))
+    return b.select("o_custkey", "best_radius", rnd(F.col("misfit") * F.lit(1.0001234567)).alias("misfit"), rnd("slope").alias("slope"))
 
 
 # (depth, vp, vs, rho) rows of the base model that the generated cores replace.
@@ -120,7 +120,7 @@ PARAM_SQL = """prm AS (SELECT p_partkey, 1600.0::DOUBLE + p_size * 6 AS r_oc, 4.
   CASE WHEN p_partkey % 40 = 7 THEN -1.0::DOUBLE ELSE 4.2::DOUBLE + p_partkey % 30 / 20.0::DOUBLE END AS vp_icb,
   200.0::DOUBLE + p_partkey % 170 * 10 AS r_ic, p_size / 200.0::DOUBLE AS dvp FROM part), st AS (
   SELECT *, vp_icb * (1 + dvp) AS v_ic, vp_icb * (1 + dvp) + (vp_icb - vp_cmb) / (r_oc - r_ic) * r_ic AS v_end FROM prm), ok AS (
-  SELECT *, CASE WHEN NOT (r_ic > 0 AND r_ic < r_oc) THEN 'radius_order' WHEN vp_icb <= 0 OR v_end <= 0 THEN 'nonpositive_velocity' ELSE 'valid' END AS status FROM st)"""
+  SELECT *, CASE WHEN NOT (r_ic > 0 AND r_ic < r_oc) THEN 'radius_order' WHEN vp_icb <= 0 THEN 'nonpositive_velocity' WHEN vp_cmb <> vp_icb AND abs(cosh(vp_icb) - cosh(vp_cmb)) <= 1e-8 THEN 'coincident_velocities' WHEN v_end <= 0 THEN 'nonpositive_velocity' ELSE 'valid' END AS status FROM st)"""
 
 
 def parameters(spark, sf):
@@ -135,7 +135,7 @@ def parameters(spark, sf):
 SELECT p_partkey, status, CASE WHEN status = 'valid' THEN 24 ELSE 1 END::BIGINT AS n_rows,
   CASE WHEN status = 'valid' THEN round(3389.5::DOUBLE - r_oc, 6) END AS cmb_depth,
   CASE WHEN status = 'valid' THEN round(v_ic, 6) END AS vp_icb_inner, CASE WHEN status = 'valid' THEN round(v_end / sqrt(3.0::DOUBLE), 6) END AS vs_centre,
-  CASE WHEN status = 'valid' THEN round(9.0::DOUBLE + 0.8::DOUBLE * (3389.5::DOUBLE - r_oc - 1000) / 700, 6) END AS vp_above_core FROM ok""")
+  CASE WHEN status = 'valid' THEN round(9.0::DOUBLE + 0.8::DOUBLE * (least(3389.5::DOUBLE - r_oc, 1700.0) - 1000) / 700, 6) END AS vp_above_core FROM ok""")
 def generated_models(spark, sf):
     g = model.generate(parameters(spark, sf), "p_partkey", BASE)
     at = lambda c, v: F.max(F.when(c, F.col(v)))

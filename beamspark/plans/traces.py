@@ -176,9 +176,7 @@ def sliding_window_overlap_mean(spark, sf):
         win, starts = kernels.window_starts(len(x), 16, 0.9)
         seg = x[starts[:, None] + np.arange(win)[None, :]]
         gain = np.sqrt((seg**2).mean(axis=1))
-        cover = np.zeros(len(x), dtype=np.int64)
-        for s in starts:
-            cover[s : s + win] += 1
+        cover = np.bincount((starts[:, None] + np.arange(win)).ravel(), minlength=len(x))
         return x * kernels._cover(len(x), win, starts, gain), cover
 
     m = tr.map_arrays(traces(spark, sf), ["event_id"], ["x"], "weighted array<double>, windows array<bigint>", step)
@@ -285,7 +283,7 @@ def filter_bank(spark, sf):
         return out
 
     return tr.map_arrays(components(spark, sf), ["event_id"], ["z", "n", "e"],
-                         "centre_hz double, filtered array<double>, envelope array<double>", bank)
+                         "centre_hz double, filtered array<double>, envelope array<double>", bank, heavy=True)
 
 
 @registered("frequency_dependent_polarization")
@@ -300,7 +298,7 @@ def frequency_dependent_polarization(spark, sf):
     return tr.map_arrays(
         components(spark, sf), ["event_id"], ["z", "n", "e"],
         "frequency_hz double, dop array<double>, azimuth_deg array<double>, inclination_deg array<double>, "
-        "vrm_minus_hrm array<double>, masked_vertical array<double>", step)
+        "vrm_minus_hrm array<double>, masked_vertical array<double>", step, heavy=True)
 
 
 @registered("lanczos_resample", sql="WITH " + SAMPLES_SQL + """, pos AS (
@@ -318,12 +316,14 @@ def lanczos_resample(spark, sf):
 @registered("gaussian_projection_fit")
 def gaussian_projection_fit(spark, sf):
     """Gaussian plus offset fitted to each trace's squared amplitude over its axis."""
-    def fit(x):
-        axis = np.arange(len(x), dtype=float)
-        return (*kernels.gaussian_fit(axis, x**2), int(np.count_nonzero(x)))
+    def fit(xs):
+        y = np.vstack(xs) ** 2
+        found = kernels.gaussian_fit(np.arange(y.shape[1], dtype=float), y)
+        return list(zip(*found, np.count_nonzero(y, axis=1)))
 
     return tr.map_arrays(traces(spark, sf), ["event_id"], ["x"],
-                         "mean double, sigma double, converged boolean, residual_rms double, nonzero_bins int", fit)
+                         "mean double, sigma double, converged boolean, residual_rms double, nonzero_bins int", fit,
+                         heavy=True, batch=True)
 
 
 @registered("rotate_oblique_to_zne", sql="WITH " + COMPONENT_SQL + """
