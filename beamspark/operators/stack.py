@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beamspark import dims
+from beamspark.session import estimated_bytes
 
 CHANNELS = {"linear": 1, "nth_root": 1, "pws": 3}
 BUFFER_BYTES = 96 << 20
+SMALLEST_DEALT = 2 << 20
 
 
 def valid_or_all(x: str = "x") -> Column:
@@ -137,9 +139,14 @@ def partial_stacks(
     order: float = dims.NTH_ROOT,
     time_range: tuple[int, int] | None = None,
     buffer_bytes: int = BUFFER_BYTES,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Map side: shifted sums of the traces each task holds.
 
+    ``blocks`` deals the slowness axis over that many tasks. Left alone, only a set of traces too small
+    to fill the cores but heavy enough to want them (by the planner's size estimate) is dealt out;
+    copies of it cost little there, and large inputs are never copied.
+
     Optional trace columns: ``members array<int>`` names the realisations a trace takes part in
     (absent: realisation 0); ``jitter_s array<double>`` and ``distances array<double>`` give, in the
     order of ``members``, a time shift or a replaced distance for that realisation.
@@ -149,6 +156,12 @@ def partial_stacks(
     cols = [*lanes, "distance", "x", "valid", *[c for c, there in has.items() if there]]
     source = traces.select(*cols)
     nodes = np.asarray(list(slowness), dtype=np.float64)
+    if blocks is None:
+        cores, size = traces.sparkSession.sparkContext.defaultParallelism, estimated_bytes(traces)
+        blocks = min(len(nodes), 2 * cores) if SMALLEST_DEALT <= size < cores * SMALLEST_DEALT * 8 else 1
+    if blocks > 1:
+        fan = source.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        source = fan.repartitionByRange(blocks, "blk")
     width = CHANNELS[method]
     lane_types = [f"`{c}` {source.schema[c].dataType.simpleString()}" for c in lanes]
     acc_cols = [f"acc{k}" for k in range(width)]
@@ -164,7 +177,13 @@ def partial_stacks(
         arrays.append(_list_array(np.rint(sums[-1]).astype(np.int32), pa.int32()))
         return pa.RecordBatch.from_arrays(arrays, [*lanes, "real", "si", *acc_cols, "cnt"])
 
+    group_cols = [*lanes, "blk"] if blocks > 1 else list(lanes)
+
     def stack_lane(key, lane_fields, tbl: pa.Table) -> Iterator[pa.RecordBatch]:
+        mine = range(len(nodes))
+        if blocks > 1:
+            *key, blk = key
+            mine = range(int(blk), len(nodes), blocks)
         xs = tbl.column("x").combine_chunks()
         n = int(np.max(np.diff(np.asarray(xs.offsets)))) if len(xs) else 0
         if n == 0:
@@ -200,24 +219,24 @@ def partial_stacks(
                     xr, vr = _lerp_shift(xr, vr, jit[pick] * sr)
                 parts = _channels(xr, vr, method, order)
                 dr = other[pick] if other is not None else dist[owner[pick]]
-                for si, s in enumerate(nodes):
-                    rolls = np.rint(-s * (dr - ref) * sr).astype(np.int64)
+                for si in mine:
+                    rolls = np.rint(-nodes[si] * (dr - ref) * sr).astype(np.int64)
                     sums = _shift_add(parts, rolls, np.ones((1, len(pick))), lo, hi)
                     yield emit(key, lane_fields, np.array([r]), si, sums)
             return
         weights = np.zeros((len(reals), len(x)))
         np.add.at(weights, (np.searchsorted(reals, real_of), owner), 1.0)
         parts = _channels(x, valid, method, order)
-        for si, s in enumerate(nodes):
-            rolls = np.rint(-s * (dist - ref) * sr).astype(np.int64)
+        for si in mine:
+            rolls = np.rint(-nodes[si] * (dist - ref) * sr).astype(np.int64)
             yield emit(key, lane_fields, reals, si, _shift_add(parts, rolls, weights, lo, hi))
 
     def by_lane(tbl: pa.Table) -> Iterator[pa.RecordBatch]:
         fields = [tbl.schema.field(c) for c in lanes]
-        if not lanes:
+        if not group_cols:
             yield from stack_lane((), fields, tbl)
             return
-        codes = tbl.select(list(lanes)).to_pandas().groupby(list(lanes), dropna=False, sort=False).indices
+        codes = tbl.select(group_cols).to_pandas().groupby(group_cols, dropna=False, sort=False).indices
         for key, idx in codes.items():
             key = key if isinstance(key, tuple) else (key,)
             plain = tuple(k.item() if hasattr(k, "item") else k for k in key)
@@ -352,6 +371,7 @@ def vespagram(
     power_window_s: float | None = dims.POWER_WINDOW_S,
     time_range: tuple[int, int] | None = None,
     buffer_bytes: int = BUFFER_BYTES,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Stack and smooth: one row per (lane, realisation, slowness) with arrays over time.
 
@@ -364,7 +384,7 @@ def vespagram(
         raise ValueError("phase-weighted stacking takes pw_order; the root order does not apply to it")
     part = partial_stacks(
         traces, lanes, slowness, ref=ref, sr=sr, method=method, order=order,
-        time_range=time_range, buffer_bytes=buffer_bytes,
+        time_range=time_range, buffer_bytes=buffer_bytes, blocks=blocks,
     )
     samples = None if power_window_s is None else max(1, int(round(power_window_s * sr)))
     return merge_grids(

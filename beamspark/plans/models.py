@@ -132,7 +132,7 @@ def parameters(spark, sf):
 
 
 @registered("generated_models", sql="WITH " + PARAM_SQL + """
-SELECT p_partkey, status, CASE WHEN status = 'valid' THEN 24 ELSE 1 END::BIGINT AS n_rows,
+SELECT p_partkey, status, CASE WHEN status <> 'valid' THEN 1 WHEN 3389.5::DOUBLE - r_oc > 1700 THEN 25 ELSE 24 END::BIGINT AS n_rows,
   CASE WHEN status = 'valid' THEN round(3389.5::DOUBLE - r_oc, 6) END AS cmb_depth,
   CASE WHEN status = 'valid' THEN round(v_ic, 6) END AS vp_icb_inner, CASE WHEN status = 'valid' THEN round(v_end / sqrt(3.0::DOUBLE), 6) END AS vs_centre,
   CASE WHEN status = 'valid' THEN round(9.0::DOUBLE + 0.8::DOUBLE * (least(3389.5::DOUBLE - r_oc, 1700.0) - 1000) / 700, 6) END AS vp_above_core FROM ok""")
