@@ -16,20 +16,26 @@ from beamspark.session import estimated_bytes
 
 COARSE = 12
 BUCKETS = COARSE * COARSE
+SLICE_ROWS = 200_000
 ONE_LEVEL_BYTES = 32 << 30
 
 
 def _slices(df: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
-    """Number of a key's quantile cuts below ``at``, found among every twelfth cut and then within."""
+    """Number of a key's quantile cuts below ``at``, found among every twelfth cut and then within.
+
+    Only keys with more than ``SLICE_ROWS`` rows are cut; the others are one slice already.
+    """
     cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    edges = df.groupBy(*keys).agg(F.percentile_approx(at, cuts, 10 * BUCKETS).alias("e"))
+    large = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > SLICE_ROWS)
+    edges = df.join(large, keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(at, cuts, 10 * BUCKETS).alias("e"))
     steps = F.sequence(F.lit(0), F.lit(COARSE - 1))
     edges = edges.select(
         *keys, F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda k: F.get("e", k * COARSE - 1)).alias("wide"),
         F.transform(steps, lambda k: F.slice("e", k * COARSE + 1, F.lit(COARSE - 1))).alias("fine"))
     below = lambda arr: F.size(F.filter(arr, lambda e: e < F.col(at)))
-    out = df.join(edges, keys).withColumn("_w", below("wide"))
-    return out.withColumn(name, F.col("_w") * COARSE + below(F.get("fine", F.col("_w")))).drop("_w", "wide", "fine")
+    out = df.join(edges, keys, "left").withColumn("_w", below("wide"))
+    place = F.when(F.col("wide").isNotNull(), F.col("_w") * COARSE + below(F.get("fine", F.col("_w"))))
+    return out.withColumn(name, F.coalesce(place, F.lit(0))).drop("_w", "wide", "fine")
 
 
 def bucketed(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:

@@ -21,6 +21,7 @@ from beamspark.session import estimated_bytes
 CHANNELS = {"linear": 1, "nth_root": 1, "pws": 3}
 BUFFER_BYTES = 96 << 20
 SMALLEST_DEALT = 2 << 20
+REALS_PER_GROUP = 64
 
 
 def valid_or_all(x: str = "x") -> Column:
@@ -281,7 +282,7 @@ def merge_grids(
     min_support: int = dims.MIN_STACK_SUPPORT,
     power_samples: int | None = None,
 ) -> DataFrame:
-    """Reduce side: add the partial rows of one (lane, realisation, slowness) as they stream in.
+    """Reduce side: add the partial rows of each (lane, realisation, slowness) as they stream in.
 
     Gives one row per slowness with ``beam`` and ``support`` arrays, and ``power`` when
     ``power_samples`` asks for the tapered moving power. Unsupported cells are null.
@@ -290,9 +291,11 @@ def merge_grids(
         raise ValueError("min_support must be at least 1")
     nodes = [float(s) for s in slowness]
     width = CHANNELS[method]
-    keys = [*lanes, "real", "si"]
-    types = {f.name: f.dataType.simpleString() for f in partials.schema.fields}
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys])
+    # Neighbouring realisations share a group: fewer, larger calls, still bounded by the time axis.
+    keys = [*lanes, "si", "rblock"]
+    part = partials.withColumn("rblock", F.floor(F.col("real") / F.lit(REALS_PER_GROUP)).cast("int"))
+    types = {f.name: f.dataType.simpleString() for f in part.schema.fields}
+    schema = ", ".join([f"`{k}` {types[k]}" for k in (*lanes, "real", "si")])
     schema += ", s double, beam array<double>, support array<int>"
     if power_samples is not None:
         schema += ", power array<double>"
@@ -306,40 +309,48 @@ def merge_grids(
         return old
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: list = [None] * (width + 1)
+        sums: dict[int, list] = {}
         fields = None
         for batch in batches:
             fields = batch.schema
+            reals = batch.column("real").to_pylist()
             for c in range(width + 1):
                 col = batch.column(f"acc{c}" if c < width else "cnt")
-                offs = np.asarray(col.offsets)
-                vals = np.asarray(col.values)
-                for a, b in zip(offs[:-1], offs[1:]):
-                    sums[c] = add(sums[c], vals[a:b])
-        count = sums[-1]
-        ok = count >= min_support
-        safe = np.maximum(count, 1)
-        mean = sums[0] / safe
-        if method == "nth_root":
-            mean = np.sign(mean) * np.abs(mean) ** order
-        elif method == "pws":
-            mean = mean * (np.hypot(sums[1], sums[2]) / safe) ** pw_order
-        cols = [pa.array([k.as_py()], type=fields.field(n).type) for k, n in zip(key, keys)]
-        names = [*keys, "s", "beam", "support"]
-        cols += [
-            pa.array([nodes[key[-1].as_py()]]),
-            pa.ListArray.from_arrays(pa.array([0, len(mean)], pa.int32()), pa.array(mean, mask=~ok)),
-            _list_array(count[None, :].astype(np.int32), pa.int32()),
-        ]
-        if power_samples is not None:
-            power, has_power = tapered_power(mean, ok, power_samples)
-            cols.append(
-                pa.ListArray.from_arrays(pa.array([0, len(power)], pa.int32()), pa.array(power, mask=~has_power))
-            )
-            names.append("power")
+                offs, vals = np.asarray(col.offsets), np.asarray(col.values)
+                for r, a, b in zip(reals, offs[:-1], offs[1:]):
+                    held = sums.setdefault(r, [None] * (width + 1))
+                    held[c] = add(held[c], vals[a:b])
+        rows = {"beam": [], "support": [], "power": []}
+        for r in sorted(sums):
+            *acc, count = sums[r]
+            ok = count >= min_support
+            safe = np.maximum(count, 1)
+            mean = acc[0] / safe
+            if method == "nth_root":
+                mean = np.sign(mean) * np.abs(mean) ** order
+            elif method == "pws":
+                mean = mean * (np.hypot(acc[1], acc[2]) / safe) ** pw_order
+            rows["beam"].append(pa.array(mean, mask=~ok))
+            rows["support"].append(pa.array(count.astype(np.int32)))
+            if power_samples is not None:
+                power, has = tapered_power(mean, ok, power_samples)
+                rows["power"].append(pa.array(power, mask=~has))
+
+        def lists(arrays: list[pa.Array]) -> pa.ListArray:
+            offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(arrays))
+
+        n, si = len(sums), key[len(lanes)].as_py()
+        cols = [pa.array([k.as_py()] * n, type=fields.field(c).type) for k, c in zip(key, lanes)]
+        cols += [pa.array(sorted(sums), pa.int32()), pa.array([si] * n, pa.int32()), pa.array([nodes[si]] * n)]
+        names = [*lanes, "real", "si", "s"]
+        for name, arrays in rows.items():
+            if arrays:
+                cols.append(lists(arrays))
+                names.append(name)
         yield pa.RecordBatch.from_arrays(cols, names)
 
-    return partials.groupBy(*keys).applyInArrow(merge, schema)
+    return part.groupBy(*keys).applyInArrow(merge, schema)
 
 
 def taper(samples: int) -> np.ndarray:
@@ -352,7 +363,12 @@ def tapered_power(beam: np.ndarray, ok: np.ndarray, samples: int) -> tuple[np.nd
     """Weighted mean of squared beam over supported cells, centred as a same-length convolution."""
     h = taper(max(1, min(len(beam), samples)))
     top = np.convolve(np.where(ok, beam, 0.0) ** 2, h, mode="same")
-    bottom = np.convolve(ok.astype(np.float64), h, mode="same")
+    if ok.all():
+        # Every cell counts: the weight inside the trace is a difference of running sums.
+        total, first = np.concatenate(([0.0], np.cumsum(h))), np.arange(len(beam)) + (len(h) - 1) // 2
+        bottom = total[np.minimum(first + 1, len(h))] - total[np.maximum(first - len(beam) + 1, 0)]
+    else:
+        bottom = np.convolve(ok.astype(np.float64), h, mode="same")
     has = ok & (bottom > 0.0)
     return np.divide(top, bottom, out=np.zeros(len(beam)), where=has), has
 
