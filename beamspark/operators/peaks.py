@@ -46,6 +46,28 @@ def global_peak(
     return peak_columns(out, keys)
 
 
+def global_peak_of_rows(
+    grid: DataFrame, keys: Sequence[str], t_min: float, t_max: float, *, pre_s: float, sr: float, start: int = 0,
+    min_support: int = dims.MIN_STACK_SUPPORT,
+) -> DataFrame:
+    """:func:`global_peak` straight from the array rows of a grid: each row offers its own best cell, so no
+    cell becomes a row and only one candidate per slowness is shuffled."""
+    time = lambda i: (i + start) / F.lit(float(sr)) - F.lit(float(pre_s))
+    inside = lambda i: time(i).between(t_min, t_max)
+
+    def offer(c: Column, i: Column) -> Column:
+        cell = F.struct(c["power"].alias("power"), (-(i + start)).alias("nti"), time(i).alias("t"), c["support"].alias("support"))
+        return F.when(inside(i) & c["power"].isNotNull() & (c["support"] >= min_support), cell)
+
+    rows = grid.select(
+        *keys, "si", "s", F.size(F.filter("support", lambda _, i: inside(i))).alias("n"),
+        F.array_max(F.transform(F.arrays_zip("power", "support"), offer)).alias("c"))
+    best = F.struct(F.col("c.power").alias("power"), (-F.col("si")).alias("nsi"), F.col("c.nti").alias("nti"),
+                    F.col("s").alias("s"), F.col("c.t").alias("t"), F.col("c.support").alias("support"))
+    out = rows.groupBy(*keys).agg(F.sum("n").alias("n_window"), F.max(F.when(F.col("c").isNotNull(), best)).alias("p"))
+    return peak_columns(out, keys)
+
+
 def peak_columns(df: DataFrame, keys: Sequence[str], counted: str = "n_window") -> DataFrame:
     """Unpack a peak struct into the result row: coordinates, indices, support, status and reason."""
     empty, low = F.col(counted) == 0, F.col("p").isNull()

@@ -1,4 +1,4 @@
-"""Exact ranks, quantiles and subsets for groups of any size.
+"""Exact ranks, quantiles and neighbours for groups of any size.
 
 A plain ordered window would sort a whole group in one task. Here equal values are first added up, the
 group is cut at approximate quantiles, and only the short per-bucket totals are scanned in order; each
@@ -96,27 +96,3 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str)
     total = c.groupBy(*keys).agg(F.max("cum").alias("total"))
     return c.join(total, list(keys)).where(F.col("cum") >= 0.5 * F.col("total")).groupBy(*keys).agg(
         F.min(value).alias("weighted_median"))
-
-
-def smallest(
-    df: DataFrame, keys: Sequence[str], score: str, tie: str, count: str, span: int
-) -> DataFrame:
-    """The ``count`` rows (a column, constant per group) of smallest (score, tie) in each group.
-
-    ``score`` is an integer spread over [0, span), so equal-width buckets are even. Whole buckets are
-    taken or left by their totals; only the bucket that straddles the limit is put in order.
-    """
-    keys = list(keys)
-    width = max(1, -(-span // (32 * BUCKETS)))
-    d = df.withColumn("bucket", F.floor(F.col(score) / F.lit(width)))
-    totals = d.groupBy(*keys, "bucket").agg(F.count("*").alias("bn"), F.first(count).alias("want"))
-    upto = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    totals = totals.withColumn("cum", F.sum("bn").over(upto))
-    edge = totals.where(F.col("cum") >= F.col("want")).groupBy(*keys).agg(
-        F.min(F.struct("bucket", (F.col("want") - F.col("cum") + F.col("bn")).alias("left"))).alias("edge"))
-    j = d.join(edge, keys, "left")
-    whole = j.where(F.col("edge").isNull() | (F.col("bucket") < F.col("edge.bucket")))
-    part = j.where(F.col("bucket") == F.col("edge.bucket"))
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(score, tie))
-    part = part.withColumn("rn", rn).where(F.col("rn") <= F.col("edge.left")).drop("rn")
-    return whole.unionByName(part).drop("bucket", "edge")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from beamspark import dims
 from beamspark.functions import kernels
-from beamspark.operators import peaks, ranks, stack
+from beamspark.operators import peaks, stack
 from beamspark.operators.traces import map_arrays
 
 # ---- designs ---------------------------------------------------------------------------------
@@ -81,36 +81,55 @@ def fidelity(level: str, n_bootstrap: int) -> dict:
             "published_n_bootstrap": dims.PUBLISHED_BOOTSTRAP_N}
 
 
-def subset_members(
+SCORE_BUCKETS = 4096
+
+
+def with_subset_members(
     traces: DataFrame, lane: str, n_real: int, score, span: int, stratum: Column | None = None
 ) -> DataFrame:
-    """(lane, event_id, members) of exact two-thirds subsets at any number of traces.
+    """Traces with ``members``: the realisations whose exact two-thirds subset of the lane has the trace.
+
+    ``score(realisation)`` is an integer in [0, span) that orders the traces of a lane, the id settles
+    ties, and the smallest are taken. With ``stratum`` (a boolean: inside the cluster) half comes from
+    inside and the rest from outside, and a lane that cannot supply either part is refused.
 
-    ``score(realisation)`` is an integer in [0, span) that orders the traces of a lane; the smallest are taken. With ``stratum`` (a
-    boolean: inside the cluster) half comes from inside and the rest from outside, and a lane that
-    cannot supply either part is refused.
+    Only bucket counts are shuffled: a trace knows from its own scores which realisations surely take
+    or leave it, and the few that fall in the bucket on the limit are put in order.
     """
-    ids = traces.select(lane, "event_id", *([stratum.alias("inside")] if stratum is not None else []))
-    sizes = [F.count("*").alias("n")]
-    if stratum is not None:
-        sizes.append(F.count_if("inside").alias("n_in"))
-    size = ids.groupBy(lane).agg(*sizes)
+    width = max(1, -(-span // SCORE_BUCKETS))
+    t = traces.withColumn("part", F.lit(True) if stratum is None else stratum)
+    reals = F.sequence(F.lit(0), F.lit(n_real - 1))
+    bucket = lambda r: F.floor(score(r) / F.lit(width))
+    fan = t.select(lane, "part", "event_id", F.explode(reals).alias("real"))
+    counts = fan.groupBy(lane, "part", "real", bucket(F.col("real")).alias("bucket")).agg(F.count("*").alias("bn"))
+    size = t.groupBy(lane).agg(F.count("*").alias("n"), F.count_if("part").alias("n_in"))
     take = F.greatest(F.lit(2), F.floor(F.col("n") * 2 / 3)).cast("bigint")
     if stratum is None:
-        size = size.select(lane, take.alias("take"))
-        keys = [lane, "real"]
+        size = size.select(lane, take.alias("want_in"), F.lit(0).cast("bigint").alias("want_out"))
     else:
         n_in = F.greatest(F.lit(1), F.floor(take / 2)).cast("bigint")
         short = (n_in > F.col("n_in")) | (take - n_in > F.col("n") - F.col("n_in"))
         guard = F.when(short, F.raise_error(F.lit("blocked_distance_cluster_pathology")).cast("bigint"))
-        size = size.select(lane, F.coalesce(guard, n_in).alias("take_in"), (take - n_in).alias("take_out"))
-        keys = [lane, "real", "inside"]
-    fan = ids.withColumn("real", F.explode(F.sequence(F.lit(0), F.lit(n_real - 1))))
-    fan = fan.withColumn("score", score(F.col("real"))).join(size, lane)
-    if stratum is not None:
-        fan = fan.withColumn("take", F.when(F.col("inside"), F.col("take_in")).otherwise(F.col("take_out")))
-    picked = ranks.smallest(fan, keys, "score", "event_id", "take", span)
-    return picked.groupBy(lane, "event_id").agg(F.array_sort(F.collect_list("real")).alias("members"))
+        size = size.select(lane, F.coalesce(guard, n_in).alias("want_in"), (take - n_in).alias("want_out"))
+    run = Window.partitionBy(lane, "part", "real").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    edge = counts.join(size, lane).withColumn("cum", F.sum("bn").over(run)).withColumn(
+        "want", F.when(F.col("part"), F.col("want_in")).otherwise(F.col("want_out")))
+    edge = edge.where(F.col("cum") >= F.col("want")).groupBy(lane, "part", "real").agg(
+        F.min(F.struct("bucket", (F.col("want") - F.col("cum") + F.col("bn")).alias("left"))).alias("e"))
+    edges = edge.groupBy(lane, "part").agg(F.map_from_entries(F.collect_list(F.struct("real", "e"))).alias("edges"))
+    j = t.join(edges, [lane, "part"], "left")
+    limit = lambda r: F.col("edges")[r]
+    j = j.withColumns({
+        "sure": F.filter(reals, lambda r: F.coalesce(bucket(r) < limit(r)["bucket"], F.lit(True))),
+        "open": F.filter(reals, lambda r: F.coalesce(bucket(r) == limit(r)["bucket"], F.lit(False)))})
+    rows = j.where(F.size("open") > 0).select(lane, "part", "event_id", "edges", F.explode("open").alias("real"))
+    rows = rows.select(lane, "part", "event_id", "real", score(F.col("real")).alias("score"), limit(F.col("real"))["left"].alias("left"))
+    rn = F.row_number().over(Window.partitionBy(lane, "part", "real").orderBy("score", "event_id"))
+    late = rows.withColumn("rn", rn).where(F.col("rn") <= F.col("left")).groupBy(lane, "event_id").agg(
+        F.collect_list("real").alias("late"))
+    out = j.join(late, [lane, "event_id"], "left")
+    members = F.array_sort(F.concat("sure", F.coalesce("late", F.array().cast("array<int>"))))
+    return out.withColumn("members", members).where(F.size("members") > 0).drop("part", "edges", "sure", "open", "late")
 
 
 # ---- occupancy -------------------------------------------------------------------------------
@@ -146,12 +165,14 @@ def occupancy(
 
 
 def realisation_peaks(
-    cells: DataFrame, lanes: Sequence[str], windows: dict[str, tuple[float, float]], min_support: int = 1
+    grid: DataFrame, lanes: Sequence[str], windows: dict[str, tuple[float, float]], *, pre_s: float, sr: float,
+    start: int = 0, min_support: int = 1,
 ) -> DataFrame:
     """Peak of every realisation and phase with the support at its cell."""
     out = None
     for phase, (a, b) in windows.items():
-        p = peaks.global_peak(cells, [*lanes, "real"], a, b, min_support).withColumn("phase", F.lit(phase))
+        p = peaks.global_peak_of_rows(grid, [*lanes, "real"], a, b, pre_s=pre_s, sr=sr, start=start, min_support=min_support)
+        p = p.withColumn("phase", F.lit(phase))
         out = p if out is None else out.unionByName(p)
     return out
 

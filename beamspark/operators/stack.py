@@ -24,11 +24,6 @@ SMALLEST_DEALT = 2 << 20
 REALS_PER_GROUP = 64
 
 
-def valid_or_all(x: str = "x") -> Column:
-    """Mask of a trace that declares none."""
-    return F.transform(F.col(x), lambda _: F.lit(True))
-
-
 def roll_samples(slowness: Column, distance: Column, ref: float, sr: float) -> Column:
     """Half-even rounded shift in samples for one trace at one slowness."""
     return F.rint(-slowness * (distance - F.lit(ref)) * F.lit(float(sr))).cast("int")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from beamspark.functions import kernels
-from beamspark.operators import audit, grading, peaks, resample, stack
+from beamspark.operators import audit, detect, grading, peaks, resample, stack
 from beamspark.operators import traces as tr
 from beamspark.plans.grids import (
     AXIS, BOX_PEAK_SQL, BOXES, POWER_S, POWER_SQL, PRE, SAMPLES_SQL, SR, WINDOWS, grid_cells, traces,
@@ -71,7 +71,7 @@ def grades_with_peak_flags(spark, sf):
 def scrambled_bootstrap_occupancy(spark, sf):
     """Null machinery in full: each scramble has its own bootstrap, all in one pass over the traces."""
     t = traces(spark, sf)
-    t = t.join(resample.subset_members(t, "lane", N_REAL, score, SPAN), ["lane", "event_id"])
+    t = resample.with_subset_members(t, "lane", N_REAL, score, SPAN)
     t = t.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
     t = t.withColumn("distance", F.lit(27.5) + F.pmod(F.col("event_id") * 7 + F.col("k") * 5, F.lit(23)) * F.lit(0.5))
     g = stack.vespagram(t, ["lane", "k"], AXIS.values, sr=SR, power_window_s=POWER_S)
@@ -238,3 +238,28 @@ def cross_spectral_covariance(spark, sf):
     out = tr.map_arrays(components(spark, sf), ["event_id"], ["z", "n", "e"],
                         "frequency_hz double, " + ", ".join(f"{c} double" for c in names), step)
     return out.select(big("event_id").alias("event_id"), "frequency_hz", *[rnd(c, 9).alias(c) for c in names])
+
+
+@registered("five_registered_peaks", sql="WITH " + BOX_PEAK_SQL + """, win(phase, lab, lo, hi) AS (VALUES ('PKiKP', 'global', 2.0, 32.0), ('PKKP', 'peak_1', 28.0, 52.0)), c AS (
+  SELECT phase, lab, v.*, row_number() OVER (PARTITION BY lane, phase ORDER BY power DESC, si, ti) AS rn FROM vesp v JOIN win ON t BETWEEN lo AND hi
+  WHERE power IS NOT NULL AND support >= 2), second AS (
+  SELECT c.*, row_number() OVER (PARTITION BY c.lane ORDER BY c.power DESC, c.si, c.ti) AS r2 FROM c JOIN c p ON p.lane = c.lane AND p.phase = c.phase AND p.rn = 1
+  WHERE c.phase = 'PKKP' AND NOT (abs(c.t - p.t) <= 6 AND abs(c.s - p.s) <= 0.5)), allp AS (
+  SELECT lane, phase, lab AS peak_label, t, s, power, si, ti, support FROM c WHERE rn = 1 UNION ALL
+  SELECT lane, phase, 'peak_2', t, s, power, si, ti, support FROM second WHERE r2 = 1 UNION ALL
+  SELECT lane, phase, peak_label, t, s, power, si, ti, support FROM bp WHERE peak_label <> 'off_grid'), q AS (
+  SELECT a.lane, a.phase, a.peak_label, avg(CASE WHEN v.power <= a.power THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS quantile,
+    1 + count(*) FILTER (v.power > a.power AND v.support >= 2 AND v.t BETWEEN CASE a.phase WHEN 'PKiKP' THEN 2.0 ELSE 28.0 END
+      AND CASE a.phase WHEN 'PKiKP' THEN 32.0 ELSE 52.0 END) AS rank,
+    max(v.power) FILTER (v.si BETWEEN a.si - 1 AND a.si + 1 AND v.ti BETWEEN a.ti - 1 AND a.ti + 1) <= a.power AS is_max
+  FROM allp a JOIN vesp v ON v.lane = a.lane AND v.power IS NOT NULL GROUP BY a.lane, a.phase, a.peak_label, a.power)
+SELECT lane::BIGINT AS lane, phase, peak_label, t AS time_s, round(s, 6) + 0.0 AS slowness_sdeg, round(power, 9) AS power,
+  support::BIGINT AS support_count, round(quantile, 9) AS background_quantile, rank::BIGINT AS target_box_rank, is_max AS local_max
+FROM allp JOIN q USING (lane, phase, peak_label)""")
+def five_registered_peaks(spark, sf):
+    p = detect.five_peaks(grid_cells(spark, sf), ["lane"], windows=WINDOWS, boxes=BOXES[:2], dt=6.0, ds=0.5)
+    return p.select(
+        big("lane").alias("lane"), "phase", "peak_label", "time_s", rnd("slowness_sdeg").alias("slowness_sdeg"),
+        rnd("power", 9).alias("power"), big("support_count").alias("support_count"),
+        rnd("background_quantile", 9).alias("background_quantile"), big("target_box_rank").alias("target_box_rank"),
+        F.col("local_max_neighbor_check").alias("local_max"))

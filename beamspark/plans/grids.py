@@ -180,7 +180,8 @@ def _lane(df: DataFrame) -> DataFrame:
 SELECT lane::BIGINT AS lane, """ + PEAK_COLS_SQL + """, 'ok' AS status, '' AS excluded_reason
 FROM ranked WHERE rn = 1""")
 def global_peak(spark, sf):
-    return _peak_out(_lane(peaks.global_peak(grid_cells(spark, sf), ["lane"], *WINDOWS["PKiKP"])), "lane")
+    p = peaks.global_peak_of_rows(grid(spark, sf), ["lane"], *WINDOWS["PKiKP"], pre_s=PRE, sr=SR)
+    return _peak_out(_lane(p), "lane")
 
 
 def _box_values_sql() -> str:

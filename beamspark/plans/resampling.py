@@ -73,14 +73,14 @@ def _reals():
 
 def type1_grid(spark, sf):
     t = traces(spark, sf)
-    return _vesp(t.join(resample.subset_members(t, "lane", N_REAL, score, SPAN), ["lane", "event_id"]))
+    return _vesp(resample.with_subset_members(t, "lane", N_REAL, score, SPAN))
 
 
 def type2_grid(spark, sf):
     t = traces(spark, sf)
     # Wider than the registered 29-32 degrees: the test distances put too few traces inside that.
     inside = F.col("distance").between(28.0, 33.0)
-    return _vesp(t.join(resample.subset_members(t, "lane", N_REAL, score, SPAN, inside), ["lane", "event_id"]))
+    return _vesp(resample.with_subset_members(t, "lane", N_REAL, score, SPAN, inside))
 
 
 def type3_grid(spark, sf):
@@ -131,8 +131,7 @@ SELECT lane::BIGINT AS lane, real::BIGINT AS realisation, phase, t AS time_s, ro
 
 
 def _real_peaks(g):
-    c = stack.cells(g, ["lane"], pre_s=PRE, sr=SR)
-    p = resample.realisation_peaks(c, ["lane"], WINDOWS)
+    p = resample.realisation_peaks(g, ["lane"], WINDOWS, pre_s=PRE, sr=SR)
     return p.select(big("lane").alias("lane"), big("real").alias("realisation"), "phase", "time_s",
                     rnd("slowness_sdeg").alias("slowness_sdeg"), rnd("power", 9).alias("power"),
                     big("support_count").alias("support_count"))
@@ -153,7 +152,7 @@ def scramble_null_peaks(spark, sf):
 def windowed_bootstrap_occupancy(spark, sf):
     """Only the samples the window and its power smoothing read are ever stacked."""
     t = traces(spark, sf)
-    t = t.join(resample.subset_members(t, "lane", N_REAL, score, SPAN), ["lane", "event_id"])
+    t = resample.with_subset_members(t, "lane", N_REAL, score, SPAN)
     lo, hi = stack.window_range(10.0, 18.0, PRE, SR, POWER_S)
     g = stack.vespagram(t, ["lane"], AXIS.values, sr=SR, power_window_s=POWER_S, time_range=(lo, hi))
     occ = resample.occupancy(g, ["lane"], {"PKiKP": (10.0, 18.0)}, THRESHOLDS, N_REAL, pre_s=PRE, sr=SR,
@@ -278,7 +277,7 @@ def injection_ladder(spark, sf):
     t = t.withColumn("at", at).withColumn("add", F.col("alpha") * F.col("rms"))
     t = t.withColumn("x", F.transform("x", lambda v, i: F.when(i == F.col("at"), v + F.col("add")).otherwise(v)))
     g = stack.vespagram(t, ["lane", "alpha"], AXIS.values, sr=SR, power_window_s=POWER_S)
-    p = peaks.global_peak(stack.cells(g, ["lane", "alpha"], pre_s=PRE, sr=SR), ["lane", "alpha"], *WINDOWS["PKiKP"])
+    p = peaks.global_peak_of_rows(g, ["lane", "alpha"], *WINDOWS["PKiKP"], pre_s=PRE, sr=SR)
     near = (F.abs(F.col("time_s") - 14) <= 2) & (F.abs(F.col("slowness_sdeg") + 1.1) <= 0.3)
     return p.select(big("lane").alias("lane"), "alpha", "time_s", rnd("slowness_sdeg").alias("slowness_sdeg"),
                     rnd("power", 9).alias("power"), near.alias("recovered"))
@@ -349,8 +348,7 @@ SELECT lane::BIGINT AS lane, round(avg(CASE WHEN t >= 26 THEN 1.0::DOUBLE ELSE 0
        min(CASE WHEN t >= 26 THEN t END) AS late_min_t, max(CASE WHEN t < 26 THEN t END) AS early_max_t,
        median(t) AS median_t FROM rk WHERE rn = 1 GROUP BY lane""")
 def sub_window_share(spark, sf):
-    c = stack.cells(type1_grid(spark, sf), ["lane"], pre_s=PRE, sr=SR)
-    p = peaks.global_peak(c, ["lane", "real"], 2.0, 52.0, 1)
+    p = peaks.global_peak_of_rows(type1_grid(spark, sf), ["lane", "real"], 2.0, 52.0, pre_s=PRE, sr=SR, min_support=1)
     late = F.col("time_s") >= 26
     return p.groupBy(big("lane").alias("lane")).agg(
         rnd(F.avg(late.cast("double")), 9).alias("late_share"), F.min(F.when(late, F.col("time_s"))).alias("late_min_t"),
@@ -535,7 +533,7 @@ def event_set_variants(spark, sf):
     names = F.array(F.lit("all"), F.when(near, "near").otherwise("far"))
     t = traces(spark, sf).withColumn("variant", F.explode(names))
     g = stack.vespagram(t, ["lane", "variant"], AXIS.values, sr=SR, power_window_s=POWER_S)
-    p = peaks.global_peak(stack.cells(g, ["lane", "variant"], pre_s=PRE, sr=SR), ["lane", "variant"], 2.0, 32.0)
+    p = peaks.global_peak_of_rows(g, ["lane", "variant"], 2.0, 32.0, pre_s=PRE, sr=SR)
     return p.select(big("lane").alias("lane"), "variant", "time_s", rnd("slowness_sdeg").alias("slowness_sdeg"),
                     rnd("power", 9).alias("power"), big("support_count").alias("support_count"))
 

@@ -1,8 +1,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
-
 from beamspark.operators import match, ranks
 
 
@@ -35,16 +33,6 @@ def test_weighted_median(spark, slices):
         assert got[k] == g["v"].to_numpy()[np.searchsorted(c, 0.5 * c[-1])]
 
 
-def test_smallest_is_exact(spark):
-    p = skewed()
-    p["score"] = p["v"].astype(int) % 37
-    df = spark.createDataFrame(p).withColumn("take", F.when(F.col("k") == 0, F.lit(311)).otherwise(F.lit(3)).cast("bigint"))
-    got = ranks.smallest(df, ["k"], "score", "id", "take", 37).toPandas()
-    for k, g in p.groupby("k"):
-        want = g.sort_values(["score", "id"]).head(311 if k == 0 else 3)["id"]
-        assert set(got[got["k"] == k]["id"]) == set(want)
-
-
 def test_lagged(spark, slices):
     p = skewed().drop_duplicates(["k", "v"]).reset_index(drop=True)
     got = ranks.lagged(spark.createDataFrame(p), ["k"], "v", "id", "before").toPandas().sort_values(["k", "v"])

@@ -35,7 +35,9 @@ def test_fidelity_levels():
 def test_subset_members_are_exact_and_skew_proof(spark):
     t = spark.range(3000).select(F.col("id").alias("event_id"), F.when(F.col("id") < 2500, 0).otherwise(F.col("id") % 5 + 1).alias("lane"))
     score = lambda r: F.pmod(F.xxhash64("event_id", r), F.lit(1 << 20)).cast("int")
-    m = resample.subset_members(t, "lane", 4, score, 1 << 20)
+    m = resample.with_subset_members(t, "lane", 4, score, 1 << 20)
+    coarse = resample.with_subset_members(t, "lane", 4, lambda r: score(r) % 3, 3)
+    assert coarse.select(F.sum(F.size("members"))).first()[0] == m.select(F.sum(F.size("members"))).first()[0]
     n = m.select("lane", F.explode("members").alias("r")).groupBy("lane", "r").count().collect()
     size = {r["lane"]: r["count"] for r in t.groupBy("lane").count().collect()}
     assert len(n) == 4 * len(size) and all(r["count"] == max(2, size[r["lane"]] * 2 // 3) for r in n)
@@ -45,7 +47,7 @@ def test_subset_strata_refuse_short_lanes(spark):
     t = spark.range(30).select(F.col("id").alias("event_id"), F.lit(0).alias("lane"), (F.col("id") < 2).alias("inside"))
     score = lambda r: F.pmod(F.xxhash64("event_id", r), F.lit(1000)).cast("int")
     with pytest.raises(Exception, match="blocked_distance_cluster_pathology"):
-        resample.subset_members(t, "lane", 2, score, 1000, F.col("inside")).collect()
+        resample.with_subset_members(t, "lane", 2, score, 1000, F.col("inside")).collect()
 
 
 def test_members_give_the_same_grid_as_separate_stacks(spark):

@@ -174,3 +174,33 @@ def test_plateau_counts_as_local_maximum(spark):
                               "lane int, si int, s double, ti int, t double, power double, support int")
     flags = {(r["si"], r["ti"]): r["is_local_max"] for r in peaks.local_maxima(c, ["lane"]).collect()}
     assert flags[(0, 0)] and flags[(1, 1)] and not flags[(0, 2)] and flags[(0, 3)]
+
+
+def test_peak_table_has_its_36_columns_and_five_rows_per_lane(spark):
+    from beamspark.operators import detect
+    from beamspark.sources.sinks import PEAK_COLUMNS
+
+    lanes = ["mode", "input_type", "norm_variant", "polarization_operator", "stack_method", "power_window_s"]
+    rows = [("paperfaith", "envelope", "A", "mk", "nth_root", "20.0", s, -10.0 + s * 0.5, t, 500.0 + 10.0 * t,
+             1.0 / (1 + abs(s - 7) + abs(t - 11)), 5) for s in range(21) for t in range(110)]
+    c = spark.createDataFrame(rows, ", ".join(f"{x} string" for x in lanes)
+                              + ", si int, s double, ti int, t double, power double, support int")
+    err = c.select(*lanes).distinct().withColumns({"median_distance_error_deg": F.lit(1.0), "max_distance_error_deg": F.lit(2.0)})
+    got = detect.peak_table(c, lanes, err).toPandas().set_index("peak_label")
+    assert list(got.reset_index().columns.drop("peak_label")) == [x for x in PEAK_COLUMNS if x != "peak_label"]
+    assert sorted(got.index) == ["global", "paper_target", "peak_1", "peak_2", "published_target"]
+    g = got.loc["global"]
+    assert (g["time_s"], g["slowness_sdeg"], g["target_box_rank"]) == (610.0, -6.5, 1) and g["local_max_neighbor_check"]
+    assert g["dt_vs_paper_s"] == 6.0 and not g["within_published_tolerance"] and g["within_uncertainty_folded_tolerance"]
+    assert g["uncertainty_folded_time_tolerance_s"] == 8.5 and g["normalization_lane"] == "headline_targeted_window_eq1"
+    assert got.loc["published_target"]["box_total_cell_count"] == 12
+    assert got.loc["peak_1"]["time_s"] == 1200.0 and got.loc["peak_2"]["status"] == "ok"
+
+
+def test_row_peaks_equal_cell_peaks(spark):
+    g = stack.vespagram(frame(spark, random_rows(n=60)), ["lane"], SlownessAxis(-2.0, 0.0, 5).values, sr=2.0, power_window_s=3.0)
+    c = stack.cells(g, ["lane"], pre_s=3.0, sr=2.0)
+    for window in ((0.0, 20.0), (500.0, 600.0)):
+        a = peaks.global_peak(c, ["lane"], *window).first()
+        b = peaks.global_peak_of_rows(g, ["lane"], *window, pre_s=3.0, sr=2.0).first()
+        assert a == b
