@@ -157,11 +157,25 @@ def segment_envelope(spark, sf):
     return long_out(e, "event_id", "envelope", digits=8)
 
 
-@registered("normalised_envelope_products")
+@registered("normalised_envelope_products", sql="WITH " + SAMPLES_SQL + """, st AS (
+  SELECT event_id, avg(x) AS mu, stddev_pop(x) AS sd FROM samples WHERE valid AND ti - 8 BETWEEN 4 AND 40 GROUP BY 1), zs AS (
+  SELECT event_id, ti, valid, CASE WHEN valid THEN (x - mu) / sd ELSE 0 END AS z FROM samples JOIN st USING (event_id)), r AS (
+  SELECT *, ti - row_number() OVER (PARTITION BY event_id ORDER BY ti) AS g FROM zs WHERE valid), n AS (
+  SELECT event_id, g, count(*) AS n, min(ti) AS lo, max(ti) + 1 AS hi FROM r GROUP BY 1, 2), q AS (
+  SELECT a.event_id, a.ti, any_value(a.ti >= lo + 3 AND a.ti < hi - 3) AS inner_ok, any_value(a.z) AS z,
+    sum(b.z * CASE WHEN a.ti = b.ti THEN 0
+      WHEN n % 2 = 0 THEN (1 - cos(pi() * (a.ti - b.ti))) / tan(pi() * (a.ti - b.ti) / n) / n
+      ELSE (1 / tan(pi() * (a.ti - b.ti) / n) - cos(pi() * (a.ti - b.ti)) / sin(pi() * (a.ti - b.ti) / n)) / n END) AS h
+  FROM r a JOIN r b USING (event_id, g) JOIN n USING (event_id, g) GROUP BY 1, 2), sm AS (
+  SELECT a.event_id, a.ti, avg(sqrt(b.z * b.z + b.h * b.h)) AS env FROM q a JOIN q b ON a.event_id = b.event_id
+    AND b.ti BETWEEN a.ti - 2 AND a.ti + 2 GROUP BY 1, 2)
+SELECT zs.event_id, zs.ti, round(zs.z, 8) + 0.0 AS z, round(CASE WHEN q.inner_ok THEN env ELSE 0 END, 8) + 0.0 AS envelope,
+  coalesce(q.inner_ok, false) AS envelope_valid
+FROM zs LEFT JOIN q ON q.event_id = zs.event_id AND q.ti = zs.ti LEFT JOIN sm ON sm.event_id = zs.event_id AND sm.ti = zs.ti""")
 def normalised_envelope_products(spark, sf):
     p = tr.normalise_products(traces(spark, sf), ["event_id"], sr=1.0, pre_s=8.0, t_min=4.0, t_max=40.0,
                               smooth_s=5.0, edge_s=3.0)
-    return long_out(p, "event_id", "z", "envelope", "envelope_valid")
+    return long_out(p, "event_id", "z", "envelope", "envelope_valid", digits=8)
 
 
 WINDOW_SQL = """win AS (SELECT unnest(range(0, 49, 2)) AS st)"""
