@@ -30,15 +30,18 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str
     pts = bucketed(pts, keys, "at").withColumn("r", F.when(F.col("rid").isNotNull(), F.struct("at", "rid")))
     ends = pts.groupBy(*keys, "bucket").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
     by_bucket = Window.partitionBy(*keys).orderBy("bucket")
+    from_end = Window.partitionBy(*keys).orderBy(F.desc("bucket"))
     ends = ends.select(
         *keys, "bucket",
         F.last("hi", True).over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.first("lo", True).over(by_bucket.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    inside = Window.partitionBy(*keys, "bucket").orderBy("at")
+        F.last("lo", True).over(from_end.rowsBetween(Window.unboundedPreceding, -1)).alias("after"))
+    inside = Window.partitionBy(*keys, "bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    # The way back is a second running scan: a frame that runs to the end is worked out anew for every row.
+    back = Window.partitionBy(*keys, "bucket").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
     j = pts.join(ends, [*keys, "bucket"])
     j = j.withColumns({
-        "prev": F.coalesce(F.last("r", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "before"),
-        "next": F.coalesce(F.first("r", True).over(inside.rowsBetween(0, Window.unboundedFollowing)), "after"),
+        "prev": F.coalesce(F.last("r", True).over(inside), "before"),
+        "next": F.coalesce(F.last("r", True).over(back), "after"),
     }).where("asked")
     dp, dn = F.col("at") - F.col("prev.at"), F.col("next.at") - F.col("at")
     use_prev = F.coalesce(dp <= dn, F.col("prev").isNotNull())
