@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamspark.llm import contamination, pieces
+from beamspark.llm import contamination, ordinal, pieces
 from beamspark.llm.shared import query
 from beamspark.plans.registry import table
 
@@ -27,3 +27,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                         contamination.items_digest().alias("items_sha256"), contamination.contaminated().alias("contaminated"))
+
+
+@query("op9_ordinal_quality")
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.trained(docs, table(spark, sf_dir, "labels"), ordinal.quality_and_toxicity(), 2)
+    found = ordinal.graded(docs, model)
+    return found.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= ordinal.KEEP).alias("keep"))
