@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamspark.llm import contamination, ordinal, pieces
+from beamspark.llm import contamination, ordinal, pieces, setjoin
 from beamspark.llm.shared import query
 from beamspark.plans.registry import table
 
@@ -35,3 +35,8 @@ def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = ordinal.trained(docs, table(spark, sf_dir, "labels"), ordinal.quality_and_toxicity(), 2)
     found = ordinal.graded(docs, model)
     return found.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= ordinal.KEEP).alias("keep"))
+
+
+@query("op10_jaccard_join")
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.jaccard_components(table(spark, sf_dir, "documents"))
