@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamspark.llm import contamination, ordinal, pieces, setjoin
+from beamspark.llm import backoff, contamination, ordinal, pieces, setjoin
 from beamspark.llm.shared import query
 from beamspark.plans.registry import table
 
@@ -40,3 +40,9 @@ def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_jaccard_join")
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op8_backoff_scores")
+def op8_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return backoff.automaton_scores(table(spark, sf_dir, "documents"), held_out)
