@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamspark.llm import backoff, contamination, ordinal, pieces, setjoin
+from beamspark.llm import backoff, contamination, editwalk, ordinal, pieces, setjoin
 from beamspark.llm.shared import query
 from beamspark.plans.registry import table
 
@@ -46,3 +46,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     return backoff.automaton_scores(table(spark, sf_dir, "documents"), held_out)
+
+
+@query("op6_edit_fingerprints")
+def op6_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = editwalk.neighbours(table(spark, sf_dir, "documents"))
+    near = [editwalk.likeness("fingerprint", other).alias(name) for other, name in (("edited_fingerprint", "near_edited"), ("next_fingerprint", "near_next"))]
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
