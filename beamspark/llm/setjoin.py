@@ -3,24 +3,24 @@
 A document is the set of its distinct word n-grams (with fewer words, the whole sequence as one). Two documents link
 when 100 * intersection >= PERCENT * union. Steps:
 
-1. Rarity: a sketch of fixed size counts all n-grams of all documents; its counts, in steps, order the n-grams. Any
-   order gives the same links, a rarer start gives shorter lists.
-2. Documents with equal sets are one class; all that follows is about classes.
-3. Small sets (size up to the boundary) enumerate the subsets of the size that two of them must share. Large sets, and
-   the small ones that could link with them, go into the inverted lists of their rarest elements: of n elements a
-   linked pair shares one of the first n - need + 1. The boundary is the size up to which enumerating costs less than
-   scanning, from counted sizes and list lengths.
-4. Keys that two classes or more have are kept. The members of a key are compared in blocks of ``BLOCK``: sizes and
-   bit signatures (their Hamming distance can't exceed the sets' difference) rule out all but possible links, and each
-   block returns a spanning forest of the possible links, never the pairs.
-5. Components of possible links hold all real ones. Their sets are read once more and compared exactly, block by
-   block, again returning a spanning forest. The components of these verified links are the result.
-
-Bounds: the sketch (4 MB), bit tables of fixed size, blocks of BLOCK members. A key or component of m classes makes
-m * m / BLOCK rows for its blocks, so a group that holds very many *different* texts costs its square; copies cost
-nothing, being one class. Nulls and texts without words have an empty set, link with nothing and are their own
-component. Repeated rows and ids are kept; rows with one id are one vertex. A null id gets a null component unless it
-is linked with others. Extra columns are ignored; an empty table gives no rows.
+1. Documents with equal sets are one class, known by a 128-bit fingerprint.
+2. Small sets (size up to the boundary) enumerate the subsets of the size that they must share with a partner. Large
+   sets, and the small ones that could link with them, go into inverted lists. A list belongs to a part of the set, not
+   to a single n-gram: linked sets differ in at most n (100 - PERCENT) / PERCENT elements, so if the hash range is cut
+   into more parts than that, one part is the same in both. A part holds about nine n-grams, so that common n-grams
+   make no long lists. The boundary is the size up to which enumerating costs less than scanning.
+3. The members of each list are joined to the least one: possible links. A task first joins the members it holds
+   itself, so that a list that a third of all documents share brings one entry per task.
+4. Components of possible links hold all real ones. Their sets are read once more and compared: sizes and bit
+   signatures (whose Hamming distance can't exceed the sets' difference) rule pairs out, the rest is counted exactly.
+   A component is compared in blocks of ``BLOCK`` members, and each block returns a spanning forest of its links, never
+   the pairs. The components of these verified links are the result.
+
+Bounds: packed lists of about ``SHARD_ENTRIES`` entries, a bit table of fixed size, blocks of BLOCK members. A component
+of m classes makes m * m / BLOCK rows for its blocks, so a group of very many *different* texts costs its square;
+copies cost nothing, being one class. Nulls and texts without words have an empty set, link with nothing and are their
+own component. Repeated rows and ids are kept; equal texts are one vertex whatever their ids. A null id gets a null
+component unless it is linked with others. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,8 +41,7 @@ from beamspark.llm.shared import written
 
 GRAM = 3
 PERCENT = 90
-SKETCH_BITS = 20  # counters of the rarity sketch
-PART_BITS = 14  # counters in one row of it
+SHARD_ENTRIES = 1 << 20
 TABLE_BITS = 24  # bit table of the documents that are read once more
 SIGNATURE = 512  # bits
 SMALL = 24  # largest set that may enumerate subsets
@@ -84,46 +82,6 @@ def gram_sets(column: pa.Array, gram: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield h, np.concatenate([[0], np.cumsum(np.bincount(r, minlength=w.rows))])
 
 
-def rarity_sketch(docs: DataFrame, gram: int) -> np.ndarray:
-    """Counts of all n-grams of all documents, by the upper bits of their hash."""
-    parts = 1 << (SKETCH_BITS - PART_BITS)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for b in batches:
-            cells = [(h >> _U(64 - SKETCH_BITS)).astype(np.int32) for h, _ in gram_sets(b.column("text"), gram)]
-            if cells:
-                total += np.bincount(np.concatenate(cells), minlength=len(total)).astype(np.uint32)
-        near = TaskContext.get().partitionId() >> 6
-        for i, part in enumerate(total.reshape(parts, -1)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([near], pa.int32()), pa.array([part.tobytes()])],
-                                                 names=["part", "near", "counts"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << PART_BITS, np.uint64)
-        for b in batches:
-            for c in b.column("counts"):
-                kind = np.uint32 if len(c.as_buffer()) == 4 << PART_BITS else np.uint64
-                total += np.frombuffer(c.as_buffer(), kind)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([total.tobytes()])],
-                                         names=["part", "near", "counts"])
-
-    schema = "part int, near int, counts binary"
-    # Two levels: tasks near each other first, so that no group grows with the number of tasks but by its 64th part.
-    rows = docs.select("text").mapInArrow(count, schema).groupBy("part", "near").applyInArrow(add, schema)
-    out = np.zeros((parts, 1 << PART_BITS), np.uint64)
-    for r in rows.groupBy("part").applyInArrow(add, schema).collect():  # as many rows as the sketch has parts
-        out[r.part] = np.frombuffer(r.counts, np.uint64)
-    return out.ravel()
-
-
-def _steps(sketch: np.ndarray) -> np.ndarray:
-    """Rarity class of each cell: half powers of two above the usual count, which is noise of the sketch."""
-    usual = max(1.0, float(np.median(sketch)))
-    return np.clip(np.round(2 * np.log2(np.maximum(sketch, 1) / usual)), 0, 127).astype(np.uint64)
-
-
 def _fingerprint(h: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """128 bits of each set: two sums of differently mixed elements, and the size."""
     n = np.diff(offsets).astype(_U)
@@ -143,34 +101,20 @@ def _signature(h: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in np.packbits(odd.astype(np.uint8).reshape(-1, SIGNATURE), axis=1)]
 
 
-def signatures(docs: DataFrame, sketch: np.ndarray, gram: int, percent: int) -> DataFrame:
-    """Per document row: size, fingerprint, bit signature, rarest elements, elements of a small set, cost of its lists."""
-    sent = docs.sparkSession.sparkContext.broadcast((sketch, _steps(sketch)))
+def signatures(docs: DataFrame, gram: int) -> DataFrame:
+    """Per document row: size, fingerprint and bit signature of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, steps = sent.value
         for b in batches:
             at = 0
             for h, offsets in gram_sets(b.column("text"), gram):
                 n = np.diff(offsets)
-                cell = (h >> _U(64 - SKETCH_BITS)).astype(np.int64)
-                rows = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((h, steps[cell], rows))
-                take = np.where(n > 0, n - least_partner(n, percent) + 1, 0)
-                rank = np.arange(len(h)) - np.repeat(offsets[:-1], n)
-                kept = order[rank < np.repeat(take, n)]
-                ends = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
-                scan = np.concatenate([[0.0], np.cumsum(counts[cell[kept]].astype(float))])
-                few = [signed(h[offsets[i]:offsets[i + 1]]) if 0 < n[i] <= SMALL else None for i in range(len(n))]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(at, len(n)), pa.array(n.astype(np.int32)), *map(pa.array, _fingerprint(h, offsets)),
-                     pa.array(_signature(h, offsets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(h[kept]))),
-                     pa.array(few, pa.list_(pa.int64())), pa.array(scan[ends[1:]] - scan[ends[:-1]])],
-                    names=["doc_id", "n", "f1", "f2", "bits", "rarest", "small", "scan"])
+                     pa.array(_signature(h, offsets), pa.binary())], names=["doc_id", "n", "f1", "f2", "bits"])
                 at += len(n)
 
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(
-        "n int, f1 long, f2 long, bits binary, rarest array<long>, small array<long>, scan double").fields])
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n int, f1 long, f2 long, bits binary").fields])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -188,37 +132,130 @@ def subsets(n: int, percent: int) -> int:
     return sum(math.comb(n, c) for c in subset_sizes(n, percent))
 
 
+def levels(n: np.ndarray, percent: int) -> np.ndarray:
+    """Level of each size: linked sets are in the same or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
+
+
+def parts_of(level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parts that the hash range is cut into for pairs whose larger set is in the level, and how many may be empty."""
+    largest = np.floor((100 / percent) ** (level + 1.0) + 1e-6).astype(np.int64)
+    apart = largest * (100 - percent) // percent  # most elements that linked sets don't share
+    spare = np.where(apart > 0, 1 + apart // 100, 0)
+    return apart + 1 + spare, spare
+
+
+def part_keys(h: np.ndarray, offsets: np.ndarray, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the parts of the given sets, for the level of each as the larger set and for the next as the smaller."""
+    n = np.diff(offsets)[rows]
+    keys, owners = [], []
+    # Elements of these sets end to end; they are sorted, and so are their parts.
+    flat = np.repeat(offsets[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(rows) else np.zeros(0, np.int64)
+    e = h[flat]
+    own = np.repeat(np.arange(len(rows)), n)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(e))])
+        for up in (0, 1):
+            level = levels(n, percent) + up
+            parts, spare = parts_of(level, percent)
+            part = (((e >> _U(32)) * parts[own].astype(_U)) >> _U(32)).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (own[1:] != own[:-1])])) if len(e) else np.zeros(0, np.int64)
+            last = np.append(first[1:], len(e))
+            who, which = own[first], part[first]
+            place = mix((level[who] << 40 | which).astype(_U))
+            keys.append(mix((total[last] - total[first]) ^ place))
+            owners.append(who)
+            # Sets with more empty parts than can be spared may agree in empty parts alone: these get keys too.
+            used = np.bincount(who, minlength=len(rows))
+            for r in np.flatnonzero(parts - used > spare):
+                empty = np.setdiff1d(np.arange(parts[r]), which[who == r])
+                keys.append(mix(mix((level[r] << 40 | empty).astype(_U)) + _U(1)))
+                owners.append(np.full(len(empty), r))
+    return np.concatenate(keys), rows[np.concatenate(owners)]
+
+
+def subset_keys(h: np.ndarray, offsets: np.ndarray, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all the subsets that the given small sets enumerate."""
+    keys, owners = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    with np.errstate(over="ignore"):
+        for r in rows:
+            e = mix(h[offsets[r]:offsets[r + 1]])
+            for c in subset_sizes(len(e), percent):
+                out = len(e) - c
+                left_out = np.array(list(itertools.combinations(range(len(e)), out)), np.int64).reshape(math.comb(len(e), out), out)
+                keys.append(mix((e.sum(dtype=_U) - e[left_out].sum(1, dtype=_U)) ^ _U(c << 32)))
+                owners.append(np.full(len(keys[-1]), r))
+    return np.concatenate(keys), np.concatenate(owners)
+
+
 def boundary(classes: DataFrame, percent: int) -> int:
-    """Largest size for which enumerating subsets costs less than scanning inverted lists, for all sizes up to it."""
-    rows = classes.where(F.col("n") <= SMALL).groupBy("n").agg(F.count("*").alias("sets"), F.sum("scan").alias("scan")).collect()
-    cost = {r.n: (r.sets * subsets(r.n, percent), r.scan) for r in rows}
+    """Largest size up to which enumerating subsets touches less than scanning lists does, for the sizes counted.
+
+    Enumerating costs the subsets, scanning the parts of both levels and the set itself, which is read once more.
+    """
+    rows = classes.where(F.col("n") <= SMALL).groupBy("n").count().collect()  # at most SMALL rows
     best = 0
+    sets = {r["n"]: r["count"] for r in rows}
     for n in range(1, SMALL + 1):
-        enumerate_cost, scan_cost = cost.get(n, (0, 0.0))
-        if enumerate_cost > scan_cost:
+        parts = parts_of(levels(np.array([n]), percent) + np.array([0, 1]), percent)[0].sum()
+        if sets.get(n, 0) * subsets(n, percent) > sets.get(n, 0) * (int(parts) + n):
             break
         best = n
     return best
 
 
-def subset_keys(classes: DataFrame, largest: int, percent: int) -> DataFrame:
-    """(key, cid) for every subset that the sets up to the boundary enumerate."""
+def starred(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with their least owner, and edges from the other owners of a key to that one."""
+    order = np.lexsort((owners, keys))
+    keys, owners = keys[order], owners[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    least = owners[np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else owners
+    other = np.flatnonzero(owners != least)
+    edges = np.unique(np.stack([owners[other], least[other]], 1), axis=0)
+    return keys[first], owners[first], edges[:, 0], edges[:, 1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for cid, small in zip(b.column("cid").to_pylist(), b.column("small").to_pylist(), strict=True):
-                e = mix(np.array(small, np.int64).view(_U))
-                keys = []
-                with np.errstate(over="ignore"):
-                    for c in subset_sizes(len(e), percent):
-                        out = len(e) - c
-                        left_out = np.array(list(itertools.combinations(range(len(e)), out)), np.int64).reshape(math.comb(len(e), out), out)
-                        keys.append(mix((e.sum(dtype=_U) - e[left_out].sum(1, dtype=_U)) ^ _U(c << 32)))
-                if keys:
-                    k = np.unique(np.concatenate(keys))
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(np.full(len(k), cid))], names=["key", "cid"])
 
-    return classes.where(F.col("n") <= largest).where("small is not null").select("cid", "small").mapInArrow(run, "key long, cid long")
+def possible_links(docs: DataFrame, largest: int, gram: int, percent: int, shards: int) -> DataFrame:
+    """Edges (a, b) of fingerprints whose sets share a list, each to the least one of the list."""
+    smallest = int(least_partner(np.int64(largest + 1), percent))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pending = [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, owners, a, b = starred(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            cut = np.searchsorted(keys >> _U(32), (np.arange(shards + 1, dtype=_U) << _U(32)) // _U(shards))
+            rows = [(s, keys[lo:hi].tobytes(), owners[lo:hi].tobytes(), b"", b"") for s, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if lo < hi]
+            rows += [(int(x) % shards, b"", b"", a[i:i + 65536].tobytes(), b[i:i + 65536].tobytes()) for x, i in enumerate(range(0, len(a), 65536))]
+            kinds = [pa.int32(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["shard", "keys", "owners", "a", "b"])
+
+        for batch in batches:
+            for h, offsets in gram_sets(batch.column("text"), gram):
+                n = np.diff(offsets)
+                f1 = _fingerprint(h, offsets)[0]
+                for keys, rows in (part_keys(h, offsets, np.flatnonzero((n >= smallest) & (n > 0)), percent),
+                                   subset_keys(h, offsets, np.flatnonzero((n <= largest) & (n > 0)), percent)):
+                    held.append((keys, f1[rows]))
+                    pending += len(keys)
+                if pending > SHARD_ENTRIES:
+                    yield flush()
+                    held, pending = [], 0
+        if pending:
+            yield flush()
+
+    def lists(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners, a, b = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for out, name, kind in ((keys, "keys", _U), (owners, "owners", np.int64), (a, "a", np.int64), (b, "b", np.int64)):
+                out += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(name)]
+        _, _, ea, eb = starred(np.concatenate(keys), np.concatenate(owners))
+        edges = np.unique(np.stack([np.concatenate([*a, ea]), np.concatenate([*b, eb])], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+
+    packed = docs.select("text").mapInArrow(entries, "shard int, keys binary, owners binary, a binary, b binary")
+    return packed.groupBy("shard").applyInArrow(lists, "a long, b long")
 
 
 def in_blocks(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
@@ -313,37 +350,6 @@ def _bounds(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(change), [t.num_rows]])
 
 
-def possible_links(postings: DataFrame, percent: int) -> DataFrame:
-    """Spanning forests of the pairs that share a key and may link."""
-    keys = ["key", "b1", "b2"]
-
-    def work(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        cid, n, bits, own, across = _columns(t)
-        at = _bounds(t, keys)
-        size = np.diff(at)
-        two = at[:-1][size == 2]  # most groups: all of them at once
-        ok = (least_partner(np.maximum(n[two], n[two + 1]), percent) <= np.minimum(n[two], n[two + 1]))
-        ok &= ~across[two] | (own[two] != own[two + 1])
-        apart = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1, dtype=np.int64)
-        ok &= apart <= n[two] + n[two + 1] - 2 * need(n[two], n[two + 1], percent)
-        a, b = [cid[two[ok]]], [cid[two[ok] + 1]]
-        for g in np.flatnonzero(size > 2):
-            lo, hi = at[g], at[g + 1]
-            f = Forest(hi - lo)
-            for i, js in possible_pairs(n[lo:hi], bits[lo:hi], own[lo:hi], bool(across[lo]), percent):
-                for j in js:
-                    f.join(i, int(j))
-            if f.edges:
-                e = np.array(f.edges) + lo
-                a.append(cid[e[:, 0]])
-                b.append(cid[e[:, 1]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
-        yield pairs[:, 0], pairs[:, 1]
-
-    return in_blocks(postings, "key", "members", BLOCK).mapInArrow(by_group(keys, work), "a long, b long").distinct()
-
-
 def verified_links(members: DataFrame, percent: int) -> DataFrame:
     """Spanning forests of the pairs of each group whose sets do link."""
     keys = ["group", "b1", "b2"]
@@ -404,19 +410,17 @@ def elements_of(docs: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """Per document row: doc_id, n_shingles and component_id, the smallest doc_id that links lead to."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sig = written(signatures(rows, rarity_sketch(rows, gram), gram, percent), "signatures")
-    classes = sig.where("n > 0").groupBy("f1", "f2", "n").agg(
-        F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("bits", "rarest", "small", "scan")))
+    sig = written(signatures(rows, gram), "signatures")
+    classes = sig.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    largest = boundary(classes, percent)
-    indexed = classes.where(F.col("n") >= int(least_partner(np.int64(largest + 1), percent)))
-    postings = indexed.select(F.explode("rarest").alias("key"), "cid").union(subset_keys(classes, largest, percent))
-    shared = postings.groupBy("key").agg(F.count("*").cast("int").alias("members")).where("members > 1")
-    postings = postings.join(shared, "key").join(classes.select("cid", "n", "bits"), "cid")
-    groups = components(possible_links(postings, percent)).withColumnRenamed("component", "group")
+    elements = sig.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, math.ceil(elements / 4 / SHARD_ENTRIES))  # about a quarter as many list entries as elements
+    groups = components(possible_links(rows, boundary(classes, percent), gram, percent, shards))
+    groups = groups.select(F.col("vertex").alias("f1"), F.col("component").alias("group"))
+    # Two sets may have half of their fingerprints in common by chance: that only makes a group larger.
+    groups = groups.join(classes, "f1")
     sizes = groups.groupBy("group").agg(F.count("*").cast("int").alias("members"))
-    wanted = groups.join(sizes, "group").join(classes.select(F.col("cid").alias("vertex"), "f1", "f2", "rep", "n", "bits"), "vertex")
-    wanted = written(wanted.withColumnRenamed("vertex", "cid"), "groups")
+    wanted = written(groups.join(sizes, "group"), "groups")
     sets = elements_of(rows, wanted, gram)
     same = (wanted["f1"] == sets["f1"]) & (wanted["f2"] == sets["f2"]) & wanted["rep"].eqNullSafe(sets["rep"])
     members = wanted.join(sets, same).select(wanted["cid"], wanted["n"], wanted["bits"], wanted["group"], wanted["members"], sets["elements"])
