@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamspark.llm import backoff, contamination, editwalk, ordinal, pieces, setjoin
+from beamspark.llm import backoff, contamination, editwalk, ordinal, pieces, setjoin, tagpaths
 from beamspark.llm.shared import query
 from beamspark.plans.registry import table
 
@@ -53,3 +53,8 @@ def op6_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = editwalk.neighbours(table(spark, sf_dir, "documents"))
     near = [editwalk.likeness("fingerprint", other).alias(name) for other, name in (("edited_fingerprint", "near_edited"), ("next_fingerprint", "near_next"))]
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
+
+
+@query("op2_tag_paths")
+def op2_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagpaths.sized(tagpaths.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
