@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamspark.llm import backoff, contamination, editwalk, ordinal, pieces, setjoin, tagpaths
+from beamspark.llm import backoff, contamination, derivatives, editwalk, ordinal, perspectives, pieces, setjoin, tagpaths
 from beamspark.llm.shared import query
 from beamspark.plans.registry import table
 
@@ -58,3 +58,14 @@ def op6_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_tag_paths")
 def op2_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagpaths.sized(tagpaths.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
+@query("op1_perspectives", perspectives.SQL)
+def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = perspectives.rotated(table(spark, sf_dir, "conversations"))
+    return found.withColumn("mask", perspectives.mask_text())
+
+
+@query("op4_warc_derivatives", derivatives.SQL)
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives.derived(derivatives.responses(table(spark, sf_dir, "pages")), keep=("page_id",))
