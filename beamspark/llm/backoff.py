@@ -10,7 +10,7 @@ carries the state and adds weights; it runs as array steps over all tokens of a
 
 The model is never in one place. Documents go into chunks of about ``CHUNK_TOKENS`` tokens. Each chunk sends every
 distinct n-gram it holds, with its own training count, to a shard chosen by the n-gram's hash. A shard adds up, and
-answers those chunks whose own count isn't the total. So each chunk ends up with exactly the arcs its texts can take,
+answers each chunk with what is missing from its own counts. So each chunk ends up with exactly the arcs its texts can take,
 and scores its texts with them. A frequent word costs one entry per chunk; chunks and shards have bounded size, and
 their number follows the input. What goes over the network is packed: sorted hashes as differences, bytes by place.
 
@@ -108,16 +108,16 @@ def counted(texts: Iterator[pa.RecordBatch], order: int) -> list[tuple[np.ndarra
             for parts in held]
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each key, by its upper 32 bits: neighbours in order stay together."""
-    return ((keys >> _U(32)) * _U(shards) >> _U(32)).astype(np.int64)
+def cut_at(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where sorted keys are cut into shards, which are equal ranges of the keys' upper 32 bits."""
+    return np.searchsorted(keys >> _U(32), (np.arange(shards + 1, dtype=_U) << _U(32)) // _U(shards))
 
 
 def sent(per_length: list[tuple[np.ndarray, np.ndarray]], shards: list[int], chunk: int) -> Iterator[pa.RecordBatch]:
     """Rows (shard, chunk, packed): what a chunk sends; the shards of all lengths are numbered through."""
     base = 0
     for (keys, counts), n in zip(per_length, shards, strict=True):
-        cut = np.searchsorted(shard_of(keys, n), np.arange(n + 1))
+        cut = cut_at(keys, n)
         rows = [(base + s, chunk, pack(keys[cut[s]:cut[s + 1]], counts[cut[s]:cut[s + 1]])) for s in np.flatnonzero(np.diff(cut))]
         if rows:
             s, c, p = zip(*rows, strict=True)
@@ -126,24 +126,25 @@ def sent(per_length: list[tuple[np.ndarray, np.ndarray]], shards: list[int], chu
 
 
 def answers(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard's totals, to the chunks whose own count is another."""
+    """What the totals of a shard add to each chunk's own counts, in the order of the keys that the chunk sent."""
     chunks, keys, counts = [], [], []
     for b in batches:
-        for c, p in zip(b.column("chunk").to_pylist(), b.column("packed").to_pylist(), strict=True):
+        chunks += b.column("chunk").to_pylist()
+        for p in b.column("packed").to_pylist():
             k, n = unpack(p)
-            chunks.append(np.full(len(k), c, np.int32))
             keys.append(k)
             counts.append(n)
-    chunk, key_, count = np.concatenate(chunks), np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key_, kind="stable")
-    chunk, key_, count = chunk[order], key_[order], count[order]
-    first = np.concatenate([[True], key_[1:] != key_[:-1]])
-    total = np.add.reduceat(count, np.flatnonzero(first))[np.cumsum(first) - 1]
-    tell = np.flatnonzero(total != count)
-    tell = tell[np.argsort(chunk[tell], kind="stable")]
-    for at in np.split(tell, np.flatnonzero(np.diff(chunk[tell])) + 1) if len(tell) else []:
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([int(chunk[at[0]])], pa.int32()),
-                                          pa.array([pack(key_[at], total[at])], pa.binary())], names=["shard", "chunk", "packed"])
+    flat, own = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(flat)
+    first = np.ones(len(flat), bool)
+    first[1:] = flat[order[1:]] != flat[order[:-1]]
+    total = np.empty(len(flat), np.int64)
+    total[order] = np.add.reduceat(own[order], np.flatnonzero(first))[np.cumsum(first) - 1]
+    more = np.split(total - own, np.cumsum([len(k) for k in keys])[:-1])
+    rows = [(key[0].as_py(), c, m.view(np.uint8).reshape(-1, 8).T.tobytes()) for c, m in zip(chunks, more, strict=True) if m.any()]
+    if rows:
+        s, c, p = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(c, pa.int32()), pa.array(p, pa.binary())], names=["shard", "chunk", "packed"])
 
 
 def bottom(totals: tuple[int, int, int], add: float) -> tuple[float, float]:
@@ -229,10 +230,12 @@ def automaton_scores(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id
     def score(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
         batches = texts.to_batches()
         tables = counted(iter(batches), order)
+        cuts = [cut_at(keys, n) for (keys, _), n in zip(tables, shards, strict=True)]
         for s, p in zip(told.column("shard").to_pylist(), told.column("packed").to_pylist(), strict=True):
             k = next(i for i in range(order) if s < sum(shards[:i + 1]))
-            keys, n = unpack(p)
-            tables[k][1][np.searchsorted(tables[k][0], keys)] = n
+            keys, n = tables[k]
+            lo, hi = cuts[k][s - sum(shards[:k])], cuts[k][s - sum(shards[:k]) + 1]
+            n[lo:hi] += np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
         n_all, v, _ = totals
         out = [[], [], [], []]
         for b in batches:
