@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamspark.llm import backoff, contamination, derivatives, editwalk, ordinal, perspectives, pieces, setjoin, tagpaths
+from beamspark.llm import backoff, contamination, derivatives, editwalk, licences, ordinal, perspectives, pieces, setjoin, tagpaths
 from beamspark.llm.shared import query
 from beamspark.plans.registry import table
 
@@ -69,3 +69,9 @@ def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_warc_derivatives", derivatives.SQL)
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives.derived(derivatives.responses(table(spark, sf_dir, "pages")), keep=("page_id",))
+
+
+@query("op3_licences")
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scanned(docs, licences.trained(docs))
