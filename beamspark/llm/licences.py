@@ -2,8 +2,8 @@
 
 Features are word n-grams (1 to 3 words) of licence notices that hold a cue: a word of notices that hardly any paragraph of a
 bounded sample of the documents has, not even within another word. A multinomial logistic regression over families and the class "unknown" is fitted on
-crops of the notices (``NOTICES``), on ordinary sentences about licences and on the sampled paragraphs. Half of the examples
-are held out to calibrate the unknown class: a family is taken only if its probability is above the cut that lies
+crops of the notices (``NOTICES``), on ordinary sentences about licences and on the sampled paragraphs. A quarter of the distinct
+examples is first held out to calibrate the unknown class, then the model is fitted on all: a family is taken only if its probability is above the cut that lies
 between the held-out unknowns' highest and the held-out notices' usual probabilities. A taken family is compared with its
 notices: it is confirmed if the shared n-grams are at least ``ALIKE`` of the smaller side.
 
@@ -128,27 +128,33 @@ def trained(docs: DataFrame) -> LicenceModel:
     both = both.where((F.col("family") == UNKNOWN) | (F.size("grams") > 0)).groupBy("family", "grams").count()
     both = both.withColumn("held", F.pmod(F.xxhash64("grams", "family"), F.lit(4)) == 0).coalesce(1).cache()
     vocabulary = sorted(r.g for r in both.where(F.col("family") != UNKNOWN).select(F.explode("grams").alias("g")).distinct().collect())
+    tried = fitted(both.where(~F.col("held") | (F.size("grams") == 0)), vocabulary, cues)
+    # Calibration: between what held-out unknowns reach at most and what 95 of 100 held-out notices reach at least.
+    found = both.where("held").select("family", probabilities(F.col("grams"), tried).alias("p"))
+    top = F.array_max(F.slice("p", 2, len(tried.families)))
+    row = found.agg(F.max(F.when(F.col("family") == UNKNOWN, top)).alias("low"), F.percentile_approx(F.when(F.col("family") != UNKNOWN, top), 0.05).alias("high")).first()
+    model = fitted(both, vocabulary, cues)
+    model.cut = min(0.95, max(0.5, ((row.low or 0.0) + (row.high or 1.0)) / 2))
+    both.unpersist()
+    return model
+
+
+def fitted(rows: DataFrame, vocabulary: list[str], cues: list[str]) -> LicenceModel:
+    """Multinomial logistic regression on (family, grams, count), each family with the same weight."""
     families = [UNKNOWN, *FAMILIES]
-    fitted = both.where(~F.col("held") | (F.size("grams") == 0))
-    number = {r["family"]: r["n"] for r in fitted.groupBy("family").agg(F.sum("count").alias("n")).collect()}
+    number = {r["family"]: r["n"] for r in rows.groupBy("family").agg(F.sum("count").alias("n")).collect()}
     each = F.array(*(F.lit(1.0 / number.get(f, 1)) for f in families))
     place = F.array_position(F.array(*map(F.lit, families)), F.col("family"))
-    weighted = fitted.select("grams", (place - 1).cast("double").alias("label"), (F.col("count") * F.element_at(each, place.cast("int"))).alias("weight"))
+    weighted = rows.select("grams", (place - 1).cast("double").alias("label"), (F.col("count") * F.element_at(each, place.cast("int"))).alias("weight"))
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True).transform(weighted)
     fit = LogisticRegression(family="multinomial", regParam=REGULARISATION, maxIter=100, standardization=False, weightCol="weight").fit(vectors)
-    missing = len(families) - fit.coefficientMatrix.numRows
     matrix = fit.coefficientMatrix.toArray()
+    missing = len(families) - len(matrix)
     bias = [float(x) for x in fit.interceptVector] + [-50.0] * missing
     weights = {g: [*(round(float(x), 6) for x in matrix[:, i]), *[0.0] * missing] for i, g in enumerate(vocabulary)}
-    model = LicenceModel(families, bias, weights, cues, 0.0)
     if max(bias) > bias[0]:
         raise ValueError("without features a paragraph must be unknown")
-    # Calibration: between what held-out unknowns reach at most and what 95 of 100 held-out notices reach at least.
-    found = both.where("held").select("family", probabilities(F.col("grams"), model).alias("p"))
-    top = F.array_max(F.slice("p", 2, len(families)))
-    row = found.agg(F.max(F.when(F.col("family") == UNKNOWN, top)).alias("low"), F.percentile_approx(F.when(F.col("family") != UNKNOWN, top), 0.05).alias("high")).first()
-    model.cut = max(0.5, ((row.low or 0.0) + (row.high or 1.0)) / 2)
-    return model
+    return LicenceModel(families, bias, weights, cues, 0.5)
 
 
 def probabilities(g: Column, model: LicenceModel) -> Column:
