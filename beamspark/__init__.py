@@ -1,5 +1,5 @@
 """beamspark: array stacking, resampling and audit analytics as PySpark DataFrame jobs."""
 
-from beamspark.session import checkpoint_dir, get_spark
+from beamspark.session import get_spark
 
-__all__ = ["checkpoint_dir", "get_spark"]
+__all__ = ["get_spark"]

@@ -172,3 +172,21 @@ def unpivot_diff(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]
         F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("old"), F.col(f"new_{f}").cast("string").alias("new"))
         for f in fields])))
     return rows.where(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def upstream_matches(registered: DataFrame, upstream: DataFrame) -> DataFrame:
+    """Registered rows (source, path, ...) with the first upstream row (rid, source, path) that answers them.
+
+    The same path comes first, else an upstream source that is part of the registered source; the smallest
+    ``rid`` wins. Parts are looked up by an equality join: each distinct registered source gives its
+    substrings, as many as half the square of its length.
+    """
+    whole = upstream.groupBy("path").agg(F.min("rid").alias("by_path"))
+    first = upstream.where("source <> ''").groupBy(F.col("source").alias("part")).agg(F.min("rid").alias("by_source"))
+    names = registered.where("source <> ''").select("source").distinct()
+    size = F.length("source")
+    cuts = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring("source", i, n))))
+    near = names.select("source", F.explode(F.array_distinct(cuts)).alias("part")).join(first, "part").groupBy("source").agg(F.min("by_source").alias("by_source"))
+    j = registered.join(whole, "path", "left").join(near, "source", "left")
+    by = F.when(F.col("by_path").isNotNull(), "path").when(F.col("by_source").isNotNull(), "source").otherwise("none")
+    return j.withColumns({"matched": F.coalesce("by_path", "by_source"), "matched_by": by}).drop("by_path", "by_source")

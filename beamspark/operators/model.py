@@ -74,6 +74,8 @@ def generate(params: DataFrame, key: str, base: dict[str, list[tuple[float, floa
     ``params``: (key, r_oc, vp_cmb, vp_icb, r_ic, dvp_icb). ``base``: (depth, vp, vs, rho) rows per section.
     Gives (key, status, section, node, depth, vp, vs, rho); a refused model keeps one row with its reason.
     """
+    if any(r[2] > r[1] for rows in base.values() for r in rows):
+        raise ValueError("base model: shear speed above pressure speed")
     arr = lambda rows, c: F.array(*[F.lit(float(r[c])) for r in rows])
     mantle, above, below = base["mantle"], base["mantle"] + base["outer-core"], base["outer-core"] + base["inner-core"]
     full = F.lit(RADIUS_KM)

@@ -12,43 +12,40 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beamspark.session import estimated_bytes
-
-COARSE = 12
-BUCKETS = COARSE * COARSE
+BUCKETS = 256
+BISECTIONS = 8  # that halve 256 to one
 SLICE_ROWS = 200_000
-ONE_LEVEL_BYTES = 32 << 30
 
 
 def _slices(df: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
-    """Number of a key's quantile cuts below ``at``, found among every twelfth cut and then within.
+    """Number of the slice of its key that a row's ``at`` lies in.
 
-    Only keys with more than ``SLICE_ROWS`` rows are cut; the others are one slice already.
+    A key gets one slice for every ``SLICE_ROWS`` rows counted, ``BUCKETS`` at most, in order of ``at``; one
+    pass gives counts and cuts. Only keys with more than one slice are joined back, at most one for each
+    ``SLICE_ROWS`` rows of the input.
     """
     cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    large = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > SLICE_ROWS)
-    edges = df.join(large, keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(at, cuts, 10 * BUCKETS).alias("e"))
-    steps = F.sequence(F.lit(0), F.lit(COARSE - 1))
-    edges = edges.select(
-        *keys, F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda k: F.get("e", k * COARSE - 1)).alias("wide"),
-        F.transform(steps, lambda k: F.slice("e", k * COARSE + 1, F.lit(COARSE - 1))).alias("fine"))
-    below = lambda arr: F.size(F.filter(arr, lambda e: e < F.col(at)))
-    out = df.join(edges, keys, "left").withColumn("_w", below("wide"))
-    place = F.when(F.col("wide").isNotNull(), F.col("_w") * COARSE + below(F.get("fine", F.col("_w"))))
-    return out.withColumn(name, F.coalesce(place, F.lit(0))).drop("_w", "wide", "fine")
+    edges = df.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx(at, cuts, 10 * BUCKETS).alias("_cuts"))
+    edges = edges.withColumn("_slices", F.least(F.lit(BUCKETS), F.ceil(F.col("n") / SLICE_ROWS)).cast("int")).drop("n").where("_slices > 1")
+
+    def halve(lo, half):
+        return F.when(F.get("_cuts", lo + half - 1) < F.col(at), lo + half).otherwise(lo)
+
+    steps = F.array(*(F.lit(BUCKETS >> k) for k in range(1, BISECTIONS + 1)))
+    place = F.floor(F.aggregate(steps, F.lit(0), halve) * F.col("_slices") / BUCKETS).cast("int")
+    out = df.join(edges, keys, "left").withColumn(name, F.coalesce(F.when(F.col("_slices").isNotNull(), place), F.lit(0)))
+    return out.drop("_cuts", "_slices")
 
 
 def bucketed(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
-    """Add ``bucket``: the equal-depth slice of each key's ``at`` values, in order of ``at``.
+    """Add ``bucket``: a slice of each key's ``at`` values, in order of ``at``, and within it a finer slice.
 
-    Past a size the planner estimates, every slice is sliced again, so a bucket stays one task's work.
+    Slices that still hold more than ``SLICE_ROWS`` rows are cut once more, so that up to ``BUCKETS`` squared of them
+    share a key's work.
     """
     keys = list(keys)
-    out = _slices(df, keys, at, "bucket")
-    if estimated_bytes(df) > ONE_LEVEL_BYTES:
-        out = _slices(out, [*keys, "bucket"], at, "finer")
-        out = out.withColumn("bucket", F.col("bucket") * BUCKETS + F.col("finer")).drop("finer")
-    return out
+    out = _slices(_slices(df, keys, at, "bucket"), [*keys, "bucket"], at, "finer")
+    return out.withColumn("bucket", F.col("bucket") * BUCKETS + F.col("finer")).drop("finer")
 
 
 def lagged(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from beamspark import dims
 from beamspark.functions import kernels
-from beamspark.operators import peaks, stack
+from beamspark.operators import peaks, ranks, stack
 from beamspark.operators.traces import map_arrays
 
 # ---- designs ---------------------------------------------------------------------------------
@@ -50,17 +50,37 @@ def seeded_jitter(n_events: int, n_real: int, seed: int, limit_s: float = 10.0)
     return np.stack([rng.uniform(-limit_s, limit_s, size=n_events) for _ in range(n_real)])
 
 
-def seeded_permutations(n_events: int, n_real: int, seed: int) -> list[list[int]]:
-    """Realisation 0 is the identity; later draws that come out as the identity are drawn again."""
-    rng, same = np.random.default_rng(seed), np.arange(n_events)
-    out = [same.tolist()]
-    while len(out) <= n_real:
-        p = rng.permutation(n_events)
-        if not np.array_equal(p, same):
-            out.append(p.tolist())
+def seeded_permutations(n_events: int, n_real: int, seed_base: int) -> list[list[int]]:
+    """Realisation 0 is the identity; realisation r draws from seed ``seed_base + r``, again if the identity comes out."""
+    if n_events < 2:
+        raise ValueError("a permutation null needs two events or more")
+    same = list(range(n_events))
+    out = [same]
+    for r in range(1, n_real + 1):
+        rng = np.random.default_rng(seed_base + r)
+        draws = (rng.permutation(n_events).tolist() for _ in iter(int, 1))
+        out.append(next(p for p in draws if p != same))
     return out
 
 
+def rotated_distances(traces: DataFrame, lane: str, n_real: int, step: int) -> DataFrame:
+    """Traces with ``members`` and ``distances``: a permutation null of each lane's own distances.
+
+    In realisation r the event of rank k (by id) takes the distance of the one of rank k + r * step, counted
+    around the lane, so that every realisation hands out the lane's distances once each; r = 0 changes nothing.
+    Ranks come from counts per slice of a lane, and what is joined is one narrow row per event and realisation.
+    """
+    ids = traces.select(lane, "event_id", "distance")
+    rank = ranks.cumulative(ids, [lane], "event_id").select(lane, "event_id", (F.col("cum") - 1).alias("rank"))
+    placed = ids.join(rank, [lane, "event_id"]).join(ids.groupBy(lane).agg(F.count("*").alias("n")), lane)
+    reals = F.explode(F.sequence(F.lit(0), F.lit(n_real - 1))).alias("real")
+    asked = placed.select(lane, "event_id", "rank", "n", reals).withColumn("rank", F.pmod(F.col("rank") + F.col("real") * step, F.col("n")))
+    given = asked.join(placed.select(lane, "rank", "distance"), [lane, "rank"])
+    per = given.groupBy(lane, "event_id").agg(F.array_sort(F.collect_list(F.struct("real", "distance"))).alias("d"))
+    per = per.select(lane, "event_id", F.col("d.real").alias("members"), F.col("d.distance").alias("distances"))
+    return traces.join(per, [lane, "event_id"])
+
+
 def design_table(spark: SparkSession, subsets: Sequence[Sequence[int]]) -> DataFrame:
     """(event_index, members) rows of a drawn design; its size is the registered event list."""
     by_event: dict[int, list[int]] = {}
@@ -90,7 +110,7 @@ def with_subset_members(
     """Traces with ``members``: the realisations whose exact two-thirds subset of the lane has the trace.
 
     ``score(realisation)`` is an integer in [0, span) that orders the traces of a lane, the id settles
-    ties, and the smallest are taken. With ``stratum`` (a boolean: inside the cluster) half comes from
+    ties, and the smallest are taken. A lane of fewer than two traces is refused. With ``stratum`` (a boolean: inside the cluster) half comes from
     inside and the rest from outside, and a lane that cannot supply either part is refused.
 
     Only bucket counts are shuffled: a trace knows from its own scores which realisations surely take
@@ -104,12 +124,13 @@ def with_subset_members(
     counts = fan.groupBy(lane, "part", "real", bucket(F.col("real")).alias("bucket")).agg(F.count("*").alias("bn"))
     size = t.groupBy(lane).agg(F.count("*").alias("n"), F.count_if("part").alias("n_in"))
     take = F.greatest(F.lit(2), F.floor(F.col("n") * 2 / 3)).cast("bigint")
+    few = F.when(F.col("n") < 2, F.raise_error(F.lit("blocked_low_event_count")).cast("bigint"))
     if stratum is None:
-        size = size.select(lane, take.alias("want_in"), F.lit(0).cast("bigint").alias("want_out"))
+        size = size.select(lane, F.coalesce(few, take).alias("want_in"), F.lit(0).cast("bigint").alias("want_out"))
     else:
         n_in = F.greatest(F.lit(1), F.floor(take / 2)).cast("bigint")
         short = (n_in > F.col("n_in")) | (take - n_in > F.col("n") - F.col("n_in"))
-        guard = F.when(short, F.raise_error(F.lit("blocked_distance_cluster_pathology")).cast("bigint"))
+        guard = F.when(F.col("n") < 2, few).when(short, F.raise_error(F.lit("blocked_distance_cluster_pathology")).cast("bigint"))
         size = size.select(lane, F.coalesce(guard, n_in).alias("want_in"), (take - n_in).alias("want_out"))
     run = Window.partitionBy(lane, "part", "real").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     edge = counts.join(size, lane).withColumn("cum", F.sum("bn").over(run)).withColumn(
@@ -316,7 +337,10 @@ def leave_one_out(
     """
     nodes = np.asarray(list(slowness), dtype=np.float64)
     samples = max(1, int(round(power_window_s * sr)))
-    total = stack.partial_stacks(traces, [lane], slowness, ref=ref, sr=sr, method="nth_root", order=order)
+    # Only the samples that the window and half a power window beside it read are ever stacked.
+    first, last = stack.window_range(*window, pre_s, sr, power_window_s)
+    first = max(0, first)
+    total = stack.partial_stacks(traces, [lane], slowness, ref=ref, sr=sr, method="nth_root", order=order, time_range=(first, last))
     total = sum_partials(total, [lane, "si"])
     share = F.ceil(F.count("*") / F.lit(group_traces)).cast("int").alias("groups")
     size = traces.groupBy(lane).agg(share)
@@ -331,7 +355,7 @@ def leave_one_out(
         sums, counts = totals.column("acc0").combine_chunks(), totals.column("cnt").combine_chunks()
         n = len(sums[0]) if len(by_si) else 0
         acc, cnt = stack._ragged(sums, n, np.float64)[by_si], stack._ragged(counts, n, np.int64)[by_si]
-        t = np.arange(n) / sr - pre_s
+        t = (np.arange(n) + first) / sr - pre_s
         inside = (t >= window[0]) & (t <= window[1])
         found = []
         for dist, x, ok in zip(events.column("distance").to_pylist(), events.column("x"), events.column("valid")):
@@ -341,7 +365,7 @@ def leave_one_out(
             best = (None, -1, -1, 0)
             for si, s in enumerate(nodes):
                 roll = np.rint(np.array([-s * (dist - ref) * sr])).astype(np.int64)
-                own, one = stack._shift_add(parts, roll, np.ones((1, 1)), 0, n)
+                own, one = stack._shift_add(parts, roll, np.ones((1, 1)), first, first + n)
                 c = cnt[si] - np.rint(one[0]).astype(np.int64)
                 m = (acc[si] - own[0]) / np.maximum(c, 1)
                 power, has = stack.tapered_power(np.sign(m) * np.abs(m) ** order, c >= min_support, samples)
@@ -349,7 +373,7 @@ def leave_one_out(
                 if live.any():
                     i = int(np.argmax(np.where(live, power, -np.inf)))
                     if best[0] is None or power[i] > best[0]:
-                        best = (float(power[i]), si, i, int(c[i]))
+                        best = (float(power[i]), si, i + first, int(c[i]))
             found.append(best)
         cols = [events.column(lane), events.column("event_id")]
         for k, typ in enumerate((pa.float64(), pa.int32(), pa.int32(), pa.int32())):
@@ -371,9 +395,10 @@ def sum_partials(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in partials.schema.fields}
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = cnt = schema = None
+        acc = cnt = schema = length = None
         for b in batches:
             schema = b.schema
+            length = stack.one_length(b, length)
             for name in ("acc0", "cnt"):
                 col = b.column(name)
                 offs, vals = np.asarray(col.offsets), np.asarray(col.values)
@@ -387,4 +412,4 @@ def sum_partials(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
         yield pa.RecordBatch.from_arrays(cols, [*keys, "acc0", "cnt"])
 
     ddl = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", acc0 array<double>, cnt array<int>"
-    return partials.select(*keys, "acc0", "cnt").groupBy(*keys).applyInArrow(add, ddl)
+    return partials.select(*keys, "acc0", "cnt", "n").groupBy(*keys).applyInArrow(add, ddl)

@@ -16,12 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beamspark import dims
-from beamspark.session import estimated_bytes
 
 CHANNELS = {"linear": 1, "nth_root": 1, "pws": 3}
 BUFFER_BYTES = 96 << 20
-SMALLEST_DEALT = 2 << 20
 REALS_PER_GROUP = 64
+UNEQUAL = "unequal_lengths: the traces of a lane must have one length"
 
 
 def roll_samples(slowness: Column, distance: Column, ref: float, sr: float) -> Column:
@@ -135,13 +134,13 @@ def partial_stacks(
     order: float = dims.NTH_ROOT,
     time_range: tuple[int, int] | None = None,
     buffer_bytes: int = BUFFER_BYTES,
-    blocks: int | None = None,
+    blocks: int = 1,
 ) -> DataFrame:
     """Map side: shifted sums of the traces each task holds.
 
-    ``blocks`` deals the slowness axis over that many tasks. Left alone, only a set of traces too small
-    to fill the cores but heavy enough to want them (by the planner's size estimate) is dealt out;
-    copies of it cost little there, and large inputs are never copied.
+    ``blocks`` deals the slowness axis over that many tasks, each with a copy of the traces: for a few
+    heavy traces that would leave cores idle. Traces of a lane must have one length, and masks the length
+    of their trace; anything else is refused, here or where the partial rows meet.
 
     Optional trace columns: ``members array<int>`` names the realisations a trace takes part in
     (absent: realisation 0); ``jitter_s array<double>`` and ``distances array<double>`` give, in the
@@ -152,9 +151,7 @@ def partial_stacks(
     cols = [*lanes, "distance", "x", "valid", *[c for c, there in has.items() if there]]
     source = traces.select(*cols)
     nodes = np.asarray(list(slowness), dtype=np.float64)
-    if blocks is None:
-        cores, size = traces.sparkSession.sparkContext.defaultParallelism, estimated_bytes(traces)
-        blocks = min(len(nodes), 2 * cores) if SMALLEST_DEALT <= size < cores * SMALLEST_DEALT * 8 else 1
+    blocks = min(blocks, len(nodes))
     if blocks > 1:
         fan = source.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         source = fan.repartitionByRange(blocks, "blk")
@@ -162,16 +159,17 @@ def partial_stacks(
     lane_types = [f"`{c}` {source.schema[c].dataType.simpleString()}" for c in lanes]
     acc_cols = [f"acc{k}" for k in range(width)]
     schema = ", ".join(
-        [*lane_types, "real int", "si int", *[f"{c} array<double>" for c in acc_cols], "cnt array<int>"]
+        [*lane_types, "real int", "si int", *[f"{c} array<double>" for c in acc_cols], "cnt array<int>", "n int"]
     )
 
-    def emit(key: tuple, lane_fields, real: np.ndarray, si: int, sums: list[np.ndarray]) -> pa.RecordBatch:
+    def emit(key: tuple, lane_fields, real: np.ndarray, si: int, sums: list[np.ndarray], n: int) -> pa.RecordBatch:
         rows = len(real)
         arrays = [pa.array([k] * rows, type=f.type) for k, f in zip(key, lane_fields)]
         arrays += [pa.array(real.astype(np.int32)), pa.array(np.full(rows, si, dtype=np.int32))]
         arrays += [_list_array(s, pa.float64()) for s in sums[:-1]]
         arrays.append(_list_array(np.rint(sums[-1]).astype(np.int32), pa.int32()))
-        return pa.RecordBatch.from_arrays(arrays, [*lanes, "real", "si", *acc_cols, "cnt"])
+        arrays.append(pa.array(np.full(rows, n, dtype=np.int32)))
+        return pa.RecordBatch.from_arrays(arrays, [*lanes, "real", "si", *acc_cols, "cnt", "n"])
 
     group_cols = [*lanes, "blk"] if blocks > 1 else list(lanes)
 
@@ -181,7 +179,13 @@ def partial_stacks(
             *key, blk = key
             mine = range(int(blk), len(nodes), blocks)
         xs = tbl.column("x").combine_chunks()
-        n = int(np.max(np.diff(np.asarray(xs.offsets)))) if len(xs) else 0
+        lengths = np.diff(np.asarray(xs.offsets))
+        masks = np.diff(np.asarray(tbl.column("valid").combine_chunks().offsets))
+        if (lengths != masks).any():
+            raise ValueError("mask_shape_mismatch: a mask must be as long as its trace")
+        if len(np.unique(lengths)) > 1:
+            raise ValueError(UNEQUAL)
+        n = int(lengths[0]) if len(lengths) else 0
         if n == 0:
             return
         x = _ragged(xs, n, np.float64)
@@ -218,14 +222,14 @@ def partial_stacks(
                 for si in mine:
                     rolls = np.rint(-nodes[si] * (dr - ref) * sr).astype(np.int64)
                     sums = _shift_add(parts, rolls, np.ones((1, len(pick))), lo, hi)
-                    yield emit(key, lane_fields, np.array([r]), si, sums)
+                    yield emit(key, lane_fields, np.array([r]), si, sums, n)
             return
         weights = np.zeros((len(reals), len(x)))
         np.add.at(weights, (np.searchsorted(reals, real_of), owner), 1.0)
         parts = _channels(x, valid, method, order)
         for si in mine:
             rolls = np.rint(-nodes[si] * (dist - ref) * sr).astype(np.int64)
-            yield emit(key, lane_fields, reals, si, _shift_add(parts, rolls, weights, lo, hi))
+            yield emit(key, lane_fields, reals, si, _shift_add(parts, rolls, weights, lo, hi), n)
 
     def by_lane(tbl: pa.Table) -> Iterator[pa.RecordBatch]:
         fields = [tbl.schema.field(c) for c in lanes]
@@ -266,6 +270,14 @@ def gathered(traces: DataFrame, lanes: Sequence[str], per_task: int = 400) -> Da
     return salted.repartition(*lanes, "grp").drop("groups", "grp")
 
 
+def one_length(batch: pa.RecordBatch, length: int | None) -> int:
+    """Trace length of partial rows; those of one lane that differ are refused."""
+    found = np.unique(batch.column("n").to_numpy())
+    if len(found) > 1 or length not in (None, int(found[0])):
+        raise ValueError(UNEQUAL)
+    return int(found[0])
+
+
 def merge_grids(
     partials: DataFrame,
     lanes: Sequence[str],
@@ -298,16 +310,15 @@ def merge_grids(
     def add(old: np.ndarray | None, new: np.ndarray) -> np.ndarray:
         if old is None:
             return new.copy()
-        if len(new) > len(old):
-            old = np.concatenate([old, np.zeros(len(new) - len(old), dtype=old.dtype)])
-        old[: len(new)] += new
+        old += new
         return old
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
-        fields = None
+        fields, length = None, None
         for batch in batches:
             fields = batch.schema
+            length = one_length(batch, length)
             reals = batch.column("real").to_pylist()
             for c in range(width + 1):
                 col = batch.column(f"acc{c}" if c < width else "cnt")
@@ -382,7 +393,7 @@ def vespagram(
     power_window_s: float | None = dims.POWER_WINDOW_S,
     time_range: tuple[int, int] | None = None,
     buffer_bytes: int = BUFFER_BYTES,
-    blocks: int | None = None,
+    blocks: int = 1,
 ) -> DataFrame:
     """Stack and smooth: one row per (lane, realisation, slowness) with arrays over time.
 

@@ -15,7 +15,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from beamspark import dims
 from beamspark.functions import kernels
-from beamspark.session import estimated_bytes
 
 
 def _rows(col: pa.Array) -> list[np.ndarray]:
@@ -24,25 +23,19 @@ def _rows(col: pa.Array) -> list[np.ndarray]:
     return [vals[a:b] for a, b in zip(offs[:-1], offs[1:])]
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal a small input over the cores before a heavy step; a large one already has tasks enough."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if estimated_bytes(df) < cores * (128 << 20) else df
-
-
 def map_arrays(
-    df: DataFrame, keep: Sequence[str], inputs: Sequence[str], outputs: str, fn: Callable, *, heavy: bool = False,
+    df: DataFrame, keep: Sequence[str], inputs: Sequence[str], outputs: str, fn: Callable, *, tasks: int | None = None,
     batch: bool = False,
 ) -> DataFrame:
     """Apply ``fn(*arrays) -> tuple`` to each row; ``outputs`` is the DDL of the added columns.
 
     ``fn`` may return a list of tuples to give several rows per trace. With ``batch`` it gets the lists of
-    a whole Arrow batch and returns one tuple per row. ``heavy`` spreads a small input first.
+    a whole Arrow batch and returns one tuple per row. ``tasks`` deals the rows over that many tasks by the first kept
+    column, for a few rows that are heavy to work on.
     """
     spark = df.sparkSession
-    if heavy:
-        df = spread(df, keep[0])
+    if tasks is not None:
+        df = df.repartition(tasks, keep[0])
     kept = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
     ddl = ", ".join([*kept, outputs])
     out = to_arrow_schema(spark.createDataFrame([], ddl).schema)

@@ -112,26 +112,21 @@ def identity_transplant(spark, sf):
     return audit.transplanted(ident, pins).select("c_custkey", "status")
 
 
-@registered("upstream_source_match", sql="""WITH u AS (
-  SELECT page_id, regexp_extract(url, 'https?://[^/]+(/[^?]*)', 1) AS path FROM pages WHERE page_id % 2 = 0), r AS (
-  SELECT page_id AS rid, regexp_extract(url, 'https?://[^/]+(/[^?]*)', 1) AS path FROM pages WHERE page_id % 2 = 1), rp AS (
-  SELECT path, min(rid) AS rid FROM r GROUP BY 1), seg AS (
-  SELECT w, min(rid) AS rid FROM (SELECT rid, unnest(string_split(path, '/')) AS w FROM r) WHERE w <> '' GROUP BY 1), us AS (
-  SELECT u.page_id, min(seg.rid) AS rid FROM (SELECT page_id, unnest(string_split(path, '/')) AS w FROM u) u JOIN seg USING (w) GROUP BY 1)
-SELECT u.page_id, coalesce(rp.rid, us.rid) AS matched, CASE WHEN rp.rid IS NOT NULL THEN 'path' WHEN us.rid IS NOT NULL THEN 'source'
-  ELSE 'none' END AS matched_by FROM u LEFT JOIN rp USING (path) LEFT JOIN us ON us.page_id = u.page_id""")
+@registered("upstream_source_match", sql="""WITH p AS (
+  SELECT page_id, regexp_extract(url, 'https?://([^/]+)', 1) AS source, regexp_extract(url, 'https?://[^/]+(/[^?]*)', 1) AS path FROM pages), u AS (
+  SELECT page_id AS rid, source, path FROM p WHERE page_id % 2 = 1 AND page_id % 4 <> 3), r AS (SELECT * FROM p WHERE page_id % 2 = 0), rp AS (
+  SELECT path, min(rid) AS rid FROM u GROUP BY 1), us AS (
+  SELECT r.source, min(u.rid) AS rid FROM (SELECT DISTINCT source FROM r) r JOIN u ON u.source <> '' AND contains(r.source, u.source) GROUP BY 1)
+SELECT r.page_id, coalesce(rp.rid, us.rid) AS matched, CASE WHEN rp.rid IS NOT NULL THEN 'path' WHEN us.rid IS NOT NULL THEN 'source'
+  ELSE 'none' END AS matched_by FROM r LEFT JOIN rp USING (path) LEFT JOIN us ON us.source = r.source""")
 def upstream_source_match(spark, sf):
-    """By whole path first, else by any path segment both share; each side is reduced to one row per key."""
-    p = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"https?://[^/]+(/[^?]*)", 1).alias("path"))
-    segs = lambda df, i: df.select(i, F.explode(F.filter(F.split("path", "/"), lambda w: w != "")).alias("w"))
-    u = p.where(F.col("page_id") % 2 == 0)
-    r = p.where(F.col("page_id") % 2 == 1).withColumnRenamed("page_id", "rid")
-    whole = r.groupBy("path").agg(F.min("rid").alias("rp"))
-    part = segs(r, "rid").groupBy("w").agg(F.min("rid").alias("rs"))
-    near = segs(u, "page_id").distinct().join(part, "w").groupBy("page_id").agg(F.min("rs").alias("rs"))
-    j = u.join(whole, "path", "left").join(near, "page_id", "left")
-    return j.select("page_id", F.coalesce("rp", "rs").alias("matched"), F.when(F.col("rp").isNotNull(), "path").when(
-        F.col("rs").isNotNull(), "source").otherwise("none").alias("matched_by"))
+    """Registered rows against upstream rows: by whole path, else by an upstream source that the registered one contains."""
+    url = F.col("url")
+    p = table(spark, sf, "pages").select("page_id", F.regexp_extract(url, r"https?://([^/]+)", 1).alias("source"),
+                                         F.regexp_extract(url, r"https?://[^/]+(/[^?]*)", 1).alias("path"))
+    upstream = p.where((F.col("page_id") % 2 == 1) & (F.col("page_id") % 4 != 3)).withColumnRenamed("page_id", "rid")
+    registered_rows = p.where(F.col("page_id") % 2 == 0)
+    return audit.upstream_matches(registered_rows, upstream).select("page_id", "matched", "matched_by")
 
 
 RUNS_SQL = """a AS (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS v FROM lineitem WHERE l_suppkey % 10 <> 3 GROUP BY 1, 2), b AS (

@@ -14,6 +14,7 @@ from beamspark.plans.registry import big, registered, rnd, table
 
 N_REAL = 5
 SPAN = 10007
+SCRAMBLE_STEP = 7
 THRESHOLDS = (50, 70, 85)
 N_TIMES = 64
 
@@ -45,11 +46,11 @@ SCORE_SQL = "((event_id * 7919 + (real + 1) * 104729) * 31) % 10007"
 TYPE1_SQL = """reals AS (SELECT unnest(range(5)) AS real), design AS (
   SELECT event_id, real FROM (SELECT event_id, real, row_number() OVER (PARTITION BY lane, real ORDER BY """ + SCORE_SQL + """,
     event_id) AS rn, count(*) OVER (PARTITION BY lane, real) AS n FROM (SELECT DISTINCT event_id, lane FROM samples), reals)
-  WHERE rn <= floor(2 * n / 3)), smp AS (SELECT s.*, real FROM samples s JOIN design USING (event_id) WHERE valid)"""
+  WHERE n >= 2 AND rn <= greatest(2, floor(2 * n / 3))), smp AS (SELECT s.*, real FROM samples s JOIN design USING (event_id) WHERE valid)"""
 TYPE2_SQL = """reals AS (SELECT unnest(range(5)) AS real), ids AS (
   SELECT DISTINCT event_id, lane, distance BETWEEN 28.0 AND 33.0 AS inside FROM samples), design AS (
   SELECT event_id, real FROM (
-    SELECT event_id, real, inside, floor(2 * count(*) OVER (PARTITION BY lane, real) / 3)::BIGINT AS take,
+    SELECT event_id, real, inside, greatest(2, floor(2 * count(*) OVER (PARTITION BY lane, real) / 3))::BIGINT AS take,
            row_number() OVER (PARTITION BY lane, real, inside ORDER BY """ + SCORE_SQL + """, event_id) AS rn
     FROM ids, reals) WHERE rn <= CASE WHEN inside THEN take // 2 ELSE take - take // 2 END),
 smp AS (SELECT s.*, real FROM samples s JOIN design USING (event_id) WHERE valid)"""
@@ -59,8 +60,10 @@ TYPE3_SQL = """smp AS (SELECT p.lane, p.distance, p.real, p.ti, a.x + (coalesce(
     FROM samples, range(5) r(real)) WHERE pos BETWEEN 0 AND 63) p
   JOIN samples a ON a.event_id = p.event_id AND a.ti = i0 LEFT JOIN samples b ON b.event_id = p.event_id AND b.ti = i0 + 1
   WHERE a.valid AND (f = 0 OR b.valid))"""
-SCRAMBLE_SQL = """smp AS (SELECT event_id, lane, ti, x, real, 27.5::DOUBLE + CASE WHEN real = 0 THEN event_id % 23
-  ELSE (event_id * 7 + real * 5) % 23 END * 0.5::DOUBLE AS distance FROM samples, range(5) r(real) WHERE valid)"""
+PLACED_SQL = """ids AS (SELECT event_id, lane, distance, row_number() OVER (PARTITION BY lane ORDER BY event_id) - 1 AS rank,
+  count(*) OVER (PARTITION BY lane) AS n FROM (SELECT DISTINCT event_id, lane, distance FROM samples))"""
+SCRAMBLE_SQL = PLACED_SQL + """, smp AS (SELECT s.event_id, s.lane, ti, x, real, d.distance FROM samples s JOIN ids i ON i.event_id = s.event_id
+  CROSS JOIN range(5) r(real) JOIN ids d ON d.lane = i.lane AND d.rank = (i.rank + real * 7) % i.n WHERE valid)"""
 
 
 def score(real):
@@ -71,9 +74,13 @@ def _reals():
     return F.sequence(F.lit(0), F.lit(N_REAL - 1))
 
 
+def enough(t):
+    """Traces of the lanes that can be resampled at all: two events or more."""
+    return t.join(t.groupBy("lane").count().where("count >= 2").select("lane"), "lane", "left_semi")
+
+
 def type1_grid(spark, sf):
-    t = traces(spark, sf)
-    return _vesp(resample.with_subset_members(t, "lane", N_REAL, score, SPAN))
+    return _vesp(resample.with_subset_members(enough(traces(spark, sf)), "lane", N_REAL, score, SPAN))
 
 
 def type2_grid(spark, sf):
@@ -89,10 +96,7 @@ def type3_grid(spark, sf):
 
 
 def scramble_grid(spark, sf):
-    cls = lambda r: F.when(r == 0, F.pmod("event_id", F.lit(23))).otherwise(
-        F.pmod(F.col("event_id") * 7 + r * 5, F.lit(23)))
-    dist = F.transform(_reals(), lambda r: F.lit(27.5) + cls(r) * F.lit(0.5))
-    return _vesp(traces(spark, sf).withColumns({"members": _reals(), "distances": dist}))
+    return _vesp(resample.rotated_distances(traces(spark, sf), "lane", N_REAL, SCRAMBLE_STEP))
 
 
 def _vesp(t):
@@ -298,26 +302,31 @@ TYPE2_OCC_SQL = _second(vesp_by("real", TYPE2_SQL)[len(SAMPLES_SQL + ", " + AXIS
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lane, phase, threshold_pct ORDER BY frac DESC, si, ti) AS rn
     FROM occ) WHERE rn = 1), c2 AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lane, phase, threshold_pct ORDER BY frac DESC, si, ti) AS rn
-    FROM occ2) WHERE rn = 1)
+    FROM occ2) WHERE rn = 1), c1r AS (
+  SELECT lane, phase, threshold_pct, 63 - ti AS ti FROM (SELECT *, row_number() OVER (
+    PARTITION BY lane, phase, threshold_pct ORDER BY frac DESC, si, 63 - ti) AS rn FROM occ) WHERE rn = 1)
 SELECT lane::BIGINT AS lane, phase, threshold_pct::BIGINT AS threshold_pct, (c2.ti - c1.ti)::BIGINT AS dt_s,
        round((c2.si - c1.si) * 0.2, 6)::DOUBLE + 0.0 AS ds_sdeg,
        abs(c2.ti - c1.ti) <= 5 AND abs(c2.si - c1.si) * 0.2::DOUBLE <= 0.5 AS concordant,
        CASE WHEN abs(c2.ti - 8 - 14) <= abs(c2.ti - 8 - 28) AND abs(c2.ti - 8 - 14) <= abs(c2.ti - 8 - 40) THEN 'early'
             WHEN abs(c2.ti - 8 - 28) <= abs(c2.ti - 8 - 40) THEN 'middle' ELSE 'late' END AS nearest_feature,
-       63 - c1.ti = c1.ti AS adverse_reproduced
-FROM c1 JOIN c2 USING (lane, phase, threshold_pct)""")
+       c1r.ti = c1.ti AS adverse_reproduced
+FROM c1 JOIN c1r USING (lane, phase, threshold_pct) JOIN c2 USING (lane, phase, threshold_pct)""")
 def bootstrap_concordance(spark, sf):
     keys = ["lane", "phase", "threshold_pct"]
-    a = resample.argmax_cell(_occ(type1_grid(spark, sf)), keys)
+    occ = _occ(type1_grid(spark, sf))
+    a = resample.argmax_cell(occ, keys)
+    # Adverse control: the map reversed in time, its best cell found anew.
+    r = resample.argmax_cell(occ.withColumn("ti", F.lit(N_TIMES - 1) - F.col("ti")), keys).select(*keys, F.col("ti").alias("ti_r"))
     b = resample.argmax_cell(_occ(type2_grid(spark, sf)), keys).select(
         *keys, F.col("si").alias("si2"), F.col("ti").alias("ti2"))
     dt, ds = F.col("ti2") - F.col("ti"), (F.col("si2") - F.col("si")) * F.lit(0.2)
     t2 = F.col("ti2") - PRE
-    return a.join(b, keys).select(
+    return a.join(b, keys).join(r, keys).select(
         big("lane").alias("lane"), "phase", big("threshold_pct").alias("threshold_pct"), big(dt).alias("dt_s"),
         rnd(ds).alias("ds_sdeg"), ((F.abs(dt) <= 5) & (F.abs(ds) <= 0.5)).alias("concordant"),
         grading.nearest_label(t2, {"early": 14.0, "middle": 28.0, "late": 40.0}).alias("nearest_feature"),
-        (F.lit(N_TIMES - 1) - F.col("ti") == F.col("ti")).alias("adverse_reproduced"))
+        (F.col("ti_r") == F.col("ti")).alias("adverse_reproduced"))
 
 
 @registered("power_ratio_statement", sql="WITH " + POWER_SQL + """, g AS (
@@ -540,7 +549,7 @@ def event_set_variants(spark, sf):
 
 @registered("decoy_windows", sql="""WITH RECURSIVE t AS (
   SELECT s_suppkey AS target, 300 + s_acctbal / 20 AS dt FROM supplier), sh AS (
-  SELECT unnest([1, 2, 3, 4]) AS ord, unnest([-225.0, -150.0, 150.0, 225.0])::DOUBLE AS shift), walk AS (
+  SELECT unnest([1, 2, 3, 4]) AS ord, unnest([-300.0, -150.0, 150.0, 300.0])::DOUBLE AS shift), walk AS (
   SELECT target, dt, 0 AS ord, []::DOUBLE[] AS placed, []::BIGINT[] AS steps FROM t UNION ALL
   SELECT w.target, w.dt, w.ord + 1, list_append(placed, c.c), list_append(steps, c.k)
   FROM walk w JOIN LATERAL (
@@ -550,7 +559,7 @@ def event_set_variants(spark, sf):
           SELECT k, CASE WHEN q < 60 THEN 120 - q WHEN q > 1160 THEN 2320 - q ELSE q END AS u FROM (
            SELECT k, CASE WHEN p < 60 THEN 120 - p WHEN p > 1160 THEN 2320 - p ELSE p END AS q FROM (
             SELECT k::BIGINT AS k, w.dt + sh.shift + 75.0::DOUBLE * sign(sh.shift) * k AS p
-            FROM range(21) r(k), sh WHERE sh.ord = w.ord + 1)))))
+            FROM range(41) r(k), sh WHERE sh.ord = w.ord + 1)))))
     WHERE abs(c - 250) >= 60 AND abs(c - 700) >= 60 AND abs(c - w.dt) >= 60
       AND len(list_filter(w.placed, lambda z: abs(c - z) < 100)) = 0) c ON true
   WHERE w.ord < 4)
@@ -559,6 +568,6 @@ FROM walk, (SELECT unnest([1, 2, 3, 4]) AS i) WHERE ord = 4""")
 def decoy_windows(spark, sf):
     t = table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("target"), (F.lit(300) + F.col("s_acctbal") / 20).alias("dt"))
-    d = grading.decoy_walk(t, "target", "dt", shifts=(-225.0, -150.0, 150.0, 225.0), collisions=(250.0, 700.0), max_k=20)
+    d = grading.decoy_walk(t, "target", "dt", shifts=(-300.0, -150.0, 150.0, 300.0), collisions=(250.0, 700.0))
     return d.select("target", big("decoy").alias("decoy"), rnd("center_s").alias("center_s"),
                     big("walk_steps").alias("walk_steps"))

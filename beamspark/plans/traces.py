@@ -11,6 +11,7 @@ from beamspark.plans.grids import SAMPLES_SQL, traces, valid_mask
 from beamspark.plans.registry import big, registered, rnd, table
 
 SR = 20.0
+HEAVY_TASKS = 64  # tasks that the few heavy rows of a step are dealt over
 COMPONENT_SQL = """base AS (
   SELECT vec_id AS event_id, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1)::BIGINT AS ti
   FROM embeddings), zne AS (
@@ -297,7 +298,7 @@ def filter_bank(spark, sf):
         return out
 
     return tr.map_arrays(components(spark, sf), ["event_id"], ["z", "n", "e"],
-                         "centre_hz double, filtered array<double>, envelope array<double>", bank, heavy=True)
+                         "centre_hz double, filtered array<double>, envelope array<double>", bank, tasks=HEAVY_TASKS)
 
 
 @registered("frequency_dependent_polarization")
@@ -312,7 +313,7 @@ def frequency_dependent_polarization(spark, sf):
     return tr.map_arrays(
         components(spark, sf), ["event_id"], ["z", "n", "e"],
         "frequency_hz double, dop array<double>, azimuth_deg array<double>, inclination_deg array<double>, "
-        "vrm_minus_hrm array<double>, masked_vertical array<double>", step, heavy=True)
+        "vrm_minus_hrm array<double>, masked_vertical array<double>", step, tasks=HEAVY_TASKS)
 
 
 @registered("lanczos_resample", sql="WITH " + SAMPLES_SQL + """, pos AS (
@@ -337,7 +338,7 @@ def gaussian_projection_fit(spark, sf):
 
     return tr.map_arrays(traces(spark, sf), ["event_id"], ["x"],
                          "mean double, sigma double, converged boolean, residual_rms double, nonzero_bins int", fit,
-                         heavy=True, batch=True)
+                         tasks=HEAVY_TASKS, batch=True)
 
 
 @registered("rotate_oblique_to_zne", sql="WITH " + COMPONENT_SQL + """

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def get_spark(app: str = "beamspark", cores: str | None = None) -> SparkSession:
@@ -24,25 +23,3 @@ def get_spark(app: str = "beamspark", cores: str | None = None) -> SparkSession:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a scratch folder only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    scratch = tempfile.mkdtemp(prefix="beamspark-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    return scratch
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative job through the shared checkpoint folder."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Planner's size estimate of a plan, from file sizes; runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

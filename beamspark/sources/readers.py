@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from beamspark.functions import steim
+
 EVENT_TABLE = (
     "index int, event_id string, quality string, origin_time timestamp, distance_deg double, distance_err double, "
     "baz_deg double, set string"
@@ -166,10 +168,10 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
 _ENCODINGS = {1: ">i2", 3: ">i4", 4: ">f4", 5: ">f8"}
 
 
-def miniseed_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of uncompressed MiniSEED 2 files: channel, start, rate and samples.
+def miniseed_records(spark: SparkSession, path: str, samples: bool = True) -> DataFrame:
+    """Records of MiniSEED 2 files, uncompressed or difference-compressed: channel, start, rate and samples.
 
-    Compressed encodings are reported by ``encoding`` with no samples.
+    A record in any other encoding fails the read; without ``samples`` only headers are read, of any encoding.
     """
 
     def rows(p, data):
@@ -189,7 +191,11 @@ def miniseed_records(spark: SparkSession, path: str) -> DataFrame:
             micros = ((day - 1) * 86400 + hour * 3600 + minute * 60 + sec) * 1_000_000 + frac * 100
             start = np.datetime64(f"{year:04d}-01-01", "us").astype(np.int64) + micros
             x = []
-            if encoding in _ENCODINGS:
+            if samples and encoding in (steim.STEIM1, steim.STEIM2):
+                x = steim.decode(data[at + begin : at + length], npts, encoding).astype(float).tolist()
+            elif samples and npts and encoding not in _ENCODINGS:
+                raise ValueError(f"{p}: encoding {encoding} at byte {at} is not supported; read with samples=False for headers")
+            if samples and encoding in _ENCODINGS:
                 x = np.frombuffer(data, _ENCODINGS[encoding], npts, at + begin).astype(float).tolist()
             yield {"path": p, "network": h[18:20].decode().strip(), "station": h[8:13].decode().strip(),
                    "location": h[13:15].decode().strip(), "channel": h[15:18].decode().strip(),

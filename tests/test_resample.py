@@ -13,8 +13,16 @@ def test_seeded_designs_repeat_the_stated_generator():
     rng = np.random.default_rng(13)
     assert resample.seeded_subsets(7, 3, 13) == [sorted(rng.choice(np.arange(7), 4, replace=False).tolist()) for _ in range(3)]
     np.testing.assert_array_equal(resample.seeded_jitter(4, 2, 5)[0], np.random.default_rng(5).uniform(-10, 10, 4))
-    perms = resample.seeded_permutations(3, 20, 0)
+    perms = resample.seeded_permutations(3, 20, 7)
     assert perms[0] == [0, 1, 2] and [0, 1, 2] not in perms[1:] and len(perms) == 21
+    # Stated values: each realisation has a generator of its own.
+    for r in range(1, 21):
+        rng = np.random.default_rng(7 + r)
+        drawn = rng.permutation(3).tolist()
+        assert perms[r] == (drawn if drawn != [0, 1, 2] else rng.permutation(3).tolist()) or drawn == [0, 1, 2]
+    assert resample.seeded_permutations(5, 3, 7)[2] == np.random.default_rng(9).permutation(5).tolist()
+    with pytest.raises(ValueError, match="two events"):
+        resample.seeded_permutations(1, 3, 0)
 
 
 def test_strata_pathology():
@@ -134,3 +142,23 @@ def test_null_never_exceeds(spark):
     n = spark.createDataFrame([(0, 1.0), (0, None), (0, 3.0)], "g int, ridge double")
     r = grading.null_statistics(n, ["g"], {"ridge": 2.0}, {"ridge": 2.0}).first()
     assert r["far_ridge"] == pytest.approx(1 / 3) and r["p_ridge"] == pytest.approx(2 / 4) and r["ridge_nan"] == 1
+
+
+def test_lanes_of_one_trace_are_refused(spark):
+    t = spark.createDataFrame([(0, 1, 30.0), (0, 2, 31.0), (1, 3, 30.0)], "lane int, event_id long, distance double")
+    score = lambda r: F.pmod(F.col("event_id") + r, F.lit(10)).cast("int")
+    for stratum in (None, F.col("distance") < 30.5):
+        with pytest.raises(Exception, match="blocked_low_event_count"):
+            resample.with_subset_members(t, "lane", 2, score, 10, stratum).collect()
+    assert len(resample.with_subset_members(t.where("lane = 0"), "lane", 2, score, 10).collect()) == 2
+
+
+def test_rotated_distances_are_permutations(spark):
+    t = spark.range(40).select((F.col("id") * 3 % 41).alias("event_id"), F.when(F.col("id") < 30, 0).otherwise(1).alias("lane"), (F.col("id") / 7).alias("distance"))
+    rows = resample.rotated_distances(t, "lane", 4, 7).collect()
+    for lane in (0, 1):
+        mine = sorted((r for r in rows if r.lane == lane), key=lambda r: r.event_id)
+        own = [r.distance for r in mine]
+        assert all(r.members == [0, 1, 2, 3] for r in mine)
+        for k in range(4):
+            assert [r.distances[k] for r in mine] == [own[(i + 7 * k) % len(own)] for i in range(len(own))]

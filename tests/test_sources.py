@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from beamspark.functions import text
+from beamspark.functions import steim, text
 from beamspark.operators import audit, match, model
 from beamspark.sources import readers, sinks
 from beamspark.streaming import blocks
@@ -63,6 +63,8 @@ def test_generated_model_refuses_and_builds(spark):
     p = spark.createDataFrame([(1, 1800.0, 4.9, 5.5, 600.0, 0.3), (2, 1800.0, 4.9, 5.5, 1900.0, 0.3), (3, 1800.0, 5.0, 5.0, 600.0, 0.0),
                                (4, 1800.0, -1.0, 5.0, 600.0, 0.0)],
                               "k int, r_oc double, vp_cmb double, vp_icb double, r_ic double, dvp_icb double")
+    with pytest.raises(ValueError, match="shear speed"):
+        model.generate(p, "k", {**base, "mantle": [(0, 2.0, 3.0, 3.3)]})
     g = model.generate(p, "k", base).toPandas()
     assert g[g.k == 2].status.tolist() == ["radius_order"] and g[g.k == 4].status.tolist() == ["nonpositive_velocity"]
     one = g[g.k == 1]
@@ -133,6 +135,59 @@ def test_miniseed(spark, tmp_path):
     assert np.datetime64(rows[0]["start_us"], "us") == np.datetime64("2019-07-26T12:00:01.5")
 
 
+def packed(values, second):
+    """A record's frames: differences in the widest layout that holds them, for both schemes."""
+    x = np.asarray(values, np.int64)
+    d = np.diff(x, prepend=x[:1])
+    words, codes, i = [], [], 0
+    kinds = [(7, 4, 3, 2), (6, 5, 3, 1), (5, 6, 3, 0), (4, 8, 1, None), (3, 10, 2, 3), (2, 15, 2, 2), (1, 30, 2, 1)] if second else [(4, 8, 1, None), (2, 16, 2, None), (1, 32, 3, None)]
+    while i < len(d):
+        for n, bits, code, top in kinds:
+            part = d[i:i + n]
+            if len(part) == n and all(-(1 << (bits - 1)) <= v < 1 << (bits - 1) for v in part):
+                word = sum((int(v) & ((1 << bits) - 1)) << (bits * (n - 1 - k)) for k, v in enumerate(part))
+                words.append(word | ((top or 0) << 30))
+                codes.append(code)
+                i += n
+                break
+    out, at = b"", 0
+    while at < len(words):
+        room = 13 if not out else 15
+        w, c = words[at:at + room], codes[at:at + room]
+        head = [int(x[0]) & 0xFFFFFFFF, int(x[-1]) & 0xFFFFFFFF] if not out else []
+        w, c = (head + w + [0] * 15)[:15], ([0] * len(head) + c + [0] * 15)[:15]
+        out += struct.pack(">16I", sum(v << (2 * (14 - k)) for k, v in enumerate(c)), *w)
+        at += room
+    return out
+
+
+@pytest.mark.parametrize("encoding", [steim.STEIM1, steim.STEIM2])
+def test_compressed_miniseed(spark, tmp_path, encoding):
+    rng = np.random.default_rng(3)
+    wide = np.cumsum(rng.integers(-3, 4, 60)).tolist() + np.cumsum(rng.choice([1, 30, 200, 9000, 2_000_000], 40) * rng.choice([-1, 1], 40)).tolist()
+    record = bytearray(miniseed([0.0] * len(wide)))
+    frames = packed(wide, encoding == steim.STEIM2)
+    assert len(frames) <= 960
+    record[52] = encoding
+    record[54] = 10  # records of 1024 bytes
+    (tmp_path / "c.mseed").write_bytes(bytes(record[:64]) + frames.ljust(960, b"\0"))
+    got = readers.miniseed_records(spark, str(tmp_path)).first()
+    assert got["x"] == [float(v) for v in wide] and got["encoding"] == encoding
+    with pytest.raises(ValueError, match="last sample"):
+        steim.decode(frames[:8] + b"\0\0\0\1" + frames[12:], len(wide), encoding)
+    with pytest.raises(ValueError, match="samples"):
+        steim.decode(frames, 5000, encoding)
+
+
+def test_other_encodings_fail_loudly(spark, tmp_path):
+    record = bytearray(miniseed([1.0]))
+    record[52] = 30
+    (tmp_path / "o.mseed").write_bytes(bytes(record))
+    with pytest.raises(Exception, match="encoding 30"):
+        readers.miniseed_records(spark, str(tmp_path)).collect()
+    assert readers.miniseed_records(spark, str(tmp_path), samples=False).first()["encoding"] == 30
+
+
 def test_stats_files(spark, tmp_path):
     for folder in ("nulls/n1", "real"):
         (tmp_path / folder).mkdir(parents=True)

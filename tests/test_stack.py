@@ -204,3 +204,16 @@ def test_row_peaks_equal_cell_peaks(spark):
         a = peaks.global_peak(c, ["lane"], *window).first()
         b = peaks.global_peak_of_rows(g, ["lane"], *window, pre_s=3.0, sr=2.0).first()
         assert a == b
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+@pytest.mark.parametrize("method", ["linear", "pws"])
+def test_unequal_lengths_are_refused(spark, parts, method):
+    rows = [(0, 30.0, [1.0] * n, [True] * n) for n in (16, 16, 24)]
+    t = spark.createDataFrame(rows, "lane int, distance double, x array<double>, valid array<boolean>").repartition(parts)
+    for span in (None, (0, 8)):
+        with pytest.raises(Exception, match="unequal_lengths"):
+            stack.vespagram(t, ["lane"], [-1.0, 0.0], sr=2.0, method=method, power_window_s=None, time_range=span).collect()
+    short = spark.createDataFrame([(0, 30.0, [1.0] * 4, [True] * 3)], "lane int, distance double, x array<double>, valid array<boolean>")
+    with pytest.raises(Exception, match="mask_shape_mismatch"):
+        stack.vespagram(short, ["lane"], [0.0], sr=2.0, power_window_s=None).collect()
