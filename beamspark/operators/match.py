@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,23 +111,40 @@ def near_strong(
 ) -> DataFrame:
     """Ids of events with another strong event close in time and in angle (a semi join: no pairs leave).
 
-    Each strong event is filed under every time slot and latitude band it could disturb, each event under
-    its own, so only neighbours are compared. Both sides have (event_id, at, lat, lon).
+    Two events in one fine cell (half the angle wide, the shorter interval long) are close for certain, so a
+    count of strong events per cell settles a swarm without pairs. The others are compared with the strong
+    events filed under their slot, latitude band and longitude cell: each strong event is filed wherever it
+    could disturb. Both sides have (event_id, at, lat, lon).
     """
-    slot = before + after
+    slot, short, half = before + after, min(before, after), degrees / 2
     t = lambda c: F.floor(c / slot)
     band = lambda c: F.floor((c + 90) / degrees)
+    turn = int(360 // degrees)  # longitude cells around the globe, a little wider than the angle
+    cell = lambda c: F.floor(F.pmod(c + 180, F.lit(360.0)) * turn / 360)
+    fine = [F.floor(F.col("at") / max(short, 1)).alias("ft"), F.floor((F.col("lat") + 90) / half).alias("fa"), F.floor((F.col("lon") + 180) / half).alias("fo")]
+    names = ["ft", "fa", "fo"]
+    crowd = strong.select("event_id", *fine).groupBy(*names).agg(F.count("*").alias("crowd"), F.min("event_id").alias("one"))
+    e = events.select("event_id", "at", "lat", "lon", *fine).join(crowd, names, "left")
+    other = F.coalesce((F.col("crowd") > 1) | (F.col("one") != F.col("event_id")), F.lit(False)) & F.lit(short > 0)
+    sure = e.where(other).select("event_id")
+    e = e.where(~other).select("event_id", "at", "lat", "lon")
+    # How far in longitude a strong event reaches: all around near a pole.
+    reach = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(np.radians(degrees))) / F.cos(F.radians(F.col("slat"))))))
+    reach = F.when(F.abs(F.col("slat")) + degrees >= 89.9, F.lit(180.0)).otherwise(reach + 0.01)
     s = strong.select(
         F.col("event_id").alias("sid"), F.col("at").alias("sat"), F.col("lat").alias("slat"), F.col("lon").alias("slon"),
         F.explode(F.sequence(t(F.col("at") - after), t(F.col("at") + before))).alias("slot"))
     s = s.withColumn("band", F.explode(F.sequence(band(F.col("slat")) - 1, band(F.col("slat")) + 1)))
-    e = events.withColumns({"slot": t(F.col("at")), "band": band(F.col("lat"))})
+    first = F.floor((F.col("slon") + 180 - reach) * turn / 360)
+    last = F.least(F.floor((F.col("slon") + 180 + reach) * turn / 360), first + turn - 1)
+    s = s.withColumn("cell", F.explode(F.transform(F.sequence(first, last), lambda c: F.pmod(c, F.lit(turn).cast("bigint")))))
+    e = e.withColumns({"slot": t(F.col("at")), "band": band(F.col("lat")), "cell": cell(F.col("lon"))})
     close = (
         (F.col("sid") != F.col("event_id")) & (F.col("sat") >= F.col("at") - before)
         & (F.col("sat") <= F.col("at") + after)
         & (great_circle_deg(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")) <= degrees))
-    on = (e["slot"] == s["slot"]) & (e["band"] == s["band"]) & close
-    return e.join(s, on, "left_semi").select("event_id")
+    on = (e["slot"] == s["slot"]) & (e["band"] == s["band"]) & (e["cell"] == s["cell"]) & close
+    return e.join(s, on, "left_semi").select("event_id").union(sure)
 
 
 def uncontaminated(

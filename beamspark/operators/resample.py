@@ -341,7 +341,7 @@ def leave_one_out(
     first, last = stack.window_range(*window, pre_s, sr, power_window_s)
     first = max(0, first)
     total = stack.partial_stacks(traces, [lane], slowness, ref=ref, sr=sr, method="nth_root", order=order, time_range=(first, last))
-    total = sum_partials(total, [lane, "si"])
+    total = stack.sum_partials(total, [lane, "si"])
     share = F.ceil(F.count("*") / F.lit(group_traces)).cast("int").alias("groups")
     size = traces.groupBy(lane).agg(share)
     left = traces.select(lane, "event_id", "distance", "x", "valid").join(size, lane)
@@ -388,28 +388,3 @@ def leave_one_out(
         lane, "event_id", F.when(found, F.col("time_idx") / F.lit(sr) - F.lit(pre_s)).alias("time_s"),
         F.when(found, s).alias("slowness_sdeg"), "power", "slow_idx", "time_idx", "support_count",
         F.when(found, "ok").otherwise("blocked_low_support").alias("status"))
-
-
-def sum_partials(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Element-wise sum of ``acc0`` and ``cnt`` arrays, one streaming pass per group."""
-    types = {f.name: f.dataType.simpleString() for f in partials.schema.fields}
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = cnt = schema = length = None
-        for b in batches:
-            schema = b.schema
-            length = stack.one_length(b, length)
-            for name in ("acc0", "cnt"):
-                col = b.column(name)
-                offs, vals = np.asarray(col.offsets), np.asarray(col.values)
-                for lo, hi in zip(offs[:-1], offs[1:]):
-                    if name == "acc0":
-                        acc = vals[lo:hi].copy() if acc is None else acc + vals[lo:hi]
-                    else:
-                        cnt = vals[lo:hi].copy() if cnt is None else cnt + vals[lo:hi]
-        cols = [pa.array([k.as_py()], type=schema.field(n).type) for k, n in zip(key, keys)]
-        cols += [stack._list_array(acc[None, :], pa.float64()), stack._list_array(cnt[None, :], pa.int32())]
-        yield pa.RecordBatch.from_arrays(cols, [*keys, "acc0", "cnt"])
-
-    ddl = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", acc0 array<double>, cnt array<int>"
-    return partials.select(*keys, "acc0", "cnt", "n").groupBy(*keys).applyInArrow(add, ddl)

@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,7 +160,7 @@ def partial_stacks(
     lane_types = [f"`{c}` {source.schema[c].dataType.simpleString()}" for c in lanes]
     acc_cols = [f"acc{k}" for k in range(width)]
     schema = ", ".join(
-        [*lane_types, "real int", "si int", *[f"{c} array<double>" for c in acc_cols], "cnt array<int>", "n int"]
+        [*lane_types, "real int", "si int", *[f"{c} array<double>" for c in acc_cols], "cnt array<int>", "n int", "src int"]
     )
 
     def emit(key: tuple, lane_fields, real: np.ndarray, si: int, sums: list[np.ndarray], n: int) -> pa.RecordBatch:
@@ -169,7 +170,8 @@ def partial_stacks(
         arrays += [_list_array(s, pa.float64()) for s in sums[:-1]]
         arrays.append(_list_array(np.rint(sums[-1]).astype(np.int32), pa.int32()))
         arrays.append(pa.array(np.full(rows, n, dtype=np.int32)))
-        return pa.RecordBatch.from_arrays(arrays, [*lanes, "real", "si", *acc_cols, "cnt", "n"])
+        arrays.append(pa.array(np.full(rows, TaskContext.get().partitionId(), dtype=np.int32)))
+        return pa.RecordBatch.from_arrays(arrays, [*lanes, "real", "si", *acc_cols, "cnt", "n", "src"])
 
     group_cols = [*lanes, "blk"] if blocks > 1 else list(lanes)
 
@@ -278,6 +280,30 @@ def one_length(batch: pa.RecordBatch, length: int | None) -> int:
     return int(found[0])
 
 
+def sum_partials(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Element-wise sums of the ``acc*`` and ``cnt`` arrays of each key, one streaming pass per group."""
+    types = {f.name: f.dataType.simpleString() for f in partials.schema.fields}
+    sums = [c for c in partials.columns if c.startswith("acc") or c == "cnt"]
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        schema = length = None
+        for b in batches:
+            schema = b.schema
+            length = one_length(b, length)
+            for name in sums:
+                col = b.column(name)
+                offs, vals = np.asarray(col.offsets), np.asarray(col.values)
+                for lo, hi in zip(offs[:-1], offs[1:]):
+                    held[name] = held[name] + vals[lo:hi] if name in held else vals[lo:hi].copy()
+        cols = [pa.array([k.as_py()], type=schema.field(n).type) for k, n in zip(key, keys)]
+        cols += [_list_array(held[c][None, :], pa.int32() if c == "cnt" else pa.float64()) for c in sums]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([length], pa.int32())], [*keys, *sums, "n"])
+
+    ddl = ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"{c} {types[c]}" for c in sums), "n int"])
+    return partials.select(*keys, *sums, "n").groupBy(*keys).applyInArrow(add, ddl)
+
+
 def merge_grids(
     partials: DataFrame,
     lanes: Sequence[str],
@@ -288,9 +314,13 @@ def merge_grids(
     pw_order: float = 1.0,
     min_support: int = dims.MIN_STACK_SUPPORT,
     power_samples: int | None = None,
+    fan_in: int | None = None,
 ) -> DataFrame:
     """Reduce side: add the partial rows of each (lane, realisation, slowness) as they stream in.
 
+    One lane over very many map tasks brings a row from each of them to one key: ``fan_in`` first adds up
+    the rows of that many neighbouring tasks, so that no merge task reads more than their number of groups.
+
     Gives one row per slowness with ``beam`` and ``support`` arrays, and ``power`` when
     ``power_samples`` asks for the tapered moving power. Unsupported cells are null.
     """
@@ -300,6 +330,9 @@ def merge_grids(
     width = CHANNELS[method]
     # Neighbouring realisations share a group: fewer, larger calls, still bounded by the time axis.
     keys = [*lanes, "si", "rblock"]
+    if fan_in is not None:
+        near = partials.withColumn("src", F.floor(F.col("src") / F.lit(fan_in)).cast("int"))
+        partials = sum_partials(near, [*lanes, "real", "si", "src"])
     part = partials.withColumn("rblock", F.floor(F.col("real") / F.lit(REALS_PER_GROUP)).cast("int"))
     types = {f.name: f.dataType.simpleString() for f in part.schema.fields}
     schema = ", ".join([f"`{k}` {types[k]}" for k in (*lanes, "real", "si")])
@@ -394,6 +427,7 @@ def vespagram(
     time_range: tuple[int, int] | None = None,
     buffer_bytes: int = BUFFER_BYTES,
     blocks: int = 1,
+    fan_in: int | None = None,
 ) -> DataFrame:
     """Stack and smooth: one row per (lane, realisation, slowness) with arrays over time.
 
@@ -411,7 +445,7 @@ def vespagram(
     samples = None if power_window_s is None else max(1, int(round(power_window_s * sr)))
     return merge_grids(
         part, lanes, slowness, method=method, order=order, pw_order=1.0 if pw_order is None else pw_order,
-        min_support=min_support, power_samples=samples,
+        min_support=min_support, power_samples=samples, fan_in=fan_in,
     )
 
 

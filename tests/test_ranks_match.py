@@ -75,3 +75,22 @@ def test_exact_identifier_beats_nearer_event(spark):
     got = {r["target_id"]: (r["resource_id"], r["status"]) for r in
            match.match_events(targets, cat, tolerance=10_000_000).collect()}
     assert got == {1: ("named", "exact_id"), 2: ("near", "nearest"), 3: (None, "no_event_within_tolerance")}
+
+
+@pytest.mark.parametrize("swarm", [0, 300])
+def test_near_strong_against_all_pairs(spark, swarm):
+    rng = np.random.default_rng(swarm)
+    n = 500
+    rows = [(i, int(rng.integers(0, 20000)), float(rng.uniform(-90, 90)), float(rng.uniform(-180, 180))) for i in range(n)]
+    rows += [(n + i, int(9000 + rng.integers(0, 700)), float(10 + rng.normal()), float(179.5 + rng.normal()) % 360 - 0.0) for i in range(swarm)]
+    rows = [(i, t, a, (o + 180) % 360 - 180) for i, t, a, o in rows]
+    e = spark.createDataFrame(rows, "event_id long, at long, lat double, lon double")
+    strong = [r for r in rows if r[0] % 3 == 0]
+
+    def apart(x, y):
+        a, b, c, d = np.radians([x[2], x[3], y[2], y[3]])
+        return np.degrees(np.arccos(np.clip(np.sin(a) * np.sin(c) + np.cos(a) * np.cos(c) * np.cos(b - d), -1, 1)))
+
+    want = {x[0] for x in rows if any(y[0] != x[0] and x[1] - 900 <= y[1] <= x[1] + 700 and apart(x, y) <= 15 for y in strong)}
+    got = match.near_strong(e, e.where("event_id % 3 = 0"), before=900, after=700, degrees=15.0)
+    assert {r.event_id for r in got.collect()} == want

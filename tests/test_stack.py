@@ -217,3 +217,17 @@ def test_unequal_lengths_are_refused(spark, parts, method):
     short = spark.createDataFrame([(0, 30.0, [1.0] * 4, [True] * 3)], "lane int, distance double, x array<double>, valid array<boolean>")
     with pytest.raises(Exception, match="mask_shape_mismatch"):
         stack.vespagram(short, ["lane"], [0.0], sr=2.0, power_window_s=None).collect()
+
+
+@pytest.mark.parametrize("method", ["linear", "nth_root", "pws"])
+def test_two_level_merge_gives_the_same_stack(spark, method):
+    rng = np.random.default_rng(5)
+    rows = [(i % 2, float(28 + i % 5), rng.normal(size=12).tolist(), (rng.random(12) < 0.9).tolist()) for i in range(40)]
+    t = spark.createDataFrame(rows, "lane int, distance double, x array<double>, valid array<boolean>").repartition(8)
+    args = {"sr": 2.0, "method": method, "power_window_s": 2.0}
+    one, two = (stack.vespagram(t, ["lane"], [-1.0, 0.0, 0.5], fan_in=f, **args).orderBy("lane", "si").collect() for f in (None, 3))
+    assert len(one) == len(two) == 6
+    for a, b in zip(one, two):
+        assert a["support"] == b["support"]
+        for c in ("beam", "power"):
+            np.testing.assert_allclose([np.nan if v is None else v for v in a[c]], [np.nan if v is None else v for v in b[c]], rtol=1e-12, atol=1e-12)
