@@ -263,12 +263,31 @@ def montalbetti_kanasewich_filter(spark, sf):
     return long_out(f, "event_id", "z", "n", "e", digits=7)
 
 
-def _response_sql(lo, hi):
-    h = kernels.bandpass_response(64, SR, lo, hi, 4)
-    return "h(k, h) AS (VALUES " + ", ".join(f"({k}, {v!r}::DOUBLE)" for k, v in enumerate(h.tolist())) + ")"
-
-
-BANDPASS_SQL = "WITH " + SAMPLES_SQL + ", " + _response_sql(0.2, 0.8) + """, f1 AS (
+# Band-pass design in SQL from the corner frequencies: analog poles, bilinear transform, gain at the centre, then the
+# impulse response of the four second-order sections, step by step. It shares nothing with the kernel's code.
+DESIGN_SQL = """corner AS (
+  SELECT band, 40.0::DOUBLE * tan(pi() * lo / 20) AS w1, 40.0::DOUBLE * tan(pi() * hi / 20) AS w2 FROM bands), half AS (
+  SELECT band, w1, w2, sec, cos(pi() * (2 * sec + 3) / 8) * (w2 - w1) / 2 AS c, sin(pi() * (2 * sec + 3) / 8) * (w2 - w1) / 2 AS d
+  FROM corner, range(1, 5) q(sec)), sq AS (
+  SELECT *, c * c - d * d - w1 * w2 AS u, 2 * c * d AS v FROM half), rt AS (
+  SELECT *, sqrt((sqrt(u * u + v * v) + u) / 2) AS ra, CASE WHEN v < 0 THEN -1 ELSE 1 END * sqrt((sqrt(u * u + v * v) - u) / 2) AS rb FROM sq), an AS (
+  SELECT band, w1, w2, c + sg * ra AS x, d + sg * rb AS y FROM rt, (SELECT unnest([1, -1]) AS sg)), dg AS (
+  SELECT band, w1, w2, ((40 + x) * (40 - x) - y * y) / ((40 - x) * (40 - x) + y * y) AS x,
+         ((40 + x) * y + y * (40 - x)) / ((40 - x) * (40 - x) + y * y) AS y FROM an), gain AS (
+  SELECT band, exp(sum(0.5::DOUBLE * ln(pow(cos(2 * atan(sqrt(w1 * w2) / 40)) - x, 2) + pow(sin(2 * atan(sqrt(w1 * w2) / 40)) - y, 2))))
+         / pow(2 * sin(2 * atan(any_value(sqrt(w1 * w2)) / 40)), 4) AS g FROM dg GROUP BY band), sec AS (
+  SELECT band, -2 * x AS a, x * x + y * y AS b, row_number() OVER (PARTITION BY band ORDER BY x) AS k FROM dg WHERE y > 0), par AS (
+  SELECT band, max(a) FILTER (k = 1) AS a1, max(b) FILTER (k = 1) AS b1, max(a) FILTER (k = 2) AS a2, max(b) FILTER (k = 2) AS b2,
+         max(a) FILTER (k = 3) AS a3, max(b) FILTER (k = 3) AS b3, max(a) FILTER (k = 4) AS a4, max(b) FILTER (k = 4) AS b4 FROM sec GROUP BY band), run AS (
+  SELECT band, -1::BIGINT AS i, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS x2, 0.0::DOUBLE AS p1, 0.0::DOUBLE AS p2, 0.0::DOUBLE AS q1, 0.0::DOUBLE AS q2,
+         0.0::DOUBLE AS r1, 0.0::DOUBLE AS r2, 0.0::DOUBLE AS s1, 0.0::DOUBLE AS s2 FROM par UNION ALL
+  SELECT band, i, x0, x1, y1, p1, y2, q1, y3, r1, y3 - r2 - a4 * s1 - b4 * s2, s1 FROM (
+    SELECT *, y2 - q2 - a3 * r1 - b3 * r2 AS y3 FROM (SELECT *, y1 - p2 - a2 * q1 - b2 * q2 AS y2 FROM (
+      SELECT *, x0 - x2 - a1 * p1 - b1 * p2 AS y1 FROM (
+        SELECT run.* EXCLUDE (i), i + 1 AS i, CASE WHEN i = -1 THEN g ELSE 0 END AS x0, par.* EXCLUDE (band) FROM run JOIN par USING (band) JOIN gain USING (band)
+        WHERE i < 63)))) ), h AS (SELECT band, i AS k, s1 AS h FROM run WHERE i >= 0)"""
+
+BANDPASS_SQL = "WITH RECURSIVE " + SAMPLES_SQL + ", bands(band, lo, hi) AS (VALUES (0, 0.2::DOUBLE, 0.8::DOUBLE)), " + DESIGN_SQL + """, f1 AS (
   SELECT s.event_id, s.ti + k AS ti, sum(s.x * h) AS y FROM samples s, h WHERE s.ti + k <= 63 GROUP BY 1, 2), f2 AS (
   SELECT event_id, ti - k AS ti, sum(y * h) AS y FROM f1, h WHERE ti - k >= 0 GROUP BY 1, 2)"""
 
@@ -281,24 +300,38 @@ def bandpass_zero_phase(spark, sf):
     return long_out(f, "event_id", "filtered", digits=8)
 
 
-@registered("filter_bank")
-def filter_bank(spark, sf):
-    """Half-octave bands: band-pass, polarisation weights and smoothed envelope per event and centre."""
-    centres = [2.0 ** (k / 2.0) for k in range(-4, 3)]
-    factor = 2.0**0.25
+BANK_SQL = "WITH RECURSIVE " + COMPONENT_SQL.replace("zne AS", "raw AS") + """, bands AS (
+  SELECT k AS band, pow(2.0::DOUBLE, k / 2.0::DOUBLE - 0.25::DOUBLE) AS lo, pow(2.0::DOUBLE, k / 2.0::DOUBLE + 0.25::DOUBLE) AS hi FROM range(-4, 7) b(k)), """ + DESIGN_SQL + """, f1 AS (
+  SELECT event_id, band, ti + k AS ti, sum(z * h) AS z, sum(n * h) AS n, sum(e * h) AS e FROM raw, h WHERE ti + k <= 63 GROUP BY 1, 2, 3), zne AS (
+  SELECT event_id * 16 + band + 4 AS event_id, ti - k AS ti, sum(z * h) AS z, sum(n * h) AS n, sum(e * h) AS e
+  FROM f1 JOIN h USING (band) WHERE ti - k >= 0 GROUP BY 1, 2), """ + EIGEN_SQL.split(COMPONENT_SQL + ", ")[1] + """, vert AS (
+  SELECT event_id, ti, any_value(z) * avg((1 - l2 / l1) * vz * vz) AS y FROM zne JOIN un USING (event_id) WHERE ti >= st AND ti < st + 16 GROUP BY 1, 2), hil AS (
+  SELECT a.event_id, a.ti, sum(b.y / (32 * tan(pi() * (a.ti - b.ti) / 64))) AS q FROM vert a JOIN vert b ON b.event_id = a.event_id AND (a.ti - b.ti) % 2 <> 0
+  GROUP BY 1, 2), env AS (SELECT event_id, ti, y, sqrt(y * y + q * q) AS e FROM vert JOIN hil USING (event_id, ti))
+SELECT a.event_id // 16 AS event_id, a.event_id % 16 - 4 AS band, a.ti, round(any_value(a.y), 6) + 0.0 AS filtered, round(sum(b.e) / 5, 6) + 0.0 AS envelope
+FROM env a JOIN env b ON b.event_id = a.event_id AND b.ti BETWEEN a.ti - 2 AND a.ti + 2 GROUP BY 1, 2, 3, a.event_id"""
 
-    def bank(z, n, e):
-        zne = np.vstack([z, n, e])
-        out = []
-        for c in centres:
-            band = kernels.bandpass(zne, SR, c / factor, c * factor)
-            vert = kernels.mk_filter(band, SR, 0.8)[0]
-            env = np.convolve(kernels.analytic_abs(vert), np.full(5, 0.2), mode="same")
-            out.append((c, vert, env))
+
+@registered("filter_bank", sql=BANK_SQL)
+def filter_bank(spark, sf):
+    """The eleven half-octave bands around 0.25 to 8 Hz: band-pass, then polarisation weights, then smoothed envelope."""
+    octave = 2.0**0.25
+
+    def bands(z, n, e):
+        zne, out = np.vstack([z, n, e]), []
+        for k in range(-4, 7):
+            centre = 2.0 ** (k / 2.0)
+            out.append((k, *kernels.bandpass(zne, SR, centre / octave, centre * octave)))
         return out
 
-    return tr.map_arrays(components(spark, sf), ["event_id"], ["z", "n", "e"],
-                         "centre_hz double, filtered array<double>, envelope array<double>", bank, tasks=HEAVY_TASKS)
+    b = tr.map_arrays(components(spark, sf), ["event_id"], ["z", "n", "e"], "band bigint, bz array<double>, bn array<double>, be array<double>", bands,
+                      tasks=HEAVY_TASKS)
+    v = tr.map_arrays(b, ["event_id", "band"], ["bz", "bn", "be"], "filtered array<double>",
+                      lambda z, n, e: (kernels.mk_filter(np.vstack([z, n, e]), SR, 16 / SR)[0],))
+    smooth = lambda y: np.convolve(kernels.analytic_abs(y), np.full(5, 0.2), mode="same")
+    v = tr.map_arrays(v, ["event_id", "band", "filtered"], ["filtered"], "envelope array<double>", lambda y: (smooth(y),))
+    flat = v.select(big("event_id").alias("event_id"), "band", F.posexplode(F.arrays_zip("filtered", "envelope")).alias("ti", "c"))
+    return flat.select("event_id", "band", big("ti").alias("ti"), *(rnd(f"c.{c}", 6).alias(c) for c in ("filtered", "envelope")))
 
 
 @registered("frequency_dependent_polarization")
