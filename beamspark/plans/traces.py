@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from beamspark import dims
 from beamspark.functions import kernels
 from beamspark.operators import traces as tr
 from beamspark.plans.grids import SAMPLES_SQL, traces, valid_mask
@@ -334,19 +335,67 @@ def filter_bank(spark, sf):
     return flat.select("event_id", "band", big("ti").alias("ti"), *(rnd(f"c.{c}", 6).alias(c) for c in ("filtered", "envelope")))
 
 
-@registered("frequency_dependent_polarization")
+FDPA_SQL = "WITH " + COMPONENT_SQL + """, fr AS (
+  SELECT k, 0.5::DOUBLE * pow(8.0::DOUBLE, k / 6.0::DOUBLE) AS f FROM range(7) r(k)), par AS (
+  SELECT k, f, round_even(f / 0.3125::DOUBLE, 0)::BIGINT AS shift, least(64, greatest(2, round_even(60.0::DOUBLE / f, 0)))::BIGINT AS win FROM fr), hop AS (
+  SELECT *, greatest(1, round_even(win * (1.0::DOUBLE - 0.9::DOUBLE), 0))::BIGINT AS hop FROM par), wins AS (
+  SELECT DISTINCT k, win, unnest(list_append(range(0, 65 - win, hop), 64 - win)) AS st FROM hop), wave AS (
+  SELECT m, cos(2 * pi() * m / 64) AS c, sin(2 * pi() * m / 64) AS s FROM range(64) w(m)), ft AS (
+  SELECT event_id, j, sum(z * c) AS zr, -sum(z * s) AS zi, sum(n * c) AS nr, -sum(n * s) AS ni, sum(e * c) AS er, -sum(e * s) AS ei
+  FROM zne CROSS JOIN range(64) q(j) JOIN wave ON m = (j * ti) % 64 GROUP BY 1, 2), gf AS (
+  SELECT event_id, k, (j - shift + 64) % 64 AS i, exp(-2 * pow(pi() * (CASE WHEN (j - shift + 64) % 64 < 32 THEN (j - shift + 64) % 64
+    ELSE (j - shift + 64) % 64 - 64 END) * 0.3125::DOUBLE / f, 2)) / 64 AS g, zr, zi, nr, ni, er, ei FROM ft, par), sh AS (
+  SELECT event_id, k, t, sum(g * (zr * c - zi * s)) AS zr, sum(g * (zr * s + zi * c)) AS zi, sum(g * (nr * c - ni * s)) AS nr,
+         sum(g * (nr * s + ni * c)) AS ni, sum(g * (er * c - ei * s)) AS er, sum(g * (er * s + ei * c)) AS ei
+  FROM gf CROSS JOIN range(64) q(t) JOIN wave ON m = (i * t) % 64 GROUP BY 1, 2, 3), cv AS (
+  SELECT event_id, k, st, any_value(win) AS win, avg(zr * zr + zi * zi) AS a, avg(nr * nr + ni * ni) AS b, avg(er * er + ei * ei) AS c,
+         avg(zr * nr + zi * ni) AS dr, avg(zi * nr - zr * ni) AS di, avg(zr * er + zi * ei) AS fr, avg(zi * er - zr * ei) AS fi,
+         avg(nr * er + ni * ei) AS gr, avg(ni * er - nr * ei) AS gi
+  FROM sh JOIN wins USING (k) WHERE t >= st AND t < st + win GROUP BY 1, 2, 3), ev AS (
+  SELECT *, (a + b + c) / 3 AS q, sqrt((pow(a - (a + b + c) / 3, 2) + pow(b - (a + b + c) / 3, 2) + pow(c - (a + b + c) / 3, 2)
+    + 2 * (dr * dr + di * di + fr * fr + fi * fi + gr * gr + gi * gi)) / 6) AS p FROM cv), ph AS (
+  SELECT *, acos(least(1, greatest(-1, ((a - q) * (b - q) * (c - q) + 2 * ((dr * gr - di * gi) * fr + (dr * gi + di * gr) * fi) - (a - q) * (gr * gr + gi * gi)
+    - (b - q) * (fr * fr + fi * fi) - (c - q) * (dr * dr + di * di)) / (2 * p * p * p)))) / 3 AS phi FROM ev), la AS (
+  SELECT *, q + 2 * p * cos(phi) AS l1, greatest(0, q + 2 * p * cos(phi + 2 * pi() / 3)) AS l3, greatest(0, 3 * q - (q + 2 * p * cos(phi)) - (q + 2 * p * cos(phi + 2 * pi() / 3))) AS l2
+  FROM ph), m AS (SELECT *, a - l1 AS x, b - l1 AS y, c - l1 AS w FROM la), cr AS (
+  SELECT *, dr * gr - di * gi - fr * y AS z1r, dr * gi + di * gr - fi * y AS z1i, fr * dr + fi * di - x * gr AS n1r, fi * dr - fr * di - x * gi AS n1i,
+         x * y - dr * dr - di * di AS e1r, 0.0::DOUBLE AS e1i,
+         dr * w - (fr * gr + fi * gi) AS z2r, di * w - (fi * gr - fr * gi) AS z2i, fr * fr + fi * fi - x * w AS n2r, 0.0::DOUBLE AS n2i,
+         x * gr - (dr * fr + di * fi) AS e2r, -x * gi - (di * fr - dr * fi) AS e2i,
+         y * w - gr * gr - gi * gi AS z3r, 0.0::DOUBLE AS z3i, gr * fr + gi * fi - dr * w AS n3r, gi * fr - gr * fi + di * w AS n3i,
+         dr * gr - di * gi - y * fr AS e3r, -dr * gi - di * gr + y * fi AS e3i FROM m), nm AS (
+  SELECT *, z1r * z1r + z1i * z1i + n1r * n1r + n1i * n1i + e1r * e1r AS s1, z2r * z2r + z2i * z2i + n2r * n2r + e2r * e2r + e2i * e2i AS s2,
+         z3r * z3r + n3r * n3r + n3i * n3i + e3r * e3r + e3i * e3i AS s3 FROM cr), pk AS (
+  SELECT event_id, k, st, win, (l1 - l2) / (l1 + l2 + l3) AS dop, greatest(s1, s2, s3) AS size, CASE WHEN s1 >= s2 AND s1 >= s3 THEN 1 WHEN s2 >= s3 THEN 2 ELSE 3 END AS c,
+         z1r, z1i, n1r, n1i, e1r, e1i, z2r, z2i, n2r, n2i, e2r, e2i, z3r, z3i, n3r, n3i, e3r, e3i FROM nm), vc AS (
+  SELECT event_id, k, st, win, dop, size, """ + ", ".join(
+    f"CASE c WHEN 1 THEN {v}1{part} WHEN 2 THEN {v}2{part} ELSE {v}3{part} END AS {v}{part}" for v in "zne" for part in "ri") + """ FROM pk), ax AS (
+  SELECT *, sqrt(zr * zr + zi * zi) AS zz, (nr * zr + ni * zi) / sqrt(zr * zr + zi * zi) AS nn, (er * zr + ei * zi) / sqrt(zr * zr + zi * zi) AS ee,
+         (zr * zr + zi * zi) / size AS vert FROM vc), un AS (
+  SELECT event_id, k, st, win, dop, vert, atan2(ee, nn) AS az, degrees(atan2(zz, sqrt(nn * nn + ee * ee))) AS inc FROM ax), cov AS (
+  SELECT event_id, k, t, avg(dop) AS dop, degrees(atan2(avg(sin(az)), avg(cos(az)))) AS az, avg(inc) AS inc, avg(dop * vert) - avg(dop * (1 - vert)) AS d
+  FROM un JOIN range(64) q(t) ON t >= st AND t < st + win GROUP BY 1, 2, 3)
+SELECT event_id, k::BIGINT AS band, t::BIGINT AS ti, round(dop, 6) + 0.0 AS dop, round(az + CASE WHEN az < 0 THEN 360 ELSE 0 END, 3) % 360 + 0.0 AS azimuth_deg,
+       round(inc, 4) + 0.0 AS inclination_deg, round(d, 6) + 0.0 AS vrm_minus_hrm,
+       round(CASE WHEN dop >= 0.6 THEN sqrt(zr * zr + zi * zi) ELSE 0 END, 6) + 0.0 AS masked_vertical
+FROM cov JOIN sh USING (event_id, k, t)"""
+
+
+@registered("frequency_dependent_polarization", sql=FDPA_SQL)
 def frequency_dependent_polarization(spark, sf):
     freqs = np.geomspace(0.5, 4.0, 7)
 
     def step(z, n, e):
         f = kernels.fdpa(np.vstack([z, n, e]), SR, freqs)
-        return [(float(c), f["dop"][k], f["azimuth"][k], f["inclination"][k], f["vrm"][k] - f["hrm"][k],
-                 np.where(f["dop"][k] >= 0.6, f["vertical"][k], 0.0)) for k, c in enumerate(freqs)]
+        return [(k, f["dop"][k], f["azimuth"][k], f["inclination"][k], f["vrm"][k] - f["hrm"][k],
+                 np.where(f["dop"][k] >= 0.6, f["vertical"][k], 0.0)) for k in range(len(freqs))]
 
-    return tr.map_arrays(
-        components(spark, sf), ["event_id"], ["z", "n", "e"],
-        "frequency_hz double, dop array<double>, azimuth_deg array<double>, inclination_deg array<double>, "
-        "vrm_minus_hrm array<double>, masked_vertical array<double>", step, tasks=HEAVY_TASKS)
+    names = {"dop": 6, "azimuth_deg": 3, "inclination_deg": 4, "vrm_minus_hrm": 6, "masked_vertical": 6}
+    p = tr.map_arrays(components(spark, sf), ["event_id"], ["z", "n", "e"], "band bigint, " + ", ".join(f"{c} array<double>" for c in names), step,
+                      tasks=HEAVY_TASKS)
+    flat = p.select(big("event_id").alias("event_id"), "band", F.posexplode(F.arrays_zip(*names)).alias("ti", "c"))
+    flat = flat.select("event_id", "band", big("ti").alias("ti"), *(rnd(f"c.{c}", d).alias(c) for c, d in names.items()))
+    return flat.withColumn("azimuth_deg", F.col("azimuth_deg") % 360 + F.lit(0.0))
 
 
 @registered("lanczos_resample", sql="WITH " + SAMPLES_SQL + """, pos AS (
@@ -374,10 +423,18 @@ def gaussian_projection_fit(spark, sf):
                          tasks=HEAVY_TASKS, batch=True)
 
 
-@registered("rotate_oblique_to_zne", sql="WITH " + COMPONENT_SQL + """
-SELECT event_id, ti, """ + ", ".join(
-    f"round(z * ({m[0]!r}::DOUBLE) + n * ({m[1]!r}::DOUBLE) + e * ({m[2]!r}::DOUBLE), 9) + 0.0 AS {c}"
-    for c, m in zip("zne", tr.rotation_matrix().tolist())) + " FROM zne")
+ROTATION_SQL = "sensor(az1, az2, az3, d) AS (VALUES (" + ", ".join(
+    f"radians({v}::DOUBLE)" for v in (*dims.SENSOR_AZIMUTH_DEG, dims.SENSOR_DIP_DEG)) + """)), fw AS (
+  SELECT -sin(d) AS s, cos(d) * cos(az1) AS b1, cos(d) * sin(az1) AS c1, cos(d) * cos(az2) AS b2, cos(d) * sin(az2) AS c2,
+         cos(d) * cos(az3) AS b3, cos(d) * sin(az3) AS c3 FROM sensor), inv AS (
+  SELECT *, s * (b2 * c3 - c2 * b3) - b1 * (s * c3 - c2 * s) + c1 * (s * b3 - b2 * s) AS det FROM fw)"""
+
+
+@registered("rotate_oblique_to_zne", sql="WITH " + COMPONENT_SQL + ", " + ROTATION_SQL + """
+SELECT event_id, ti, round((z * (b2 * c3 - c2 * b3) + n * (c1 * b3 - b1 * c3) + e * (b1 * c2 - c1 * b2)) / det, 9) + 0.0 AS z,
+       round((z * (c2 * s - s * c3) + n * (s * c3 - c1 * s) + e * (c1 * s - s * c2)) / det, 9) + 0.0 AS n,
+       round((z * (s * b3 - b2 * s) + n * (b1 * s - s * b3) + e * (s * b2 - b1 * s)) / det, 9) + 0.0 AS e
+FROM zne CROSS JOIN inv""")
 def rotate_oblique_to_zne(spark, sf):
     c = components(spark, sf)
     r = tr.rotate(F.col("z"), F.col("n"), F.col("e"))
