@@ -16,6 +16,7 @@ rows are scored each; extra columns stay; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,7 @@ HEADS = (4, 5)  # bytes of a word's beginning that are a feature of their own; a
 MIN_DOCS = 4  # a slot that fewer sampled documents have keeps weight zero
 L1 = 8e-4
 STEPS = (160, 300)  # of the selection and of the refit
+RUN = 1 << 19  # slots of texts that a step of the fit handles at once
 KEEP = 0.8  # least tail probability that selection asks for
 
 _CLASS = np.zeros(256, np.uint8)  # 1 capital, 2 digit, 3 symbol
@@ -121,44 +123,59 @@ def fit(slots: np.ndarray, offsets: np.ndarray, grades: np.ndarray, top: int, *,
     weights = np.zeros(1 << bits)
     n = len(grades)
     share = np.array([(np.sum(grades > k) + 0.5) / (n + 1) for k in range(top)])
-    thresholds = -np.log(share / (1 - share))
+    theta = -np.log(share / (1 - share))
     if not n or len(np.unique(grades)) < 2:
-        return OrdinalModel(weights, thresholds)
+        return OrdinalModel(weights, theta)
     # The penalty picks the slots that say something; a second round fits those with a twentieth of it.
     used = np.flatnonzero(docs >= min_docs)
-    theta = thresholds
     for penalty, rounds in zip((l1, l1 / 20), steps, strict=True):
-        values, theta = _descend(slots, offsets, grades, used, docs[used] / n, theta, penalty, rounds)
+        spot = np.full(1 << bits, -1, np.int32)
+        spot[used] = np.arange(len(used), dtype=np.int32)
+        col = spot[slots]
+        kept = np.concatenate([[0], np.cumsum(col >= 0)])[offsets]
+        values, theta = _descend(col[col >= 0], kept, grades, docs[used] / n, theta, penalty, rounds)
         weights[:] = 0
         weights[used] = values
         used = used[values != 0]
     return OrdinalModel(weights, theta)
 
 
-def _descend(slots: np.ndarray, offsets: np.ndarray, grades: np.ndarray, used: np.ndarray, share: np.ndarray, theta: np.ndarray,
-             l1: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the ``used`` slots, which ``share`` of the documents have, and thresholds after ``steps`` steps."""
+def _descend(col: np.ndarray, offsets: np.ndarray, grades: np.ndarray, share: np.ndarray, theta: np.ndarray, l1: float,
+             steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of slots, which ``share`` of the documents have, and thresholds after ``steps`` steps.
+
+    ``col`` holds each text's slots end to end. Texts are taken in runs of bounded size, to bound the memory of a step.
+    """
     n, top = len(grades), len(theta)
-    if not len(used):
+    if not len(share):
         return np.zeros(0), theta
-    spot = np.searchsorted(used, slots)
-    spot[spot == len(used)] = 0
-    keep = used[spot] == slots
-    col, row = spot[keep], np.repeat(np.arange(n), np.diff(offsets))[keep]
+    cuts = np.unique(np.append(np.searchsorted(offsets, np.arange(0, offsets[-1], RUN)), n))
+    runs = [(lo, hi, col[offsets[lo]:offsets[hi]], np.diff(offsets[lo:hi + 1])) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def text_sums(of_slot: np.ndarray) -> np.ndarray:
+        out = np.empty(n)
+        for lo, hi, c, _ in runs:
+            total = np.concatenate([[0.0], np.cumsum(of_slot[c])])
+            out[lo:hi] = np.diff(total[offsets[lo:hi + 1] - offsets[lo]])
+        return out
+
     # Rare slots get larger steps; the rate follows the curvature bound of the text with the most to add.
     scale = 1 / np.sqrt(share + 1e-3)
-    rate = 4.0 / (np.bincount(row, weights=(scale**2 * share)[col], minlength=n).max() / 2 + 1)
-    v = np.zeros(len(used))
+    rate = 4.0 / (text_sums(scale**2 * share).max() / 2 + 1)
+    v = np.zeros(len(share))
     look, t, at = v, 1.0, np.arange(n)
     for _ in range(steps):
-        score = np.bincount(row, weights=(scale * look)[col], minlength=n)
+        score = text_sums(scale * look)
         p = 1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -40, 40)))
         # P(grade = k) is the difference of neighbouring tails.
         tails = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], 1)
         slope = tails * (1 - tails)
         prob = np.maximum(tails[at, grades] - tails[at, grades + 1], 1e-9)
         pull = (slope[at, grades] - slope[at, grades + 1]) / prob
-        gradient = -np.bincount(col, weights=pull[row], minlength=len(used)) * scale / n
+        gradient = np.zeros(len(share))
+        for lo, hi, c, size in runs:
+            gradient -= np.bincount(c, weights=np.repeat(pull[lo:hi], size), minlength=len(share))
+        gradient *= scale / n
         bend = [np.sum(slope[:, k + 1] / prob * ((grades == k + 1) * 1.0 - (grades == k))) / n for k in range(top)]
         theta = np.maximum.accumulate(theta - 0.5 * np.array(bend))
         moved = look - rate * gradient
@@ -191,15 +208,16 @@ def trained(docs: DataFrame, labels: DataFrame, grade: Column, top: int, *, doc_
             sample: int = SAMPLE, bits: int = BITS, **options) -> OrdinalModel:
     """Model of ``grade`` (a column of ``labels``, 0 to ``top``) fitted on the bounded sample."""
     got = sampled(docs, labels, grade, doc_id=doc_id, text=text, sample=sample, bits=bits).toArrow()
-    slots = got.column("slots").combine_chunks()
     grades = got.column("grade").to_numpy().astype(np.int64)
-    order = np.argsort(grades, kind="stable")  # the order of rows differs from run to run: sums must not
-    counts = np.diff(slots.offsets.to_numpy()) if len(grades) else np.zeros(0, np.int64)
-    values = slots.values.to_numpy() if len(grades) else np.zeros(0, np.int64)
-    lists = np.split(values, np.cumsum(counts)[:-1]) if len(grades) else []
-    order = sorted(order, key=lambda i: (grades[i], len(lists[i]), lists[i].tobytes()))
-    flat = np.concatenate([lists[i] for i in order]).astype(np.int64) if len(grades) else np.zeros(0, np.int64)
+    lists = []
+    for chunk in got.column("slots").chunks if len(grades) else []:
+        at = chunk.offsets.to_numpy()
+        lists += np.split(chunk.values.to_numpy()[at[0]:at[-1]], at[1:-1] - at[0])
+    # The order of rows differs from run to run, and sums must not.
+    order = sorted(range(len(lists)), key=lambda i: (grades[i], len(lists[i]), hashlib.blake2b(lists[i].tobytes(), digest_size=16).digest()))
+    flat = np.concatenate([lists[i] for i in order]) if len(grades) else np.zeros(0, np.int32)
     offsets = np.concatenate([[0], np.cumsum([len(lists[i]) for i in order])]).astype(np.int64)
+    del got, lists
     return fit(flat, offsets, grades[order] if len(grades) else grades, top, bits=bits, **options)
 
 
