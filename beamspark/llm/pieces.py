@@ -6,7 +6,8 @@ of the prefix before it, stays beside it when the two are encoded together (pair
 from the end gives the ids backwards. This takes time linear in the text, whatever its length.
 
 No piece of these models has a space mark after another character, so the marks cut a text into chunks that no merge
-crosses. Each worker keeps the encodings of chunks seen before, in a store of bounded size.
+crosses. Each worker keeps the encodings of chunks seen before, in a store of bounded size: two generations, the older of which
+goes when the newer is full; what is asked for again moves to the newer one.
 
 Nulls and empty texts have no pieces, only the end id; they decode to the empty text. Repeated rows stay, extra columns
 are ignored, an empty table gives no rows.
@@ -29,7 +30,8 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 MARK = "▁"  # fixed value: stands for a space in the model
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types
-STORED_CHUNKS = 1 << 20
+STORED_CHUNKS = 1 << 18  # in each of two generations
+ROWS = 512  # texts taken out of a batch at once
 STORED_CHARS = 64  # longer chunks are encoded anew each time
 
 
@@ -66,6 +68,7 @@ class PieceModel:
         self.automaton.make_automaton()
         self.beside: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by its merges, best score first and leftmost among equals."""
@@ -120,11 +123,13 @@ class PieceModel:
 
     def chunk(self, text: str) -> tuple[str, bytes]:
         """Ids of a chunk in decimal, joined by spaces, and the bytes that these ids decode to."""
-        ids = self.chunk_ids(text)
-        done = " ".join(map(str, ids)), self.decode_bytes(ids)
+        done = self.older.get(text)
+        if done is None:
+            ids = self.chunk_ids(text)
+            done = " ".join(map(str, ids)), self.decode_bytes(ids)
         if len(text) <= STORED_CHARS:
             if len(self.chunks) >= STORED_CHUNKS:
-                self.chunks.clear()
+                self.chunks, self.older = {}, self.chunks
             self.chunks[text] = done
         return done
 
@@ -151,7 +156,7 @@ class PieceModel:
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids with the end id, and digests of the ids and of the decoded text."""
         chunks, get = self.split(text), self.chunks.get
-        done = [get(c) or self.chunk(c) for c in chunks]
+        done = [get(c) or self.chunk(c) for c in chunks]  # a full store is replaced, not changed: get may miss, never err
         ids = " ".join([d[0] for d in done])
         ids = f"{ids} {self.eos}" if ids else str(self.eos)
         raw = b"".join([d[1] for d in done])
@@ -165,7 +170,8 @@ def load(path: str) -> PieceModel:
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:
-    return (x or "" for x in batch.column(name).to_pylist())
+    column = batch.column(name)
+    return (x or "" for at in range(0, len(column), ROWS) for x in column.slice(at, ROWS).to_pylist())
 
 
 def encoded(docs: DataFrame, model: str, text: str = "text", out: str = "ids") -> DataFrame:
