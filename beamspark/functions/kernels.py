@@ -229,11 +229,11 @@ def lanczos(x: np.ndarray, ratio: float, a: int = 20) -> np.ndarray:
     return out
 
 
-def gaussian_fit(x: np.ndarray, y: np.ndarray, steps: int = 200):
+def gaussian_fit(x: np.ndarray, y: np.ndarray, evaluations: int = 10_000):
     """Damped least squares of amplitude, mean, width and offset for every row of ``y``, inside the axis.
 
     Gives (mean, sigma, converged, rms) arrays. A row without weight has no fit; one that does not settle
-    falls back to its largest bin and the starting width.
+    within ``evaluations`` of the model falls back to its largest bin and the starting width.
     """
     y = np.atleast_2d(np.asarray(y, dtype=float))
     rows = len(y)
@@ -250,7 +250,7 @@ def gaussian_fit(x: np.ndarray, y: np.ndarray, steps: int = 200):
 
     fit, e = model(p)
     cost = ((y - fit) ** 2).sum(axis=1)
-    for _ in range(steps):
+    for _ in range(evaluations):
         k = np.flatnonzero(~done)
         if not len(k):
             break
