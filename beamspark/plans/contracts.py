@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from beamspark.functions import kernels
-from beamspark.operators import audit, detect, grading, peaks, resample, stack
+from beamspark.operators import audit, detect, grading, peaks, ranks, resample, stack
 from beamspark.operators import traces as tr
 from beamspark.plans.grids import (
     AXIS, BOX_PEAK_SQL, BOXES, POWER_S, POWER_SQL, PRE, SAMPLES_SQL, SR, WINDOWS, grid_cells, traces,
@@ -242,7 +242,7 @@ def cross_spectral_covariance(spark, sf):
     return out.select(big("event_id").alias("event_id"), "frequency_hz", *[rnd(c, 9).alias(c) for c in names])
 
 
-@registered("five_registered_peaks", sql="WITH " + BOX_PEAK_SQL + """, win(phase, lab, lo, hi) AS (VALUES ('PKiKP', 'global', 2.0, 32.0), ('PKKP', 'peak_1', 28.0, 52.0)), c AS (
+FIVE_SQL = BOX_PEAK_SQL + """, win(phase, lab, lo, hi) AS (VALUES ('PKiKP', 'global', 2.0, 32.0), ('PKKP', 'peak_1', 28.0, 52.0)), c AS (
   SELECT phase, lab, v.*, row_number() OVER (PARTITION BY lane, phase ORDER BY power DESC, si, ti) AS rn FROM vesp v JOIN win ON t BETWEEN lo AND hi
   WHERE power IS NOT NULL AND support >= 2), second AS (
   SELECT c.*, row_number() OVER (PARTITION BY c.lane ORDER BY c.power DESC, c.si, c.ti) AS r2 FROM c JOIN c p ON p.lane = c.lane AND p.phase = c.phase AND p.rn = 1
@@ -254,7 +254,10 @@ def cross_spectral_covariance(spark, sf):
     1 + count(*) FILTER (v.power > a.power AND v.support >= 2 AND v.t BETWEEN CASE a.phase WHEN 'PKiKP' THEN 2.0 ELSE 28.0 END
       AND CASE a.phase WHEN 'PKiKP' THEN 32.0 ELSE 52.0 END) AS rank,
     max(v.power) FILTER (v.si BETWEEN a.si - 1 AND a.si + 1 AND v.ti BETWEEN a.ti - 1 AND a.ti + 1) <= a.power AS is_max
-  FROM allp a JOIN vesp v ON v.lane = a.lane AND v.power IS NOT NULL GROUP BY a.lane, a.phase, a.peak_label, a.power)
+  FROM allp a JOIN vesp v ON v.lane = a.lane AND v.power IS NOT NULL GROUP BY a.lane, a.phase, a.peak_label, a.power)"""
+
+
+@registered("five_registered_peaks", sql="WITH " + FIVE_SQL + """
 SELECT lane::BIGINT AS lane, phase, peak_label, t AS time_s, round(s, 6) + 0.0 AS slowness_sdeg, round(power, 9) AS power,
   support::BIGINT AS support_count, round(quantile, 9) AS background_quantile, rank::BIGINT AS target_box_rank, is_max AS local_max
 FROM allp JOIN q USING (lane, phase, peak_label)""")
@@ -265,3 +268,45 @@ def five_registered_peaks(spark, sf):
         rnd("power", 9).alias("power"), big("support_count").alias("support_count"),
         rnd("background_quantile", 9).alias("background_quantile"), big("target_box_rank").alias("target_box_rank"),
         F.col("local_max_neighbor_check").alias("local_max"))
+
+
+@registered("peak_table", sql="WITH " + FIVE_SQL + """, err AS (
+  SELECT label AS lane, median(1.0::DOUBLE + vec_id % 5) FILTER (vec_id % 11 <> 0) AS med, max(1.0::DOUBLE + vec_id % 5) FILTER (vec_id % 11 <> 0) AS top
+  FROM embeddings GROUP BY label), tgt(phase, peak_label, pt, ps, tt, ts, box) AS (VALUES
+  ('PKiKP', 'global', 604.0::DOUBLE, -6.5::DOUBLE, 2.0::DOUBLE, 0.6::DOUBLE, ''), ('PKiKP', 'published_target', 604.0::DOUBLE, -6.5::DOUBLE, 2.0::DOUBLE, 0.6::DOUBLE, 'PKIKP_PUBLISHED'),
+  ('PKKP', 'peak_1', 1290.0::DOUBLE, -8.0::DOUBLE, 30.0::DOUBLE, 1.5::DOUBLE, ''), ('PKKP', 'peak_2', 1341.0::DOUBLE, -7.0::DOUBLE, 30.0::DOUBLE, 1.5::DOUBLE, ''),
+  ('PKKP', 'paper_target', 1341.0::DOUBLE, -7.0::DOUBLE, 5.0::DOUBLE, 0.4::DOUBLE, 'PKKP_PUBLISHED')), band AS (
+  SELECT i.lane, i.phase, i.peak_label, count(*) FILTER (i.ok AND i.power >= 0.85::DOUBLE * bp.power) AS n_band
+  FROM inside i JOIN bp USING (lane, phase, peak_label) GROUP BY ALL)
+SELECT 'paperfaith' AS mode, CASE WHEN a.lane % 2 = 0 THEN 'envelope' ELSE 'raw' END AS input_type, CASE a.lane % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS norm_variant,
+  'op' || a.lane AS polarization_operator, 'nth_root' AS stack_method, 5.0::DOUBLE AS power_window_s, a.phase, a.peak_label, round(a.t, 6) + 0.0 AS time_s,
+  round(a.s, 6) + 0.0 AS slowness_sdeg, round(a.power, 9) + 0.0 AS power, a.support::BIGINT AS support_count, 2::BIGINT AS minimum_support, 'ok' AS status, '' AS excluded_reason,
+  pt AS paper_time_s, ps AS paper_slowness_sdeg, round(a.t - pt, 6) + 0.0 AS dt_vs_paper_s, round(a.s - ps, 6) + 0.0 AS ds_vs_paper_sdeg,
+  abs(a.t - pt) <= tt AND abs(a.s - ps) <= ts AS within_published_tolerance, round(sqrt(pow((a.t - pt) / tt, 2) + pow((a.s - ps) / ts, 2)), 6) + 0.0 AS grid_coordinate_miss_norm,
+  med AS median_distance_error_deg, top AS max_distance_error_deg, round(abs(ps) * med, 6) + 0.0 AS distance_uncertainty_moveout_s,
+  round(tt + abs(ps) * med, 6) + 0.0 AS uncertainty_folded_time_tolerance_s, abs(a.t - pt) <= tt + abs(ps) * med AND abs(a.s - ps) <= ts AS within_uncertainty_folded_tolerance,
+  is_max AS local_max_neighbor_check, round(quantile, 9) + 0.0 AS box_peak_background_quantile, rank::BIGINT AS target_box_rank, box AS published_target_box,
+  round(CASE WHEN box <> '' THEN n_band::DOUBLE / n_ok END, 9) + 0.0 AS box_occupancy_in_band, round(CASE WHEN box <> '' THEN n_ok::DOUBLE / total END, 9) + 0.0 AS box_supported_cell_fraction,
+  coalesce(n_ok, 0)::BIGINT AS box_valid_cell_count, coalesce(total, 0)::BIGINT AS box_total_cell_count,
+  CASE a.lane % 3 WHEN 0 THEN 'headline_targeted_window_eq1' WHEN 1 THEN 'targeted_pkkp_window' ELSE 'ablation_full_window' END AS normalization_lane,
+  'not_required' AS current_provenance_status
+FROM allp a JOIN q USING (lane, phase, peak_label) JOIN tgt USING (phase, peak_label) LEFT JOIN err ON err.lane = a.lane
+LEFT JOIN bp ON bp.lane = a.lane AND bp.phase = a.phase AND bp.peak_label = a.peak_label LEFT JOIN band ON band.lane = a.lane AND band.phase = a.phase AND band.peak_label = a.peak_label
+WHERE a.power IS NOT NULL""")
+def peak_table(spark, sf):
+    """The whole 36-column table of the five registered peaks, every lane column filled."""
+    lane = F.col("lane")
+    names = {
+        "mode": F.lit("paperfaith"), "input_type": F.when(lane % 2 == 0, "envelope").otherwise("raw"),
+        "norm_variant": F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), F.pmod(lane, F.lit(3)) + 1),
+        "polarization_operator": F.concat(F.lit("op"), lane.cast("string")), "stack_method": F.lit("nth_root"), "power_window_s": F.lit(POWER_S)}
+    known = F.when(F.pmod("vec_id", F.lit(11)) != 0, F.lit(1.0) + F.pmod("vec_id", F.lit(5)))
+    errors = table(spark, sf, "embeddings").select(F.col("label").alias("lane"), known.alias("e")).withColumns(names)
+    err = ranks.quantiles(errors, list(names), "e", [0.5]).withColumnRenamed("q50", "median_distance_error_deg").join(
+        errors.groupBy(*names).agg(F.max("e").alias("max_distance_error_deg")), list(names))
+    cells = grid_cells(spark, sf).withColumns(names)
+    p = detect.peak_table(cells, list(names), err, windows=WINDOWS, boxes=BOXES[:2], dt=6.0, ds=0.5, min_support=2)
+    digits = dict.fromkeys(("power", "box_peak_background_quantile", "box_occupancy_in_band", "box_supported_cell_fraction"), 9)
+    whole = ("support_count", "minimum_support", "target_box_rank", "box_valid_cell_count", "box_total_cell_count")
+    rounded = {f.name: rnd(f.name, digits.get(f.name, 6)) for f in p.schema.fields if f.dataType.simpleString() == "double"}
+    return p.where("status = 'ok'").withColumns(rounded | {c: big(c) for c in whole})
