@@ -21,7 +21,6 @@ ENVELOPE_EDGE_EXCLUSION_S = 5.0
 SENSOR_AZIMUTH_DEG = (135.0, 15.0, 255.0)
 SENSOR_DIP_DEG = -29.3
 EVENT_TOKEN = r"(?<![A-Za-z0-9_])[A-Z]\d{4}[a-z](?![A-Za-z0-9_])"
-NORM_WINDOWS = {"A": (400.0, 800.0), "B": (1100.0, 1500.0), "C": (-100.0, 2200.0)}
 # level -> (realisations, counts as the published uncertainty run)
 BOOTSTRAP_FIDELITY = {
     "methods_robustness_200": (200, False),
@@ -64,6 +63,7 @@ class Box:
     s_max: float
 
 
+# The registered axis.
 FULL_AXIS = SlownessAxis(-10.0, 0.0, 100)
 
 # Windows, published targets and boxes of the two phases.
@@ -71,3 +71,10 @@ PHASE_WINDOWS = {"PKiKP": (550.0, 700.0), "PKKP": (1200.0, 1500.0)}
 PUBLISHED_PEAKS = {"PKiKP": (604.0, -6.5), "PKKP_1": (1290.0, -8.0), "PKKP_2": (1341.0, -7.0)}
 PKIKP_PUBLISHED = Box("PKiKP", "published_target", 584.0, 624.0, -7.1, -5.9)
 PKKP_PUBLISHED = Box("PKKP", "paper_target", 1320.0, 1360.0, -8.0, -6.0)
+
+# Limits of a projection fit's quality gate.
+FIT_RESIDUAL_SHARE = 0.10
+FIT_SIGMA_SPAN_SHARE = 0.25
+FIT_ESTIMATOR_CELLS = 3.0
+FIT_ESTIMATOR_SPAN_SHARE = 0.05
+OCCUPANCY_PLATEAU_SHARE = 0.8

@@ -68,11 +68,8 @@ def window_starts(n: int, win: int, overlap: float, smallest: int = 1) -> tuple[
     if n <= 0:
         return 0, np.zeros(0, dtype=np.int64)
     win = min(max(smallest, win), n)
-    hop = max(1, int(round(win * (1.0 - overlap))))
-    starts = np.arange(0, n - win + 1, hop)
-    if starts[-1] != n - win:
-        starts = np.append(starts, n - win)
-    return win, starts
+    hop, last = max(1, int(round(win * (1.0 - overlap)))), n - win
+    return win, np.append(np.arange(0, last, hop), last)
 
 
 @lru_cache(maxsize=64)

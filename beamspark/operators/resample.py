@@ -256,16 +256,16 @@ def fit_reasons(axis_min, axis_max, spacing) -> Column:
     mean, sigma, resid, peak, amax, wmed = (
         finite(F.col(c)) for c in
         ("mean", "sigma", "residual_rms", "projection_peak", "occupancy_argmax", "weighted_median"))
-    tolerance = F.greatest(F.lit(3.0) * cell, F.lit(0.05) * span)
+    tolerance = F.greatest(F.lit(dims.FIT_ESTIMATOR_CELLS) * cell, F.lit(dims.FIT_ESTIMATOR_SPAN_SHARE) * span)
     spread = F.greatest(mean, amax, wmed) - F.least(mean, amax, wmed)
     missing = mean.isNull() | amax.isNull() | wmed.isNull()
     return F.array_compact(F.array(
         F.when(~F.col("fit_converged"), "optimizer_not_converged"),
         F.when(F.col("fallback_used"), "optimizer_fallback_used"),
         F.when(peak.isNull() | (peak <= 0), "nonpositive_projection_peak")
-        .when(resid.isNull(), "residual_rms_unavailable").when(resid / peak > 0.10, "residual_rms_fraction"),
+        .when(resid.isNull(), "residual_rms_unavailable").when(resid / peak > dims.FIT_RESIDUAL_SHARE, "residual_rms_fraction"),
         F.when(sigma.isNull() | (sigma <= 0), "sigma_unavailable").when(span <= 0, "axis_span_unavailable")
-        .when(sigma > 0.25 * span, "sigma_exceeds_axis_span_fraction"),
+        .when(sigma > dims.FIT_SIGMA_SPAN_SHARE * span, "sigma_exceeds_axis_span_fraction"),
         F.when(missing, "tri_estimator_unavailable").when(spread > tolerance, "tri_estimator_inconsistency"),
     ))
 
@@ -287,7 +287,7 @@ def pick_table(
         grid = np.zeros((len(nodes), n_times))
         grid[si, ti] = frac
         best = np.unravel_index(np.argmax(grid), grid.shape)
-        high = np.nonzero(grid >= 0.8 * grid.max())
+        high = np.nonzero(grid >= dims.OCCUPANCY_PLATEAU_SHARE * grid.max())
         common = (float(grid[best]), len(frac), count_components(*high))
         out = []
         for axis, x, at, step in (("time", t, best[1], 1.0 / sr), ("slowness", nodes, best[0], np.median(np.diff(nodes)))):

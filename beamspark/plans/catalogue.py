@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from beamspark import dims
 from beamspark.functions import text
 from beamspark.operators import match
 from beamspark.plans.registry import big, micros, registered, rnd, table
@@ -51,7 +52,7 @@ def catalogue_event_match(spark, sf):
     words = F.concat(F.lit("quake "), token(F.col("event_id") % 5000), F.lit(" (was xS0001ab, S12345a)"))
     cat = e.where("event_type <> 'purchase'").select(
         F.concat(F.lit("smi:"), F.col("event_id")).alias("resource_id"), "at", text.event_tokens(words).alias("tokens"))
-    return match.match_events(targets, cat, tolerance=30_000_000)
+    return match.match_events(targets, cat, tolerance=int(dims.EVENT_MATCH_MAX_DELTA_S * 1_000_000))
 
 
 @registered("nearest_feature_per_user", sql="""WITH l AS (

@@ -104,9 +104,9 @@ def geojson_events(spark: SparkSession, path: str) -> DataFrame:
                     xyz[0].alias("lon"), xyz[1].alias("lat"), xyz[2].alias("depth_km"))
 
 
-def stats_files(spark: SparkSession, path: str) -> DataFrame:
-    """Several CSV result files as one table, the null type read from each file's folder."""
-    raw = spark.read.csv(path, header=True, inferSchema=True, recursiveFileLookup=True, pathGlobFilter="*.csv")
+def stats_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Several CSV result files of one ``schema`` as one table, the null type read from each file's folder."""
+    raw = spark.read.csv(path, header=True, schema=schema, recursiveFileLookup=True, pathGlobFilter="*.csv")
     kind = F.regexp_extract(F.col("_metadata.file_path"), r"/nulls/([^/]+)/", 1)
     return raw.withColumn("null_type", F.when(kind == "", "real").otherwise(kind))
 

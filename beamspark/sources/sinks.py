@@ -11,14 +11,15 @@ from beamspark import dims
 
 # Column order of the peak table.
 PEAK_COLUMNS = (
-    "mode input_type norm_variant polarization_operator stack_method power_window_s phase peak_label time_s "
-    "slowness_sdeg power support_count minimum_support status excluded_reason paper_time_s paper_slowness_sdeg "
-    "dt_vs_paper_s ds_vs_paper_sdeg within_published_tolerance grid_coordinate_miss_norm median_distance_error_deg "
-    "max_distance_error_deg distance_uncertainty_moveout_s uncertainty_folded_time_tolerance_s "
-    "within_uncertainty_folded_tolerance local_max_neighbor_check box_peak_background_quantile target_box_rank "
-    "published_target_box box_occupancy_in_band box_supported_cell_fraction box_valid_cell_count box_total_cell_count "
-    "normalization_lane current_provenance_status"
-).split()
+    "mode", "input_type", "norm_variant", "polarization_operator", "stack_method", "power_window_s", "phase",
+    "peak_label", "time_s", "slowness_sdeg", "power", "support_count", "minimum_support", "status",
+    "excluded_reason", "paper_time_s", "paper_slowness_sdeg", "dt_vs_paper_s", "ds_vs_paper_sdeg",
+    "within_published_tolerance", "grid_coordinate_miss_norm", "median_distance_error_deg",
+    "max_distance_error_deg", "distance_uncertainty_moveout_s", "uncertainty_folded_time_tolerance_s",
+    "within_uncertainty_folded_tolerance", "local_max_neighbor_check", "box_peak_background_quantile",
+    "target_box_rank", "published_target_box", "box_occupancy_in_band", "box_supported_cell_fraction",
+    "box_valid_cell_count", "box_total_cell_count", "normalization_lane", "current_provenance_status",
+)
 
 
 def write_lanes(grid: DataFrame, path: str, lanes: Sequence[str], mode: str = "overwrite") -> None:
@@ -74,6 +75,9 @@ def markdown_rows(df: DataFrame) -> DataFrame:
 def locked_digest(rows: DataFrame, key: str, content: Column) -> DataFrame:
     """Digest per key of its row digests in order, whatever order the rows come in.
 
+    It is a tree of digests of this library's own, not the digest of the sorted manifest as one text, which only one
+    task could compute: compare it with digests made by this function, not with recorded digests of manifests.
+
     Repeats fold into a count, then digests merge by their leading characters in two steps, so even a
     key with most of the rows is never gathered whole.
     """

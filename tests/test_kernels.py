@@ -165,3 +165,15 @@ def test_qc_reasons(spark):
     got = [tr.qc_verdict(_one(spark, x, m)).first()["reason"] for x, m in
            ((good, None), (flat, None), (clipped, None), (good, gap), (np.ones(10), None))]
     assert got == ["", "flatline", "clipping", "coverage", "flatline_or_empty"]
+
+
+def test_window_starts_against_a_plain_walk():
+    for n in (1, 2, 5, 16, 17, 64):
+        for win in (1, 3, 16, 40):
+            for overlap in (0.0, 0.5, 0.9):
+                got, starts = k.window_starts(n, win, overlap)
+                hop, at, want = max(1, int(round(got * (1.0 - overlap)))), 0, []
+                while at < n - got:
+                    want.append(at)
+                    at += hop
+                assert got == min(win, n) and starts.tolist() == [*want, n - got]

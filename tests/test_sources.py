@@ -192,7 +192,7 @@ def test_stats_files(spark, tmp_path):
     for folder in ("nulls/n1", "real"):
         (tmp_path / folder).mkdir(parents=True)
         (tmp_path / folder / "s.csv").write_text("phase,v\nPcP,1\n")
-    assert sorted(r["null_type"] for r in readers.stats_files(spark, str(tmp_path)).collect()) == ["n1", "real"]
+    assert sorted(r["null_type"] for r in readers.stats_files(spark, str(tmp_path), "phase string, v double").collect()) == ["n1", "real"]
 
 
 def test_lane_sink_prunes(spark, tmp_path):
