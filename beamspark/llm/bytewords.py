@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 LONG_WORD = 1 << 16  # longer words are hashed by themselves, to bound the memory of a slice
 
 _U = np.uint64

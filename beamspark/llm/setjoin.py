@@ -41,7 +41,7 @@ from beamspark.llm.shared import written
 
 GRAM = 3
 PERCENT = 90
-SHARD_ENTRIES = 1 << 20
+SHARD_ENTRIES = 1 << 19
 TABLE_BITS = 24  # bit table of the documents that are read once more
 SIGNATURE = 512  # bits
 SMALL = 24  # largest set that may enumerate subsets
@@ -212,8 +212,16 @@ def starred(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first[1:] = keys[1:] != keys[:-1]
     least = owners[np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else owners
     other = np.flatnonzero(owners != least)
-    edges = np.unique(np.stack([owners[other], least[other]], 1), axis=0)
-    return keys[first], owners[first], edges[:, 0], edges[:, 1]
+    return keys[first], owners[first], *distinct(owners[other], least[other])
+
+
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, in order."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[first], b[first]
 
 
 def possible_links(docs: DataFrame, largest: int, gram: int, percent: int, shards: int) -> DataFrame:
@@ -251,8 +259,8 @@ def possible_links(docs: DataFrame, largest: int, gram: int, percent: int, shard
             for out, name, kind in ((keys, "keys", _U), (owners, "owners", np.int64), (a, "a", np.int64), (b, "b", np.int64)):
                 out += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(name)]
         _, _, ea, eb = starred(np.concatenate(keys), np.concatenate(owners))
-        edges = np.unique(np.stack([np.concatenate([*a, ea]), np.concatenate([*b, eb])], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+        left, right = distinct(np.concatenate([*a, ea]), np.concatenate([*b, eb]))
+        yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["a", "b"])
 
     packed = docs.select("text").mapInArrow(entries, "shard int, keys binary, owners binary, a binary, b binary")
     return packed.groupBy("shard").applyInArrow(lists, "a long, b long")
