@@ -78,13 +78,17 @@ def words(text: Column) -> Column:
 
 def grams(w: Column) -> Column:
     """Distinct runs of one to GRAMS words, joined by spaces."""
-    n = F.size(w)
 
-    def runs(k: int) -> Column:
-        starts = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, k), " "))
+    def of(w: Column) -> Column:
+        n = F.size(w)
 
-    return F.array_distinct(F.concat(*map(runs, range(1, GRAMS + 1))))
+        def runs(k: int) -> Column:
+            starts = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(k))))
+
+        return F.array_distinct(F.concat(*map(runs, range(1, GRAMS + 1))))
+
+    return F.get(F.transform(F.array(w), of), 0)  # so that the words are found once, not once for each run
 
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -165,7 +169,8 @@ def probabilities(g: Column, model: LicenceModel) -> Column:
     bias = F.array(*map(F.lit, model.bias))
     # Places of the known n-grams; a place that isn't there is 0.
     places = F.filter(F.transform(g, lambda x: F.array_position(names, x)), lambda i: i > 0)
-    logits = F.aggregate(places, bias, lambda acc, i: F.zip_with(acc, F.slice(flat, (i - 1) * width + 1, width), lambda a, b: a + b))
+    columns = F.sequence(F.lit(0), F.lit(width - 1))
+    logits = F.aggregate(places, bias, lambda acc, i: F.zip_with(acc, columns, lambda a, j: a + F.get(flat, (i - 1) * width + j)))
     powers = F.transform(logits, lambda x: F.exp(x))
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
 
