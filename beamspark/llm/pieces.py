@@ -30,7 +30,7 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 MARK = "▁"  # fixed value: stands for a space in the model
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types
-STORED_CHUNKS = 1 << 18  # in each of two generations
+STORED_CHUNKS = 3 << 17  # in each of two generations
 ROWS = 512  # texts taken out of a batch at once
 STORED_CHARS = 64  # longer chunks are encoded anew each time
 
@@ -64,9 +64,10 @@ class PieceModel:
         self.automaton = ahocorasick.Automaton()
         for p in self.score:
             if self.merged(p) == [p]:  # a piece that its own text doesn't give is never used
-                self.automaton.add_word(p, p)
+                self.automaton.add_word(p, (p, len(p)))
         self.automaton.make_automaton()
-        self.beside: dict[tuple[str, str], bool] = {}
+        self.beside: dict[str, dict[str, bool]] = {}  # by left piece, then right piece
+        self.pairs = 0
         self.chunks: dict[str, tuple[str, bytes]] = {}
         self.older: dict[str, tuple[str, bytes]] = {}
 
@@ -85,12 +86,11 @@ class PieceModel:
         return parts
 
     def compatible(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self.beside.get(key)
-        if known is None:
-            if len(self.beside) >= STORED_CHUNKS:
-                self.beside.clear()
-            known = self.beside[key] = self.merged(left + right) == [left, right]
+        """Whether the two pieces stay as they are when encoded together."""
+        if self.pairs >= STORED_CHUNKS:
+            self.beside, self.pairs = {}, 0
+        self.pairs += 1
+        known = self.beside.setdefault(left, {})[right] = self.merged(left + right) == [left, right]
         return known
 
     def pieces(self, text: str) -> list[str]:
@@ -98,12 +98,22 @@ class PieceModel:
         if text in self.ids and self.automaton.exists(text):
             return [text]
         last: list[str | None] = [None] * (len(text) + 1)
-        compatible = self.compatible
-        for end, piece in self.automaton.iter(text):
-            start = end + 1 - len(piece)
-            left = last[start]
-            if last[end + 1] is None and (not start or compatible(left or text[start - 1], piece)):
-                last[end + 1] = piece
+        rows = self.beside.get
+        for at, (piece, size) in self.automaton.iter(text):
+            end = at + 1
+            if last[end] is not None:
+                continue
+            start = end - size
+            if start:
+                left = last[start] or text[start - 1]
+                row = rows(left)
+                fits = row.get(piece) if row is not None else None
+                if fits is None:
+                    fits = self.compatible(left, piece)
+                    rows = self.beside.get
+                if not fits:
+                    continue
+            last[end] = piece
         out, i = [], len(text)
         while i:
             piece = last[i] or text[i - 1]  # no piece: a character outside the model, encoded as bytes

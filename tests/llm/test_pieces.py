@@ -47,7 +47,7 @@ def test_stored_chunks_are_bounded(library, monkeypatch):
     m = pieces.PieceModel(library.serialized_model_proto())
     for t in texts()[:300]:
         assert m.digests(t) == want(library, t)
-        assert len(m.chunks) <= 5 and len(m.older) <= 5 and len(m.beside) <= 5
+        assert len(m.chunks) <= 5 and len(m.older) <= 5 and m.pairs <= 5
 
 
 def test_tables(spark, library):
