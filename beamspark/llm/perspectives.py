@@ -5,8 +5,8 @@ named users and the system's turns as system, with the character spans that the
 the mask to train on. Long conversations come in parts of ``PART_TURNS`` turn numbers, so that no row holds an unbounded
 dialogue; a part's spans count from its own start, and parts follow each other in turn order.
 
-Everything is DataFrame functions. One shuffle gathers the turns of a part, another the participants of a conversation
-(distinct names, pre-aggregated). Turns of a part are ordered by turn, speaker and text; equal rows all stay. Marks inside a
+Everything is DataFrame functions. One shuffle gathers the turns of a part, narrow ones the participants of a conversation
+(distinct names, pre-aggregated). A part holds the rows of its 64 turn numbers, however often these repeat. Turns of a part are ordered by turn, speaker and text; equal rows all stay. Marks inside a
 text are broken up, so that a text can't forge a turn. Null speakers are named ``NAMELESS``, null texts are empty, null turns
 come first in a part of their own, null conversations are one conversation. Conversations with system turns alone have no
 participant and give no rows; an empty table gives none. Extra columns are ignored.
@@ -34,10 +34,15 @@ def rotated(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", spea
     rows = turns.select(
         F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(speaker), F.lit(NAMELESS)).alias("speaker"),
         F.coalesce(F.col(text), F.lit("")).alias("text"))
-    part = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long").alias("part")
-    parts = rows.groupBy("conv_id", part).agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
-    people = rows.where(F.col("speaker") != SYSTEM).groupBy("conv_id").agg(F.array_sort(F.collect_set("speaker")).alias("people"))
-    both = parts.join(people.withColumnRenamed("conv_id", "of"), F.col("conv_id").eqNullSafe(F.col("of")))
+    rows = rows.withColumns({
+        "key": F.coalesce(F.concat(F.lit("v"), F.col("conv_id").cast("string")), F.lit("n")),  # never null, so that it joins
+        "part": F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long")})
+    parts = rows.groupBy("key", "part").agg(
+        F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
+    people = rows.where(F.col("speaker") != SYSTEM).groupBy("key").agg(F.array_sort(F.collect_set("speaker")).alias("people"))
+    # The names go to the parts, by the key that the parts are already dealt by: texts move once.
+    by_part = rows.select("key", "part").distinct().join(people, "key")
+    both = parts.join(by_part, ["key", "part"])
     views = both.select("conv_id", "part", "turns", F.explode("people").alias("perspective"))
 
     def head(t: Column) -> Column:
