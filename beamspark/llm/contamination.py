@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from beamspark.llm.bytewords import ALNUM, Words, signed, word_slices
+from beamspark.llm.shared import written
 
 WINDOW = 13
 SHINGLE = 5
@@ -163,8 +164,8 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_
     ranked = windows.join(counts, "shingle", "left").withColumn("order", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("shingle")))
     prefix = ranked.groupBy("item_id", "words").agg(
         F.min_by(F.struct("shingle", "size"), "order").alias("rarest"), F.min_by("at", F.struct("order", "at")).alias("offset"))
-    # A window in the corpus needs its prefix there: those that never occur can go.
-    prefix = prefix.select("item_id", "words", F.col("rarest.shingle").alias("hash"), "offset")
+    # Written once: the bit table and the join would each count the corpus anew.
+    prefix = written(prefix.select("item_id", "words", F.col("rarest.shingle").alias("hash"), "offset"), "prefixes")
     found = document_places(rows, bit_table(prefix.select(F.col("hash").alias("shingle")), bits), sizes, bits, window)
     places = found.select("key", "doc_id", "text_hash", "n_words", F.explode_outer("places").alias("place"))
     # Rows without a place carry a key of their own instead of one null that all would meet at.
