@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from beamspark.functions import kernels
-from beamspark.operators import audit, detect, grading, peaks, ranks, resample, stack
+from beamspark.operators import audit, detect, grading, inputs, peaks, ranks, resample, stack
 from beamspark.operators import traces as tr
 from beamspark.plans.grids import (
     AXIS, BOX_PEAK_SQL, BOXES, POWER_S, POWER_SQL, PRE, SAMPLES_SQL, SR, WINDOWS, grid_cells, traces,
@@ -310,3 +310,34 @@ def peak_table(spark, sf):
     whole = ("support_count", "minimum_support", "target_box_rank", "box_valid_cell_count", "box_total_cell_count")
     rounded = {f.name: rnd(f.name, digits.get(f.name, 6)) for f in p.schema.fields if f.dataType.simpleString() == "double"}
     return p.where("status = 'ok'").withColumns(rounded | {c: big(c) for c in whole})
+
+
+@registered("stack_input_loader", sql="""WITH e AS (SELECT vec_id AS event_id, label, embedding AS x FROM embeddings), lanes(lane) AS (VALUES ('A'), ('B')), w AS (
+  SELECT lane, event_id, label, x FROM e CROSS JOIN lanes WHERE event_id % 10 <> 0)
+SELECT lane, event_id, CASE WHEN event_id % 17 = 0 AND lane = 'A' THEN 'missing_trace' WHEN event_id % 19 = 0 THEN 'missing_mask'
+  WHEN event_id % 13 = 0 THEN 'mask_shape_mismatch' WHEN event_id % 23 = 0 THEN 'time_axis_mismatch' ELSE 'ok' END AS status,
+  CASE WHEN NOT (event_id % 17 = 0 AND lane = 'A') THEN len(x)::BIGINT END AS samples FROM w""")
+def stack_input_loader(spark, sf):
+    """Event table, traces and masks of two lanes brought together; what is missing or off the axis has a status."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("event_id"), "embedding")
+    k = F.col("event_id")
+    events = e.select("event_id", F.when(k % 10 == 0, "other").otherwise("vespagram").alias("set"), F.lit(30.0).alias("distance"), F.lit(1.0).alias("distance_err"))
+    lane = F.explode(F.array(F.lit("A"), F.lit("B"))).alias("lane")
+    start = F.when(k % 23 == 0, -7.5).otherwise(-8.0).alias("start_s")
+    found = e.select("event_id", lane, F.col("embedding").cast("array<double>").alias("x"), start, F.lit(1.0).alias("step_s"))
+    found = found.where((k % 17 != 0) | (F.col("lane") == "B"))
+    kept = F.when(k % 13 == 0, F.size("embedding") - 1).otherwise(F.size("embedding"))
+    masks = e.where(k % 19 != 0).select("event_id", lane, F.transform(F.slice("embedding", F.lit(1), kept), lambda _: F.lit(True)).alias("valid"))
+    j = inputs.input_status(events, found, masks, [{"lane": "A"}, {"lane": "B"}])
+    return j.select("lane", big("event_id").alias("event_id"), "status", F.when(F.col("x").isNotNull(), big(F.size("x"))).alias("samples"))
+
+
+@registered("frozen_constants_gate", sql="""SELECT s_suppkey, array_to_string(list_filter([CASE WHEN s_nationkey < 3 THEN 'nth_root_order' END, CASE WHEN s_acctbal < 0 THEN 'power_window_s' END,
+  CASE WHEN s_suppkey % 7 = 0 THEN 'ref_distance_deg' END], lambda x: x IS NOT NULL), ',') AS departures FROM supplier""")
+def frozen_constants_gate(spark, sf):
+    """Recorded constants of each run against the registered card."""
+    s = table(spark, sf, "supplier")
+    d = inputs.departures({
+        "ref_distance_deg": F.when(F.col("s_suppkey") % 7 == 0, 30.0).otherwise(29.0), "nth_root_order": F.when(F.col("s_nationkey") < 3, 3).otherwise(4),
+        "power_window_s": F.when(F.col("s_acctbal") < 0, F.lit(None)).otherwise(20.0)})
+    return s.select("s_suppkey", F.array_join(d, ",").alias("departures"))

@@ -35,6 +35,19 @@ def write_bootstrap(path: str, *, occupancy: DataFrame, peaks: DataFrame, design
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def write_leave_one_out(path: str, *, grids: DataFrame, members: DataFrame, influence: DataFrame, lanes: Sequence[str], held: str) -> None:
+    """Influence products: grids by lane and held-out event (Parquet), members likewise, and a JSON line per product.
+
+    A held-out event that is null is the full set; it is filed under ``full_set``, others under ``hold_out_<id>``.
+    """
+    def filed(df: DataFrame) -> DataFrame:
+        return df.withColumn("product", F.coalesce(F.concat(F.lit("hold_out_"), F.col(held).cast("string")), F.lit("full_set")))
+
+    for name, df in {"grids": grids, "members": members}.items():
+        filed(df).repartition(*lanes, "product").write.mode("overwrite").partitionBy(*lanes, "product").parquet(f"{path}/{name}")
+    write_json(filed(influence), f"{path}/summary")
+
+
 def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """CSV with a fixed header; columns the table lacks are written empty. Files stay as Spark split them."""
     df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]).write.mode(
