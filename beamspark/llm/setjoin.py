@@ -7,8 +7,8 @@ when 100 * intersection >= PERCENT * union. Steps:
 2. Small sets (size up to the boundary) enumerate the subsets of the size that they must share with a partner. Large
    sets, and the small ones that could link with them, go into inverted lists. A list belongs to a part of the set, not
    to a single n-gram: linked sets differ in at most n (100 - PERCENT) / PERCENT elements, so if the hash range is cut
-   into more parts than that, one part is the same in both. A part holds about nine n-grams, so that common n-grams
-   make no long lists. The boundary is the size up to which enumerating costs less than scanning.
+   into more parts than that, one part is the same in both. A part holds about nine n-grams (at 80 percent four), so
+   that common n-grams make no long lists. The boundary is the size up to which enumerating costs less than scanning.
 3. The members of each list are joined to the least one: possible links. A task first joins the members it holds
    itself, so that a list that a third of all documents share brings one entry per task.
 4. Components of possible links hold all real ones. Their sets are read once more and compared: sizes and bit
@@ -422,7 +422,8 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     classes = sig.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     elements = sig.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, math.ceil(elements / 4 / SHARD_ENTRIES))  # about a quarter as many list entries as elements
+    # An entry for each part of both levels: about a quarter as many as elements at 90 percent, over half as many at 80.
+    shards = max(1, math.ceil(elements * 9 * (100 - percent) / (4 * percent) / SHARD_ENTRIES))
     groups = components(possible_links(rows, boundary(classes, percent), gram, percent, shards))
     groups = groups.select(F.col("vertex").alias("f1"), F.col("component").alias("group"))
     # Two sets may have half of their fingerprints in common by chance: that only makes a group larger.

@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of linked documents."""
-    return setjoin.one_of_each(docs)
+    """Keep the smallest doc_id of each group of documents linked by a likeness of 0.8 of their runs of five words."""
+    return setjoin.one_of_each(docs, gram=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
