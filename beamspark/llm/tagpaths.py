@@ -4,8 +4,9 @@ A page becomes a sequence of text blocks, each with its root-to-leaf path of blo
 article text (``DROPPED`` tags, ``NOISE`` words in class, id or role, hidden ones) go with all they hold. Per path, text length
 outside links and punctuation are divided by the number of blocks. Both ratios are smoothed along the page with a
 Gaussian, fused with each other and with the ratio of the region around (the nearest article or main element, else the
-page), and averaged per path. A path is content where its value reaches a share of the page's usual value: a small
-share inside an article or main element, a large one outside where there is one.
+page), and averaged per path. Neither ratio depends on how often a path occurs. A path is content where its value reaches a
+share of the page's usual value, a large share where the page has an article or main element elsewhere. Inside such an element all
+text is content but that of elements dropped: cells, items and references are short, linked and without marks.
 
 Pages are independent rows: no shuffle, memory of one page. Null and empty pages, and pages without text, give the empty
 text. Broken markup (tags left open, cut off or closed twice) is read as far as it makes sense. Repeated rows
@@ -46,7 +47,7 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PUNCTUATION = re.compile(r"[,.;:!?…。、，！？；：]")
 SPACE = re.compile(r"\s+")
 
-INSIDE, OUTSIDE, PLAIN = 0.02, 0.5, 0.1
+OUTSIDE, PLAIN = 0.5, 0.1
 KERNEL = [math.exp(-(i * i) / 2) for i in range(-2, 3)]
 
 
@@ -173,14 +174,14 @@ def smoothed(values: list[float]) -> list[float]:
 
 
 def ratios(blocks: list[Block], key: str) -> dict[int, tuple[float, float]]:
-    """Per path (or region) text length outside links and punctuation, each per block."""
+    """Per path (or region) text length outside links and punctuation, each per block; a block counts one mark more than it has."""
     sums: dict[int, list[float]] = {}
     for b in blocks:
         s = sums.setdefault(getattr(b, key), [0, 0, 0])
         s[0] += 1
         s[1] += len(b.text) - b.linked
         s[2] += len(PUNCTUATION.findall(b.text))
-    return {p: (length / n, (marks + 1) / n) for p, (n, length, marks) in sums.items()}
+    return {p: (length / n, marks / n + 1) for p, (n, length, marks) in sums.items()}
 
 
 def content(page: Page) -> list[str]:
@@ -199,7 +200,7 @@ def content(page: Page) -> list[str]:
     chars = sum(len(b.text) for b in blocks)
     usual = sum(value[b.path] * len(b.text) for b in blocks) / chars
     framed = page.regions and any(b.region for b in blocks)
-    return [b.text for b in blocks if value[b.path] >= usual * ((INSIDE if b.region else OUTSIDE) if framed else PLAIN)]
+    return [b.text for b in blocks if b.region or value[b.path] >= usual * (OUTSIDE if framed else PLAIN)]
 
 
 def main_text(source: str | None) -> str:
