@@ -2,7 +2,8 @@
 
 Features are word n-grams (1 to 3 words) of licence notices that hold a cue: a word of notices that hardly any paragraph of a
 bounded sample of the documents has, not even within another word. A multinomial logistic regression over families and the class "unknown" is fitted on
-crops of the notices (``NOTICES``), on ordinary sentences about licences and on the sampled paragraphs. A quarter of the distinct
+crops of the notices (``NOTICES``), on ordinary sentences about licences and on the sampled paragraphs but those that are notices
+themselves, whole or in lines (``like_notice``): however common a notice is, its words stay cues and it is no example of "unknown". A quarter of the distinct
 examples is first held out to calibrate the unknown class, then the model is fitted on all: a family is taken only if its probability is above the cut that lies
 between the held-out unknowns' highest and the held-out notices' usual probabilities. A taken family is compared with its
 notices: it is confirmed if the shared n-grams are at least ``ALIKE`` of the smaller side.
@@ -95,6 +96,20 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("paragraph", "line")).where(F.trim("line") != "")
 
 
+def like_notice(w: Column, notices: list[list[str]]) -> Column:
+    """Whether at least ``ALIKE`` of the runs of GRAMS words of a line, or of one of the notices' n-grams, are shared by the two."""
+    table = F.from_json(F.lit(json.dumps([r for g in notices if (r := [x for x in g if x.count(" ") == GRAMS - 1])])), "array<array<string>>")
+
+    def runs(w: Column) -> Column:
+        starts = F.when(F.size(w) >= GRAMS, F.sequence(F.lit(0), F.size(w) - GRAMS)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(GRAMS)))))
+
+    def alike(own: Column) -> Column:
+        return F.exists(table, lambda t: (F.size(own) > 0) & (F.size(F.array_intersect(own, t)) >= ALIKE * F.least(F.size(own), F.size(t))))
+
+    return F.exists(F.transform(F.array(w), runs), alike)  # so that the runs are made once, not once for each notice
+
+
 @dataclass
 class LicenceModel:
     families: list[str]  # UNKNOWN first
@@ -116,7 +131,8 @@ def examples(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     share = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count()))) < 2 * SAMPLE_DOCS
     chosen = docs.where(F.col("doc_id").isNotNull() & share).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     plain = paragraphs(chosen).where(~F.col("line").rlike("(?i)licen[cs]|copyright|spdx"))
-    return crops, plain.select(F.lit(UNKNOWN).alias("family"), words(F.col("line")).alias("w"))
+    plain = plain.select(F.lit(UNKNOWN).alias("family"), words(F.col("line")).alias("w"))
+    return crops, plain.where(~like_notice(F.col("w"), [g for of in notice_grams(spark).values() for g in of]))
 
 
 def trained(docs: DataFrame) -> LicenceModel:
