@@ -5,20 +5,26 @@ headers as they are, its payload digest, and size and digest of the text. Both n
 (identifier, URI, date) and each other. Record identifiers are made from the type, the response's identifier and the
 block, so that a second run makes the same ones.
 
-Row by row in DataFrame functions, no shuffle. Null or empty payloads give an empty text. Header lines without a value
+Row by row in DataFrame functions, no shuffle; the references of a page, not its text, go through Python, which knows all of HTML5's
+names and the decimal and hexadecimal ones. Null or empty payloads give an empty text. Header lines without a value
 (null URI, date or HTTP headers) are left out. A null identifier gives records that refer to nothing. Repeated
 rows give their records each; columns named in ``keep`` stay, others don't. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import html
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Named references that plain text replaces; & goes last.
+# Named references that the SQL twin replaces; & goes last.
 REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#160;", " "), ("&copy;", "©"),
               ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
               ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&"))
+REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)"  # what html.unescape takes for one
 COMMENT = "(?s)<!--.*?-->"
 HIDDEN = "(?is)<(script|style|template|noscript)\\b[^>]*>.*?</(script|style|template|noscript)\\s*>"
 BLOCK = ("(?i)</?(p|div|h[1-6]|li|ul|ol|tr|td|th|table|br|hr|section|article|main|nav|header|footer|aside|form|title|blockquote|pre|dl|dt|dd|head|body|html|option)"
@@ -28,13 +34,25 @@ SPACES, LINES, EDGES = "[ \\t\\r\\f\\x{00A0}]+", " ?\\n[ \\n]*", "^[ \\n]+|[ \\n
 CRLF = "\r\n"
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def decoded(references: pa.Array) -> pa.Array:
+    """What each reference stands for; unknown ones stay."""
+    return pa.array([None if r is None else [html.unescape(x) for x in r] for r in references.to_pylist()], pa.list_(pa.string()))
+
+
+def unescaped(text: Column) -> Column:
+    """Text with all references replaced, once: what they stand for is not looked at again."""
+    found = decoded(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)))
+    pieces = F.split(text, REFERENCE)  # one more than references
+    return F.array_join(F.zip_with(pieces, found, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+
+
 def plain_text(payload: Column) -> Column:
     """Text of a page: blocks on lines of their own, one space for white space, references replaced."""
     t = F.coalesce(payload, F.lit(""))
     for pattern, by in ((COMMENT, ""), (HIDDEN, ""), (BLOCK, "\n"), (TAG, "")):
         t = F.regexp_replace(t, pattern, by)
-    for name, by in REFERENCES:
-        t = F.replace(t, F.lit(name), F.lit(by))
+    t = unescaped(t)
     for pattern, by in ((SPACES, " "), (LINES, "\n"), (EDGES, "")):
         t = F.regexp_replace(t, pattern, by)
     return t
