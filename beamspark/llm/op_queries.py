@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamspark.llm import backoff, contamination, derivatives, editwalk, licences, ordinal, perspectives, pieces, setjoin, tagpaths
+from beamspark.llm import (
+    backoff, contamination, convtrie, derivatives, editwalk, filteraudit, licences, ordinal, perspectives, pieces, setjoin, tagpaths,
+)
 from beamspark.llm.shared import query
 from beamspark.plans.registry import table
 
@@ -75,3 +77,14 @@ def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licences.scanned(docs, licences.trained(docs))
+
+
+@query("op11_conversation_trie", convtrie.SQL)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.trie(table(spark, sf_dir, "conversations"), convtrie.contract_taken(), convtrie.contract_source())
+
+
+@query("op12_filter_audit", filteraudit.SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = filteraudit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filteraudit.audited(counts)
