@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beamspark.llm import (
-    backoff, contamination, convtrie, derivatives, editwalk, filteraudit, licences, ordinal, perspectives, pieces, setjoin, tagpaths,
+    backoff, contamination, convtrie, derivatives, editwalk, filteraudit, licences, ordinal, perspectives, pieces, setjoin, sharding, tagpaths,
 )
 from beamspark.llm.shared import query
 from beamspark.plans.registry import table
@@ -88,3 +88,8 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = filteraudit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return filteraudit.audited(counts)
+
+
+@query("op13_label_shards")
+def op13_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
