@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +121,7 @@ def _either(a: tuple, b: tuple) -> tuple:
     return a[0] + b[0], min(a[1], b[1]), min(a[2], b[2]), a[3]
 
 
-def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grown(batches: Iterator[pa.RecordBatch], block_turns: int, most: int) -> Iterator[pa.RecordBatch]:
     """Partial nodes of the blocks of one task."""
     types = {"bigint": pa.int64(), "long": pa.int64()}
     schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in NODE.split(", ")])
@@ -137,7 +138,7 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # Only depths on whole turns are nodes; a compressed path may run through several.
                 for d in range(max(begin, 0) // 16 + 1, finish // 16 + 1):
                     up = (hi[d - 2], lo[d - 2]) if d > 1 else entry
-                    for to, v in zip(found, (hi[d - 1], lo[d - 1], *up, block * BLOCK + d, n, conv, chance, keeper, chars[d - 1]), strict=True):
+                    for to, v in zip(found, (hi[d - 1], lo[d - 1], *up, block * block_turns + d, n, conv, chance, keeper, chars[d - 1]), strict=True):
                         to.append(v)
                     if len(found[0]) >= 50_000:
                         yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], schema=schema)
@@ -158,7 +159,7 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tree = trees.setdefault((block, entry_hi, entry_lo), Tree(_either))
             tree.put(keys[16 * a:16 * b], (n, conv, (chance, keeper), (*prefix, chars[a:b].tolist())))
             held += 1
-            if held >= HELD:
+            if held >= most:
                 held = 0
                 yield from emptied()
     yield from emptied()
@@ -173,7 +174,8 @@ def nodes(turns: DataFrame, convs: DataFrame) -> DataFrame:
         *[F.first(c).alias(c) for c in ("block", "turns", "entry_hi", "entry_lo")], F.count("*").alias("n_convs"), F.min("conv_id").alias("conv_id"),
         F.min(F.struct(F.xxhash64("conv_id").alias("chance"), F.col("conv_id").alias("keeper"))).alias("kept"))
     held = held.select("block", "turns", "entry_hi", "entry_lo", "n_convs", "conv_id", "kept.chance", "kept.keeper")
-    seen = held.mapInArrow(_grown, NODE).groupBy(*ID).agg(
+    sizes = {"block_turns": BLOCK, "most": HELD}
+    seen = held.mapInArrow(partial(_grown, **sizes), NODE).groupBy(*ID).agg(
         *[F.first(c).alias(c) for c in ("up_hi", "up_lo", "depth", "n_chars")], F.sum("n_convs").alias("n_convs"), F.min("conv_id").alias("conv_id"),
         F.min(F.struct("chance", "keeper")).alias("kept"))
     seen = written(seen.select(*ID, "up_hi", "up_lo", "depth", "n_convs", "conv_id", "kept.keeper", ((F.col("n_convs") - 1) * F.col("n_chars")).alias("saved")), "trie-nodes")

@@ -3,14 +3,15 @@
 Documents are linked when their texts are equal. Every linked document starts with a label dealt like cards, so that the
 shards are even from the first; then, round by round, documents move to the shard that most of their neighbours are in,
 as many as quotas allow: pairs and triples of shards exchange equal numbers, and a shard with room takes some more. Which
-ones move is decided by how much is gained, then by hash. Documents of one text and one label are alike, so that they are
+ones move is decided by how much is gained, then by hash. Where the shard that most are in is full, they meet in another. Documents of one text and one label are alike, so that they are
 one row with a count, whatever their number; a row may move in part. Documents without neighbours cut nothing wherever they are: they
 fill the shards up at the end.
 
 The law is ``rows``: counts of shards differ by one at most. It holds before, between and after the rounds, as no shard
-ever takes more than its share. All moves of one text in one round go to one shard, and one that has at least as many of them; so
-every move cuts fewer links (pairs of equal texts in different shards), and the rounds end by themselves (``ROUNDS`` is a
-guard: stopping early costs links, never evenness). A text with more documents than a shard may hold fills as few shards as it can.
+ever takes more than its share. All moves of one text in one round go to one shard, and either that shard has at least as
+many of them or they go whole; so every move cuts fewer links (pairs of equal texts in different shards), and the rounds end
+by themselves (``ROUNDS`` is a guard: stopping early costs links, never evenness). A text with more documents than a shard may hold fills shards one by one. What
+no exchange of two or three shards and no room can mend stays cut: a local optimum.
 
 Everything is DataFrame functions; 8 x 8 counts a round reach the driver. Exact ranks and running sums are taken in two
 levels: sums of slices by hash, then inside each slice. The texts of over a thousandth of all documents, a thousand
@@ -68,12 +69,15 @@ def dealt(groups: DataFrame, shards: int) -> DataFrame:
     return rows.select("digest", "shard", (F.floor(last / shards) - F.floor(first / shards)).alias("n")).where("n > 0")
 
 
-def wishes(labels: DataFrame, open_to: Sequence[bool]) -> DataFrame:
-    """(digest, shard, n, target, gain): counts that want to join the most of their neighbours among the shards that are open."""
+def wishes(labels: DataFrame, open_to: Sequence[bool], back: bool = False) -> DataFrame:
+    """(digest, shard, n, target, gain): counts that want to join the most of their neighbours among the shards that are open.
+
+    With ``back`` also larger counts join smaller ones, which cuts fewer links if they go whole.
+    """
     mine = F.struct(F.col("n"), F.xxhash64("digest", "shard").alias("tie"), F.col("shard"))
     may = F.col("shard").isin([s for s, free in enumerate(open_to) if free])
     rows = labels.withColumns({"mine": mine, "best": F.max(F.when(may, mine)).over(Window.partitionBy("digest"))})
-    return rows.where("best > mine").select("digest", "shard", "n", F.col("best.shard").alias("target"), F.col("best.n").alias("gain"))
+    return rows.where("best <> mine" if back else "best > mine").select("digest", "shard", "n", F.col("best.shard").alias("target"), F.col("best.n").alias("gain"))
 
 
 def quotas(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
@@ -103,40 +107,64 @@ def quotas(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[in
             return {k: n for k, n in moved.items() if n}
 
 
-def moved(labels: DataFrame, wanting: DataFrame, quota: dict[tuple[int, int], int]) -> DataFrame:
-    """Labels after the moves: the largest gains first, then by hash, exactly as many as the quotas say."""
+def shares_of_room(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """Upper limits within the room that each shard has, the largest wish first."""
+    left, given = list(room), {}
+    for s, t in sorted(wanted, key=lambda k: (-wanted[k], k)):
+        n = min(wanted[s, t], left[t])
+        left[t] -= n
+        if n > 0:
+            given[s, t] = n
+    return given
+
+
+def moved(labels: DataFrame, wanting: DataFrame, quota: dict[tuple[int, int], int], whole: bool = False) -> DataFrame:
+    """Labels after the moves: the largest gains first, then by hash, exactly as many as the quotas say.
+
+    With ``whole`` counts go whole or not at all, the smallest first, and quotas are upper limits.
+    """
     allowed = F.create_map(*[F.lit(v) for (s, t), n in quota.items() for v in (s * 1000 + t, n)])
     rows = wanting.withColumns({
         "quota": F.coalesce(allowed[F.col("shard") * 1000 + F.col("target")], F.lit(0)).cast("long"),
-        "level": -F.floor(F.log2("gain")), "chance": F.xxhash64("shard", "digest")}).where("quota > 0")
+        "level": F.floor(F.log2("n")) if whole else -F.floor(F.log2("gain")), "chance": F.xxhash64("shard", "digest")}).where("n <= quota" if whole else "quota > 0")
     rows = rows.withColumn("part", F.shiftright("chance", 56))
     rows = before(rows, ["shard", "target"], ["level", "part"], ["chance", "digest"], F.col("n"))
-    rows = rows.withColumn("go", F.least(F.col("n"), F.col("quota") - F.col("before"))).where("go > 0")
+    left = F.col("quota") - F.col("before")
+    rows = rows.withColumn("go", F.when(F.lit(not whole) | (F.col("n") <= left), F.least(F.col("n"), left))).where("go > 0")
     gone = rows.select("digest", "shard", (-F.col("go")).alias("n"))
     come = rows.select("digest", F.col("target").alias("shard"), F.col("go").alias("n"))
     return labels.union(gone).union(come).groupBy("digest", "shard").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def propagated(labels: DataFrame, caps: Sequence[int], rounds: int = ROUNDS) -> tuple[DataFrame, list[int]]:
-    """Labels that no quota lets move any further, and the counts of their shards."""
+    """Labels that no quota lets move any further, and the counts of their shards.
+
+    A round lets documents join most of their neighbours; once none may, those whose first choice is full join the most
+    among shards with room; once none may, whole counts do so against the stream. Any move starts from the first kind again.
+    """
+
+    def counted(labels: DataFrame) -> list[int]:
+        found = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        return [found.get(s, 0) for s in range(len(caps))]
+
     labels = written(labels, "shard-labels")
-    loads = [0] * len(caps)
-    for r in labels.groupBy("shard").agg(F.sum("n").alias("n")).collect():
-        loads[r["shard"]] = r["n"]
-    only_room = False
+    loads, kind = counted(labels), 0
     for _ in range(rounds):
         room = [c - n for c, n in zip(caps, loads, strict=True)]
-        wanting = wishes(labels, [r > 0 or not only_room for r in room])
+        wanting = wishes(labels, [kind == 0 or r > 0 for r in room], back=kind == 2)
         wanted = {(r["shard"], r["target"]): r["n"] for r in wanting.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()}
-        quota = quotas(wanted, room)
+        # Whole counts may stay behind, so that nothing may be set off against them: room alone counts.
+        quota = shares_of_room(wanted, room) if kind == 2 else quotas(wanted, room)
+        last = loads
         if quota:
-            labels = written(moved(labels, wanting, quota), "shard-labels")
-            for (s, t), n in quota.items():
-                loads[s] -= n
-                loads[t] += n
-        elif only_room:
+            labels = written(moved(labels, wanting, quota, whole=kind == 2), "shard-labels")
+            loads = counted(labels)
+        if quota and loads != last or quota and kind < 2:
+            kind = 0
+        elif kind == 2:
             break
-        only_room = not quota
+        else:
+            kind += 1
     return labels, loads
 
 
