@@ -81,6 +81,28 @@ def rotated_distances(traces: DataFrame, lane: str, n_real: int, step: int) -> D
     return traces.join(per, [lane, "event_id"])
 
 
+def scrambled_distances(traces: DataFrame, lane: str, n_sets: int, score, by: str = "distances") -> DataFrame:
+    """Traces with ``distances``: a permutation null of each lane's own distances, one value for every set; set 0 changes nothing.
+
+    In set r the event of rank k (by id) takes the distance of the one of rank k by ``score(r)``, an integer below 2**20 (ties by
+    id). Ranks come from counts per slice of a lane, so that no lane is sorted in one task, and what is joined is
+    narrow: traces meet one row per event.
+    """
+    ids = traces.select(lane, "event_id", "distance")
+    rank = ranks.cumulative(ids, [lane], "event_id").select(lane, "event_id", (F.col("cum") - 1).alias("rank"))
+    placed = ids.join(rank, [lane, "event_id"])
+    if n_sets > 1:
+        drawn = placed.select(lane, "event_id", "rank", "distance", F.explode(F.sequence(F.lit(1), F.lit(n_sets - 1))).alias("set"))
+        drawn = drawn.select(lane, "set", "distance", (score(F.col("set")).cast("long") * F.lit(1 << 40) + F.col("rank")).alias("drawn"))
+        order = ranks.cumulative(drawn, [lane, "set"], "drawn").select(lane, "set", "drawn", (F.col("cum") - 1).alias("rank"))
+        given = drawn.join(order, [lane, "set", "drawn"]).select(lane, "set", "rank", "distance").join(placed.select(lane, "rank", "event_id"), [lane, "rank"])
+        every = given.select(lane, "event_id", "set", "distance").unionByName(ids.withColumn("set", F.lit(0)))
+    else:
+        every = ids.withColumn("set", F.lit(0))
+    per = every.groupBy(lane, "event_id").agg(F.array_sort(F.collect_list(F.struct("set", "distance"))).alias("d"))
+    return traces.join(per.select(lane, "event_id", F.col("d.distance").alias(by)), [lane, "event_id"])
+
+
 def design_table(spark: SparkSession, subsets: Sequence[Sequence[int]]) -> DataFrame:
     """(event_index, members) rows of a drawn design; its size is the registered event list."""
     by_event: dict[int, list[int]] = {}

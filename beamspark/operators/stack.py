@@ -9,6 +9,7 @@ lane that holds most of the traces is summed by every task that reads it before
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -398,18 +399,59 @@ def taper(samples: int) -> np.ndarray:
     return h if h.any() else np.ones(samples)
 
 
+def window_sums(y: np.ndarray, width: int) -> np.ndarray:
+    """Sums of all windows of ``width`` values along the last axis: a suffix of one block plus a prefix of the next.
+
+    Running sums start anew in every block, so that a large value is never subtracted again from small ones behind it.
+    """
+    n = y.shape[-1]
+    blocks = -(-n // width)
+    padded = np.zeros((*y.shape[:-1], blocks * width))
+    padded[..., :n] = y
+    cut = padded.reshape(*y.shape[:-1], blocks, width)
+    prefix = np.cumsum(cut, axis=-1).reshape(padded.shape)
+    suffix = np.cumsum(cut[..., ::-1], axis=-1)[..., ::-1].copy()
+    suffix[..., 0] = 0.0  # a window that begins with a block ends with it
+    count = n - width + 1
+    return suffix.reshape(padded.shape)[..., :count] + prefix[..., width - 1:width - 1 + count]
+
+
+@lru_cache(maxsize=8)
+def _wave(n: int, period: int) -> tuple[np.ndarray, np.ndarray]:
+    turn = 2.0 * np.pi / period * (np.arange(n) % period)
+    return np.cos(turn), np.sin(turn)
+
+
+@lru_cache(maxsize=8)
+def _whole_weight(n: int, samples: int) -> np.ndarray:
+    """Weight of every window where all cells count."""
+    return tapered_sums(np.ones(n), samples)
+
+
+def tapered_sums(y: np.ndarray, samples: int) -> np.ndarray:
+    """Hann-weighted sums of the windows centred on every value, as a same-length convolution, in linear time.
+
+    The weight is a constant less a cosine, hence three running sums: of 1, cos and sin.
+    """
+    padded = np.zeros((*y.shape[:-1], y.shape[-1] + samples - 1))
+    padded[..., samples // 2:samples // 2 + y.shape[-1]] = y
+    if samples < 3:
+        return window_sums(padded, samples)
+    cos, sin = _wave(padded.shape[-1], samples - 1)
+    starts = slice(0, y.shape[-1])
+    wave = cos[starts] * window_sums(padded * cos, samples) + sin[starts] * window_sums(padded * sin, samples)
+    return np.maximum(0.5 * (window_sums(padded, samples) - wave), 0.0)
+
+
 def tapered_power(beam: np.ndarray, ok: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted mean of squared beam over supported cells, centred as a same-length convolution."""
-    h = taper(max(1, min(len(beam), samples)))
-    top = np.convolve(np.where(ok, beam, 0.0) ** 2, h, mode="same")
-    if ok.all():
-        # Every cell counts: the weight inside the trace is a difference of running sums.
-        total, first = np.concatenate(([0.0], np.cumsum(h))), np.arange(len(beam)) + (len(h) - 1) // 2
-        bottom = total[np.minimum(first + 1, len(h))] - total[np.maximum(first - len(beam) + 1, 0)]
-    else:
-        bottom = np.convolve(ok.astype(np.float64), h, mode="same")
+    """Weighted mean of squared beam over supported cells along the last axis, centred as a same-length convolution."""
+    if not beam.shape[-1]:
+        return beam, ok
+    width = max(1, min(beam.shape[-1], samples))
+    top = tapered_sums(np.where(ok, beam, 0.0) ** 2, width)
+    bottom = _whole_weight(beam.shape[-1], width) if ok.all() else tapered_sums(ok.astype(np.float64), width)
     has = ok & (bottom > 0.0)
-    return np.divide(top, bottom, out=np.zeros(len(beam)), where=has), has
+    return np.divide(top, bottom, out=np.zeros(beam.shape), where=has), has
 
 
 def vespagram(

@@ -6,15 +6,15 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from beamspark.functions import kernels
-from beamspark.operators import audit, detect, grading, inputs, peaks, ranks, resample, stack
+from beamspark.operators import audit, bootstrap, detect, grading, inputs, peaks, ranks, resample
 from beamspark.operators import traces as tr
 from beamspark.plans.grids import (
     AXIS, BOX_PEAK_SQL, BOXES, POWER_S, POWER_SQL, PRE, SAMPLES_SQL, SR, WINDOWS, grid_cells, traces,
 )
 from beamspark.plans.registry import big, registered, rnd, table
 from beamspark.plans.resampling import (
-    GRADE_SQL, N_REAL, OCC_OUT, OCC_SQL, PLACED_SQL, SCRAMBLE_STEP, SPAN, THRESHOLDS, TYPE1_SQL, _stats,
-    enough, score, vesp_by,
+    GRADE_SQL, N_REAL, OCC_OUT, OCC_SQL, SCRAMBLED_SQL, THRESHOLDS, TYPE1_SQL, TYPE3_SQL, _stats, scramble_score,
+    type1_traces, type3_traces, vesp_by,
 )
 from beamspark.plans.traces import COMPONENT_SQL, components, long_out
 
@@ -64,25 +64,38 @@ def grades_with_peak_flags(spark, sf):
     return g.select("realisation", "phase", (F.col("g1") & ok).alias("g1"), (F.col("g2") & ok).alias("g2"))
 
 
-@registered("scrambled_bootstrap_occupancy", sql="WITH " + vesp_by("k, real", TYPE1_SQL + ", " + PLACED_SQL + """, sc AS (
-  SELECT s.event_id, s.lane, ti, x, real, k, d.distance FROM smp s JOIN ids i ON i.event_id = s.event_id
-    CROSS JOIN (SELECT unnest([1, 2]) AS k) JOIN ids d ON d.lane = i.lane AND d.rank = (i.rank + k * 7) % i.n)""", "sc")
-  + OCC_SQL.replace("SELECT lane, phase, max(power)", "SELECT lane, k, phase, max(power)").replace("pk AS (\n  SELECT lane, real", "pk AS (\n  SELECT lane, k, real")
-  .replace("SELECT lane, phase, thr", "SELECT lane, k, phase, thr").replace("USING (lane, real, phase)", "USING (lane, k, real, phase)")
-  + OCC_OUT.replace("SELECT lane::BIGINT AS lane,", "SELECT lane::BIGINT AS lane, k::BIGINT AS k,"))
-def scrambled_bootstrap_occupancy(spark, sf):
-    """Null machinery in full: each scramble has its own bootstrap, all in one pass over the traces."""
-    t = traces(spark, sf)
-    turned = resample.rotated_distances(t.select("lane", "event_id", "distance"), "lane", 3, SCRAMBLE_STEP)
-    turned = turned.select("lane", "event_id", F.posexplode("distances").alias("k", "turned")).where("k > 0")
-    t = resample.with_subset_members(enough(t), "lane", N_REAL, score, SPAN).join(turned, ["lane", "event_id"])
-    t = t.drop("distance").withColumnRenamed("turned", "distance")
-    g = stack.vespagram(t, ["lane", "k"], AXIS.values, sr=SR, power_window_s=POWER_S)
-    occ = resample.occupancy(g, ["lane", "k"], WINDOWS, THRESHOLDS, N_REAL, pre_s=PRE, sr=SR)
-    return occ.select(big("lane").alias("lane"), big("k").alias("k"), "phase", big("threshold_pct").alias("threshold_pct"),
+N1_SCRAMBLES = 25
+N1_SQL = SCRAMBLED_SQL.replace("range(201)", "range(1, 26)")
+
+
+def _n1_sql(design: str) -> str:
+    """Occupancy of every scramble k: the SQL of one bootstrap with k beside lane."""
+    by_k = OCC_SQL.replace("SELECT lane, phase, max(power)", "SELECT lane, k, phase, max(power)").replace("pk AS (\n  SELECT lane, real", "pk AS (\n  SELECT lane, k, real")
+    by_k = by_k.replace("SELECT lane, phase, thr", "SELECT lane, k, phase, thr").replace("USING (lane, real, phase)", "USING (lane, k, real, phase)")
+    scrambled = N1_SQL + ", " + design + """, sc AS (
+  SELECT s.* REPLACE (given AS distance), k FROM smp s JOIN given USING (event_id))"""
+    return "WITH " + vesp_by("k, real", scrambled, "sc") + by_k + OCC_OUT.replace("SELECT lane::BIGINT AS lane,", "SELECT lane::BIGINT AS lane, k::BIGINT AS k,")
+
+
+def _n1(t):
+    """Null machinery in full: every scramble has its own bootstrap, all of them in one pass over the traces."""
+    plan = bootstrap.design(AXIS.values, WINDOWS, THRESHOLDS, per_set=N_REAL, n_sets=N1_SCRAMBLES + 1, sr=SR, pre_s=PRE, power_window_s=POWER_S)
+    t = resample.scrambled_distances(t, "lane", N1_SCRAMBLES + 1, scramble_score)
+    occ = bootstrap.occupancy(bootstrap.resampled(t, ["lane"], plan), ["lane"], plan).where("set > 0")
+    return occ.select(big("lane").alias("lane"), big("set").alias("k"), "phase", big("threshold_pct").alias("threshold_pct"),
                       big("si").alias("si"), big("ti").alias("ti"), "frac")
 
 
+@registered("scrambled_bootstrap_occupancy", sql=_n1_sql(TYPE1_SQL))
+def scrambled_bootstrap_occupancy(spark, sf):
+    return _n1(type1_traces(spark, sf))
+
+
+@registered("scrambled_jitter_occupancy", sql=_n1_sql(TYPE3_SQL.replace("SELECT p.lane,", "SELECT p.event_id, p.lane,")))
+def scrambled_jitter_occupancy(spark, sf):
+    return _n1(type3_traces(spark, sf))
+
+
 @registered("decoy_controls", sql="WITH " + POWER_SQL + """, c AS (SELECT lane, t, s, power FROM vesp WHERE power IS NOT NULL AND support >= 2), r AS (
   SELECT lane, t AS rt, s AS rs, power AS rp FROM (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY power DESC, si, ti) AS rn FROM vesp
     WHERE power IS NOT NULL AND support >= 2) WHERE rn = 1), a AS (

@@ -6,17 +6,22 @@ import re
 
 from pyspark.sql import functions as F
 
-from beamspark.operators import grading, peaks, ranks, resample, stack
+from beamspark import dims
+from beamspark.operators import bootstrap, grading, peaks, ranks, resample, stack
 from beamspark.plans.grids import (
     AXIS, AXIS_SQL, BOXES, POWER_S, POWER_SQL, PRE, SAMPLES_SQL, SR, WINDOWS, grid, grid_cells, traces,
 )
 from beamspark.plans.registry import big, registered, rnd, table
 
-N_REAL = 5
+N_REAL = 200
+N_SCRAMBLES = 200
 SPAN = 10007
-SCRAMBLE_STEP = 7
 THRESHOLDS = (50, 70, 85)
 N_TIMES = 64
+# Fifteen overlapping windows, as many as the published runs read.
+FIFTEEN = {f"W{k:02d}": (2.0 + 3 * k, 12.0 + 3 * k) for k in range(15)}
+FIFTEEN_SQL = ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in FIFTEEN.items())
+PLAN = bootstrap.design(AXIS.values, WINDOWS, THRESHOLDS, per_set=N_REAL, sr=SR, pre_s=PRE, power_window_s=POWER_S)
 
 
 def vesp_by(keys: str, samples: str, source: str = "smp") -> str:
@@ -38,40 +43,44 @@ def vesp_by(keys: str, samples: str, source: str = "smp") -> str:
 
 OCC_SQL = """, w(phase, lo, hi) AS (VALUES ('PKiKP', 2.0, 32.0), ('PKKP', 28.0, 52.0)), pk AS (
   SELECT lane, real, phase, max(power) AS peak FROM vesp JOIN w ON t BETWEEN lo AND hi GROUP BY ALL), occ AS (
-  SELECT lane, phase, thr AS threshold_pct, si, ti, count(*) / 5.0::DOUBLE AS frac
+  SELECT lane, phase, thr AS threshold_pct, si, ti, count(*) / 200.0::DOUBLE AS frac
   FROM vesp JOIN w ON t BETWEEN lo AND hi JOIN pk USING (lane, real, phase)
   CROSS JOIN (SELECT unnest([50, 70, 85]) AS thr) WHERE power >= thr / 100.0::DOUBLE * peak GROUP BY ALL)"""
 OCC_OUT = """SELECT lane::BIGINT AS lane, phase, threshold_pct::BIGINT AS threshold_pct, si::BIGINT AS si, ti, frac FROM occ"""
 SCORE_SQL = "((event_id * 7919 + (real + 1) * 104729) * 31) % 10007"
-TYPE1_SQL = """reals AS (SELECT unnest(range(5)) AS real), design AS (
+TYPE1_SQL = """reals AS (SELECT unnest(range(200)) AS real), design AS (
   SELECT event_id, real FROM (SELECT event_id, real, row_number() OVER (PARTITION BY lane, real ORDER BY """ + SCORE_SQL + """,
     event_id) AS rn, count(*) OVER (PARTITION BY lane, real) AS n FROM (SELECT DISTINCT event_id, lane FROM samples), reals)
   WHERE n >= 2 AND rn <= greatest(2, floor(2 * n / 3))), smp AS (SELECT s.*, real FROM samples s JOIN design USING (event_id) WHERE valid)"""
-TYPE2_SQL = """reals AS (SELECT unnest(range(5)) AS real), ids AS (
-  SELECT DISTINCT event_id, lane, distance BETWEEN 28.0 AND 33.0 AS inside FROM samples), design AS (
+TYPE2_SQL = """reals AS (SELECT unnest(range(200)) AS real), ids AS (
+  SELECT DISTINCT event_id, lane, 13.75 + distance / 2 BETWEEN 29.0 AND 32.0 AS inside FROM samples), design AS (
   SELECT event_id, real FROM (
     SELECT event_id, real, inside, greatest(2, floor(2 * count(*) OVER (PARTITION BY lane, real) / 3))::BIGINT AS take,
            row_number() OVER (PARTITION BY lane, real, inside ORDER BY """ + SCORE_SQL + """, event_id) AS rn
     FROM ids, reals) WHERE rn <= CASE WHEN inside THEN take // 2 ELSE take - take // 2 END),
-smp AS (SELECT s.*, real FROM samples s JOIN design USING (event_id) WHERE valid)"""
+smp AS (SELECT s.* REPLACE (13.75::DOUBLE + distance / 2 AS distance), real FROM samples s JOIN design USING (event_id) WHERE valid)"""
 TYPE3_SQL = """smp AS (SELECT p.lane, p.distance, p.real, p.ti, a.x + (coalesce(b.x, a.x) - a.x) * f AS x FROM (
   SELECT *, floor(pos)::BIGINT AS i0, pos - floor(pos) AS f FROM (
     SELECT event_id, lane, distance, ti, real, ti - ((event_id * 31 + real * 17) % 41 - 20) * 0.25::DOUBLE AS pos
-    FROM samples, range(5) r(real)) WHERE pos BETWEEN 0 AND 63) p
+    FROM samples, range(200) r(real)) WHERE pos BETWEEN 0 AND 63) p
   JOIN samples a ON a.event_id = p.event_id AND a.ti = i0 LEFT JOIN samples b ON b.event_id = p.event_id AND b.ti = i0 + 1
   WHERE a.valid AND (f = 0 OR b.valid))"""
-PLACED_SQL = """ids AS (SELECT event_id, lane, distance, row_number() OVER (PARTITION BY lane ORDER BY event_id) - 1 AS rank,
-  count(*) OVER (PARTITION BY lane) AS n FROM (SELECT DISTINCT event_id, lane, distance FROM samples))"""
-SCRAMBLE_SQL = PLACED_SQL + """, smp AS (SELECT s.event_id, s.lane, ti, x, real, d.distance FROM samples s JOIN ids i ON i.event_id = s.event_id
-  CROSS JOIN range(5) r(real) JOIN ids d ON d.lane = i.lane AND d.rank = (i.rank + real * 7) % i.n WHERE valid)"""
+SCRAMBLED_SQL = """sets AS (SELECT unnest(range(201)) AS k), ids AS (
+  SELECT event_id, lane, distance, row_number() OVER (PARTITION BY lane ORDER BY event_id) AS rank FROM (SELECT DISTINCT event_id, lane, distance FROM samples)),
+drawn AS (
+  SELECT lane, k, distance AS given, row_number() OVER (
+    PARTITION BY lane, k ORDER BY CASE WHEN k > 0 THEN ((event_id * 6101 + k * 3571) * 29) % 9973 END, event_id) AS rank FROM ids, sets),
+given AS (SELECT event_id, k, given FROM ids JOIN drawn USING (lane, rank))"""
+SCRAMBLE_SQL = SCRAMBLED_SQL + """, smp AS (
+  SELECT s.* REPLACE (given AS distance), k AS real FROM samples s JOIN given USING (event_id) WHERE valid)"""
 
 
 def score(real):
     return F.pmod((F.col("event_id") * 7919 + (real + 1) * 104729) * 31, F.lit(SPAN))
 
 
-def _reals():
-    return F.sequence(F.lit(0), F.lit(N_REAL - 1))
+def scramble_score(k):
+    return F.pmod((F.col("event_id") * 6101 + k * 3571) * 29, F.lit(9973))
 
 
 def enough(t):
@@ -79,52 +88,56 @@ def enough(t):
     return t.join(t.groupBy("lane").count().where("count >= 2").select("lane"), "lane", "left_semi")
 
 
-def type1_grid(spark, sf):
-    return _vesp(resample.with_subset_members(enough(traces(spark, sf)), "lane", N_REAL, score, SPAN))
+def type1_traces(spark, sf):
+    return resample.with_subset_members(enough(traces(spark, sf)), "lane", N_REAL, score, SPAN)
 
 
-def type2_grid(spark, sf):
-    t = traces(spark, sf)
-    # Wider than the registered 29-32 degrees: the test distances put too few traces inside that.
-    inside = F.col("distance").between(28.0, 33.0)
-    return _vesp(resample.with_subset_members(t, "lane", N_REAL, score, SPAN, inside))
-
-
-def type3_grid(spark, sf):
-    jitter = F.transform(_reals(), lambda r: (F.pmod(F.col("event_id") * 31 + r * 17, F.lit(41)) - 20) * F.lit(0.25))
-    return _vesp(traces(spark, sf).withColumns({"members": _reals(), "jitter_s": jitter}))
+def type2_traces(spark, sf):
+    # The test distances at half their spread: enough of them lie inside the registered cluster.
+    t = traces(spark, sf).withColumn("distance", F.lit(13.75) + F.col("distance") / 2)
+    inside = F.col("distance").between(dims.CLUSTER_MIN_DEG, dims.CLUSTER_MAX_DEG)
+    return resample.with_subset_members(t, "lane", N_REAL, score, SPAN, inside)
 
 
-def scramble_grid(spark, sf):
-    return _vesp(resample.rotated_distances(traces(spark, sf), "lane", N_REAL, SCRAMBLE_STEP))
+def jitter():
+    reals = F.sequence(F.lit(0), F.lit(N_REAL - 1))
+    return F.transform(reals, lambda r: (F.pmod(F.col("event_id") * 31 + r * 17, F.lit(41)) - 20) * F.lit(0.25))
 
 
-def _vesp(t):
-    return stack.vespagram(t, ["lane"], AXIS.values, sr=SR, power_window_s=POWER_S)
+def type3_traces(spark, sf):
+    return traces(spark, sf).withColumn("jitter_s", jitter())
 
 
-def _occ(g):
-    return resample.occupancy(g, ["lane"], WINDOWS, THRESHOLDS, N_REAL, pre_s=PRE, sr=SR)
+def _occ(t, plan=PLAN):
+    return bootstrap.occupancy(bootstrap.resampled(t, ["lane"], plan), ["lane"], plan).drop("set")
 
 
-def _occ_out(g):
-    return _occ(g).select(big("lane").alias("lane"), "phase", big("threshold_pct").alias("threshold_pct"),
-                          big("si").alias("si"), big("ti").alias("ti"), "frac")
+def _occ_out(occ):
+    return occ.select(big("lane").alias("lane"), "phase", big("threshold_pct").alias("threshold_pct"),
+                      big("si").alias("si"), big("ti").alias("ti"), "frac")
 
 
 @registered("bootstrap_event_subset_occupancy", sql="WITH " + vesp_by("real", TYPE1_SQL) + OCC_SQL + OCC_OUT)
 def bootstrap_event_subset_occupancy(spark, sf):
-    return _occ_out(type1_grid(spark, sf))
+    return _occ_out(_occ(type1_traces(spark, sf)))
 
 
 @registered("bootstrap_distance_stratified_occupancy", sql="WITH " + vesp_by("real", TYPE2_SQL) + OCC_SQL + OCC_OUT)
 def bootstrap_distance_stratified_occupancy(spark, sf):
-    return _occ_out(type2_grid(spark, sf))
+    return _occ_out(_occ(type2_traces(spark, sf)))
 
 
 @registered("bootstrap_pick_jitter_occupancy", sql="WITH " + vesp_by("real", TYPE3_SQL) + OCC_SQL + OCC_OUT)
 def bootstrap_pick_jitter_occupancy(spark, sf):
-    return _occ_out(type3_grid(spark, sf))
+    return _occ_out(_occ(type3_traces(spark, sf)))
+
+
+@registered("bootstrap_fifteen_windows", sql="WITH " + vesp_by("real", TYPE1_SQL) + OCC_SQL.replace(
+    "('PKiKP', 2.0, 32.0), ('PKKP', 28.0, 52.0)", FIFTEEN_SQL) + OCC_OUT)
+def bootstrap_fifteen_windows(spark, sf):
+    """All windows of a run are read from one block of realisations."""
+    plan = bootstrap.design(AXIS.values, FIFTEEN, THRESHOLDS, per_set=N_REAL, sr=SR, pre_s=PRE, power_window_s=POWER_S)
+    return _occ_out(_occ(type1_traces(spark, sf), plan))
 
 
 REAL_PEAK_SQL = """, w(phase, lo, hi) AS (VALUES ('PKiKP', 2.0, 32.0), ('PKKP', 28.0, 52.0)), rk AS (
@@ -134,35 +147,32 @@ SELECT lane::BIGINT AS lane, real::BIGINT AS realisation, phase, t AS time_s, ro
        round(power, 9) AS power, support::BIGINT AS support_count FROM rk WHERE rn = 1"""
 
 
-def _real_peaks(g):
-    p = resample.realisation_peaks(g, ["lane"], WINDOWS, pre_s=PRE, sr=SR)
-    return p.select(big("lane").alias("lane"), big("real").alias("realisation"), "phase", "time_s",
+def _real_peaks(t, plan=PLAN, real="real"):
+    found = bootstrap.resampled(t, ["lane"], plan, occupancy=False, peaks=True)
+    p = bootstrap.realisation_peaks(found, ["lane"], plan)
+    return p.select(big("lane").alias("lane"), big(real).alias("realisation"), "phase", "time_s",
                     rnd("slowness_sdeg").alias("slowness_sdeg"), rnd("power", 9).alias("power"),
                     big("support_count").alias("support_count"))
 
 
 @registered("bootstrap_realisation_peaks", sql="WITH " + vesp_by("real", TYPE2_SQL) + REAL_PEAK_SQL)
 def bootstrap_realisation_peaks(spark, sf):
-    return _real_peaks(type2_grid(spark, sf))
+    return _real_peaks(type2_traces(spark, sf))
 
 
 @registered("scramble_null_peaks", sql="WITH " + vesp_by("real", SCRAMBLE_SQL) + REAL_PEAK_SQL)
 def scramble_null_peaks(spark, sf):
-    return _real_peaks(scramble_grid(spark, sf))
+    """The true distances (realisation 0) and two hundred permutations of them."""
+    plan = bootstrap.design(AXIS.values, WINDOWS, (), per_set=1, n_sets=N_SCRAMBLES + 1, sr=SR, pre_s=PRE, power_window_s=POWER_S)
+    return _real_peaks(resample.scrambled_distances(traces(spark, sf), "lane", N_SCRAMBLES + 1, scramble_score), plan, "set")
 
 
 @registered("windowed_bootstrap_occupancy", sql="WITH " + vesp_by("real", TYPE1_SQL) + OCC_SQL.replace(
     "('PKiKP', 2.0, 32.0), ('PKKP', 28.0, 52.0)", "('PKiKP', 10.0, 18.0)") + OCC_OUT)
 def windowed_bootstrap_occupancy(spark, sf):
     """Only the samples the window and its power smoothing read are ever stacked."""
-    t = traces(spark, sf)
-    t = resample.with_subset_members(t, "lane", N_REAL, score, SPAN)
-    lo, hi = stack.window_range(10.0, 18.0, PRE, SR, POWER_S)
-    g = stack.vespagram(t, ["lane"], AXIS.values, sr=SR, power_window_s=POWER_S, time_range=(lo, hi))
-    occ = resample.occupancy(g, ["lane"], {"PKiKP": (10.0, 18.0)}, THRESHOLDS, N_REAL, pre_s=PRE, sr=SR,
-                             start=max(0, lo))
-    return occ.select(big("lane").alias("lane"), "phase", big("threshold_pct").alias("threshold_pct"),
-                      big("si").alias("si"), big("ti").alias("ti"), "frac")
+    plan = bootstrap.design(AXIS.values, {"PKiKP": (10.0, 18.0)}, THRESHOLDS, per_set=N_REAL, sr=SR, pre_s=PRE, power_window_s=POWER_S)
+    return _occ_out(_occ(type1_traces(spark, sf), plan))
 
 
 @registered("occupancy_projection", sql="WITH " + vesp_by("real", TYPE1_SQL) + OCC_SQL + """
@@ -170,7 +180,7 @@ SELECT lane::BIGINT AS lane, phase, threshold_pct::BIGINT AS threshold_pct, ti,
        round(sum(frac), 6) AS weight
 FROM occ GROUP BY GROUPING SETS ((lane, phase, threshold_pct, ti), (lane, phase, threshold_pct, si))""")
 def occupancy_projection(spark, sf):
-    p = resample.projections(_occ(type1_grid(spark, sf)), ["lane", "phase", "threshold_pct"])
+    p = resample.projections(_occ(type1_traces(spark, sf)), ["lane", "phase", "threshold_pct"])
     return p.select(big("lane").alias("lane"), "phase", big("threshold_pct").alias("threshold_pct"),
                     big("ti").alias("ti"), big("si").alias("si"), rnd("weight").alias("weight"))
 
@@ -186,7 +196,7 @@ def occupancy_projection(spark, sf):
 SELECT lane::BIGINT AS lane, phase, count(DISTINCT root)::BIGINT AS components, count(*)::BIGINT AS cells
 FROM lab GROUP BY 1, 2""")
 def occupancy_components(spark, sf):
-    occ = _occ(type1_grid(spark, sf)).where("threshold_pct = 85")
+    occ = _occ(type1_traces(spark, sf)).where("threshold_pct = 85")
     top = occ.groupBy("lane", "phase").agg(F.max("frac").alias("m"))
     high = occ.join(top, ["lane", "phase"]).where(F.col("frac") >= 0.8 * F.col("m"))
     n = high.groupBy("lane", "phase").agg(F.count("*").alias("cells"))
@@ -197,7 +207,7 @@ def occupancy_components(spark, sf):
 @registered("bootstrap_pick_table")
 def bootstrap_pick_table(spark, sf):
     """Fits, robust estimates and quality gate of every occupancy map."""
-    return resample.pick_table(_occ(type1_grid(spark, sf)), ["lane"], slowness=AXIS.values, n_times=N_TIMES,
+    return resample.pick_table(_occ(type1_traces(spark, sf)), ["lane"], slowness=AXIS.values, n_times=N_TIMES,
                                pre_s=PRE, sr=SR)
 
 
@@ -314,11 +324,11 @@ SELECT lane::BIGINT AS lane, phase, threshold_pct::BIGINT AS threshold_pct, (c2.
 FROM c1 JOIN c1r USING (lane, phase, threshold_pct) JOIN c2 USING (lane, phase, threshold_pct)""")
 def bootstrap_concordance(spark, sf):
     keys = ["lane", "phase", "threshold_pct"]
-    occ = _occ(type1_grid(spark, sf))
+    occ = _occ(type1_traces(spark, sf))
     a = resample.argmax_cell(occ, keys)
     # Adverse control: the map reversed in time, its best cell found anew.
     r = resample.argmax_cell(occ.withColumn("ti", F.lit(N_TIMES - 1) - F.col("ti")), keys).select(*keys, F.col("ti").alias("ti_r"))
-    b = resample.argmax_cell(_occ(type2_grid(spark, sf)), keys).select(
+    b = resample.argmax_cell(_occ(type2_traces(spark, sf)), keys).select(
         *keys, F.col("si").alias("si2"), F.col("ti").alias("ti2"))
     dt, ds = F.col("ti2") - F.col("ti"), (F.col("si2") - F.col("si")) * F.lit(0.2)
     t2 = F.col("ti2") - PRE
@@ -357,7 +367,8 @@ SELECT lane::BIGINT AS lane, round(avg(CASE WHEN t >= 26 THEN 1.0::DOUBLE ELSE 0
        min(CASE WHEN t >= 26 THEN t END) AS late_min_t, max(CASE WHEN t < 26 THEN t END) AS early_max_t,
        median(t) AS median_t FROM rk WHERE rn = 1 GROUP BY lane""")
 def sub_window_share(spark, sf):
-    p = peaks.global_peak_of_rows(type1_grid(spark, sf), ["lane", "real"], 2.0, 52.0, pre_s=PRE, sr=SR, min_support=1)
+    plan = bootstrap.design(AXIS.values, {"both": (2.0, 52.0)}, (), per_set=N_REAL, sr=SR, pre_s=PRE, power_window_s=POWER_S)
+    p = bootstrap.realisation_peaks(bootstrap.resampled(type1_traces(spark, sf), ["lane"], plan, occupancy=False, peaks=True), ["lane"], plan)
     late = F.col("time_s") >= 26
     return p.groupBy(big("lane").alias("lane")).agg(
         rnd(F.avg(late.cast("double")), 9).alias("late_share"), F.min(F.when(late, F.col("time_s"))).alias("late_min_t"),
