@@ -31,6 +31,7 @@ PER_GROUP = 400
 HEAVY_SHARE = 1_000
 FAN_IN = 32
 CELL_BYTES = 12  # a sum and a count
+SLACK = 1e-12  # a cell that equals the threshold but for rounding reaches it
 FOUND = "`set` int, phase string, threshold_pct int, si array<int>, ti array<int>, n array<int>, real array<int>, power array<double>, support array<int>"
 
 
@@ -227,7 +228,7 @@ class Block:
                 top = cells.max(axis=(0, 2))
                 live = np.flatnonzero(top >= 0)
                 for thr in p.thresholds if occupancy and len(live) else ():
-                    level = np.where(top >= 0, thr / 100.0 * top, np.inf)
+                    level = np.where(top >= 0, thr / 100.0 * (1.0 - SLACK) * top, np.inf)
                     marked = (cells >= level[None, :, None]).sum(axis=1, dtype=np.int32)
                     si, ti = np.nonzero(marked)
                     yield (k, phase, thr, si, ti + i0 + self.lo, marked[si, ti], None, None, None)

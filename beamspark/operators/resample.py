@@ -200,7 +200,7 @@ def occupancy(
     rows = rows.withColumn("peak", peak).where(F.col("peak").isNotNull())
     levels = F.array(*[F.lit(int(t)) for t in thresholds])
     rows = rows.withColumn("thr", F.explode(levels))
-    level = F.col("thr") / F.lit(100.0) * F.col("peak")
+    level = F.col("thr") / F.lit(100.0) * F.lit(1.0 - 1e-12) * F.col("peak")  # equal but for rounding is enough
     hits = F.filter(F.transform("p", lambda v, i: F.when(v >= level, i + F.col("t_off"))), lambda v: v.isNotNull())
     flat = rows.select(*lanes, "phase", F.col("thr").alias("threshold_pct"), "si", F.explode(hits).alias("ti"))
     return flat.groupBy(*lanes, "phase", "threshold_pct", "si", "ti").agg(

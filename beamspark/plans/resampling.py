@@ -45,7 +45,7 @@ OCC_SQL = """, w(phase, lo, hi) AS (VALUES ('PKiKP', 2.0, 32.0), ('PKKP', 28.0,
   SELECT lane, real, phase, max(power) AS peak FROM vesp JOIN w ON t BETWEEN lo AND hi GROUP BY ALL), occ AS (
   SELECT lane, phase, thr AS threshold_pct, si, ti, count(*) / 200.0::DOUBLE AS frac
   FROM vesp JOIN w ON t BETWEEN lo AND hi JOIN pk USING (lane, real, phase)
-  CROSS JOIN (SELECT unnest([50, 70, 85]) AS thr) WHERE power >= thr / 100.0::DOUBLE * peak GROUP BY ALL)"""
+  CROSS JOIN (SELECT unnest([50, 70, 85]) AS thr) WHERE power >= thr / 100.0::DOUBLE * (1 - 1e-12::DOUBLE) * peak GROUP BY ALL)"""
 OCC_OUT = """SELECT lane::BIGINT AS lane, phase, threshold_pct::BIGINT AS threshold_pct, si::BIGINT AS si, ti, frac FROM occ"""
 SCORE_SQL = "((event_id * 7919 + (real + 1) * 104729) * 31) % 10007"
 TYPE1_SQL = """reals AS (SELECT unnest(range(200)) AS real), design AS (
