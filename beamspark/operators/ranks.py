@@ -1,8 +1,9 @@
 """Exact ranks, quantiles and neighbours for groups of any size.
 
-A plain ordered window would sort a whole group in one task. Here equal values are first added up, the
+A plain ordered window would sort a whole group in one task. Here equal values are first added up, a large
 group is cut at approximate quantiles, and only the short per-bucket totals are scanned in order; each
-bucket then ranks its own values. Results are exact: the cuts only decide where the work goes.
+bucket then ranks its own values. Groups are counted by a job of its own when the plan is made. Results are exact: the
+cuts only decide where the work goes.
 """
 
 from __future__ import annotations
@@ -15,25 +16,37 @@ from pyspark.sql import functions as F
 BUCKETS = 256
 BISECTIONS = 8  # that halve 256 to one
 SLICE_ROWS = 200_000
+LARGE_KEYS = 10_000
 
 
-def _slices(df: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
-    """Number of the slice of its key that a row's ``at`` lies in.
+def _large(df: DataFrame, keys: list[str]) -> DataFrame | None:
+    """(keys, _n) of the keys to cut: more than ``SLICE_ROWS`` rows and over one in ``LARGE_KEYS`` of all, so ``LARGE_KEYS`` at most."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > SLICE_ROWS)
+    # A key must have more than SLICE_ROWS of all rows: whatever falls below is no large key, however many rows there are.
+    every = df.count() if not counts.isEmpty() else 0
+    found = counts.where(F.col("_n") * LARGE_KEYS > every).collect() if every else []
+    return df.sparkSession.createDataFrame(found, counts.schema) if found else None
 
-    A key gets one slice for every ``SLICE_ROWS`` rows counted, ``BUCKETS`` at most, in order of ``at``; one
-    pass gives counts and cuts. Only keys with more than one slice are joined back, at most one for each
-    ``SLICE_ROWS`` rows of the input.
+
+def _slices(df: DataFrame, keys: list[str], at: str, name: str) -> DataFrame | None:
+    """Number of the slice of its key that a row's ``at`` lies in; nothing where no key is large.
+
+    Keys are counted first, and only large ones are cut: one slice for every ``SLICE_ROWS`` rows, ``BUCKETS`` at most,
+    in order of ``at``. Large keys and their cuts go by broadcast, and rows stay where they are.
     """
+    large = _large(df, keys)
+    if large is None:
+        return None
     cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    edges = df.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx(at, cuts, 10 * BUCKETS).alias("_cuts"))
-    edges = edges.withColumn("_slices", F.least(F.lit(BUCKETS), F.ceil(F.col("n") / SLICE_ROWS)).cast("int")).drop("n").where("_slices > 1")
+    edges = df.join(F.broadcast(large), keys).groupBy(*keys).agg(F.first("_n").alias("_n"), F.percentile_approx(at, cuts, 10 * BUCKETS).alias("_cuts"))
+    edges = edges.withColumn("_slices", F.least(F.lit(BUCKETS), F.ceil(F.col("_n") / SLICE_ROWS)).cast("int")).drop("_n")
 
     def halve(lo, half):
         return F.when(F.get("_cuts", lo + half - 1) < F.col(at), lo + half).otherwise(lo)
 
     steps = F.array(*(F.lit(BUCKETS >> k) for k in range(1, BISECTIONS + 1)))
     place = F.floor(F.aggregate(steps, F.lit(0), halve) * F.col("_slices") / BUCKETS).cast("int")
-    out = df.join(edges, keys, "left").withColumn(name, F.coalesce(F.when(F.col("_slices").isNotNull(), place), F.lit(0)))
+    out = df.join(F.broadcast(edges), keys, "left").withColumn(name, F.coalesce(F.when(F.col("_slices").isNotNull(), place), F.lit(0)))
     return out.drop("_cuts", "_slices")
 
 
@@ -41,11 +54,16 @@ def bucketed(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     """Add ``bucket``: a slice of each key's ``at`` values, in order of ``at``, and within it a finer slice.
 
     Slices that still hold more than ``SLICE_ROWS`` rows are cut once more, so that up to ``BUCKETS`` squared of them
-    share a key's work.
+    share a key's work. Where no key is large there is one slice, and the plan has no cut in it.
     """
     keys = list(keys)
-    out = _slices(_slices(df, keys, at, "bucket"), [*keys, "bucket"], at, "finer")
-    return out.withColumn("bucket", F.col("bucket") * BUCKETS + F.col("finer")).drop("finer")
+    out = _slices(df, keys, at, "bucket")
+    if out is None:
+        return df.withColumn("bucket", F.lit(0))
+    finer = _slices(out, [*keys, "bucket"], at, "finer")
+    if finer is None:
+        return out.withColumn("bucket", F.col("bucket") * BUCKETS)
+    return finer.withColumn("bucket", F.col("bucket") * BUCKETS + F.col("finer")).drop("finer")
 
 
 def lagged(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str) -> DataFrame:

@@ -77,10 +77,11 @@ def _n1_sql(design: str) -> str:
     return "WITH " + vesp_by("k, real", scrambled, "sc") + by_k + OCC_OUT.replace("SELECT lane::BIGINT AS lane,", "SELECT lane::BIGINT AS lane, k::BIGINT AS k,")
 
 
-def _n1(t):
+def _n1(spark, sf, t):
     """Null machinery in full: every scramble has its own bootstrap, all of them in one pass over the traces."""
     plan = bootstrap.design(AXIS.values, WINDOWS, THRESHOLDS, per_set=N_REAL, n_sets=N1_SCRAMBLES + 1, sr=SR, pre_s=PRE, power_window_s=POWER_S)
-    t = resample.scrambled_distances(t, "lane", N1_SCRAMBLES + 1, scramble_score)
+    ids = resample.scrambled_distances(traces(spark, sf).select("lane", "event_id", "distance"), "lane", N1_SCRAMBLES + 1, scramble_score)
+    t = t.join(ids.select("lane", "event_id", "distances"), ["lane", "event_id"])
     occ = bootstrap.occupancy(bootstrap.resampled(t, ["lane"], plan), ["lane"], plan).where("set > 0")
     return occ.select(big("lane").alias("lane"), big("set").alias("k"), "phase", big("threshold_pct").alias("threshold_pct"),
                       big("si").alias("si"), big("ti").alias("ti"), "frac")
@@ -88,12 +89,12 @@ def _n1(t):
 
 @registered("scrambled_bootstrap_occupancy", sql=_n1_sql(TYPE1_SQL))
 def scrambled_bootstrap_occupancy(spark, sf):
-    return _n1(type1_traces(spark, sf))
+    return _n1(spark, sf, type1_traces(spark, sf))
 
 
 @registered("scrambled_jitter_occupancy", sql=_n1_sql(TYPE3_SQL.replace("SELECT p.lane,", "SELECT p.event_id, p.lane,")))
 def scrambled_jitter_occupancy(spark, sf):
-    return _n1(type3_traces(spark, sf))
+    return _n1(spark, sf, type3_traces(spark, sf))
 
 
 @registered("decoy_controls", sql="WITH " + POWER_SQL + """, c AS (SELECT lane, t, s, power FROM vesp WHERE power IS NOT NULL AND support >= 2), r AS (

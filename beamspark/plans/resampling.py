@@ -88,15 +88,21 @@ def enough(t):
     return t.join(t.groupBy("lane").count().where("count >= 2").select("lane"), "lane", "left_semi")
 
 
+def drawn(t, design, column):
+    """Traces with a drawn column: designs are made of ids and distances alone, and meet the traces once."""
+    ids = design(t.select("lane", "event_id", "distance"))
+    return t.join(ids.select("lane", "event_id", column), ["lane", "event_id"])
+
+
 def type1_traces(spark, sf):
-    return resample.with_subset_members(enough(traces(spark, sf)), "lane", N_REAL, score, SPAN)
+    return drawn(traces(spark, sf), lambda t: resample.with_subset_members(enough(t), "lane", N_REAL, score, SPAN), "members")
 
 
 def type2_traces(spark, sf):
     # The test distances at half their spread: enough of them lie inside the registered cluster.
     t = traces(spark, sf).withColumn("distance", F.lit(13.75) + F.col("distance") / 2)
     inside = F.col("distance").between(dims.CLUSTER_MIN_DEG, dims.CLUSTER_MAX_DEG)
-    return resample.with_subset_members(t, "lane", N_REAL, score, SPAN, inside)
+    return drawn(t, lambda t: resample.with_subset_members(t, "lane", N_REAL, score, SPAN, inside), "members")
 
 
 def jitter():
