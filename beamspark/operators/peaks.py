@@ -7,8 +7,10 @@ is tested against in place, so a point-in-box match is a generator and never a j
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -303,6 +305,91 @@ def box_family(
     })
 
 
+def range_maxima(values: np.ndarray, counted: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum (-inf where none) and number of the counted values in each closed index range, from one sparse table.
+
+    Level j of the table holds maxima of runs of 2**j values; two runs that may overlap cover a range of any length.
+    """
+    n = len(values)
+    table, runs = [np.where(counted, values, -np.inf)], 1
+    while 2 * runs <= n:
+        last = table[-1]
+        table.append(np.maximum(last[:-runs], last[runs:]))
+        runs *= 2
+    lo, hi = np.clip(lo, 0, n), np.clip(hi, -1, n - 1)
+    size = np.maximum(hi - lo + 1, 0)
+    level = np.frexp(np.maximum(size, 1))[1] - 1
+    best = np.full(len(lo), -np.inf)
+    for j in np.unique(level[size > 0]):
+        at = (level == j) & (size > 0)
+        best[at] = np.maximum(table[j][lo[at]], table[j][hi[at] + 1 - (1 << j)])
+    total = np.concatenate(([0], np.cumsum(counted)))
+    return best, np.where(size > 0, total[np.maximum(hi + 1, 0)] - total[lo], 0)
+
+
+def box_sweep(
+    grid: DataFrame, keys: Sequence[str], *, t_centers: Sequence[float], s_centers: Sequence[float], half_t: float, half_s: float,
+    pre_s: float, sr: float, min_support: int = dims.MIN_STACK_SUPPORT,
+) -> DataFrame:
+    """Every box of a family on the array rows of a grid: (keys, ic, kc, t_center, s_center, box_max_power, n_supported_cells).
+
+    A two-dimensional range maximum in two steps: each slowness row answers all time ranges from one sparse table, and rows
+    fold into the slowness boxes they lie in. What is shuffled is one array of time boxes per slowness row and box,
+    whatever the number of samples. A box without supported cells gives a row with null power.
+    """
+    tc, sc = np.asarray(t_centers, dtype=float), [float(s) for s in s_centers]
+    types = {f.name: f.dataType.simpleString() for f in grid.schema.fields}
+    ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    covering = F.array(*[F.struct(F.lit(k).alias("kc"), F.lit(s - half_s).alias("a"), F.lit(s + half_s).alias("b")) for k, s in enumerate(sc)])
+    inside = F.filter(covering, lambda c: (F.col("s") >= c["a"]) & (F.col("s") <= c["b"]))
+
+    def by_time(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            power, support = batch.column("power"), batch.column("support")
+            offs, best, count = np.asarray(power.offsets), [], []
+            values = np.asarray(power.values.to_numpy(zero_copy_only=False), dtype=float)
+            enough = np.asarray(support.values)[support.offsets[0].as_py():] >= min_support
+            for a, b in zip(offs[:-1], offs[1:]):
+                t = np.arange(b - a) / sr - pre_s
+                lo, hi = np.searchsorted(t, tc - half_t, "left"), np.searchsorted(t, tc + half_t, "right") - 1
+                m, n = range_maxima(values[a:b], ~np.isnan(values[a:b]) & enough[a - offs[0]:b - offs[0]], lo, hi)
+                best.append(m)
+                count.append(n)
+            shape = (len(best), len(tc))
+            arrays = [np.reshape(best, shape), np.reshape(count, shape).astype(np.int64)]
+            cols = [batch.column(k) for k in (*keys, "inside")] + [_arrays(v) for v in arrays]
+            yield pa.RecordBatch.from_arrays(cols, [*keys, "inside", "m", "n"])
+
+    rows = grid.select(*keys, F.transform(inside, lambda c: c["kc"]).alias("inside"), "power", "support")
+    rows = rows.mapInArrow(by_time, f"{ddl}, inside array<int>, m array<double>, n array<bigint>")
+    rows = rows.select(*keys, F.explode("inside").alias("kc"), "m", "n")
+    none = grid.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(len(sc) - 1))).alias("kc"))
+    rows = rows.unionByName(none.select("*", F.lit(None).cast("array<double>").alias("m"), F.lit(None).cast("array<bigint>").alias("n")))
+
+    def fold(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, count, fields = np.full(len(tc), -np.inf), np.zeros(len(tc), dtype=np.int64), None
+        for batch in batches:
+            fields = batch.schema
+            for m, n in zip(batch.column("m"), batch.column("n")):
+                if m.is_valid:
+                    np.maximum(best, np.asarray(m.values), out=best)
+                    count += np.asarray(n.values)
+        cols = [pa.array([k.as_py()], fields.field(c).type) for k, c in zip(key, (*keys, "kc"))]
+        yield pa.RecordBatch.from_arrays([*cols, _arrays(best[None, :]), _arrays(count[None, :])], [*keys, "kc", "m", "n"])
+
+    out = rows.groupBy(*keys, "kc").applyInArrow(fold, f"{ddl}, kc int, m array<double>, n array<bigint>")
+    out = out.select(*keys, "kc", F.posexplode(F.arrays_zip("m", "n")).alias("ic", "c"))
+    return out.select(
+        *keys, "ic", "kc", F.get(F.array(*[F.lit(float(t)) for t in tc]), F.col("ic")).alias("t_center"),
+        F.get(F.array(*[F.lit(s) for s in sc]), F.col("kc")).alias("s_center"),
+        F.when(F.col("c.n") > 0, F.col("c.m")).alias("box_max_power"), F.col("c.n").alias("n_supported_cells"))
+
+
+def _arrays(rows: np.ndarray) -> pa.ListArray:
+    offsets = pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(rows).reshape(-1)))
+
+
 def overlaps(t: Column, s: Column, half_t: float, half_s: float, box: Box) -> Column:
     """Closed rectangle overlap of a centred box with a fixed one."""
     return (

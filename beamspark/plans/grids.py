@@ -375,3 +375,61 @@ def decoy_box_family(spark, sf):
         rnd(F.count_if(F.expr("ge")) / F.count("*"), 9).alias("fraction_incl"),
         rnd(F.count_if(F.expr("ge AND NOT ov")) / F.count_if(F.expr("NOT ov")), 9).alias("fraction_excl"),
         F.sum("n_supported_cells").alias("cells_covered"), rnd(F.max("box_max_power"), 9).alias("top_power"))
+
+
+# The two registered families, 371 x 89 and 371 x 81 boxes, laid over the axes of the test grid: (half widths, slowness centres, target).
+FAMILY_T = [-4.0 + 0.15 * i for i in range(371)]
+FAMILIES = {"PKiKP": (4.0, 0.12, [-1.88 + 0.02 * k for k in range(89)], BOXES[0]), "PKKP": (4.0, 0.2, [-1.8 + 0.02 * k for k in range(81)], BOXES[1])}
+
+
+def _family_sql(name: str, half_t: float, half_s: float, first: float, count: int, box: Box) -> str:
+    return f"""{name}_t AS (
+  SELECT lane, s, i, max(power) AS m, count(*) AS n FROM ok JOIN range(371) r(i)
+    ON t BETWEEN -4.0::DOUBLE + 0.15::DOUBLE * i - {half_t} AND -4.0::DOUBLE + 0.15::DOUBLE * i + {half_t} GROUP BY ALL), {name} AS (
+  SELECT b.*, m, n, -4.0::DOUBLE + 0.15::DOUBLE * b.i AS tc FROM (
+    SELECT l.lane, i, k, {first}::DOUBLE + 0.02::DOUBLE * k AS sc FROM (SELECT DISTINCT lane FROM vesp) l, range(371) a(i), range({count}) c(k)) b
+  LEFT JOIN {name}_t f ON f.lane = b.lane AND f.i = b.i AND f.s >= sc - {half_s}::DOUBLE AND f.s <= sc + {half_s}::DOUBLE), {name}_b AS (
+  SELECT lane, i, k, tc, sc, max(m) AS m, coalesce(sum(n), 0) AS n,
+         tc - {half_t} <= {box.t_max} AND tc + {half_t} >= {box.t_min} AND sc - {half_s}::DOUBLE <= {box.s_max}::DOUBLE AND sc + {half_s}::DOUBLE >= {box.s_min}::DOUBLE AS ov
+  FROM {name} GROUP BY ALL), {name}_k AS (
+  SELECT lane, max(power) AS target FROM ok WHERE t BETWEEN {box.t_min} AND {box.t_max} AND s BETWEEN {box.s_min} AND {box.s_max} GROUP BY lane)"""
+
+
+@registered("decoy_box_families", sql="WITH " + POWER_SQL + """, ok AS (SELECT * FROM vesp WHERE power IS NOT NULL AND support >= 2), ridge AS (
+  SELECT lane, t AS rt, s AS rs, power AS rp FROM (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY power DESC, si, ti) AS rn FROM ok) WHERE rn = 1), """
+            + _family_sql("f1", 4.0, 0.12, -1.88, 89, BOXES[0]) + ", " + _family_sql("f2", 4.0, 0.2, -1.8, 81, BOXES[1]) + """, one AS (
+  SELECT lane, count(*) AS boxes_1, count(*) FILTER (ov) AS overlap_1, count(*) FILTER (n = 0) AS empty_1, count(*) FILTER (near) AS ridge_boxes,
+         round(count(*) FILTER (m >= target)::DOUBLE / count(*), 9) AS target_incl,
+         round(count(*) FILTER (m >= target AND NOT ov)::DOUBLE / count(*) FILTER (NOT ov), 9) AS target_excl,
+         round(count(*) FILTER (m >= rp)::DOUBLE / count(*), 9) AS ridge_incl,
+         round(count(*) FILTER (m >= rp AND NOT near)::DOUBLE / count(*) FILTER (NOT near), 9) AS ridge_excl, sum(n)::BIGINT AS cells_1
+  FROM (SELECT b.*, target, rp, abs(tc - rt) <= 4.0 AND abs(sc - rs) <= 0.12::DOUBLE AS near FROM f1_b b JOIN f1_k USING (lane) JOIN ridge USING (lane)) GROUP BY lane), two AS (
+  SELECT lane, count(*) AS boxes_2, count(*) FILTER (ov) AS overlap_2, count(*) FILTER (n = 0) AS empty_2,
+         round(count(*) FILTER (m >= target)::DOUBLE / count(*), 9) AS pkkp_incl,
+         round(count(*) FILTER (m >= target AND NOT ov)::DOUBLE / count(*) FILTER (NOT ov), 9) AS pkkp_excl, sum(n)::BIGINT AS cells_2
+  FROM f2_b JOIN f2_k USING (lane) GROUP BY lane)
+SELECT * REPLACE (lane::BIGINT AS lane) FROM one JOIN two USING (lane)""")
+def decoy_box_families(spark, sf):
+    """The six fractions of both families: with and without the boxes that overlap the target, or hold the ridge."""
+    g = grid(spark, sf)
+    cells = stack.cells(g, ["lane"], pre_s=PRE, sr=SR).where(peaks.supported())
+    best = lambda b: F.max(F.when(peaks.in_box(b.t_min, b.t_max, b.s_min, b.s_max), F.col("power")))
+    marks = cells.groupBy("lane").agg(F.max(peaks.ordered_cell()).alias("r"), *[best(b).alias(f"target_{k}") for k, (*_, b) in FAMILIES.items()])
+    out = None
+    for no, (phase, (half_t, half_s, centers, box)) in enumerate(FAMILIES.items(), 1):
+        fam = peaks.box_sweep(g, ["lane"], t_centers=FAMILY_T, s_centers=centers, half_t=half_t, half_s=half_s, pre_s=PRE, sr=SR).join(marks, "lane")
+        m, target = F.col("box_max_power"), F.col(f"target_{phase}")
+        fam = fam.where(target.isNotNull()).withColumns({
+            "ov": peaks.overlaps(F.col("t_center"), F.col("s_center"), half_t, half_s, box), "ge": F.coalesce(m >= target, F.lit(False)),
+            "gr": F.coalesce(m >= F.col("r.power"), F.lit(False)),
+            "near": (F.abs(F.col("t_center") - F.col("r.t")) <= half_t) & (F.abs(F.col("s_center") - F.col("r.s")) <= half_s)})
+        share = lambda hit, among: rnd(F.count_if(F.expr(f"{hit} AND {among}")) / F.count_if(F.expr(among)), 9)
+        aggs = [F.count("*").alias(f"boxes_{no}"), F.count_if("ov").alias(f"overlap_{no}"), F.count_if(F.col("n_supported_cells") == 0).alias(f"empty_{no}"),
+                F.sum("n_supported_cells").alias(f"cells_{no}")]
+        name = "target" if no == 1 else "pkkp"
+        aggs += [share("ge", "true").alias(f"{name}_incl"), share("ge", "NOT ov").alias(f"{name}_excl")]
+        if no == 1:
+            aggs += [F.count_if("near").alias("ridge_boxes"), share("gr", "true").alias("ridge_incl"), share("gr", "NOT near").alias("ridge_excl")]
+        one = fam.groupBy(big("lane").alias("lane")).agg(*aggs)
+        out = one if out is None else out.join(one, "lane")
+    return out
