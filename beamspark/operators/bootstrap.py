@@ -78,12 +78,6 @@ def design(slowness: Sequence[float], windows: dict[str, tuple[float, float]], t
     return Design(tuple(map(float, slowness)), tuple((k, *map(float, v)) for k, v in windows.items()), tuple(thresholds), n_sets, per_set, **more)
 
 
-def _rooted(x: np.ndarray, order: float) -> np.ndarray:
-    if order == 4:
-        return np.copysign(np.sqrt(np.sqrt(np.abs(x))), x)
-    return np.sign(x) * np.abs(x) ** (1.0 / order)
-
-
 def _lerped(x: np.ndarray, valid: np.ndarray, samples: float, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
     """Samples [a, b) of one trace moved by a real number of samples; a mask needs both neighbours valid."""
     n = len(x)
@@ -147,7 +141,7 @@ class Block:
             np.add.at(weights, (at - (a - self.first), rows), 1.0)
             if parts is None:
                 masked = np.where(valid, x, 0.0)
-                parts = (_rooted(masked, p.order), valid.astype(np.float64))
+                parts = (stack.rooted(masked, p.order), valid.astype(np.float64))
             self._weighted(parts, rolls, weights, slice(a - self.first, b - self.first))
 
     def _members(self, batch: pa.RecordBatch, names: set, n: int):
@@ -190,7 +184,7 @@ class Block:
             if first >= last:
                 continue
             moved, ok = _lerped(x[row], valid[row], shift * self.plan.sr, first, last)
-            part, one = np.where(ok, _rooted(moved, self.plan.order), 0.0), ok.astype(np.int32)
+            part, one = np.where(ok, stack.rooted(moved, self.plan.order), 0.0), ok.astype(np.int32)
             for si in range(len(rolls)):
                 roll = rolls[si, row]
                 a, b = self._bounds(roll, n)
@@ -208,7 +202,7 @@ class Block:
         for si in range(len(self.total)):
             count = self.count[si, :, :inside]
             mean = self.total[si, :, :inside] / np.maximum(count, 1)
-            beam = mean * mean * mean * np.abs(mean) if p.order == 4 else np.sign(mean) * np.abs(mean) ** p.order
+            beam = stack.raised(mean, p.order)
             power, has = stack.tapered_power(beam, count >= p.min_support, samples)
             self.total[si] = -1.0
             self.total[si, :, :inside] = np.where(has, power, -1.0)

@@ -79,13 +79,27 @@ def _lerp_shift(x: np.ndarray, valid: np.ndarray, samples: np.ndarray):
     return np.where(inside, x0 + (x1 - x0) * frac, 0.0), ok
 
 
+def rooted(x: np.ndarray, order: float) -> np.ndarray:
+    """Signed root; the fourth by two square roots."""
+    if order == 4:
+        return np.copysign(np.sqrt(np.sqrt(np.abs(x))), x)
+    return np.sign(x) * np.abs(x) ** (1.0 / order)
+
+
+def raised(x: np.ndarray, order: float) -> np.ndarray:
+    """Signed power, the inverse of ``rooted``."""
+    if order == 4:
+        return x * x * x * np.abs(x)
+    return np.sign(x) * np.abs(x) ** order
+
+
 def _channels(x: np.ndarray, valid: np.ndarray, method: str, order: float) -> list[np.ndarray]:
     """Per-sample quantities whose masked sums make the stack; the last one counts support."""
     masked = np.where(valid, x, 0.0)
     if method == "linear":
         parts = [masked]
     elif method == "nth_root":
-        parts = [np.sign(masked) * np.abs(masked) ** (1.0 / order)]
+        parts = [rooted(masked, order)]
     else:
         phase = _analytic_phase(masked)
         parts = [masked, np.where(valid, np.cos(phase), 0.0), np.where(valid, np.sin(phase), 0.0)]
@@ -96,6 +110,15 @@ def _shift_add(parts: list[np.ndarray], rolls: np.ndarray, weights: np.ndarray,
     """Weighted sums of shifted rows on [lo, hi): one matrix product per distinct roll."""
     n = parts[0].shape[1]
     out = [np.zeros((weights.shape[0], hi - lo)) for _ in parts]
+    if weights.shape[0] == 1:
+        # One realisation: rows are added where they fall.
+        for roll, w, i in zip(rolls.tolist(), weights[0].tolist(), range(len(rolls))):
+            a, b = max(lo, roll, 0), min(hi, n + roll, n)
+            if a < b:
+                for acc, part in zip(out, parts):
+                    row = part[i, a - roll : b - roll]
+                    acc[0, a - lo : b - lo] += row if w == 1.0 else w * row
+        return out
     order = np.argsort(rolls, kind="stable")
     cuts = np.flatnonzero(np.diff(rolls[order])) + 1
     groups = np.split(order, cuts)
@@ -367,7 +390,7 @@ def merge_grids(
             safe = np.maximum(count, 1)
             mean = acc[0] / safe
             if method == "nth_root":
-                mean = np.sign(mean) * np.abs(mean) ** order
+                mean = raised(mean, order)
             elif method == "pws":
                 mean = mean * (np.hypot(acc[1], acc[2]) / safe) ** pw_order
             rows["beam"].append(pa.array(mean, mask=~ok))
