@@ -169,48 +169,58 @@ def mk_filter(
     return np.vstack([zne[c] * _cover(n, win, starts, gain[:, c]) for c in range(3)])
 
 
-def frequency_shift(x: np.ndarray, sr: float, freqs: np.ndarray) -> np.ndarray:
-    """Complex band signals (frequency, row, time): shifted spectrum under a Gaussian."""
+def frequency_shift(x: np.ndarray, sr: float, freq: float) -> np.ndarray:
+    """Complex signals of one band (row, time): the spectrum shifted to its centre, under a Gaussian."""
     n = x.shape[-1]
     spec, f = np.fft.fft(x, axis=-1), np.fft.fftfreq(n, 1.0 / sr)
-    out = []
-    for c in freqs:
-        shift = int(round(c / (sr / n)))
-        out.append(np.fft.ifft(np.roll(spec, -shift, axis=-1) * np.exp(-2.0 * (np.pi * f / c) ** 2), axis=-1))
-    return np.array(out)
+    shift = int(round(freq / (sr / n)))
+    return np.fft.ifft(np.roll(spec, -shift, axis=-1) * np.exp(-2.0 * (np.pi * f / freq) ** 2), axis=-1)
 
 
-def fdpa(
-    zne: np.ndarray, sr: float, freqs: np.ndarray, overlap: float = 0.9, cycles: float = 3.0
-) -> dict[str, np.ndarray]:
+def band_windows(n: int, sr: float, freq: float, overlap: float = 0.9, cycles: float = 3.0) -> tuple[int, np.ndarray]:
+    """Windows of so many cycles of a band: their length and starts."""
+    return window_starts(n, max(2, int(round(cycles * sr / freq))), overlap, smallest=2)
+
+
+def window_polarization(band: np.ndarray, win: int, starts: np.ndarray) -> dict[str, np.ndarray]:
+    """Degree of polarisation, axis and vertical and horizontal shares of each window of one band's three components.
+
+    A window without motion is not ``live`` and has no axis.
+    """
+    seg = band[:, starts[:, None] + np.arange(win)[None, :]].transpose(1, 0, 2)
+    vals, vecs = np.linalg.eigh(seg @ seg.conj().transpose(0, 2, 1) / max(1, win))
+    vals = np.clip(vals, 0.0, None)
+    total, live = vals.sum(axis=1), vals[:, -1] > 0
+    dop = np.where(live, np.clip((vals[:, 2] - vals[:, 1]) / np.where(live, total, 1.0), 0, 1), 0.0)
+    ax = vecs[:, :, -1] * np.exp(-1j * np.angle(vecs[:, :1, -1]))
+    size = np.abs(ax) ** 2 / (np.abs(ax) ** 2).sum(axis=1, keepdims=True)
+    return {
+        "live": live, "dop": dop, "azimuth": np.arctan2(ax[:, 2].real, ax[:, 1].real),
+        "inclination": np.degrees(np.arctan2(np.abs(ax[:, 0].real), np.hypot(ax[:, 1].real, ax[:, 2].real))),
+        "vertical": np.where(live, size[:, 0], 0.0), "horizontal": np.where(live, size[:, 1] + size[:, 2], 0.0)}
+
+
+def covered_polarization(n: int, win: int, starts: np.ndarray, live, dop, azimuth, inclination, vertical, horizontal) -> dict[str, np.ndarray]:
+    """Means over the windows that cover each sample; directions are means of unit vectors, NaN where no window moves."""
+    live = np.asarray(live, dtype=bool)
+    share = _cover(n, win, starts, live.astype(float))
+    has = share > 0
+    sin, cos = (_cover(n, win, starts, np.where(live, g(azimuth), 0.0)) for g in (np.sin, np.cos))
+    mean_inc = _cover(n, win, starts, np.where(live, inclination, 0.0))
+    return {
+        "dop": _cover(n, win, starts, dop), "azimuth": np.where(has, (np.degrees(np.arctan2(sin, cos)) + 360.0) % 360.0, np.nan),
+        "inclination": np.divide(mean_inc, share, out=np.full(n, np.nan), where=has),
+        "vrm": _cover(n, win, starts, np.asarray(dop) * vertical), "hrm": _cover(n, win, starts, np.asarray(dop) * horizontal)}
+
+
+def fdpa(zne: np.ndarray, sr: float, freqs: np.ndarray, overlap: float = 0.9, cycles: float = 3.0) -> dict[str, np.ndarray]:
     """Frequency-dependent polarisation of one record; every field is (frequency, time), NaN = undefined."""
-    n = zne.shape[1]
-    shifted = frequency_shift(zne, sr, freqs)
-    fields: dict[str, list] = {k: [] for k in ("dop", "azimuth", "inclination", "vrm", "hrm", "vertical")}
-    for k, f in enumerate(freqs):
-        win, starts = window_starts(n, max(2, int(round(cycles * sr / f))), overlap, smallest=2)
-        seg = shifted[k][:, starts[:, None] + np.arange(win)[None, :]].transpose(1, 0, 2)
-        vals, vecs = np.linalg.eigh(seg @ seg.conj().transpose(0, 2, 1) / max(1, win))
-        vals = np.clip(vals, 0.0, None)
-        total, live = vals.sum(axis=1), vals[:, -1] > 0
-        dop = np.where(live, np.clip((vals[:, 2] - vals[:, 1]) / np.where(live, total, 1.0), 0, 1), 0.0)
-        ax = vecs[:, :, -1] * np.exp(-1j * np.angle(vecs[:, :1, -1]))
-        size = np.abs(ax) ** 2 / (np.abs(ax) ** 2).sum(axis=1, keepdims=True)
-        az = np.arctan2(ax[:, 2].real, ax[:, 1].real)
-        inc = np.degrees(np.arctan2(np.abs(ax[:, 0].real), np.hypot(ax[:, 1].real, ax[:, 2].real)))
-        vert = np.where(live, size[:, 0], 0.0)
-        horiz = np.where(live, size[:, 1] + size[:, 2], 0.0)
-        has = _cover(n, win, starts, live.astype(float)) > 0
-        sin, cos = (_cover(n, win, starts, np.where(live, g(az), 0.0)) for g in (np.sin, np.cos))
-        share = _cover(n, win, starts, live.astype(float))
-        mean_inc = _cover(n, win, starts, np.where(live, inc, 0.0))
-        fields["dop"].append(_cover(n, win, starts, dop))
-        fields["azimuth"].append(np.where(has, (np.degrees(np.arctan2(sin, cos)) + 360.0) % 360.0, np.nan))
-        fields["inclination"].append(np.divide(mean_inc, share, out=np.full(n, np.nan), where=has))
-        fields["vrm"].append(_cover(n, win, starts, dop * vert))
-        fields["hrm"].append(_cover(n, win, starts, dop * horiz))
-        fields["vertical"].append(np.abs(shifted[k][0]))
-    return {k: np.array(v) for k, v in fields.items()}
+    n, rows = zne.shape[1], []
+    for f in freqs:
+        band = frequency_shift(zne, sr, f)
+        win, starts = band_windows(n, sr, f, overlap, cycles)
+        rows.append(covered_polarization(n, win, starts, **window_polarization(band, win, starts)) | {"vertical": np.abs(band[0])})
+    return {k: np.array([r[k] for r in rows]) for k in rows[0]}
 
 
 def lanczos(x: np.ndarray, ratio: float, a: int = 20) -> np.ndarray:

@@ -178,14 +178,18 @@ def upstream_matches(registered: DataFrame, upstream: DataFrame) -> DataFrame:
     """Registered rows (source, path, ...) with the first upstream row (rid, source, path) that answers them.
 
     The same path comes first, else an upstream source that is part of the registered source; the smallest
-    ``rid`` wins. Parts are looked up by an equality join: each distinct registered source gives its
-    substrings, as many as half the square of its length.
+    ``rid`` wins. Parts are looked up by an equality join: each distinct registered source gives its substrings
+    of the lengths that upstream sources have (one row of numbers, no longer than the longest source), so that rows grow with
+    its length and not with the square.
     """
     whole = upstream.groupBy("path").agg(F.min("rid").alias("by_path"))
     first = upstream.where("source <> ''").groupBy(F.col("source").alias("part")).agg(F.min("rid").alias("by_source"))
     names = registered.where("source <> ''").select("source").distinct()
+    lengths = first.agg(F.collect_set(F.length("part")).alias("lengths"))
     size = F.length("source")
-    cuts = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring("source", i, n))))
+    fitting = F.filter("lengths", lambda n: n <= size)
+    cuts = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring("source", i, n))))
+    names = names.crossJoin(F.broadcast(lengths))  # one row
     near = names.select("source", F.explode(F.array_distinct(cuts)).alias("part")).join(first, "part").groupBy("source").agg(F.min("by_source").alias("by_source"))
     j = registered.join(whole, "path", "left").join(near, "source", "left")
     by = F.when(F.col("by_path").isNotNull(), "path").when(F.col("by_source").isNotNull(), "source").otherwise("none")

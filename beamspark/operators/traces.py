@@ -235,3 +235,45 @@ def great_circle_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) ->
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2.0) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(F.radians(lon2 - lon1) / 2), 2.0)
     return F.degrees(F.lit(2.0) * F.asin(F.sqrt(F.least(a, F.lit(1.0)))))
+
+
+WINDOW_FIELDS = ("dop", "azimuth", "inclination", "vertical", "horizontal")
+
+
+def band_signals(df: DataFrame, keys: Sequence[str], components: Sequence[str], sr: float, freqs: Sequence[float]) -> DataFrame:
+    """One row per record and frequency: (keys, band, freq, re, im), the three complex band signals end to end."""
+    bands = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.lit(float(f)).alias("freq")) for k, f in enumerate(freqs)])).alias("b")
+    rows = df.select(*keys, *components, bands).select(*keys, *components, F.col("b.band").alias("band"), F.col("b.freq").alias("freq"))
+
+    def shifted(z, n, e, freq):
+        band = kernels.frequency_shift(np.vstack([z, n, e]), sr, freq)
+        return np.concatenate(band.real), np.concatenate(band.imag)
+
+    return map_arrays(rows, [*keys, "band", "freq"], [*components, "freq"], "re array<double>, im array<double>", shifted)
+
+
+def window_polarizations(bands: DataFrame, keys: Sequence[str], sr: float) -> DataFrame:
+    """One row per record, band and window: (keys, band, n, start, win, live, dop, azimuth, inclination, vertical, horizontal)."""
+
+    def windows(re, im, freq):
+        signal = (np.asarray(re) + 1j * np.asarray(im)).reshape(3, -1)
+        win, starts = kernels.band_windows(signal.shape[1], sr, freq)
+        w = kernels.window_polarization(signal, win, starts)
+        return [(signal.shape[1], int(st), win, bool(w["live"][i]), *(float(w[k][i]) for k in WINDOW_FIELDS)) for i, st in enumerate(starts)]
+
+    fields = "n int, start int, win int, live boolean, " + ", ".join(f"{k} double" for k in WINDOW_FIELDS)
+    return map_arrays(bands, [*keys, "band"], ["re", "im", "freq"], fields, windows)
+
+
+def covered_means(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, band, ti, dop, azimuth_deg, inclination_deg, vrm, hrm): means over the windows that cover each sample.
+
+    Directions are means of unit vectors; azimuth and inclination are null where no window moves.
+    """
+    rows = windows.select(*keys, "band", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("win") - 1)).alias("ti"), "live", *WINDOW_FIELDS)
+    live = lambda c: F.avg(F.when(F.col("live"), c))
+    means = rows.groupBy(*keys, "band", "ti").agg(
+        F.avg("dop").alias("dop"), live(F.sin("azimuth")).alias("_sin"), live(F.cos("azimuth")).alias("_cos"), live(F.col("inclination")).alias("inclination_deg"),
+        F.avg(F.col("dop") * F.col("vertical")).alias("vrm"), F.avg(F.col("dop") * F.col("horizontal")).alias("hrm"))
+    azimuth = F.pmod(F.degrees(F.atan2("_sin", "_cos")) + 360.0, F.lit(360.0))
+    return means.withColumn("azimuth_deg", azimuth).drop("_sin", "_cos")

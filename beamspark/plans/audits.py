@@ -422,15 +422,26 @@ def document_inventory(spark, sf):
         F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.count("*").alias("distinct_digests"))
 
 
-@registered("adverse_byte_flip", sql="""SELECT doc_id, true AS original_passes, false AS corrupted_passes FROM documents""")
+@registered("adverse_byte_flip", sql="""WITH d AS (
+  SELECT doc_id, text, doc_id % 3 = 0 AS flipped, doc_id % 7 = 0 AS repinned FROM documents), m AS (SELECT doc_id, sha256(text) AS pin FROM d)
+SELECT d.doc_id, flipped, repinned,
+  sha256(CASE WHEN flipped THEN (CASE WHEN text[1] = '7' THEN '8' ELSE '7' END) || text[2:] ELSE text END) = m.pin AS passes
+FROM d JOIN m ON m.doc_id = CASE WHEN repinned AND d.doc_id + 1 IN (SELECT doc_id FROM m) THEN d.doc_id + 1 ELSE d.doc_id END""")
 def adverse_byte_flip(spark, sf):
-    """Negative control: one changed character must break the digest gate."""
+    """Negative controls: a third of the files has one changed character, a seventh the pin of its neighbour.
+
+    Pins are recorded from the texts as they were; what is presented is hashed anew and held against the recorded pin. Only
+    copies pass with a neighbour's pin, and nothing passes with a changed character.
+    """
     d = table(spark, sf, "documents")
-    pin = F.sha2("text", 256)
-    first = F.when(F.substring("text", 1, 1) != "7", "7").otherwise("8")
-    flipped = F.concat(first, F.expr("substring(text, 2)"))
-    return d.select("doc_id", (F.sha2("text", 256) == pin).alias("original_passes"), (F.sha2(flipped, 256) == pin).alias(
-        "corrupted_passes"))
+    pins = d.select("doc_id", F.sha2("text", 256).alias("pin"))
+    flipped, repinned = F.col("doc_id") % 3 == 0, F.col("doc_id") % 7 == 0
+    changed = F.concat(F.when(F.substring("text", 1, 1) == "7", "8").otherwise("7"), F.expr("substring(text, 2)"))
+    shown = d.select("doc_id", flipped.alias("flipped"), repinned.alias("repinned"), F.sha2(F.when(flipped, changed).otherwise(F.col("text")), 256).alias("shown"))
+    nearby = pins.select((F.col("doc_id") - 1).alias("doc_id"), F.col("pin").alias("next_pin"))
+    j = shown.join(pins, "doc_id").join(nearby, "doc_id", "left")
+    pin = F.when(F.col("repinned"), F.coalesce("next_pin", "pin")).otherwise(F.col("pin"))
+    return j.select("doc_id", "flipped", "repinned", (F.col("shown") == pin).alias("passes"))
 
 
 @registered("path_safety", sql="""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/abs/' || page_id WHEN 1 THEN 'a/../b' WHEN 2 THEN '' WHEN 3 THEN 'a..b/c'

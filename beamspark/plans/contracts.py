@@ -245,7 +245,7 @@ SELECT event_id, f AS frequency_hz, round(avg(zr * zr + zi * zi), 9) AS czz, rou
 def cross_spectral_covariance(spark, sf):
     """Complex covariance of the frequency-shifted components over each whole record."""
     def step(z, n, e):
-        s = kernels.frequency_shift(np.vstack([z, n, e]), 20.0, np.array(FREQ))
+        s = np.array([kernels.frequency_shift(np.vstack([z, n, e]), 20.0, f) for f in FREQ])
         c = s @ s.conj().transpose(0, 2, 1) / s.shape[2]
         return [(f, m[0, 0].real, m[1, 1].real, m[2, 2].real, m[0, 1].real, m[0, 1].imag, m[0, 2].real, m[0, 2].imag)
                 for f, m in zip(FREQ, c)]

@@ -12,6 +12,7 @@ from beamspark.plans.grids import SAMPLES_SQL, traces, valid_mask
 from beamspark.plans.registry import big, registered, rnd, table
 
 SR = 20.0
+FDPA_SR = 4.0  # sixteen seconds a record, so that the registered bands fit in
 HEAVY_TASKS = 64  # tasks that the few heavy rows of a step are dealt over
 COMPONENT_SQL = """base AS (
   SELECT vec_id AS event_id, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1)::BIGINT AS ti
@@ -336,15 +337,15 @@ def filter_bank(spark, sf):
 
 
 FDPA_SQL = "WITH " + COMPONENT_SQL + """, fr AS (
-  SELECT k, 0.5::DOUBLE * pow(8.0::DOUBLE, k / 6.0::DOUBLE) AS f FROM range(7) r(k)), par AS (
-  SELECT k, f, round_even(f / 0.3125::DOUBLE, 0)::BIGINT AS shift, least(64, greatest(2, round_even(60.0::DOUBLE / f, 0)))::BIGINT AS win FROM fr), hop AS (
+  SELECT k, 0.2::DOUBLE * pow(4.0::DOUBLE, k / 12.0::DOUBLE) AS f FROM range(13) r(k)), par AS (
+  SELECT k, f, round_even(f / 0.0625::DOUBLE, 0)::BIGINT AS shift, least(64, greatest(2, round_even(12.0::DOUBLE / f, 0)))::BIGINT AS win FROM fr), hop AS (
   SELECT *, greatest(1, round_even(win * (1.0::DOUBLE - 0.9::DOUBLE), 0))::BIGINT AS hop FROM par), wins AS (
   SELECT DISTINCT k, win, unnest(list_append(range(0, 65 - win, hop), 64 - win)) AS st FROM hop), wave AS (
   SELECT m, cos(2 * pi() * m / 64) AS c, sin(2 * pi() * m / 64) AS s FROM range(64) w(m)), ft AS (
   SELECT event_id, j, sum(z * c) AS zr, -sum(z * s) AS zi, sum(n * c) AS nr, -sum(n * s) AS ni, sum(e * c) AS er, -sum(e * s) AS ei
   FROM zne CROSS JOIN range(64) q(j) JOIN wave ON m = (j * ti) % 64 GROUP BY 1, 2), gf AS (
   SELECT event_id, k, (j - shift + 64) % 64 AS i, exp(-2 * pow(pi() * (CASE WHEN (j - shift + 64) % 64 < 32 THEN (j - shift + 64) % 64
-    ELSE (j - shift + 64) % 64 - 64 END) * 0.3125::DOUBLE / f, 2)) / 64 AS g, zr, zi, nr, ni, er, ei FROM ft, par), sh AS (
+    ELSE (j - shift + 64) % 64 - 64 END) * 0.0625::DOUBLE / f, 2)) / 64 AS g, zr, zi, nr, ni, er, ei FROM ft, par), sh AS (
   SELECT event_id, k, t, sum(g * (zr * c - zi * s)) AS zr, sum(g * (zr * s + zi * c)) AS zi, sum(g * (nr * c - ni * s)) AS nr,
          sum(g * (nr * s + ni * c)) AS ni, sum(g * (er * c - ei * s)) AS er, sum(g * (er * s + ei * c)) AS ei
   FROM gf CROSS JOIN range(64) q(t) JOIN wave ON m = (i * t) % 64 GROUP BY 1, 2, 3), cv AS (
@@ -383,19 +384,17 @@ FROM cov JOIN sh USING (event_id, k, t)"""
 
 @registered("frequency_dependent_polarization", sql=FDPA_SQL)
 def frequency_dependent_polarization(spark, sf):
-    freqs = np.geomspace(0.5, 4.0, 7)
-
-    def step(z, n, e):
-        f = kernels.fdpa(np.vstack([z, n, e]), SR, freqs)
-        return [(k, f["dop"][k], f["azimuth"][k], f["inclination"][k], f["vrm"][k] - f["hrm"][k],
-                 np.where(f["dop"][k] >= 0.6, f["vertical"][k], 0.0)) for k in range(len(freqs))]
-
-    names = {"dop": 6, "azimuth_deg": 3, "inclination_deg": 4, "vrm_minus_hrm": 6, "masked_vertical": 6}
-    p = tr.map_arrays(components(spark, sf), ["event_id"], ["z", "n", "e"], "band bigint, " + ", ".join(f"{c} array<double>" for c in names), step,
-                      tasks=HEAVY_TASKS)
-    flat = p.select(big("event_id").alias("event_id"), "band", F.posexplode(F.arrays_zip(*names)).alias("ti", "c"))
-    flat = flat.select("event_id", "band", big("ti").alias("ti"), *(rnd(f"c.{c}", d).alias(c) for c, d in names.items()))
-    return flat.withColumn("azimuth_deg", F.col("azimuth_deg") % 360 + F.lit(0.0))
+    """The thirteen registered bands: band signals, windows of three cycles, means over the windows that cover a sample."""
+    bands = tr.band_signals(components(spark, sf).repartition(HEAVY_TASKS, "event_id"), ["event_id"], ["z", "n", "e"], FDPA_SR, np.geomspace(0.2, 0.8, 13))
+    means = tr.covered_means(tr.window_polarizations(bands, ["event_id"], FDPA_SR), ["event_id"])
+    n = F.size("re") / 3
+    vertical = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.hypot(F.get("re", i), F.get("im", i)))
+    level = bands.select("event_id", "band", F.posexplode(vertical).alias("ti", "v"))
+    p = means.join(level, ["event_id", "band", "ti"])
+    return p.select(
+        big("event_id").alias("event_id"), big("band").alias("band"), big("ti").alias("ti"), rnd("dop", 6).alias("dop"),
+        (rnd("azimuth_deg", 3) % 360 + F.lit(0.0)).alias("azimuth_deg"), rnd("inclination_deg", 4).alias("inclination_deg"),
+        rnd(F.col("vrm") - F.col("hrm"), 6).alias("vrm_minus_hrm"), rnd(F.when(F.col("dop") >= 0.6, F.col("v")).otherwise(0.0), 6).alias("masked_vertical"))
 
 
 @registered("lanczos_resample", sql="WITH " + SAMPLES_SQL + """, pos AS (

@@ -177,3 +177,25 @@ def test_window_starts_against_a_plain_walk():
                     want.append(at)
                     at += hop
                 assert got == min(win, n) and starts.tolist() == [*want, n - got]
+
+
+def test_polarization_in_steps_equals_one_record_at_once(spark):
+    from pyspark.sql import functions as F
+
+    from beamspark.operators import traces as tr
+
+    rng, freqs = np.random.default_rng(8), [0.3, 0.8]
+    rows = [(i, *(rng.normal(size=80).tolist() for _ in range(3))) for i in range(3)] + [(3, *[[0.0] * 80] * 3)]
+    df = spark.createDataFrame(rows, "event_id int, z array<double>, n array<double>, e array<double>").repartition(3)
+    bands = tr.band_signals(df, ["event_id"], ["z", "n", "e"], 4.0, freqs)
+    got = {(r.event_id, r.band, r.ti): r for r in tr.covered_means(tr.window_polarizations(bands, ["event_id"], 4.0), ["event_id"]).collect()}
+    assert len(got) == 4 * 2 * 80
+    for i, *zne in rows:
+        want = k.fdpa(np.vstack(zne), 4.0, np.array(freqs))
+        for b in range(2):
+            for t in range(80):
+                r = got[i, b, t]
+                assert r.dop == pytest.approx(want["dop"][b, t]) and r.vrm == pytest.approx(want["vrm"][b, t]) and r.hrm == pytest.approx(want["hrm"][b, t])
+                for mine, name in ((r.azimuth_deg, "azimuth"), (r.inclination_deg, "inclination")):
+                    assert (mine is None) == np.isnan(want[name][b, t]) and (mine is None or mine == pytest.approx(want[name][b, t]))
+    assert bands.select(F.size("re")).distinct().collect()[0][0] == 240
