@@ -5,7 +5,7 @@ import hashlib
 import public_tokenizers
 from sentencepiece import SentencePieceProcessor
 from test_contamination import brute as contaminated
-from test_setjoin import brute as components
+from test_near_duplicates import brute as components
 
 import corpus_pipeline
 from beamspark.llm import ordinal
