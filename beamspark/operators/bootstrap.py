@@ -128,15 +128,15 @@ class Block:
         near = batch.column("distance").to_numpy()
         sets = _by_row(batch.column("distances"), p.n_sets) if "distances" in names else None
         owner, member, jitter = self._members(batch, names, len(x))
+        if jitter is not None:
+            self._jittered(x, valid, owner, member, jitter, near, sets)
+            return
         parts = None
         for k in range(self.first // p.per_set, (self.last - 1) // p.per_set + 1):
             a, b = max(self.first, k * p.per_set), min(self.last, (k + 1) * p.per_set)
             mine = (member >= a - k * p.per_set) & (member < b - k * p.per_set)
             rows, at = owner[mine], member[mine] + k * p.per_set - self.first
             rolls = self.rolls(near if sets is None else sets[:, k])
-            if jitter is not None:
-                self._jittered(x, valid, rows, at, jitter[mine], rolls)
-                continue
             weights = np.zeros((b - a, len(x)))
             np.add.at(weights, (at - (a - self.first), rows), 1.0)
             if parts is None:
@@ -175,23 +175,35 @@ class Block:
             self.total[si, reals] += weights @ moved[0]
             self.count[si, reals] += np.rint(weights @ moved[1]).astype(np.int32)
 
-    def _jittered(self, x, valid, rows, at, jitter, rolls) -> None:
-        n = x.shape[1]
-        # Only the samples that some slowness moves into the kept range are interpolated.
-        least, most = rolls.min(axis=0), rolls.max(axis=0)
-        for row, real, shift in zip(rows, at, jitter, strict=True):
-            first, last = max(0, self.lo - most[row]), min(n, self.hi - least[row])
-            if first >= last:
+    def _jittered(self, x, valid, owner, member, jitter, near, sets) -> None:
+        """Each trace is interpolated once for a member, and added to all sets of the block that have the member."""
+        p, n, width = self.plan, x.shape[1], self.hi - self.lo
+        ks = np.arange(self.first // p.per_set, (self.last - 1) // p.per_set + 1)
+        rolls = np.stack([self.rolls(near if sets is None else sets[:, k]) for k in ks])  # set, slowness, trace
+        least, most = rolls.min(axis=(0, 1)), rolls.max(axis=(0, 1))
+        for row, m, shift in zip(owner, member, jitter, strict=True):
+            reals = ks * p.per_set + m - self.first
+            here = (reals >= 0) & (reals < self.last - self.first)
+            # Only the samples that some slowness moves into the kept range are interpolated.
+            start, stop = self.lo - most[row], self.hi - least[row]
+            first, last = max(0, start), min(n, stop)
+            if first >= last or not here.any():
                 continue
-            moved, ok = _lerped(x[row], valid[row], shift * self.plan.sr, first, last)
-            part, one = np.where(ok, stack.rooted(moved, self.plan.order), 0.0), ok.astype(np.int32)
-            for si in range(len(rolls)):
-                roll = rolls[si, row]
-                a, b = self._bounds(roll, n)
-                a, b = max(a, first + roll), min(b, last + roll)
-                if a < b:
-                    self.total[si, real, a - self.lo:b - self.lo] += part[a - roll - first:b - roll - first]
-                    self.count[si, real, a - self.lo:b - self.lo] += one[a - roll - first:b - roll - first]
+            moved, ok = _lerped(x[row], valid[row], shift * p.sr, first, last)
+            parts = (np.where(ok, stack.rooted(moved, p.order), 0.0), ok.astype(np.int32))
+            for into, part in zip((self.total, self.count), parts, strict=True):
+                if len(ks) == 1:
+                    for si, roll in enumerate(rolls[0, :, row]):
+                        a, b = self._bounds(roll, n)
+                        a, b = max(a, first + roll), min(b, last + roll)
+                        if a < b:
+                            into[si, reals[0], a - self.lo:b - self.lo] += part[a - roll - first:b - roll - first]
+                    continue
+                # All shifts of one trace are windows of it: one gather for every set and slowness.
+                padded = np.zeros(stop - start, dtype=part.dtype)
+                padded[first - start:last - start] = part
+                shifted = np.lib.stride_tricks.sliding_window_view(padded, width)[most[row] - rolls[here, :, row]]
+                into[:, reals[here]] += shifted.transpose(1, 0, 2)
 
     def power(self) -> np.ndarray:
         """Smoothed power of every cell, -1 where it has none; takes the place of the sums."""

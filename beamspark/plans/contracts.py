@@ -9,12 +9,12 @@ from beamspark.functions import kernels
 from beamspark.operators import audit, bootstrap, detect, grading, inputs, peaks, ranks, resample
 from beamspark.operators import traces as tr
 from beamspark.plans.grids import (
-    AXIS, BOX_PEAK_SQL, BOXES, POWER_S, POWER_SQL, PRE, SAMPLES_SQL, SR, WINDOWS, grid_cells, traces,
+    AXIS, AXIS_SQL, BOX_PEAK_SQL, BOXES, POWER_S, POWER_SQL, PRE, SAMPLES_SQL, SR, WINDOWS, grid_cells, traces,
 )
 from beamspark.plans.registry import big, registered, rnd, table
 from beamspark.plans.resampling import (
-    GRADE_SQL, N_REAL, OCC_OUT, OCC_SQL, SCRAMBLED_SQL, THRESHOLDS, TYPE1_SQL, TYPE3_SQL, _stats, scramble_score,
-    type1_traces, type3_traces, vesp_by,
+    GRADE_SQL, N_REAL, SCRAMBLED_SQL, THRESHOLDS, TYPE1_SQL, _stats, scramble_score,
+    type1_traces, type3_traces,
 )
 from beamspark.plans.traces import COMPONENT_SQL, components, long_out
 
@@ -65,16 +65,34 @@ def grades_with_peak_flags(spark, sf):
 
 
 N1_SCRAMBLES = 25
-N1_SQL = SCRAMBLED_SQL.replace("range(201)", "range(1, 26)")
-
-
-def _n1_sql(design: str) -> str:
-    """Occupancy of every scramble k: the SQL of one bootstrap with k beside lane."""
-    by_k = OCC_SQL.replace("SELECT lane, phase, max(power)", "SELECT lane, k, phase, max(power)").replace("pk AS (\n  SELECT lane, real", "pk AS (\n  SELECT lane, k, real")
-    by_k = by_k.replace("SELECT lane, phase, thr", "SELECT lane, k, phase, thr").replace("USING (lane, real, phase)", "USING (lane, k, real, phase)")
-    scrambled = N1_SQL + ", " + design + """, sc AS (
-  SELECT s.* REPLACE (given AS distance), k FROM smp s JOIN given USING (event_id))"""
-    return "WITH " + vesp_by("k, real", scrambled, "sc") + by_k + OCC_OUT.replace("SELECT lane::BIGINT AS lane,", "SELECT lane::BIGINT AS lane, k::BIGINT AS k,")
+# Sums over events are list products of the events' shifted roots with each realisation's members: 25 x 200 stacks a lane.
+N1_SQL = "WITH " + SAMPLES_SQL + ", " + AXIS_SQL + ", " + SCRAMBLED_SQL.replace("range(201)", "range(1, 26)") + ", " + TYPE1_SQL[:TYPE1_SQL.index(", smp AS")] + """, w(phase, lo, hi) AS (VALUES ('PKiKP', 10, 40), ('PKKP', 36, 60)),
+roots AS (
+  SELECT event_id, lane, list(CASE WHEN valid THEN sign(x) * pow(abs(x), 0.25::DOUBLE) ELSE 0 END ORDER BY ti) AS r, list(valid::INT::DOUBLE ORDER BY ti) AS v
+  FROM samples GROUP BY ALL),
+moved AS (
+  SELECT lane, k, si, t, list(CASE WHEN t - roll BETWEEN 0 AND 63 THEN r[t - roll + 1] ELSE 0 END ORDER BY event_id) AS r,
+         list(CASE WHEN t - roll BETWEEN 0 AND 63 THEN v[t - roll + 1] ELSE 0 END ORDER BY event_id) AS v
+  FROM (SELECT roots.*, k, si, round_even(-s * (given - 29.0::DOUBLE), 0)::BIGINT AS roll FROM roots JOIN given USING (event_id), axis), range(64) q(t) GROUP BY ALL),
+rows_of AS (SELECT lane, k, si, list(r ORDER BY t) AS r, list(v ORDER BY t) AS v FROM moved GROUP BY ALL),
+chosen AS (
+  SELECT lane, real, list((d.event_id IS NOT NULL)::INT::DOUBLE ORDER BY e.event_id) AS m
+  FROM (SELECT event_id, lane, real FROM roots, reals) e LEFT JOIN design d USING (event_id, real) GROUP BY ALL),
+sums AS (
+  SELECT lane, k, si, real, list_transform(r, lambda x: list_inner_product(x, m)) AS total, list_transform(v, lambda x: list_inner_product(x, m)) AS n
+  FROM rows_of JOIN chosen USING (lane)),
+squares AS (
+  SELECT lane, k, si, real, list_transform(total, lambda x, i: CASE WHEN n[i] >= 2 THEN pow(x / n[i], 8) ELSE 0 END) AS b,
+         list_transform(n, lambda x: CASE WHEN x >= 2 THEN 1.0::DOUBLE ELSE 0 END) AS ok FROM sums),
+powers AS (
+  SELECT lane, k, si, real, list_transform(b, lambda x, i: CASE WHEN ok[i] > 0 THEN
+    (x + 0.5::DOUBLE * (CASE WHEN i > 1 THEN b[i - 1] ELSE 0 END + coalesce(b[i + 1], 0)))
+    / (1 + 0.5::DOUBLE * (CASE WHEN i > 1 THEN ok[i - 1] ELSE 0 END + coalesce(ok[i + 1], 0))) END) AS p FROM squares),
+cut AS (SELECT lane, k, si, real, phase, lo, p[lo + 1:hi + 1] AS p FROM powers, w),
+tops AS (SELECT lane, k, real, phase, max(list_max(p)) AS peak FROM cut GROUP BY ALL)
+SELECT lane::BIGINT AS lane, k::BIGINT AS k, phase, thr::BIGINT AS threshold_pct, si::BIGINT AS si, ti, count(*) / 200.0::DOUBLE AS frac FROM (
+  SELECT lane, k, phase, thr, si, unnest(list_filter(list_transform(p, lambda x, i: CASE WHEN x >= thr / 100.0::DOUBLE * (1 - 1e-12::DOUBLE) * peak THEN lo + i - 1 END),
+    lambda x: x IS NOT NULL)) AS ti FROM cut JOIN tops USING (lane, k, real, phase), (SELECT unnest([50, 70, 85]) AS thr)) GROUP BY ALL"""
 
 
 def _n1(spark, sf, t):
@@ -87,12 +105,12 @@ def _n1(spark, sf, t):
                       big("si").alias("si"), big("ti").alias("ti"), "frac")
 
 
-@registered("scrambled_bootstrap_occupancy", sql=_n1_sql(TYPE1_SQL))
+@registered("scrambled_bootstrap_occupancy", sql=N1_SQL)
 def scrambled_bootstrap_occupancy(spark, sf):
     return _n1(spark, sf, type1_traces(spark, sf))
 
 
-@registered("scrambled_jitter_occupancy", sql=_n1_sql(TYPE3_SQL.replace("SELECT p.lane,", "SELECT p.event_id, p.lane,")))
+@registered("scrambled_jitter_occupancy")  # 1.8 billion shifted samples in SQL: tested on a small table
 def scrambled_jitter_occupancy(spark, sf):
     return _n1(spark, sf, type3_traces(spark, sf))
 

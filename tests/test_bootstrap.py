@@ -115,6 +115,28 @@ def test_sets_have_their_own_distances(spark):
             compared(shown, design, want)
 
 
+def test_jitter_in_every_set(spark):
+    """The nested null: each set's distances with each member's jitter, against separate stacks."""
+    rows = random_rows(5)
+    rng = np.random.default_rng(6)
+    shifts = rng.uniform(-4, 4, (5, 4)).round(2).tolist()
+    turned = [[rows[(i + k) % 5][0] for k in range(3)] for i in range(5)]
+    js = spark.createDataFrame([(i, shifts[i], turned[i]) for i in range(5)], "event_id int, jitter_s array<double>, distances array<double>")
+    t = frame(spark, rows).join(js, "event_id")
+    for block_bytes in (1 << 20, 5 * 60 * 12 * 5, 1):
+        design = plan(n_sets=3, block_bytes=block_bytes)
+        found = bootstrap.resampled(t, ["lane"], design, peaks=True)
+        for k in range(3):
+            grids = []
+            for r in range(4):
+                moved = []
+                for i, (_, x, m) in enumerate(rows):
+                    y, ok = stack._lerp_shift(np.asarray(x)[None, :], np.asarray(m, bool)[None, :], np.array([shifts[i][r] * 2.0]))
+                    moved.append((turned[i][k], y[0], ok[0]))
+                grids.append(grid_of(moved))
+            compared(found.where(F.col("set") == k).withColumn("set", F.lit(0)), design, expected(grids))
+
+
 def test_shuffled_bytes_do_not_grow_with_tasks(spark):
     """Partial blocks depend on groups of traces: the same number of rows from 2 tasks and from 40."""
     rows = random_rows(24)
