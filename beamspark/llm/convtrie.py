@@ -16,7 +16,8 @@ random, so that chains nest so deep and no deeper, however long conversations ar
 
 Hot keys: turns are ranked over range slices of (conversation, turn), so that one conversation may hold any share of the
 rows. Nodes with more than a thousandth of all nodes as children (a thousand at most) meet their children by broadcast,
-the others by shuffle. Ends of equal conversations are joined in pieces of 65 536 numbers, and hashed as a stream.
+the others by shuffle. Ends of equal conversations are joined in pieces of 65 536 numbers, and one task hashes a node's
+pieces as a stream, since a digest has to be taken in order.
 
 Defined cases: null role or text is empty; null turns come first; equal turn numbers follow each other by digest, and
 rows repeated whole all stay. Rows without conv_id belong to no conversation. An empty table has no conversation, hence

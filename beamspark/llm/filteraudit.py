@@ -10,10 +10,11 @@ Repeated rows are added up before every shuffle. The smallest doc_id of a text i
 back by (digest, doc_id), so that a text with a third of all rows is not one key; labels come by (doc_id, salt), so that
 one doc_id with many texts is not one either. What reaches the contraction is at most 32 rows a part.
 
-Defined cases: null texts are empty; an empty text fails A alone (and E where it is repeated). A null lang is the part
-"" together with empty ones. A null doc_id is not smaller than any other and has no smaller one, and has no labels. Rows that repeat one doc_id and text do not fail E because of each other. Several label
-rows of one doc_id count as one that holds each mark any of them holds. Null labels are no marks. An empty table gives no
-rows. Texts are used whole; extra columns are ignored.
+Defined cases: null texts are empty; an empty text fails A alone (and E where it is repeated). A null lang is the part ""
+together with empty ones. A null doc_id is not smaller than any other and has no smaller one, and has no labels. Rows
+that repeat one doc_id and text do not fail E because of each other. Several label rows of one doc_id count as one that
+holds each mark any of them holds. Null labels are no marks. An empty table gives no rows. Texts are used whole; extra
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -3,15 +3,16 @@
 Documents are linked when their texts are equal. Every linked document starts with a label dealt like cards, so that the
 shards are even from the first; then, round by round, documents move to the shard that most of their neighbours are in,
 as many as quotas allow: pairs and triples of shards exchange equal numbers, and a shard with room takes some more. Which
-ones move is decided by how much is gained, then by hash. Where the shard that most are in is full, they meet in another. Documents of one text and one label are alike, so that they are
-one row with a count, whatever their number; a row may move in part. Documents without neighbours cut nothing wherever they are: they
-fill the shards up at the end.
+ones move is decided by how much is gained, then by hash. Where the shard that most are in is full, they meet in
+another. Documents of one text and one label are alike, so that they are one row with a count, whatever their number; a
+row may move in part. Documents without neighbours cut nothing wherever they are: they fill the shards up at the end.
 
 The law is ``rows``: counts of shards differ by one at most. It holds before, between and after the rounds, as no shard
 ever takes more than its share. All moves of one text in one round go to one shard, and either that shard has at least as
-many of them or they go whole; so every move cuts fewer links (pairs of equal texts in different shards), and the rounds end
-by themselves (``ROUNDS`` is a guard: stopping early costs links, never evenness). A text with more documents than a shard may hold fills shards one by one. What
-no exchange of two or three shards and no room can mend stays cut: a local optimum.
+many of them or they go whole; so every move cuts fewer links (pairs of equal texts in different shards), and the rounds
+end by themselves (``ROUNDS`` is a guard: stopping early costs links, never evenness). A text with more documents than a
+shard may hold fills shards one by one. What no exchange of two or three shards and no room can mend stays cut: a local
+optimum.
 
 Everything is DataFrame functions; 8 x 8 counts a round reach the driver. Exact ranks and running sums are taken in two
 levels: sums of slices by hash, then inside each slice. The texts of over a thousandth of all documents, a thousand
