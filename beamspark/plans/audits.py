@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from beamspark import dims
 from beamspark.functions import text
-from beamspark.operators import audit
+from beamspark.operators import audit, report
 from beamspark.plans.registry import big, registered, rnd, table
 
 PATH_SQL = "source || '/' || lang || '/' || doc_id % 700"
@@ -482,3 +482,50 @@ def endpoint_names(spark, sf):
     n = table(spark, sf, "nation").join(table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
     return n.join(s, "n_nationkey", "left").select("n_name", F.col("r_name").alias("endpoint"),
                                                    F.coalesce("k", F.lit(0).cast("bigint")).alias("suppliers"))
+
+
+REPORT_SQL = """frag AS (
+  SELECT 'inventory' AS "check", count(*) AS items, count(*) FILTER (NOT coalesce(json_extract_string(props, '$.k') IS NOT NULL, false)) AS failures,
+         min(CASE WHEN json_extract_string(props, '$.k') IS NULL THEN event_id::VARCHAR END) AS first_failing FROM events
+  UNION ALL SELECT 'benchmark', count(*), count(*) FILTER (NOT coalesce(length(text) > 0, false)), min(CASE WHEN NOT coalesce(length(text) > 0, false) THEN item_id::VARCHAR END) FROM benchmark
+  UNION ALL SELECT 'bootstrap_fidelity', count(*), count(*) FILTER (len(embedding) <> 64), min(CASE WHEN len(embedding) <> 64 THEN vec_id::VARCHAR END) FROM embeddings
+  UNION ALL SELECT 'type2_distance_stratified', count(*), count(*) FILTER (NOT (inside >= 16 AND n - inside >= 16)), min(CASE WHEN NOT (inside >= 16 AND n - inside >= 16) THEN label::VARCHAR END)
+    FROM (SELECT label, count(*) AS n, count(*) FILTER (27.5 + (vec_id % 23) * 0.5 BETWEEN 29 AND 32) AS inside FROM embeddings GROUP BY 1)
+  UNION ALL SELECT 'type3_alignment_jitter', count(*), count(*) FILTER (NOT l_discount <= 0.10), min(CASE WHEN NOT l_discount <= 0.10 THEN l_orderkey::VARCHAR END) FROM lineitem
+  UNION ALL SELECT 'deglitch', count(*), count(*) FILTER (NOT coalesce(n_chars = length(text), false)), min(CASE WHEN NOT coalesce(n_chars = length(text), false) THEN doc_id::VARCHAR END) FROM documents
+  UNION ALL SELECT 'model', count(*), count(*) FILTER (NOT p_size BETWEEN 1 AND 50), min(CASE WHEN NOT p_size BETWEEN 1 AND 50 THEN p_partkey::VARCHAR END) FROM part
+  UNION ALL SELECT 'preprocessing', count(*), count(*) FILTER (o_orderstatus = 'P'), min(CASE WHEN o_orderstatus = 'P' THEN o_orderkey::VARCHAR END) FROM orders
+  UNION ALL SELECT 'preprocessing', count(*), count(*) FILTER (NOT s_acctbal > 0), min(CASE WHEN NOT s_acctbal > 0 THEN s_suppkey::VARCHAR END) FROM supplier),
+names AS (SELECT unnest(['inventory', 'benchmark', 'bootstrap_fidelity', 'type2_distance_stratified', 'type3_alignment_jitter', 'deglitch', 'branch_registry', 'model',
+  'preprocessing', 'alignment']) AS "check"), report AS (
+  SELECT "check", coalesce(sum(items), 0)::BIGINT AS items, coalesce(sum(failures), 0)::BIGINT AS failures, min(first_failing) AS first_failing
+  FROM names LEFT JOIN frag USING ("check") GROUP BY 1), stated AS (
+  SELECT *, CASE WHEN failures > 0 THEN 'failed' WHEN items > 0 THEN 'passed' WHEN "check" = 'branch_registry' THEN 'not_requested' ELSE 'missing' END AS status FROM report)"""
+
+
+def _report(spark, sf):
+    """Nine fragments over nine tables: two of one check, one optional check not asked for, and one that is missing."""
+    col = F.col
+    lanes = table(spark, sf, "embeddings").groupBy("label").agg(
+        F.count("*").alias("n"), F.count_if((F.lit(27.5) + F.pmod("vec_id", F.lit(23)) * 0.5).between(29.0, 32.0)).alias("inside"))
+    rows = [
+        ("events", "inventory", F.get_json_object("props", "$.k").isNotNull(), "event_id"), ("benchmark", "benchmark", F.length("text") > 0, "item_id"),
+        ("embeddings", "bootstrap_fidelity", F.size("embedding") == 64, "vec_id"), ("lineitem", "type3_alignment_jitter", col("l_discount") <= 0.10, "l_orderkey"),
+        ("documents", "deglitch", col("n_chars") == F.length("text"), "doc_id"), ("part", "model", col("p_size").between(1, 50), "p_partkey"),
+        ("orders", "preprocessing", col("o_orderstatus") != "P", "o_orderkey"), ("supplier", "preprocessing", col("s_acctbal") > 0, "s_suppkey")]
+    parts = [report.fragment(table(spark, sf, t), check, ok, col(item)) for t, check, ok, item in rows]
+    parts.append(report.fragment(lanes, "type2_distance_stratified", (col("inside") >= 16) & (col("n") - col("inside") >= 16), col("label")))
+    return report.merged(parts)
+
+
+@registered("validation_report", sql="WITH " + REPORT_SQL + """ SELECT * FROM stated""")
+def validation_report(spark, sf):
+    return _report(spark, sf)
+
+
+@registered("validation_report_verdict", sql="WITH " + REPORT_SQL + """, bad AS (
+  SELECT *, "check" || ': ' || CASE status WHEN 'missing' THEN 'missing check' ELSE failures || '/' || items || ' failed, first ' || coalesce(first_failing, 'unknown') END AS named
+  FROM stated WHERE status IN ('failed', 'missing'))
+SELECT (SELECT count(*) FROM stated) AS checks, count(*) AS failed, coalesce(string_agg(named, '; ' ORDER BY named), '') AS failures, count(*) = 0 AS paper_ready FROM bad""")
+def validation_report_verdict(spark, sf):
+    return report.verdict(_report(spark, sf))
