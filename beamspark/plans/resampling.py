@@ -53,12 +53,12 @@ TYPE1_SQL = """reals AS (SELECT unnest(range(200)) AS real), design AS (
     event_id) AS rn, count(*) OVER (PARTITION BY lane, real) AS n FROM (SELECT DISTINCT event_id, lane FROM samples), reals)
   WHERE n >= 2 AND rn <= greatest(2, floor(2 * n / 3))), smp AS (SELECT s.*, real FROM samples s JOIN design USING (event_id) WHERE valid)"""
 TYPE2_SQL = """reals AS (SELECT unnest(range(200)) AS real), ids AS (
-  SELECT DISTINCT event_id, lane, 13.75 + distance / 2 BETWEEN 29.0 AND 32.0 AS inside FROM samples), design AS (
+  SELECT DISTINCT event_id, lane, 11.0::DOUBLE + 0.6::DOUBLE * distance BETWEEN 29.0 AND 32.0 AS inside FROM samples), design AS (
   SELECT event_id, real FROM (
     SELECT event_id, real, inside, greatest(2, floor(2 * count(*) OVER (PARTITION BY lane, real) / 3))::BIGINT AS take,
            row_number() OVER (PARTITION BY lane, real, inside ORDER BY """ + SCORE_SQL + """, event_id) AS rn
     FROM ids, reals) WHERE rn <= CASE WHEN inside THEN take // 2 ELSE take - take // 2 END),
-smp AS (SELECT s.* REPLACE (13.75::DOUBLE + distance / 2 AS distance), real FROM samples s JOIN design USING (event_id) WHERE valid)"""
+smp AS (SELECT s.* REPLACE (11.0::DOUBLE + 0.6::DOUBLE * distance AS distance), real FROM samples s JOIN design USING (event_id) WHERE valid)"""
 TYPE3_SQL = """smp AS (SELECT p.lane, p.distance, p.real, p.ti, a.x + (coalesce(b.x, a.x) - a.x) * f AS x FROM (
   SELECT *, floor(pos)::BIGINT AS i0, pos - floor(pos) AS f FROM (
     SELECT event_id, lane, distance, ti, real, ti - ((event_id * 31 + real * 17) % 41 - 20) * 0.25::DOUBLE AS pos
@@ -99,8 +99,8 @@ def type1_traces(spark, sf):
 
 
 def type2_traces(spark, sf):
-    # The test distances at half their spread: enough of them lie inside the registered cluster.
-    t = traces(spark, sf).withColumn("distance", F.lit(13.75) + F.col("distance") / 2)
+    # The test distances at six tenths of their spread: enough of them lie inside the registered cluster and outside.
+    t = traces(spark, sf).withColumn("distance", F.lit(11.0) + F.lit(0.6) * F.col("distance"))
     inside = F.col("distance").between(dims.CLUSTER_MIN_DEG, dims.CLUSTER_MAX_DEG)
     return drawn(t, lambda t: resample.with_subset_members(t, "lane", N_REAL, score, SPAN, inside), "members")
 
