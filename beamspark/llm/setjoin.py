@@ -6,9 +6,12 @@ when 100 * intersection >= PERCENT * union. Steps:
 1. Documents with equal sets are one class, known by a 128-bit fingerprint.
 2. Small sets (size up to the boundary) enumerate the subsets of the size that they must share with a partner. Large
    sets, and the small ones that could link with them, go into inverted lists. A list belongs to a part of the set, not
-   to a single n-gram: linked sets differ in at most n (100 - PERCENT) / PERCENT elements, so if the hash range is cut
-   into more parts than that, one part is the same in both. A part holds about nine n-grams (at 80 percent four), so
-   that common n-grams make no long lists. The boundary is the size up to which enumerating costs less than scanning.
+   to a single n-gram: linked sets differ in at most d = 2 n (100 - PERCENT) / (100 + PERCENT) elements. The hash range
+   is cut into d + 1 parts and half as many again, so that more parts than the spare ones are the same in both, and
+   each set lists the d + 1 parts of the most elements (ties by hash). The order of parts follows from what they hold,
+   so the first of those that both have in common is listed by both. Empty parts and parts of one common n-gram, which
+   unlike documents share by chance, come last and are left out. The boundary is the size up to which enumerating costs
+   less than scanning.
 3. The members of each list are joined to the least one: possible links. A task first joins the members it holds
    itself, so that a list that a third of all documents share brings one entry per task.
 4. Components of possible links hold all real ones. Their sets are read once more and compared: sizes and bit
@@ -18,7 +21,7 @@ when 100 * intersection >= PERCENT * union. Steps:
 
 Bounds: packed lists of about ``SHARD_ENTRIES`` entries, a bit table of fixed size, blocks of BLOCK members. A component
 of m classes makes m * m / BLOCK rows for its blocks, so a group of very many *different* texts costs its square;
-copies cost nothing, being one class. Nulls and texts without words have an empty set, link with nothing and are their
+copies cost nothing, being one class (of rows that repeat an id and a text a task reads one again). Nulls and texts without words have an empty set, link with nothing and are their
 own component. Repeated rows and ids are kept; equal texts are one vertex whatever their ids. A null id gets a null
 component unless it is linked with others. Extra columns are ignored; an empty table gives no rows.
 """
@@ -46,6 +49,7 @@ TABLE_BITS = 24  # bit table of the documents that are read once more
 SIGNATURE = 512  # bits
 SMALL = 24  # largest set that may enumerate subsets
 BLOCK = 512
+SPARE = 0.5  # parts beyond those needed, as a share of the elements that linked sets may not share
 
 _U = np.uint64
 
@@ -138,15 +142,15 @@ def levels(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def parts_of(level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Parts that the hash range is cut into for pairs whose larger set is in the level, and how many may be empty."""
+    """Parts that the hash range is cut into for pairs whose larger set is in the level, and how many are spare."""
     largest = np.floor((100 / percent) ** (level + 1.0) + 1e-6).astype(np.int64)
-    apart = largest * (100 - percent) // percent  # most elements that linked sets don't share
-    spare = np.where(apart > 0, 1 + apart // 100, 0)
+    apart = 2 * largest * (100 - percent) // (100 + percent)  # most elements that linked sets don't share
+    spare = np.ceil(SPARE * apart).astype(np.int64)
     return apart + 1 + spare, spare
 
 
 def part_keys(h: np.ndarray, offsets: np.ndarray, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the parts of the given sets, for the level of each as the larger set and for the next as the smaller."""
+    """Keys of the listed parts of the given sets, for the level of each as the larger set and for the next as the smaller."""
     n = np.diff(offsets)[rows]
     keys, owners = [], []
     # Elements of these sets end to end; they are sorted, and so are their parts.
@@ -158,18 +162,22 @@ def part_keys(h: np.ndarray, offsets: np.ndarray, rows: np.ndarray, percent: int
         for up in (0, 1):
             level = levels(n, percent) + up
             parts, spare = parts_of(level, percent)
+            listed = parts - spare
             part = (((e >> _U(32)) * parts[own].astype(_U)) >> _U(32)).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (own[1:] != own[:-1])])) if len(e) else np.zeros(0, np.int64)
             last = np.append(first[1:], len(e))
             who, which = own[first], part[first]
-            place = mix((level[who] << 40 | which).astype(_U))
-            keys.append(mix((total[last] - total[first]) ^ place))
-            owners.append(who)
-            # Sets with more empty parts than can be spared may agree in empty parts alone: these get keys too.
+            key = mix((total[last] - total[first]) ^ mix((level[who] << 40 | which).astype(_U)))
             used = np.bincount(who, minlength=len(rows))
-            for r in np.flatnonzero(parts - used > spare):
-                empty = np.setdiff1d(np.arange(parts[r]), which[who == r])
-                keys.append(mix(mix((level[r] << 40 | empty).astype(_U)) + _U(1)))
+            start = np.cumsum(used) - used
+            order = np.lexsort((key, first - last, who))  # most elements first
+            kept = order[np.arange(len(who)) - start[who] < listed[who]]
+            keys.append(key[kept])
+            owners.append(who[kept])
+            for r in np.flatnonzero(used < listed):  # empty parts come last, in the order of their keys
+                empty = np.setdiff1d(np.arange(parts[r]), which[start[r]:start[r] + used[r]])
+                empty = np.sort(mix(mix((level[r] << 40 | empty).astype(_U)) + _U(1)))[:listed[r] - used[r]]
+                keys.append(empty)
                 owners.append(np.full(len(empty), r))
     return np.concatenate(keys), rows[np.concatenate(owners)]
 
@@ -197,8 +205,8 @@ def boundary(classes: DataFrame, percent: int) -> int:
     best = 0
     sets = {r["n"]: r["count"] for r in rows}
     for n in range(1, SMALL + 1):
-        parts = parts_of(levels(np.array([n]), percent) + np.array([0, 1]), percent)[0].sum()
-        if sets.get(n, 0) * subsets(n, percent) > sets.get(n, 0) * (int(parts) + n):
+        parts, spare = parts_of(levels(np.array([n]), percent) + np.array([0, 1]), percent)
+        if sets.get(n, 0) * subsets(n, percent) > sets.get(n, 0) * (int((parts - spare).sum()) + n):
             break
         best = n
     return best
@@ -273,7 +281,7 @@ def in_blocks(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
     rows = rows.withColumns({"_blocks": blocks, "_own": own})
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     rows = rows.withColumns({"b1": F.least("_own", "_other"), "b2": F.greatest("_own", "_other")}).drop("_blocks", "_other", size)
-    return rows.repartition(key, "b1", "b2").sortWithinPartitions(key, "b1", "b2")
+    return rows.repartition(key, "b1", "b2").sortWithinPartitions(key, "b1", "b2", "cid")
 
 
 def by_group(keys: list[str], work: Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray]]]) -> Callable:
@@ -363,6 +371,7 @@ def verified_links(members: DataFrame, percent: int) -> DataFrame:
     keys = ["group", "b1", "b2"]
 
     def work(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        t = t.take(_bounds(t, [*keys, "cid"])[:-1])  # a class that several tasks read stands once
         cid, n, bits, own, across = _columns(t)
         lists = t.column("elements").combine_chunks()
         ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(_U)  # sorted as unsigned
@@ -398,6 +407,7 @@ def elements_of(docs: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
+        seen: set[tuple[int, int, int]] = set()
         for b in batches:
             at, ids = 0, b.column("id_hash").to_numpy()
             for h, offsets in gram_sets(b.column("text"), gram):
@@ -405,6 +415,12 @@ def elements_of(docs: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
                 n = len(f1)
                 slot = ((f1 ^ ids[at:at + n]).view(_U) >> _U(64 - TABLE_BITS)).astype(np.int64)
                 keep = np.flatnonzero((table[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
+                once = []
+                for i, name in zip(keep, zip(ids[at:at + n][keep].tolist(), f1[keep].tolist(), f2[keep].tolist(), strict=True), strict=True):
+                    if name not in seen:
+                        seen.add(name)
+                        once.append(i)
+                keep = np.array(once, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(h)))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("rep").slice(at, n).take(pa.array(keep)), pa.array(f1[keep]), pa.array(f2[keep]), lists.take(pa.array(keep))],

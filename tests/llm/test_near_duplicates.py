@@ -95,3 +95,40 @@ def test_parts_and_subset_sizes_at_80():
             assert parts - spare > n + m - 2 * shared
             if n <= setjoin.SMALL and not n == m == shared:
                 assert shared in setjoin.subset_sizes(n, 80) and shared in setjoin.subset_sizes(m, 80)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_list_a_part_in_common(percent):
+    """Sets at the limit, either way round: one listed part is the same, though the emptiest parts are left out."""
+    rnd = np.random.default_rng(percent)
+    for m in (3, 5, 9, 10, 20, 33, 64, 150, 400):
+        for n in {m, m - 1, max(1, -(-percent * m // 100))}:
+            for _ in range(20):
+                shared = int(setjoin.need(np.int64(n), np.int64(m), percent))
+                if shared > min(n, m):
+                    continue
+                e = rnd.integers(0, 2 ** 64, n + m - shared, dtype=np.uint64)
+                sets = [np.sort(e[:n]), np.sort(np.concatenate([e[:shared], e[n:]]))]
+                keys, owners = setjoin.part_keys(np.concatenate(sets), np.array([0, n, n + m]), np.array([0, 1]), percent)
+                assert set(keys[owners == 0]) & set(keys[owners == 1]), (n, m)
+
+
+def test_unlike_sets_with_empty_parts_share_no_list():
+    """A part that is empty in very many sets isn't listed by those that have enough others."""
+    rnd = np.random.default_rng(5)
+    n = 200
+    sets = np.sort(rnd.integers(0, 2 ** 64, (300, n), dtype=np.uint64), axis=1)
+    keys, owners = setjoin.part_keys(sets.ravel(), np.arange(301) * n, np.arange(300), 80)
+    assert len(set(keys.tolist())) == len(keys)
+
+
+def test_rows_that_repeat_a_class_come_once(spark):
+    """3 000 rows of one null id and text bring one row a task to the comparison, and keep their links."""
+    near = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join(near))] * 3000 + [(1, " ".join(near + ["x"])), (2, " ".join(near + ["y"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = setjoin.signatures(df, 5).groupBy("f1", "f2", "n").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "rep")
+    read = setjoin.elements_of(df.repartition(4), wanted, 5).collect()
+    assert 3 <= len(read) <= 6
+    got = setjoin.jaccard_components(df, gram=5, percent=80).groupBy("component_id").count().collect()
+    assert [(r["component_id"], r["count"]) for r in got] == [(1, 3002)]
