@@ -24,3 +24,9 @@ def test_query(spark, sf_dir, duck, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_samples_of_all_bands_are_never_broadcast(spark, sf_dir):
+    """One row per event, band and sample: a broadcast of them gathered the whole table in the driver."""
+    plan = QUERIES["frequency_dependent_polarization"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
