@@ -141,9 +141,10 @@ def decoy_controls(spark, sf):
 SELECT bp.lane::BIGINT AS lane, bp.phase, bp.t AS time_s, round(bp.power, 9) AS power, lm.is_max AS is_local_max FROM bp
 JOIN lm ON lm.lane = bp.lane AND lm.si = bp.si AND lm.ti = bp.ti""")
 def box_peak_local_max(spark, sf):
-    c = grid_cells(spark, sf).withColumn("power", F.round("power", 12))
+    # Only the comparison of neighbours is rounded: stacks of many traces are small, and rounded powers would tie in a box.
+    c = grid_cells(spark, sf)
     p = peaks.box_peaks(c, ["lane"], BOXES).where("status = 'ok'")
-    m = peaks.local_maxima(c, ["lane"]).select("lane", F.col("si").alias("slow_idx"), F.col("ti").alias("time_idx"), "is_local_max")
+    m = peaks.local_maxima(c.withColumn("power", F.round("power", 12)), ["lane"]).select("lane", F.col("si").alias("slow_idx"), F.col("ti").alias("time_idx"), "is_local_max")
     return p.join(m, ["lane", "slow_idx", "time_idx"]).select(
         big("lane").alias("lane"), "phase", "time_s", rnd("power", 9).alias("power"), "is_local_max")
 

@@ -30,3 +30,17 @@ def test_samples_of_all_bands_are_never_broadcast(spark, sf_dir):
     """One row per event, band and sample: a broadcast of them gathered the whole table in the driver."""
     plan = QUERIES["frequency_dependent_polarization"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_box_peaks_of_small_powers(spark, sf_dir, tmp_path):
+    """Powers near 1e-12 still have one largest cell in a box: only neighbours are compared after rounding."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * REPLACE (list_transform(embedding, lambda v: v / 1000)::FLOAT[] AS embedding) FROM '{sf_dir}/embeddings.parquet'")
+    con.execute(f"COPY embeddings TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    df = QUERIES["box_peak_local_max"](spark, str(tmp_path))
+    got = pd.DataFrame([r.asDict() for r in df.collect()], columns=df.columns)
+    cur = con.execute(ORACLES["box_peak_local_max"])
+    want = pd.DataFrame(cur.fetchall(), columns=[d[0] for d in cur.description])
+    pd.testing.assert_frame_equal(normal(got[list(want.columns)]), normal(want))
