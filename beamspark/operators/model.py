@@ -140,16 +140,21 @@ def rescale_radius(layers: DataFrame, model: str, core_radius: Column, new_radiu
 
 
 def rank_picks(models: DataFrame, keys: Sequence[str], value: str, model: str, percents: Sequence[float]) -> DataFrame:
-    """The models at given percent ranks of ``value``; ranks come from bucketed counts, not one sorted group."""
+    """The models at given percent ranks of ``value``, models of one value in order of their id; ranks come from bucketed
+    counts, not one sorted group."""
     c = ranks.cumulative(models, keys, value)
     n = c.groupBy(*keys).agg(F.max("cum").alias("n"))
     want = F.array(*[
         F.struct(F.lit(float(p)).alias("percent"), F.rint((F.col("n") - 1) * F.lit(p / 100.0)).cast("bigint").alias("pos"))
         for p in percents])
-    ids = models.groupBy(*keys, value).agg(F.min(model).alias(model))
     hits = c.join(n, list(keys)).withColumn("w0", F.col("cum") - F.col("w")).withColumn(
         "p", F.explode(F.filter(want, lambda q: (q["pos"] >= F.col("w0")) & (q["pos"] < F.col("cum")))))
-    return hits.join(ids, [*keys, value]).select(*keys, F.col("p.percent").alias("percent"), model, value)
+    hits = hits.select(*keys, value, F.col("p.percent").alias("percent"), (F.col("p.pos") - F.col("w0")).alias("skip"))
+    # Of the models that share a picked value, the one as far behind the first as the rank is.
+    tied = models.join(hits.select(*keys, value).distinct(), [*keys, value], "left_semi")
+    order = ranks.cumulative(tied, [*keys, value], model)
+    at = (F.col("skip") >= F.col("cum") - F.col("w")) & (F.col("skip") < F.col("cum"))
+    return hits.join(order, [*keys, value]).where(at).select(*keys, "percent", model, value)
 
 
 def best_radius(misfit: DataFrame, keys: Sequence[str], radius: str, value: str) -> DataFrame:
