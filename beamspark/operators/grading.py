@@ -17,6 +17,28 @@ DECOY_SEPARATION = 100.0
 DECOY_STEP = 75.0
 
 
+EXACT_DIGITS = 6
+
+
+def _units(value: str) -> Column:
+    """A value of at most ``EXACT_DIGITS`` decimals as a whole number; more decimals are rounded, NaN is refused."""
+    return F.round(F.col(value) * float(10**EXACT_DIGITS)).cast("bigint")
+
+
+def exact_mean(value: str) -> Column:
+    """Mean of numbers with few decimals from their exact sum, so that the order of rows does not show."""
+    return F.sum(_units(value)).cast("double") / (F.count(value) * F.lit(float(10**EXACT_DIGITS)))
+
+
+def exact_stddev_pop(value: str) -> Column:
+    """Population standard deviation of numbers with few decimals from exact sums of values and squares."""
+    n, x = F.count(value), _units(value)
+    total = F.sum(x).cast("decimal(18,0)")
+    squares = F.sum(x.cast("decimal(13,0)") * x.cast("decimal(13,0)")).cast("decimal(27,0)")
+    spread = (n.cast("decimal(10,0)") * squares - total * total).cast("double")
+    return F.sqrt(spread) / (n * F.lit(float(10**EXACT_DIGITS)))
+
+
 def passes(limits: dict[str, float]) -> Column:
     """Location, tightness and occupancy checks of one statistics row."""
     return (

@@ -435,11 +435,12 @@ GRADE_SQL = STATS_SQL + """, t AS (
 
 
 def _stats(spark, sf):
+    """Statistics of exact sums: a mean or spread that lies on a limit is on the same side in any order of the rows."""
     kind = F.when(F.col("l_returnflag") == "A", "type1").when(F.col("l_returnflag") == "N", "type3").otherwise("type2")
     return table(spark, sf, "lineitem").groupBy(
         F.col("l_suppkey").alias("realisation"), F.col("l_linestatus").alias("phase"), kind.alias("bootstrap_type")
-    ).agg((F.avg("l_quantity") - 25.5).alias("dt"), ((F.avg("l_discount") - 0.05) * 100).alias("dp"),
-          (F.stddev_pop("l_quantity") / 1.5).alias("sigma_t"), (F.stddev_pop("l_tax") * 40).alias("sigma_s"),
+    ).agg((grading.exact_mean("l_quantity") - 25.5).alias("dt"), ((grading.exact_mean("l_discount") - 0.05) * 100).alias("dp"),
+          (grading.exact_stddev_pop("l_quantity") / 1.5).alias("sigma_t"), (grading.exact_stddev_pop("l_tax") * 40).alias("sigma_s"),
           F.avg((F.col("l_quantity") > 24).cast("double")).alias("occupancy"))
 
 
