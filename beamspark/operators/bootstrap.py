@@ -131,6 +131,9 @@ class Block:
         if jitter is not None:
             self._jittered(x, valid, owner, member, jitter, near, sets)
             return
+        if p.per_set == 1 and "members" not in names:
+            self._alone(x, valid, near, sets)
+            return
         parts = None
         for k in range(self.first // p.per_set, (self.last - 1) // p.per_set + 1):
             a, b = max(self.first, k * p.per_set), min(self.last, (k + 1) * p.per_set)
@@ -175,6 +178,26 @@ class Block:
             self.total[si, reals] += weights @ moved[0]
             self.count[si, reals] += np.rint(weights @ moved[1]).astype(np.int32)
 
+    def _alone(self, x, valid, near, sets) -> None:
+        """Sets of one realisation each: all shifts of a trace are windows of it, gathered at once for every set and slowness."""
+        p, n, width = self.plan, x.shape[1], self.hi - self.lo
+        rolls = np.stack([self.rolls(near if sets is None else sets[:, k]) for k in range(self.first, self.last)], axis=1)  # slowness, set, trace
+        least, most = rolls.min(axis=(0, 1)), rolls.max(axis=(0, 1))
+        root = stack.rooted(np.where(valid, x, 0.0), p.order)
+        for row in range(len(x)):
+            start, stop = self.lo - most[row], self.hi - least[row]
+            first, last = max(0, start), min(n, stop)
+            if first >= last:
+                continue
+            at = most[row] - rolls[:, :, row]
+            # Samples that fall outside the trace's own axis after a shift are never kept: windows end at its length.
+            for into, part in ((self.total, root), (self.count, valid.astype(np.int32))):
+                padded = np.zeros(stop - start, dtype=part.dtype)
+                padded[first - start:last - start] = part[row, first:last]
+                shifted = np.lib.stride_tricks.sliding_window_view(padded, width)[at]
+                inside = max(0, min(self.hi, n) - self.lo)
+                into[:, :, :inside] += shifted[:, :, :inside]
+
     def _jittered(self, x, valid, owner, member, jitter, near, sets) -> None:
         """Each trace is interpolated once for a member, and added to all sets of the block that have the member."""
         p, n, width = self.plan, x.shape[1], self.hi - self.lo
@@ -278,12 +301,16 @@ def _same(lanes: Sequence[str], other: str):
     return cond
 
 
-def resampled(traces: DataFrame, lanes: Sequence[str], plan: Design, *, occupancy: bool = True, peaks: bool = False, per_group: int = PER_GROUP) -> DataFrame:
+def resampled(
+    traces: DataFrame, lanes: Sequence[str], plan: Design, *, occupancy: bool = True, peaks: bool = False, per_group: int = PER_GROUP,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
     """Rows (lanes, ``FOUND``) of the nth-root power grids of every realisation.
 
     A trace is one row: lanes, distance, x, valid, and if given ``members array<int>`` (the members of a set that take
     it; all by default), ``jitter_s array<double>`` in the order of the members, ``distances array<double>`` (one for
-    every set; its own by default). Traces of a lane must have one length.
+    every set; its own by default). Traces of a lane must have one length. Lanes are counted in jobs of their own: ``sizes``, a
+    row with the lanes of every trace, spares them the work that made the traces.
     """
     more = [c for c in ("members", "jitter_s", "distances") if c in traces.columns]
     source = traces.select(*lanes, "distance", "x", "valid", *more)
@@ -300,7 +327,7 @@ def resampled(traces: DataFrame, lanes: Sequence[str], plan: Design, *, occupanc
         if rows:
             yield _found_batch(rows, list(key[:-1]), list(lanes))
 
-    heavy = _heavy(source, lanes, per_group)
+    heavy = _heavy(source if sizes is None else sizes, lanes, per_group)
     if heavy is None:
         return source.select("*", numbers).groupBy(*lanes, "block").applyInArrow(whole, f"{lane_ddl}, {FOUND}")
 

@@ -13,7 +13,7 @@ from beamspark.plans.grids import (
 )
 from beamspark.plans.registry import big, registered, rnd, table
 from beamspark.plans.resampling import (
-    GRADE_SQL, N_REAL, SCRAMBLED_SQL, THRESHOLDS, TYPE1_SQL, _stats, scramble_score,
+    GRADE_SQL, N_REAL, SCRAMBLED_SQL, THRESHOLDS, TYPE1_SQL, _stats, lanes_of, scramble_score,
     type1_traces, type3_traces,
 )
 from beamspark.plans.traces import COMPONENT_SQL, components, long_out
@@ -100,7 +100,7 @@ def _n1(spark, sf, t):
     plan = bootstrap.design(AXIS.values, WINDOWS, THRESHOLDS, per_set=N_REAL, n_sets=N1_SCRAMBLES + 1, sr=SR, pre_s=PRE, power_window_s=POWER_S)
     ids = resample.scrambled_distances(traces(spark, sf).select("lane", "event_id", "distance"), "lane", N1_SCRAMBLES + 1, scramble_score)
     t = t.join(ids.select("lane", "event_id", "distances"), ["lane", "event_id"])
-    occ = bootstrap.occupancy(bootstrap.resampled(t, ["lane"], plan), ["lane"], plan).where("set > 0")
+    occ = bootstrap.occupancy(bootstrap.resampled(t, ["lane"], plan, sizes=lanes_of(spark, sf)), ["lane"], plan).where("set > 0")
     return occ.select(big("lane").alias("lane"), big("set").alias("k"), "phase", big("threshold_pct").alias("threshold_pct"),
                       big("si").alias("si"), big("ti").alias("ti"), "frac")
 

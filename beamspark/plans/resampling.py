@@ -114,8 +114,13 @@ def type3_traces(spark, sf):
     return traces(spark, sf).withColumn("jitter_s", jitter())
 
 
-def _occ(t, plan=PLAN):
-    return bootstrap.occupancy(bootstrap.resampled(t, ["lane"], plan), ["lane"], plan).drop("set")
+def lanes_of(spark, sf):
+    """The lane of every trace, to count by without drawing the designs."""
+    return traces(spark, sf).select("lane")
+
+
+def _occ(t, plan=PLAN, sizes=None):
+    return bootstrap.occupancy(bootstrap.resampled(t, ["lane"], plan, sizes=sizes), ["lane"], plan).drop("set")
 
 
 def _occ_out(occ):
@@ -125,17 +130,17 @@ def _occ_out(occ):
 
 @registered("bootstrap_event_subset_occupancy", sql="WITH " + vesp_by("real", TYPE1_SQL) + OCC_SQL + OCC_OUT)
 def bootstrap_event_subset_occupancy(spark, sf):
-    return _occ_out(_occ(type1_traces(spark, sf)))
+    return _occ_out(_occ(type1_traces(spark, sf), sizes=lanes_of(spark, sf)))
 
 
 @registered("bootstrap_distance_stratified_occupancy", sql="WITH " + vesp_by("real", TYPE2_SQL) + OCC_SQL + OCC_OUT)
 def bootstrap_distance_stratified_occupancy(spark, sf):
-    return _occ_out(_occ(type2_traces(spark, sf)))
+    return _occ_out(_occ(type2_traces(spark, sf), sizes=lanes_of(spark, sf)))
 
 
 @registered("bootstrap_pick_jitter_occupancy", sql="WITH " + vesp_by("real", TYPE3_SQL) + OCC_SQL + OCC_OUT)
 def bootstrap_pick_jitter_occupancy(spark, sf):
-    return _occ_out(_occ(type3_traces(spark, sf)))
+    return _occ_out(_occ(type3_traces(spark, sf), sizes=lanes_of(spark, sf)))
 
 
 @registered("bootstrap_fifteen_windows", sql="WITH " + vesp_by("real", TYPE1_SQL) + OCC_SQL.replace(
@@ -143,7 +148,7 @@ def bootstrap_pick_jitter_occupancy(spark, sf):
 def bootstrap_fifteen_windows(spark, sf):
     """All windows of a run are read from one block of realisations."""
     plan = bootstrap.design(AXIS.values, FIFTEEN, THRESHOLDS, per_set=N_REAL, sr=SR, pre_s=PRE, power_window_s=POWER_S)
-    return _occ_out(_occ(type1_traces(spark, sf), plan))
+    return _occ_out(_occ(type1_traces(spark, sf), plan, sizes=lanes_of(spark, sf)))
 
 
 REAL_PEAK_SQL = """, w(phase, lo, hi) AS (VALUES ('PKiKP', 2.0, 32.0), ('PKKP', 28.0, 52.0)), rk AS (
@@ -153,8 +158,8 @@ SELECT lane::BIGINT AS lane, real::BIGINT AS realisation, phase, t AS time_s, ro
        round(power, 9) AS power, support::BIGINT AS support_count FROM rk WHERE rn = 1"""
 
 
-def _real_peaks(t, plan=PLAN, real="real"):
-    found = bootstrap.resampled(t, ["lane"], plan, occupancy=False, peaks=True)
+def _real_peaks(t, plan=PLAN, real="real", sizes=None):
+    found = bootstrap.resampled(t, ["lane"], plan, occupancy=False, peaks=True, sizes=sizes)
     p = bootstrap.realisation_peaks(found, ["lane"], plan)
     return p.select(big("lane").alias("lane"), big(real).alias("realisation"), "phase", "time_s",
                     rnd("slowness_sdeg").alias("slowness_sdeg"), rnd("power", 9).alias("power"),
@@ -163,14 +168,14 @@ def _real_peaks(t, plan=PLAN, real="real"):
 
 @registered("bootstrap_realisation_peaks", sql="WITH " + vesp_by("real", TYPE2_SQL) + REAL_PEAK_SQL)
 def bootstrap_realisation_peaks(spark, sf):
-    return _real_peaks(type2_traces(spark, sf))
+    return _real_peaks(type2_traces(spark, sf), sizes=lanes_of(spark, sf))
 
 
 @registered("scramble_null_peaks", sql="WITH " + vesp_by("real", SCRAMBLE_SQL) + REAL_PEAK_SQL)
 def scramble_null_peaks(spark, sf):
     """The true distances (realisation 0) and two hundred permutations of them."""
     plan = bootstrap.design(AXIS.values, WINDOWS, (), per_set=1, n_sets=N_SCRAMBLES + 1, sr=SR, pre_s=PRE, power_window_s=POWER_S)
-    return _real_peaks(resample.scrambled_distances(traces(spark, sf), "lane", N_SCRAMBLES + 1, scramble_score), plan, "set")
+    return _real_peaks(resample.scrambled_distances(traces(spark, sf), "lane", N_SCRAMBLES + 1, scramble_score), plan, "set", lanes_of(spark, sf))
 
 
 @registered("windowed_bootstrap_occupancy", sql="WITH " + vesp_by("real", TYPE1_SQL) + OCC_SQL.replace(
@@ -178,7 +183,7 @@ def scramble_null_peaks(spark, sf):
 def windowed_bootstrap_occupancy(spark, sf):
     """Only the samples the window and its power smoothing read are ever stacked."""
     plan = bootstrap.design(AXIS.values, {"PKiKP": (10.0, 18.0)}, THRESHOLDS, per_set=N_REAL, sr=SR, pre_s=PRE, power_window_s=POWER_S)
-    return _occ_out(_occ(type1_traces(spark, sf), plan))
+    return _occ_out(_occ(type1_traces(spark, sf), plan, sizes=lanes_of(spark, sf)))
 
 
 @registered("occupancy_projection", sql="WITH " + vesp_by("real", TYPE1_SQL) + OCC_SQL + """
@@ -186,7 +191,7 @@ SELECT lane::BIGINT AS lane, phase, threshold_pct::BIGINT AS threshold_pct, ti,
        round(sum(frac), 6) AS weight
 FROM occ GROUP BY GROUPING SETS ((lane, phase, threshold_pct, ti), (lane, phase, threshold_pct, si))""")
 def occupancy_projection(spark, sf):
-    p = resample.projections(_occ(type1_traces(spark, sf)), ["lane", "phase", "threshold_pct"])
+    p = resample.projections(_occ(type1_traces(spark, sf), sizes=lanes_of(spark, sf)), ["lane", "phase", "threshold_pct"])
     return p.select(big("lane").alias("lane"), "phase", big("threshold_pct").alias("threshold_pct"),
                     big("ti").alias("ti"), big("si").alias("si"), rnd("weight").alias("weight"))
 
@@ -202,7 +207,7 @@ def occupancy_projection(spark, sf):
 SELECT lane::BIGINT AS lane, phase, count(DISTINCT root)::BIGINT AS components, count(*)::BIGINT AS cells
 FROM lab GROUP BY 1, 2""")
 def occupancy_components(spark, sf):
-    occ = _occ(type1_traces(spark, sf)).where("threshold_pct = 85")
+    occ = _occ(type1_traces(spark, sf), sizes=lanes_of(spark, sf)).where("threshold_pct = 85")
     top = occ.groupBy("lane", "phase").agg(F.max("frac").alias("m"))
     high = occ.join(top, ["lane", "phase"]).where(F.col("frac") >= 0.8 * F.col("m"))
     n = high.groupBy("lane", "phase").agg(F.count("*").alias("cells"))
@@ -213,7 +218,7 @@ def occupancy_components(spark, sf):
 @registered("bootstrap_pick_table")
 def bootstrap_pick_table(spark, sf):
     """Fits, robust estimates and quality gate of every occupancy map."""
-    return resample.pick_table(_occ(type1_traces(spark, sf)), ["lane"], slowness=AXIS.values, n_times=N_TIMES,
+    return resample.pick_table(_occ(type1_traces(spark, sf), sizes=lanes_of(spark, sf)), ["lane"], slowness=AXIS.values, n_times=N_TIMES,
                                pre_s=PRE, sr=SR)
 
 
@@ -330,11 +335,11 @@ SELECT lane::BIGINT AS lane, phase, threshold_pct::BIGINT AS threshold_pct, (c2.
 FROM c1 JOIN c1r USING (lane, phase, threshold_pct) JOIN c2 USING (lane, phase, threshold_pct)""")
 def bootstrap_concordance(spark, sf):
     keys = ["lane", "phase", "threshold_pct"]
-    occ = _occ(type1_traces(spark, sf))
+    occ = _occ(type1_traces(spark, sf), sizes=lanes_of(spark, sf))
     a = resample.argmax_cell(occ, keys)
     # Adverse control: the map reversed in time, its best cell found anew.
     r = resample.argmax_cell(occ.withColumn("ti", F.lit(N_TIMES - 1) - F.col("ti")), keys).select(*keys, F.col("ti").alias("ti_r"))
-    b = resample.argmax_cell(_occ(type2_traces(spark, sf)), keys).select(
+    b = resample.argmax_cell(_occ(type2_traces(spark, sf), sizes=lanes_of(spark, sf)), keys).select(
         *keys, F.col("si").alias("si2"), F.col("ti").alias("ti2"))
     dt, ds = F.col("ti2") - F.col("ti"), (F.col("si2") - F.col("si")) * F.lit(0.2)
     t2 = F.col("ti2") - PRE
@@ -374,7 +379,7 @@ SELECT lane::BIGINT AS lane, round(avg(CASE WHEN t >= 26 THEN 1.0::DOUBLE ELSE 0
        median(t) AS median_t FROM rk WHERE rn = 1 GROUP BY lane""")
 def sub_window_share(spark, sf):
     plan = bootstrap.design(AXIS.values, {"both": (2.0, 52.0)}, (), per_set=N_REAL, sr=SR, pre_s=PRE, power_window_s=POWER_S)
-    p = bootstrap.realisation_peaks(bootstrap.resampled(type1_traces(spark, sf), ["lane"], plan, occupancy=False, peaks=True), ["lane"], plan)
+    p = bootstrap.realisation_peaks(bootstrap.resampled(type1_traces(spark, sf), ["lane"], plan, occupancy=False, peaks=True, sizes=lanes_of(spark, sf)), ["lane"], plan)
     late = F.col("time_s") >= 26
     return p.groupBy(big("lane").alias("lane")).agg(
         rnd(F.avg(late.cast("double")), 9).alias("late_share"), F.min(F.when(late, F.col("time_s"))).alias("late_min_t"),
