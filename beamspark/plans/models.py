@@ -110,6 +110,8 @@ def radius_misfit(spark, sf):
     return b.select("o_custkey", "best_radius", rnd(F.col("misfit") * F.lit(1.0001234567)).alias("misfit"), rnd("slope").alias("slope"))
 
 
+MODEL_TASKS = 64  # tasks that generated models are dealt over
+
 # (depth, vp, vs, rho) rows of the base model that the generated cores replace.
 BASE = {
     "mantle": [(0.0, 5.0, 2.9, 2.9), (50.0, 7.5, 4.2, 3.4), (1000.0, 9.0, 4.9, 3.7), (1700.0, 9.8, 5.3, 4.1)],
@@ -137,14 +139,16 @@ SELECT p_partkey, status, CASE WHEN status <> 'valid' THEN 1 WHEN 3389.5::DOUBLE
   CASE WHEN status = 'valid' THEN round(v_ic, 6) END AS vp_icb_inner, CASE WHEN status = 'valid' THEN round(v_end / sqrt(3.0::DOUBLE), 6) END AS vs_centre,
   CASE WHEN status = 'valid' THEN round(9.0::DOUBLE + 0.8::DOUBLE * (least(3389.5::DOUBLE - r_oc, 1700.0) - 1000) / 700, 6) END AS vp_above_core FROM ok""")
 def generated_models(spark, sf):
-    g = model.generate(parameters(spark, sf), "p_partkey", BASE)
+    # Dealt by model first: rows of one model are made and added up in one task, and none holds a whole file of them.
+    g = model.generate(parameters(spark, sf).repartition(MODEL_TASKS, "p_partkey"), "p_partkey", BASE)
     at = lambda c, v: F.max(F.when(c, F.col(v)))
     outer, inner = F.col("section") == "outer-core", F.col("section") == "inner-core"
     return g.groupBy("p_partkey", "status").agg(
         F.count("*").alias("n_rows"), rnd(at(outer & (F.col("node") == 0), "depth")).alias("cmb_depth"),
         rnd(at(inner & (F.col("node") == 0), "vp")).alias("vp_icb_inner"),
         rnd(at(inner & (F.col("node") == 4), "vs")).alias("vs_centre"),
-        rnd(F.max(F.when(F.col("section") == "mantle", F.struct("node", "vp")))["vp"]).alias("vp_above_core"))
+        # Plain numbers, which are added up by hashing: a largest struct would sort all rows.
+        rnd(F.max_by("vp", F.when(F.col("section") == "mantle", F.col("node")))).alias("vp_above_core"))
 
 
 @registered("model_validity", sql="""WITH p AS (SELECT p_partkey, 1600.0::DOUBLE + p_size * 10 AS r_oc, 300.0::DOUBLE + p_retailprice AS r_ic, 4.0::DOUBLE + p_size / 20.0 AS vp, 3.0::DOUBLE + p_partkey % 30 / 6.0 AS vs FROM part)

@@ -44,3 +44,9 @@ def test_box_peaks_of_small_powers(spark, sf_dir, tmp_path):
     cur = con.execute(ORACLES["box_peak_local_max"])
     want = pd.DataFrame(cur.fetchall(), columns=[d[0] for d in cur.description])
     pd.testing.assert_frame_equal(normal(got[list(want.columns)]), normal(want))
+
+
+def test_generated_models_are_added_up_by_hash(spark, sf_dir):
+    """Sorting every row of a file of models took memory in proportion to the file."""
+    plan = QUERIES["generated_models"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
