@@ -221,3 +221,16 @@ def test_scrambled_distances_are_permutations(spark):
             order = sorted(mine, key=lambda r: ((r.event_id * 31 + k * 17) % 13, r.event_id))
             assert [r.distances[k] for r in mine] == [r.distance for r in order]
     assert resample.scrambled_distances(t, "lane", 1, score).where(F.size("distances") == 1).count() == 40
+
+
+def test_lanes_are_counted_without_the_designs(spark):
+    """``sizes`` stands in for the traces where lanes are counted, and single sets gather what products add."""
+    t = frame(spark, random_rows()).withColumn("distances", F.array(*[F.col("distance") + 0.3 * k for k in range(5)]))
+    alone, twice = plan(per_set=1, n_sets=5), plan(per_set=2, n_sets=5)
+    lane = spark.createDataFrame([(0,)] * 17, "lane int")
+    for per_group in (400, 5):
+        found = {}
+        for name, p in (("alone", alone), ("twice", twice)):
+            rows = bootstrap.occupancy(bootstrap.resampled(t, ["lane"], p, per_group=per_group, sizes=lane), ["lane"], p).collect()
+            found[name] = {(r["set"], r.phase, r.threshold_pct, r.si, r.ti): r.frac for r in rows}
+        assert found["alone"] == found["twice"] and found["alone"]
