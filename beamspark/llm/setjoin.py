@@ -371,6 +371,14 @@ def verified_links(members: DataFrame, percent: int) -> DataFrame:
     keys = ["group", "b1", "b2"]
 
     def work(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        # Sets are copied a few groups at a time, never all that arrived in one batch.
+        start, ends = 0, _bounds(t, keys)[1:]
+        for end, after in zip(ends, [*ends[1:], None], strict=True):
+            if after is None or after - start > 2 * BLOCK:
+                yield from compared(t.slice(start, end - start))
+                start = end
+
+    def compared(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         t = t.take(_bounds(t, [*keys, "cid"])[:-1])  # a class that several tasks read stands once
         cid, n, bits, own, across = _columns(t)
         lists = t.column("elements").combine_chunks()
