@@ -14,13 +14,16 @@ when 100 * intersection >= PERCENT * union. Steps:
    less than scanning.
 3. The members of each list are joined to the least one: possible links. A task first joins the members it holds
    itself, so that a list that a third of all documents share brings one entry per task.
-4. Components of possible links hold all real ones. Their sets are read once more and compared: sizes and bit
-   signatures (whose Hamming distance can't exceed the sets' difference) rule pairs out, the rest is counted exactly.
-   A component is compared in blocks of ``BLOCK`` members, and each block returns a spanning forest of its links, never
-   the pairs. The components of these verified links are the result.
+4. Components of possible links hold all real ones, and unlike sets that share a passage. Their sizes and bit
+   signatures are compared first: a signature is the parity of the elements in each of at least as many cells as the set
+   has elements, and its Hamming distance can't exceed the sets' difference. What is left falls into smaller components.
+   Only the sets of those are read once more and counted exactly. Components are compared in blocks (``BLOCK`` sets, or
+   ``SIGNED_BLOCKS`` times as many signatures), and each block returns a spanning forest of its links, never the pairs.
+   The components of the verified links are the result.
 
 Bounds: packed lists of about ``SHARD_ENTRIES`` entries, a bit table of fixed size, blocks of BLOCK members. A component
-of m classes makes m * m / BLOCK rows for its blocks, so a group of very many *different* texts costs its square;
+of m classes makes m * m / BLOCK rows for its blocks, so a group of very many *different* texts costs its square: with
+sets (64 bits an element) where texts are alike, with signatures (a bit or two an element) where they share passages;
 copies cost nothing, being one class (of rows that repeat an id and a text a task reads one again). Nulls and texts without words have an empty set, link with nothing and are their
 own component. Repeated rows and ids are kept; equal texts are one vertex whatever their ids. A null id gets a null
 component unless it is linked with others. Extra columns are ignored; an empty table gives no rows.
@@ -46,9 +49,10 @@ GRAM = 3
 PERCENT = 90
 SHARD_ENTRIES = 1 << 19
 TABLE_BITS = 24  # bit table of the documents that are read once more
-SIGNATURE = 512  # bits
+SIGNATURE = 512  # least bits
 SMALL = 24  # largest set that may enumerate subsets
 BLOCK = 512
+SIGNED_BLOCKS = 8  # blocks of sets in one of signatures
 SPARE = 0.5  # parts beyond those needed, as a share of the elements that linked sets may not share
 
 _U = np.uint64
@@ -98,11 +102,14 @@ def _fingerprint(h: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def _signature(h: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """Parity of the elements in each of SIGNATURE cells."""
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    cell = rows * SIGNATURE + (h & _U(SIGNATURE - 1)).astype(np.int64)
-    odd = np.bincount(cell, minlength=SIGNATURE * (len(offsets) - 1)) & 1
-    return [x.tobytes() for x in np.packbits(odd.astype(np.uint8).reshape(-1, SIGNATURE), axis=1)]
+    """Parity of the elements in each cell; a power of two of cells, as many as elements and SIGNATURE at least."""
+    n = np.diff(offsets)
+    cells = np.maximum(SIGNATURE, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    start = np.concatenate([[0], np.cumsum(cells)])
+    cell = np.repeat(start[:-1], n) + (h & np.repeat(cells - 1, n).astype(_U)).astype(np.int64)
+    odd = np.bincount(cell, minlength=start[-1]) & 1
+    packed, ends = np.packbits(odd.astype(np.uint8)).tobytes(), (start // 8).tolist()
+    return [packed[i:j] for i, j in itertools.pairwise(ends)]
 
 
 def signatures(docs: DataFrame, gram: int) -> DataFrame:
@@ -337,24 +344,36 @@ class Forest:
             self.edges.append((a, b))
 
 
-def possible_pairs(n: np.ndarray, bits: np.ndarray, own: np.ndarray, across: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member the later ones that sizes and signatures don't rule out; ``across``: only of the other block."""
-    for i in range(len(n) - 1):
-        m = n[i + 1:]
-        ok = (least_partner(np.maximum(m, n[i]), percent) <= np.minimum(m, n[i]))
-        if across:
-            ok &= own[i + 1:] != own[i]
-        j = np.flatnonzero(ok)
-        if len(j):
-            apart = np.bitwise_count(bits[i + 1 + j] ^ bits[i]).sum(1, dtype=np.int64)
-            j = j[apart <= m[j] + n[i] - 2 * need(m[j], n[i], percent)]
+def _folded(bits: list[bytes], words: int) -> np.ndarray:
+    """Signatures as rows of so many words: halves of a wider one are added up, as its cells would be."""
+    rows = np.frombuffer(b"".join(bits), _U).reshape(len(bits), -1, words)
+    return np.bitwise_xor.reduce(rows, axis=1)
+
+
+def possible_pairs(n: np.ndarray, bits: list[bytes], own: np.ndarray, across: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member those at least as large that sizes and signatures don't rule out; ``across``: only of the other block."""
+    order = np.argsort(n, kind="stable")
+    n, own, bits = n[order], own[order], [bits[i] for i in order]
+    words = np.array([len(b) // 8 for b in bits])  # grow with n
+    top = np.searchsorted(n, 100 * n // percent, "right")
+    kinds = np.unique(words)
+    for w in kinds:
+        lo, hi = np.searchsorted(words, [w, w + 1])
+        at = np.searchsorted(words, [*kinds[kinds >= w], kinds[-1] + 1]).clip(max=top[hi - 1])
+        table = np.concatenate([_folded(bits[i:j], w) for i, j in itertools.pairwise(at) if i < j])
+        for i in range(lo, hi):
+            j = np.arange(i + 1, top[i])
+            if across:
+                j = j[own[j] != own[i]]
             if len(j):
-                yield i, i + 1 + j
+                apart = np.bitwise_count((table[j - lo] if across else table[i + 1 - lo:top[i] - lo]) ^ table[i - lo]).sum(1, dtype=np.int64)
+                j = j[apart <= n[j] + n[i] - 2 * need(n[j], n[i], percent)]
+                if len(j):
+                    yield order[i], order[j]
 
 
-def _columns(t: pa.Table) -> tuple[np.ndarray, ...]:
-    bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64)
-    return (t.column("cid").to_numpy(), t.column("n").to_numpy().astype(np.int64), bits, t.column("_own").to_numpy(),
+def _columns(t: pa.Table) -> tuple:
+    return (t.column("cid").to_numpy(), t.column("n").to_numpy().astype(np.int64), t.column("bits").to_pylist(), t.column("_own").to_numpy(),
             t.column("b1").to_numpy() != t.column("b2").to_numpy())
 
 
@@ -366,42 +385,69 @@ def _bounds(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(change), [t.num_rows]])
 
 
-def verified_links(members: DataFrame, percent: int) -> DataFrame:
-    """Spanning forests of the pairs of each group whose sets do link."""
+def _in_pieces(members: DataFrame, block: int, compared: Callable[[pa.Table, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """Distinct edges (a, b) that ``compared`` finds in the pairs of blocks; it gets rows of whole pairs and their bounds."""
     keys = ["group", "b1", "b2"]
 
     def work(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        # Sets are copied a few groups at a time, never all that arrived in one batch.
+        # Rows are copied a few groups at a time, never all that arrived in one batch.
         start, ends = 0, _bounds(t, keys)[1:]
         for end, after in zip(ends, [*ends[1:], None], strict=True):
-            if after is None or after - start > 2 * BLOCK:
-                yield from compared(t.slice(start, end - start))
+            if after is None or after - start > 2 * block:
+                piece = t.slice(start, end - start)
+                piece = piece.take(_bounds(piece, [*keys, "cid"])[:-1])  # a class that several tasks read stands once
+                yield from compared(piece, _bounds(piece, keys))
                 start = end
 
-    def compared(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        t = t.take(_bounds(t, [*keys, "cid"])[:-1])  # a class that several tasks read stands once
+    return in_blocks(members, "group", "members", block).mapInArrow(by_group(keys, work), "a long, b long").distinct()
+
+
+def likely_links(members: DataFrame, percent: int) -> DataFrame:
+    """Spanning forests of the pairs of each group that sizes and signatures don't rule out."""
+
+    def compared(t: pa.Table, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cid, n, bits, own, across = _columns(t)
+        a, b = [], []
+        for lo, hi in itertools.pairwise(at):
+            tree = np.arange(hi - lo)
+            for i, js in possible_pairs(n[lo:hi], bits[lo:hi], own[lo:hi], bool(across[lo]), percent):
+                js = js[tree[js] != tree[i]]
+                if len(js):
+                    trees, first = np.unique(tree[js], return_index=True)
+                    a.append(np.full(len(first), cid[lo + i]))
+                    b.append(cid[lo + js[first]])
+                    tree[np.isin(tree, trees)] = tree[i]
+        if a:
+            yield np.concatenate(a), np.concatenate(b)
+
+    return _in_pieces(members, SIGNED_BLOCKS * BLOCK, compared)
+
+
+def verified_links(members: DataFrame, percent: int) -> DataFrame:
+    """Spanning forests of the pairs of each group whose sets do link."""
+
+    def compared(t: pa.Table, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         cid, n, bits, own, across = _columns(t)
         lists = t.column("elements").combine_chunks()
         ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(_U)  # sorted as unsigned
-        at = _bounds(t, keys)
         a, b = [], []
-        for lo, hi in zip(at[:-1], at[1:], strict=True):
+        for lo, hi in itertools.pairwise(at):
             f = Forest(hi - lo)
             for i, js in possible_pairs(n[lo:hi], bits[lo:hi], own[lo:hi], bool(across[lo]), percent):
                 mine = flat[ends[lo + i]:ends[lo + i + 1]]
                 for j in js:
-                    if f.root(i) != f.root(int(j)):
+                    if f.root(int(i)) != f.root(int(j)):
                         theirs = flat[ends[lo + j]:ends[lo + j + 1]]
                         spot = np.searchsorted(mine, theirs)
                         spot[spot == len(mine)] = 0
                         shared = int(np.count_nonzero(mine[spot] == theirs))
                         if 100 * shared >= percent * (len(mine) + len(theirs) - shared):
-                            f.join(i, int(j))
+                            f.join(int(i), int(j))
             a += [cid[lo + i] for i, _ in f.edges]
             b += [cid[lo + j] for _, j in f.edges]
         yield np.array(a, np.int64), np.array(b, np.int64)
 
-    return in_blocks(members, "group", "members", BLOCK).mapInArrow(by_group(keys, work), "a long, b long").distinct()
+    return _in_pieces(members, BLOCK, compared)
 
 
 def elements_of(docs: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
@@ -439,6 +485,11 @@ def elements_of(docs: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def sized(groups: DataFrame) -> DataFrame:
+    """Members of groups with how many their group has."""
+    return groups.join(groups.groupBy("group").agg(F.count("*").cast("int").alias("members")), "group")
+
+
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """Per document row: doc_id, n_shingles and component_id, the smallest doc_id that links lead to."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -451,9 +502,9 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     groups = components(possible_links(rows, boundary(classes, percent), gram, percent, shards))
     groups = groups.select(F.col("vertex").alias("f1"), F.col("component").alias("group"))
     # Two sets may have half of their fingerprints in common by chance: that only makes a group larger.
-    groups = groups.join(classes, "f1")
-    sizes = groups.groupBy("group").agg(F.count("*").cast("int").alias("members"))
-    wanted = written(groups.join(sizes, "group"), "groups")
+    groups = sized(groups.join(classes, "f1").select("cid", "n", "bits", "group"))
+    likely = components(likely_links(groups, percent)).select(F.col("vertex").alias("cid"), F.col("component").alias("group"))
+    wanted = written(sized(likely).join(classes, "cid"), "groups")
     sets = elements_of(rows, wanted, gram)
     same = (wanted["f1"] == sets["f1"]) & (wanted["f2"] == sets["f2"]) & wanted["rep"].eqNullSafe(sets["rep"])
     members = wanted.join(sets, same).select(wanted["cid"], wanted["n"], wanted["bits"], wanted["group"], wanted["members"], sets["elements"])

@@ -132,3 +132,24 @@ def test_rows_that_repeat_a_class_come_once(spark):
     assert 3 <= len(read) <= 6
     got = setjoin.jaccard_components(df, gram=5, percent=80).groupBy("component_id").count().collect()
     assert [(r["component_id"], r["count"]) for r in got] == [(1, 3002)]
+
+
+def test_only_likely_sets_are_read_again(spark, monkeypatch):
+    """Texts that share a passage are one group of possible links; signatures part them before sets are shuffled."""
+    docs = []
+    for size in (400, 3000):  # signatures of the least width, and wider ones
+        passage = [f"p{size}_{i}" for i in range(size * 6 // 10)]
+        docs += [" ".join(passage + [f"w{size}_{k}_{i}" for i in range(size * 4 // 10)]) for k in range(25)]
+        docs += [docs[-1] + " one more", docs[-3] + " and two more"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    read, elements_of = [], setjoin.elements_of
+
+    def counted(rows, wanted, gram):
+        read.extend(r.rep for r in wanted.collect())
+        return elements_of(rows, wanted, gram)
+
+    monkeypatch.setattr(setjoin, "elements_of", counted)
+    monkeypatch.setattr(setjoin, "BLOCK", 2)
+    got = setjoin.jaccard_components(df, gram=5, percent=80)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(list(enumerate(docs)))
+    assert sorted(read) == [22, 24, 25, 26, 49, 51, 52, 53]
