@@ -31,6 +31,7 @@ PER_GROUP = 400
 HEAVY_SHARE = 1_000
 FAN_IN = 32
 CELL_BYTES = 12  # a sum and a count
+HELD_CELLS = 1 << 18  # interpolated samples that are added together, so that they stay in the processor's cache
 SLACK = 1e-12  # a cell that equals the threshold but for rounding reaches it
 FOUND = "`set` int, phase string, threshold_pct int, si array<int>, ti array<int>, n array<int>, real array<int>, power array<double>, support array<int>"
 
@@ -78,22 +79,37 @@ def design(slowness: Sequence[float], windows: dict[str, tuple[float, float]], t
     return Design(tuple(map(float, slowness)), tuple((k, *map(float, v)) for k, v in windows.items()), tuple(thresholds), n_sets, per_set, **more)
 
 
-def _lerped(x: np.ndarray, valid: np.ndarray, samples: float, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """Samples [a, b) of one trace moved by a real number of samples; a mask needs both neighbours valid."""
+def _lerped(x: np.ndarray, valid: np.ndarray, samples: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Samples [a, b) of one trace, a row for each of several moves by a real number of samples; a mask needs both neighbours valid."""
+    if not np.isfinite(samples).all():
+        raise ValueError("jitter must be finite")
     n = len(x)
-    low = int(np.floor(-samples))
-    frac = -samples - low
-    out, ok = np.zeros(b - a), np.zeros(b - a, dtype=bool)
-    # Inside means a position in [0, n - 1]; the last sample has no right neighbour and needs none.
-    first, last = max(a, -low), min(b, n - 1 - low)
+    low = np.floor(-samples)
+    frac = (-samples - low)[:, None]
+    low = np.clip(low, -b - 1, n - a).astype(np.int64)  # beyond these nothing of the trace is left
+    start, stop = a + low.min(), b + low.max() + 1
+    first, last = max(0, start), min(n, stop)
+    near, has = np.zeros(stop - start), np.zeros(stop - start, dtype=bool)
     if first < last:
-        x0, x1 = x[first + low:last + low], x[first + low + 1:last + low + 1]
-        out[first - a:last - a] = x0 + (x1 - x0) * frac
-        ok[first - a:last - a] = valid[first + low:last + low] & (valid[first + low + 1:last + low + 1] | (frac == 0.0))
-    at = n - 1 - low
-    if frac == 0.0 and a <= at < b and at >= -low:
-        out[at - a], ok[at - a] = x[n - 1], valid[n - 1]
-    return out, ok
+        near[first - start:last - start], has[first - start:last - start] = x[first:last], valid[first:last]
+    near = np.lib.stride_tricks.sliding_window_view(near, b - a + 1)[a + low - start]
+    has = np.lib.stride_tricks.sliding_window_view(has, b - a + 1)[a + low - start]
+    # Inside means a position in [0, n - 1]; the last sample has no right neighbour and needs none.
+    return near[:, :-1] + (near[:, 1:] - near[:, :-1]) * frac, has[:, :-1] & (has[:, 1:] | (frac == 0.0))
+
+
+def _places(reals: np.ndarray, here: np.ndarray) -> list[tuple]:
+    """Where rows go: pairs of an index of realisations and one of rows, in which no realisation stands twice."""
+    rows = np.flatnonzero(here)
+    to = reals[rows]
+    if not len(rows):
+        return []
+    step = np.diff(to)
+    if (step <= 0).any():
+        return [(int(t), int(r)) for t, r in zip(to, rows, strict=True)]
+    if (step == 1).all() and rows[-1] - rows[0] == len(rows) - 1:
+        return [(slice(int(to[0]), int(to[-1]) + 1), slice(int(rows[0]), int(rows[-1]) + 1))]
+    return [(to, rows)]
 
 
 class Block:
@@ -199,34 +215,51 @@ class Block:
                 into[:, :, :inside] += shifted[:, :, :inside]
 
     def _jittered(self, x, valid, owner, member, jitter, near, sets) -> None:
-        """Each trace is interpolated once for a member, and added to all sets of the block that have the member."""
-        p, n, width = self.plan, x.shape[1], self.hi - self.lo
+        """Each trace is interpolated once for all its members, and the rows are added to all sets of the block that have them."""
+        p, n = self.plan, x.shape[1]
         ks = np.arange(self.first // p.per_set, (self.last - 1) // p.per_set + 1)
         rolls = np.stack([self.rolls(near if sets is None else sets[:, k]) for k in ks])  # set, slowness, trace
         least, most = rolls.min(axis=(0, 1)), rolls.max(axis=(0, 1))
-        for row, m, shift in zip(owner, member, jitter, strict=True):
-            reals = ks * p.per_set + m - self.first
+        bounds = np.searchsorted(owner, np.arange(len(x) + 1))
+        held, cells = [], 0
+        for row in range(len(x)):
+            at, shift = member[bounds[row]:bounds[row + 1]], jitter[bounds[row]:bounds[row + 1]]
+            reals = ks[:, None] * p.per_set + at - self.first
             here = (reals >= 0) & (reals < self.last - self.first)
+            used = here.any(axis=0)
             # Only the samples that some slowness moves into the kept range are interpolated.
-            start, stop = self.lo - most[row], self.hi - least[row]
-            first, last = max(0, start), min(n, stop)
-            if first >= last or not here.any():
+            first, last = max(0, self.lo - most[row]), min(n, self.hi - least[row])
+            if first >= last or not used.any():
                 continue
-            moved, ok = _lerped(x[row], valid[row], shift * p.sr, first, last)
-            parts = (np.where(ok, stack.rooted(moved, p.order), 0.0), ok.astype(np.int32))
-            for into, part in zip((self.total, self.count), parts, strict=True):
-                if len(ks) == 1:
-                    for si, roll in enumerate(rolls[0, :, row]):
-                        a, b = self._bounds(roll, n)
-                        a, b = max(a, first + roll), min(b, last + roll)
-                        if a < b:
-                            into[si, reals[0], a - self.lo:b - self.lo] += part[a - roll - first:b - roll - first]
-                    continue
-                # All shifts of one trace are windows of it: one gather for every set and slowness.
-                padded = np.zeros(stop - start, dtype=part.dtype)
-                padded[first - start:last - start] = part
-                shifted = np.lib.stride_tricks.sliding_window_view(padded, width)[most[row] - rolls[here, :, row]]
-                into[:, reals[here]] += shifted.transpose(1, 0, 2)
+            moved, ok = _lerped(x[row], valid[row], shift[used] * p.sr, first, last)
+            # Places within a set's own realisations of the block.
+            pairs = [_places(r - max(0, k * p.per_set - self.first), h) for k, r, h in zip(ks, reals[:, used], here[:, used], strict=True)]
+            root = np.where(ok, stack.rooted(moved, p.order), 0.0)
+            held.append((row, first, last, pairs, np.ascontiguousarray(root.T), np.ascontiguousarray(ok.T.astype(np.int32))))
+            cells += moved.size
+            if cells > HELD_CELLS:
+                self._add_moved(held, rolls, n)
+                held, cells = [], 0
+        self._add_moved(held, rolls, n)
+
+    def _add_moved(self, held: list[tuple], rolls: np.ndarray, n: int) -> None:
+        """Add interpolated traces, in their order, to each set and slowness in turn: one slice moves all members at once."""
+        first_set = self.first // self.plan.per_set
+        for i, by_slowness in enumerate(rolls):
+            for si, shifts in enumerate(by_slowness.tolist()):
+                # Time first and realisations last, as the rows lie: a move in time is then one run of memory.
+                mine = slice(max(0, (first_set + i) * self.plan.per_set - self.first), (first_set + i + 1) * self.plan.per_set - self.first)
+                total, count = (np.ascontiguousarray(of[si, mine].T) for of in (self.total, self.count))
+                for row, first, last, pairs, root, ok in held:
+                    roll = shifts[row]
+                    a, b = self._bounds(roll, n)
+                    a, b = max(a, first + roll), min(b, last + roll)
+                    if a < b:
+                        into, take = slice(a - self.lo, b - self.lo), slice(a - roll - first, b - roll - first)
+                        for to, of in pairs[i]:
+                            total[into, to] += root[take, of]
+                            count[into, to] += ok[take, of]
+                self.total[si, mine], self.count[si, mine] = total.T, count.T
 
     def power(self) -> np.ndarray:
         """Smoothed power of every cell, -1 where it has none; takes the place of the sums."""

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,35 @@ def test_lanes_are_counted_without_the_designs(spark):
             rows = bootstrap.occupancy(bootstrap.resampled(t, ["lane"], p, per_group=per_group, sizes=lane), ["lane"], p).collect()
             found[name] = {(r["set"], r.phase, r.threshold_pct, r.si, r.ti): r.frac for r in rows}
         assert found["alone"] == found["twice"] and found["alone"]
+
+
+def test_jitter_interpolates_a_trace_once(monkeypatch):
+    """However many members and sets a trace has, it is moved by all its jitters in one step; a member that stands twice counts twice."""
+    calls, lerped = [], bootstrap._lerped
+    monkeypatch.setattr(bootstrap, "_lerped", lambda *a: calls.append(1) or lerped(*a))
+    rng = np.random.default_rng(3)
+    x, ok = rng.normal(size=(3, 60)), rng.random((3, 60)) > 0.1
+    members, jitter = [[0, 1, 2, 3], [3, 1, 3], [0, 2]], [[0.0, 0.3, -1.25, 40.0], [0.5, -0.7, 0.5], [2.0, -300.0]]
+    near = [[28.0, 30.0], [31.0, 28.0], [30.0, 31.0]]
+    batch = pa.RecordBatch.from_pydict({
+        "x": x.tolist(), "valid": ok.tolist(), "distance": [d[0] for d in near], "distances": near,
+        "members": pa.array(members, pa.list_(pa.int32())), "jitter_s": jitter})
+    design = plan(n_sets=2, min_support=1)
+    block = bootstrap.Block(design, 0)
+    block.take(batch)
+    assert len(calls) == 3
+    total, count = np.zeros(block.total.shape), np.zeros(block.count.shape, int)
+    for i in range(3):
+        for k in range(2):
+            for m, shift in zip(members[i], jitter[i], strict=True):
+                y, has = stack._lerp_shift(x[i][None, :], ok[i][None, :], np.array([shift * design.sr]))
+                root = np.where(has[0], stack.rooted(y[0], design.order), 0.0)
+                for si, roll in enumerate(block.rolls(np.array([near[i][k]]))[:, 0]):
+                    for t in range(max(block.lo, roll), min(block.hi, 60, 60 + roll)):
+                        total[si, k * design.per_set + m, t - block.lo] += root[t - roll]
+                        count[si, k * design.per_set + m, t - block.lo] += has[0][t - roll]
+    np.testing.assert_array_equal(block.count, count)
+    np.testing.assert_allclose(block.total, total, atol=1e-12)
+    broken = batch.set_column(5, "jitter_s", pa.array([[0.0, float("nan"), 0.0, 0.0], *jitter[1:]]))
+    with pytest.raises(ValueError, match="finite"):
+        bootstrap.Block(design, 0).take(broken)
