@@ -85,23 +85,46 @@ def markdown_rows(df: DataFrame) -> DataFrame:
     return head.unionByName(df.select(F.lit(2).alias("place"), line.alias("line")))
 
 
+LARGE_DIGEST = 100_000  # rows of a key that are digested by many tasks
+LARGE_DIGEST_KEYS = 10_000
+
+
 def locked_digest(rows: DataFrame, key: str, content: Column) -> DataFrame:
     """Digest per key of its row digests in order, whatever order the rows come in.
 
     It is a tree of digests of this library's own, not the digest of the sorted manifest as one text, which only one
     task could compute: compare it with digests made by this function, not with recorded digests of manifests.
 
-    Repeats fold into a count, then digests merge by their leading characters in two steps, so even a
-    key with most of the rows is never gathered whole.
+    Repeats fold into a count, then digests merge by their leading characters in two steps. Keys are counted by a job of
+    their own: those of more than ``LARGE_DIGEST`` rows and over one in ``LARGE_DIGEST_KEYS`` of all go by broadcast and are
+    shuffled at each step, so that even a key with most of the rows is never gathered whole. Rows of all others are
+    shuffled once, by their key.
     """
-    d = rows.groupBy(key, F.sha2(content, 256).alias("h")).agg(F.count("*").alias("n"))
-    d = d.select(key, F.col("h").alias("at"), F.sha2(F.concat_ws(":", "h", "n"), 256).alias("h"))
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > LARGE_DIGEST)
+    every = rows.count() if not counts.isEmpty() else 0
+    large = counts.where(F.col("n") * LARGE_DIGEST_KEYS > every).select(key).collect() if every else []
+    hashed = rows.select(key, F.unhex(F.sha2(content, 256)).alias("at"))
+    if not large:
+        return _digest_tree(hashed.repartition(key), key)
+    large = F.broadcast(rows.sparkSession.createDataFrame(large, rows.select(key).schema)).alias("l")
+    same = F.col(f"r.{key}").eqNullSafe(F.col(f"l.{key}"))
+    hashed = hashed.alias("r")
+    return _digest_tree(hashed.join(large, same, "left_anti").repartition(key), key).unionByName(
+        _digest_tree(hashed.join(large, same, "left_semi"), key))
+
+
+def _digest_tree(hashed: DataFrame, key: str) -> DataFrame:
+    """Counted rows merged by six characters, by three and by none; digests travel as bytes and are hashed as hex text."""
+    text = lambda c: F.lower(F.hex(c))
+    d = hashed.groupBy(key, "at").agg(F.count("*").alias("n"))
+    d = d.select(key, text("at").alias("at"), F.unhex(F.sha2(F.concat_ws(":", text("at"), "n"), 256)).alias("h"))
     for width in (6, 3, 0):
-        at = F.substring("at", 1, width) if width else F.lit("")
-        parts = F.array_sort(F.collect_list(F.struct("at", "h")))
-        d = d.groupBy(key, at.alias("to")).agg(parts.alias("p")).select(
-            key, F.col("to").alias("at"), F.sha2(F.array_join(F.transform("p", lambda s: s["h"]), ""), 256).alias("h"))
-    return d.select(key, F.col("h").alias("digest"))
+        to = F.substring("at", 1, width) if width else F.lit("")
+        at = F.unhex("at") if width == 6 else F.col("at")
+        parts = F.array_sort(F.collect_list(F.struct(at.alias("at"), "h")))
+        d = d.groupBy(key, to.alias("to")).agg(parts.alias("p")).select(
+            key, F.col("to").alias("at"), F.unhex(F.sha2(F.array_join(F.transform("p", lambda s: text(s["h"])), ""), 256)).alias("h"))
+    return d.select(key, text("h").alias("digest"))
 
 
 def refuse_reserved_status(status: Column) -> Column:

@@ -298,3 +298,28 @@ def test_streaming_blocks_and_manifest(spark, tmp_path):
     m = blocks.append_manifest(stream.select("key", "x"), str(tmp_path / "out"), str(tmp_path / "ck"))
     m.awaitTermination(60)
     assert spark.read.json(str(tmp_path / "out")).count() == 11
+
+
+def test_locked_digest_shuffles_small_keys_once(spark, monkeypatch):
+    """Rows move by their key alone, and a key with most of the rows has the digest that the same steps give it."""
+    import hashlib
+    import re
+
+    a = spark.createDataFrame([(k, f"{k}|{i % 40}") for k in (1, 2, None) for i in range(60 if k == 1 else 5)], "k int, c string").repartition(3)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def expected(texts):
+        level = {sha(t): sha(f"{sha(t)}:{texts.count(t)}") for t in texts}
+        for width in (6, 3, 0):
+            level = {p: sha("".join(level[h] for h in sorted(level) if h.startswith(p))) for p in {h[:width] for h in level}}
+        return level[""]
+
+    rows = a.collect()
+    want = {k: expected([r["c"] for r in rows if r["k"] == k]) for k in (1, 2, None)}
+    d = sinks.locked_digest(a, "k", F.col("c"))
+    got = {r["k"]: r["digest"] for r in d.collect()}
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(", plan.split("== Initial Plan ==")[-1])) == 1
+    monkeypatch.setattr(sinks, "LARGE_DIGEST", 20)
+    cut = {r["k"]: r["digest"] for r in sinks.locked_digest(a, "k", F.col("c")).collect()}
+    assert got == cut == want
