@@ -199,3 +199,22 @@ def test_polarization_in_steps_equals_one_record_at_once(spark):
                 for mine, name in ((r.azimuth_deg, "azimuth"), (r.inclination_deg, "inclination")):
                     assert (mine is None) == np.isnan(want[name][b, t]) and (mine is None or mine == pytest.approx(want[name][b, t]))
     assert bands.select(F.size("re")).distinct().collect()[0][0] == 240
+
+
+def test_pieces_of_batches():
+    import pyarrow as pa
+
+    from beamspark.operators import traces as tr
+
+    rb = pa.RecordBatch.from_pydict({"x": [[float(i)] * 64 for i in range(5000)]})
+    assert rb.nbytes > 2 * tr.PIECE_BYTES
+    pieces = list(tr._pieces(iter([rb, rb.slice(0, 0), rb.slice(10, 1)])))
+    assert max(p.nbytes for p in pieces) <= tr.PIECE_BYTES and [p.num_rows for p in pieces][-1] == 1
+    assert pa.Table.from_batches(pieces).equals(pa.Table.from_batches([rb, rb.slice(10, 1)]))
+
+
+def test_filter_bank_is_one_python_step(spark, sf_dir):
+    from beamspark.plans.traces import filter_bank
+
+    plan = filter_bank(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
