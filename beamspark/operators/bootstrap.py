@@ -10,7 +10,7 @@ shuffled, only sparse counts.
 What grows: traces are shuffled once per block (``block_bytes`` bounds a block, so that few realisations of a long axis or
 thousands of a short one make one). A lane with more than ``per_group`` traces and over a thousandth of all of them (a thousand lanes at
 most, known by broadcast) is split: each group of ``per_group`` traces gives one partial block, and partial blocks are
-added up in two levels. Bytes shuffled per trace depend on ``per_group`` and the axes, not on the number of tasks.
+added up in two levels, in parts of about ``part_bytes`` (some realisations of a block) that are groups of their own. Bytes shuffled per trace depend on ``per_group`` and the axes, not on the number of tasks.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ PER_GROUP = 400
 HEAVY_SHARE = 1_000
 FAN_IN = 32
 CELL_BYTES = 12  # a sum and a count
+PART_BYTES = 4 << 20  # of a block that is added up from partial blocks at once
 HELD_CELLS = 1 << 18  # interpolated samples that are added together, so that they stay in the processor's cache
 SLACK = 1e-12  # a cell that equals the threshold but for rounding reaches it
 FOUND = "`set` int, phase string, threshold_pct int, si array<int>, ti array<int>, n array<int>, real array<int>, power array<double>, support array<int>"
@@ -52,6 +53,7 @@ class Design:
     min_support: int = dims.MIN_STACK_SUPPORT
     power_window_s: float = dims.POWER_WINDOW_S
     block_bytes: int = BLOCK_BYTES
+    part_bytes: int = PART_BYTES
 
     @property
     def n_real(self) -> int:
@@ -68,6 +70,11 @@ class Design:
         lo, hi = self.samples
         return max(1, min(self.n_real, self.block_bytes // (len(self.slowness) * (hi - lo) * CELL_BYTES)))
 
+    @property
+    def per_part(self) -> int:
+        lo, hi = self.samples
+        return max(1, self.part_bytes // (len(self.slowness) * (hi - lo) * CELL_BYTES))
+
     @property
     def blocks(self) -> int:
         return -(-self.n_real // self.per_block)
@@ -115,10 +122,13 @@ def _places(reals: np.ndarray, here: np.ndarray) -> list[tuple]:
 class Block:
     """Sums and counts of some realisations of one lane: arrays over slowness, realisation and time."""
 
-    def __init__(self, plan: Design, number: int):
+    def __init__(self, plan: Design, number: int, part: int | None = None):
         self.plan = plan
         self.first = number * plan.per_block
         self.last = min(plan.n_real, self.first + plan.per_block)
+        if part is not None:
+            self.first += part * plan.per_part
+            self.last = min(self.last, self.first + plan.per_part)
         self.lo, self.hi = plan.samples
         shape = (len(plan.slowness), self.last - self.first, self.hi - self.lo)
         self.total, self.count = np.zeros(shape), np.zeros(shape, dtype=np.int32)
@@ -369,17 +379,18 @@ def resampled(
         for batch in batches:
             if batch.num_rows:
                 block.take(batch)
-        yield from _sums(block, key[:-2], key[-2].as_py() // FAN_IN, key[-1])
+        for part, at in enumerate(range(0, block.last - block.first, plan.per_part)):
+            yield from _sums(block, slice(at, at + plan.per_part), key[:-2], key[-2].as_py() // FAN_IN, key[-1].as_py(), part)
 
-    def _sums(block: Block, head: tuple, src: int, number: pa.Scalar) -> Iterator[pa.RecordBatch]:
+    def _sums(block: Block, reals: slice, head: tuple, src: int, number: int, part: int) -> Iterator[pa.RecordBatch]:
         for si in range(len(plan.slowness)):
             cols = [pa.array([h.as_py()], h.type) for h in head]
-            cols += [pa.array([src], pa.int32()), pa.array([number.as_py()], pa.int32()), pa.array([si], pa.int32()), pa.array([block.length], pa.int32())]
-            cols += [stack._list_array(block.total[si].reshape(1, -1), pa.float64()), stack._list_array(block.count[si].reshape(1, -1), pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, [*lanes, "src", "block", "si", "length", "total", "count"])
+            cols += [pa.array([v], pa.int32()) for v in (src, number, part, si, block.length)]
+            cols += [stack._list_array(block.total[si, reals].reshape(1, -1), pa.float64()), stack._list_array(block.count[si, reals].reshape(1, -1), pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, [*lanes, "src", "block", "part", "si", "length", "total", "count"])
 
-    def added(number: int, batches: Iterator[pa.RecordBatch]) -> Block:
-        block = Block(plan, number)
+    def added(number: int, part: int, batches: Iterator[pa.RecordBatch]) -> Block:
+        block = Block(plan, number, part)
         for batch in batches:
             if batch.num_rows:
                 block.length = stack.one_length(batch.select(["length"]).rename_columns(["n"]), block.length)
@@ -391,20 +402,21 @@ def resampled(
         return block
 
     def merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _sums(added(key[-1].as_py(), batches), key[:-2], key[-2].as_py(), key[-1])
+        src, number, part = (k.as_py() for k in key[-3:])
+        yield from _sums(added(number, part, batches), slice(None), key[:-3], src, number, part)
 
     def finished(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(added(key[-1].as_py(), batches).found(occupancy, peaks))
+        rows = list(added(key[-2].as_py(), key[-1].as_py(), batches).found(occupancy, peaks))
         if rows:
-            yield _found_batch(rows, list(key[:-1]), list(lanes))
+            yield _found_batch(rows, list(key[:-2]), list(lanes))
 
     small = F.broadcast(heavy).alias("h")
     light = source.alias("t").join(small, _same(lanes, "h"), "left_anti")
     split = source.alias("t").join(small, _same(lanes, "h")).select("t.*", F.pmod(F.xxhash64("t.distance", "t.x"), F.col("groups")).cast("int").alias("grp"))
-    sums = f"{lane_ddl}, src int, block int, si int, length int, total array<double>, count array<int>"
+    sums = f"{lane_ddl}, src int, block int, part int, si int, length int, total array<double>, count array<int>"
     parts = split.select("*", numbers).groupBy(*lanes, "grp", "block").applyInArrow(partial, sums)
-    parts = parts.groupBy(*lanes, "src", "block").applyInArrow(merged, sums)
-    far = parts.groupBy(*lanes, "block").applyInArrow(finished, f"{lane_ddl}, {FOUND}")
+    parts = parts.groupBy(*lanes, "src", "block", "part").applyInArrow(merged, sums)
+    far = parts.groupBy(*lanes, "block", "part").applyInArrow(finished, f"{lane_ddl}, {FOUND}")
     near = light.select("*", numbers).groupBy(*lanes, "block").applyInArrow(whole, f"{lane_ddl}, {FOUND}")
     return near.unionByName(far)
 

@@ -267,3 +267,14 @@ def test_jitter_interpolates_a_trace_once(monkeypatch):
     broken = batch.set_column(5, "jitter_s", pa.array([[0.0, float("nan"), 0.0, 0.0], *jitter[1:]]))
     with pytest.raises(ValueError, match="finite"):
         bootstrap.Block(design, 0).take(broken)
+
+
+def test_partial_blocks_are_added_in_parts(spark):
+    """A block of a split lane is added up and searched in parts: no task takes all its realisations."""
+    rows = random_rows(9)
+    design = plan(part_bytes=1)
+    assert design.blocks == 1 and design.per_part == 1
+    found = bootstrap.resampled(subset_frame(spark, rows), ["lane"], design, peaks=True, per_group=1)
+    # A row of peaks has the realisations of one part.
+    assert found.where("threshold_pct is null and size(real) > 1").count() == 0
+    compared(found, design, expected([grid_of([rows[i] for i in pick]) for pick in SUBSETS]))
