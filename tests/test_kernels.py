@@ -218,3 +218,58 @@ def test_filter_bank_is_one_python_step(spark, sf_dir):
 
     plan = filter_bank(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def _entries(cov):
+    return cov[:, 0, 0].real, cov[:, 1, 1].real, cov[:, 2, 2].real, cov[:, 0, 1], cov[:, 0, 2], cov[:, 1, 2]
+
+
+def test_leading_axes_against_lapack():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5000, 3, 6)) + 1j * rng.normal(size=(5000, 3, 6))
+    x[:500, 1:] *= 1e-5  # nearly one direction
+    x[500:600, :, 1:] = 0  # one direction and no other
+    x[600:700] *= 1e-70
+    x[700:800] *= 1e60
+    x[800:900, 0] *= 1e-8  # hardly a first component
+    cov = x @ x.conj().transpose(0, 2, 1)
+    turn = np.linalg.qr(x[900:1000, :, :3])[0]  # two largest almost alike, then two smallest
+    cov[900:950] = turn[:50] @ np.diag([2.0 + 1e-5, 2.0, 1.0]) @ turn[:50].conj().transpose(0, 2, 1)
+    cov[950:1000] = turn[50:] @ np.diag([2.0, 1.0 + 1e-9, 1.0]) @ turn[50:].conj().transpose(0, 2, 1)
+    vals, axes = k.leading_axes(*_entries(cov))
+    low, vecs = np.linalg.eigh(cov)
+    assert (np.abs(vals.T - np.clip(low[:, ::-1], 0, None)) <= 1e-13 * low[:, 2:]).all()
+    want = vecs[:, :, -1] * np.exp(-1j * np.angle(vecs[:, :1, -1]))
+    clear = (low[:, 2] - low[:, 1] > 1e-3 * low[:, 2]) & (np.abs(want[:, 0]) > 1e-4)
+    assert clear.sum() > 4700 and np.abs(axes.T - want)[clear].max() < 1e-9
+    # Anything the closed form cannot hold is LAPACK's own answer, bit for bit.
+    odd = np.array([np.zeros((3, 3)), np.eye(3), np.diag([0.0, 2.0, 1.0]), np.full((3, 3), 1e-200)], dtype=complex)
+    vals, axes = k.leading_axes(*_entries(odd))
+    low, vecs = np.linalg.eigh(odd)
+    assert (vals.T == np.clip(low[:, ::-1], 0, None)).all()
+    assert (axes.T == vecs[:, :, -1] * np.exp(-1j * np.angle(vecs[:, :1, -1]))).all()
+    with pytest.raises(np.linalg.LinAlgError):
+        k.leading_axes(*_entries(np.full((1, 3, 3), np.nan + 0j)))
+
+
+def test_means_in_place_equal_grouped_means(spark):
+    """Records of two lengths, one without motion: means where the row lies are those of all windows brought together."""
+    from beamspark.operators import traces as tr
+
+    rng = np.random.default_rng(9)
+    rows = [(i, *(rng.normal(size=48 + 16 * (i % 2)).tolist() for _ in range(3))) for i in range(5)] + [(9, *[[0.0] * 48] * 3)]
+    df = spark.createDataFrame(rows, "event_id int, z array<double>, n array<double>, e array<double>").repartition(3)
+    bands = tr.band_signals(df, ["event_id"], ["z", "n", "e"], 4.0, [0.3, 0.5, 0.8])
+    bands = bands.withColumn("w", tr.F.slice("re", 1, (tr.F.size("re") / 3).cast("int")))
+    windows = tr.window_polarizations(bands, ["event_id"], 4.0, along=["w"])
+    key = lambda r: (r.event_id, r.band, r.ti)
+    fast = tr.covered_means(windows, ["event_id"], alone=True, along=["w"])
+    plan = fast._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.rindex("MapInArrow")]
+    got, want = ({key(r): r for r in f.collect()} for f in (fast, tr.covered_means(windows, ["event_id"])))
+    assert got.keys() == want.keys() and len(got) == (4 * 48 + 2 * 64) * 3
+    for at, r in want.items():
+        for c in ("dop", "azimuth_deg", "inclination_deg", "vrm", "hrm"):
+            assert (got[at][c] is None) == (r[c] is None) and (r[c] is None or got[at][c] == pytest.approx(r[c], abs=1e-9))
+    level = {(r.event_id, r.band): r.w for r in bands.collect()}
+    assert all(r.w == level[r.event_id, r.band][r.ti] for r in got.values())
